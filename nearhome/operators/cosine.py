@@ -22,11 +22,12 @@ from nearhome.schemas import NEIGHBOURS
 from nearhome.session import written
 
 SIM_DIGITS = 9
-BLOCK_ROWS = 4096      # candidates that one task holds at a time
-SPLIT_ROWS = 32768     # queries that one task holds at a time
+BLOCK_ROWS = 1024      # candidates that one task holds at a time
+SPLIT_ROWS = 8192     # queries that one task holds at a time
 MAX_PIVOTS = 4096      # bound of what is collected and broadcast
 KERNEL_ROWS = 512      # query rows of one matrix product
 SLACK = 1e-6           # covers rounding in the distance bounds
+TIE = 10.0 ** -SIM_DIGITS
 
 
 def cosine_top_k(
@@ -45,22 +46,18 @@ def cosine_top_k(
     """
     asked = _usable(catalogue if queries is None else queries, group)
     cand = written(_lowest_copies(_usable(catalogue, group), k + 1), "cosine-candidates")
-    if cand.count() <= block_rows:
-        one_cell = F.lit(0).alias("cell")
-        matches = _match(asked.select("*", one_cell), cand.select("*", one_cell), k, block_rows, split_rows, single=True)
-        return _best(matches, k)
-
     pivots = _choose_pivots(cand, block_rows, max_pivots)
     if pivots is None:
-        one_cell = F.lit(-1).alias("cell")
-        return _best(_match(asked.select("*", one_cell), cand.select("*", one_cell), k, block_rows, split_rows), k)
+        one_cell = [F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("kth")]
+        matches = _match(asked.select("*", *one_cell), cand.select("*", *one_cell), k, block_rows, split_rows, grouped=group is not None)
+        return _best(matches, k)
 
     cand = written(pivots.assign(cand), "cosine-cells")
     asked = written(pivots.assign(asked), "cosine-queries")
-    near = written(_best(_match(asked, cand, k, block_rows, split_rows), k), "cosine-own-cell")
+    near = written(_best(_match(asked.withColumn("kth", F.lit(None).cast("double")), cand, k, block_rows, split_rows), k), "cosine-own-cell")
     kth = near.filter(F.col("rank") == k).select("id", F.col("similarity").alias("kth"))
     visits = written(pivots.visits(asked.join(kth, "id", "left"), cand), "cosine-visits")
-    far = _match(visits, cand, k, block_rows, split_rows)
+    far = _match(visits.withColumn("cell", F.explode("cells")), cand, k, block_rows, split_rows)
     return _best(near.select("id", "similar_id", "similarity").unionByName(far), k)
 
 
@@ -95,25 +92,26 @@ def _best(matches: DataFrame, k: int) -> DataFrame:
     return top_per_key(matches, ["id"], order, k).select("id", "rank", "similar_id", "similarity")
 
 
-def _match(asked: DataFrame, cand: DataFrame, k: int, block_rows: int, split_rows: int, single: bool = False) -> DataFrame:
+def _match(asked: DataFrame, cand: DataFrame, k: int, block_rows: int, split_rows: int, grouped: bool = True) -> DataFrame:
     """Best ``k`` of every (query, candidate block) within the same group and cell.
 
     A cell with many candidates is hashed into blocks and one with many queries into splits, so that a task
     never holds more than about ``block_rows`` candidates and ``split_rows`` queries, however hot the cell.
     """
     cell = ["grp", "cell"]
-    if single:
-        # all candidates fit in one block; only the queries need splitting
-        splits = max(1, ceil(asked.count() / split_rows))
-        layout = cand.select(*cell).distinct().select(*cell, F.lit(1).alias("blocks"), F.lit(splits).alias("splits"))
-    else:
+    if grouped:
         sizes = cand.groupBy(*cell).agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
         loads = asked.groupBy(*cell).agg(F.ceil(F.count("*") / split_rows).alias("splits"))
         layout = written(sizes.join(loads, cell), "cosine-layout")
+        asked, cand = asked.join(layout, cell), cand.join(layout, cell)
+    else:
+        counts = {"blocks": ceil(cand.count() / block_rows), "splits": ceil(asked.count() / split_rows)}
+        counts = {name: F.lit(max(n, 1)).cast("long") for name, n in counts.items()}
+        asked, cand = asked.withColumns(counts), cand.withColumns(counts)
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-    left = asked.join(layout, cell).select("id", "vec", *cell, place("splits").alias("split"), each("blocks").alias("block"))
-    right = cand.join(layout, cell).select("id", "vec", *cell, place("blocks").alias("block"), each("splits").alias("split"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.select("id", "vec", "kth", *cell, place("splits").alias("split"), each("blocks").alias("block"))
+    right = cand.select("id", "vec", *cell, place("blocks").alias("block"), each("splits").alias("split"))
     keys = [*cell, "block", "split"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         lambda q, c: _block_top_k(q, c, k), "id long, similar_id long, similarity double",
@@ -133,42 +131,43 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def _block_top_k(asked: pa.Table, cand: pa.Table, k: int) -> pa.Table:
-    out = ([], [], [])
+    """The best ``k`` candidates of each query, or those at least as good as its ``kth`` where that is known."""
+    found = []
     if asked.num_rows and cand.num_rows:
         cand_id = cand["id"].to_numpy()
         order = np.argsort(cand_id)
-        cand_id, cand_vec = cand_id[order], _unit_rows(_matrix(cand["vec"]))[order]
+        cand_id, cand_vec = cand_id[order], _unit_rows(_matrix(cand["vec"]))[order].T
         asked_id, asked_vec = asked["id"].to_numpy(), _unit_rows(_matrix(asked["vec"]))
+        kth = asked["kth"].to_numpy().astype(float)
+        itself = np.searchsorted(cand_id, asked_id)
+        itself[itself == len(cand_id)] = 0
+        cut = max(len(cand_id) - k, 0)
         for start in range(0, len(asked_id), KERNEL_ROWS):
-            ids = asked_id[start:start + KERNEL_ROWS]
-            sim = np.round(asked_vec[start:start + KERNEL_ROWS] @ cand_vec.T, SIM_DIGITS)
-            sim[ids[:, None] == cand_id[None, :]] = -np.inf
-            cut = max(sim.shape[1] - k, 0)
-            floor = np.partition(sim, cut, axis=1)[:, cut:cut + 1]
-            row, col = np.nonzero((sim >= floor) & (sim > -np.inf))
-            value = sim[row, col]
+            part = slice(start, start + KERNEL_ROWS)
+            ids, floor = asked_id[part], kth[part].copy()
+            sim = asked_vec[part] @ cand_vec
+            own = np.flatnonzero(cand_id[itself[part]] == ids)
+            sim[own, itself[part][own]] = -np.inf
+            open_rows = np.flatnonzero(np.isnan(floor))
+            floor[open_rows] = np.partition(sim[open_rows], cut, axis=1)[:, cut]
+            row, col = np.nonzero((sim >= floor[:, None] - TIE) & (sim > -np.inf))
+            value = np.round(sim[row, col], SIM_DIGITS)
             by_rank = np.lexsort((col, -value, row))
             row, col, value = row[by_rank], col[by_rank], value[by_rank]
-            first = np.searchsorted(row, row)
-            keep = np.arange(len(row)) - first < k
-            out[0].append(ids[row[keep]])
-            out[1].append(cand_id[col[keep]])
-            out[2].append(value[keep])
-    column = lambda parts, dtype: np.concatenate(parts) if parts else np.empty(0, dtype)
-    return pa.table({
-        "id": pa.array(column(out[0], np.int64), pa.int64()),
-        "similar_id": pa.array(column(out[1], np.int64), pa.int64()),
-        "similarity": pa.array(column(out[2], np.float64), pa.float64()),
-    })
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((ids[row[keep]], cand_id[col[keep]], value[keep]))
+    ids, similar, value = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return pa.table({"id": ids, "similar_id": similar, "similarity": value})
 
 
 def _choose_pivots(cand: DataFrame, block_rows: int, max_pivots: int) -> _Pivots | None:
     """About one pivot per ``block_rows`` vectors of each group that needs more than one block."""
-    sizes = written(cand.groupBy("grp").count().filter(F.col("count") > block_rows).select("grp", "count"), "cosine-groups")
+    sizes = cand.groupBy("grp").count().filter(F.col("count") > block_rows)
     total = sizes.agg(F.sum("count")).first()[0]
     if total is None:
         return None
     step = max(block_rows, ceil(total / max_pivots))
+    sizes = written(sizes, "cosine-groups")
     spread = F.xxhash64("id")
     drawn = (
         cand.join(sizes, "grp", "left_semi")
@@ -181,6 +180,17 @@ def _choose_pivots(cand: DataFrame, block_rows: int, max_pivots: int) -> _Pivots
     return _Pivots(cand, [r["grp"] for r in drawn], [r["vec"] for r in drawn]) if drawn else None
 
 
+def _parts(group_of: np.ndarray, gid: pa.Array, vec: pa.Array):
+    """(row numbers, their unit vectors, the pivots of their group) in small parts; rows without pivots are left out."""
+    gids, unit = gid.to_numpy(zero_copy_only=False), _unit_rows(_matrix(vec))
+    for g in np.unique(gids[gids >= 0]):
+        own = np.flatnonzero(group_of == g)
+        rows = np.flatnonzero(gids == g)
+        for start in range(0, len(rows), KERNEL_ROWS):
+            part = rows[start:start + KERNEL_ROWS]
+            yield part, unit[part], own
+
+
 class _Pivots:
     """At most ``max_pivots`` unit vectors; the cells of a group are numbered by their pivot."""
 
@@ -199,11 +209,9 @@ class _Pivots:
 
         @F.arrow_udf("int")
         def nearest(gid: pa.Array, vec: pa.Array) -> pa.Array:
-            gids, m = gid.to_numpy(zero_copy_only=False), _unit_rows(_matrix(vec))
-            cell = np.full(len(gids), -1, dtype=np.int32)
-            for g in np.unique(gids[gids >= 0]):
-                rows, own = np.flatnonzero(gids == g), np.flatnonzero(group_of == g)
-                cell[rows] = own[np.argmax(m[rows] @ matrix[own].T, axis=1)]
+            cell = np.full(len(gid), -1, dtype=np.int32)
+            for rows, unit, own in _parts(group_of, gid, vec):
+                cell[rows] = own[np.argmax(unit @ matrix[own].T, axis=1)]
             return pa.array(cell)
 
         # one row per pivoted group, at most ``max_pivots``
@@ -211,10 +219,11 @@ class _Pivots:
         return named.select("id", "grp", "vec", "gid", nearest("gid", "vec").alias("cell"))
 
     def visits(self, asked: DataFrame, cand: DataFrame) -> DataFrame:
-        """One row per (query, other cell) that may still hold one of the best ``k``.
+        """Queries with the other ``cells`` that may still hold one of their best ``k``.
 
-        ``kth`` is the k-th similarity found so far, null when fewer were found. On unit vectors the chord is a
-        metric: a vector within ``reach`` of the query lies in a cell whose pivot is within reach + radius.
+        ``kth`` is the k-th similarity found so far, null when fewer were found. Chords between unit vectors are
+        Euclidean distances. A vector within ``reach`` of the query can lie in another cell only if that cell's
+        ball is within reach of the query, and so is the plane halfway between the two pivots.
         """
         group_of, matrix = self.group_of, self.matrix
         radius = np.full(len(matrix), -np.inf)
@@ -230,21 +239,26 @@ class _Pivots:
 
         @F.arrow_udf("array<int>")
         def reachable(gid: pa.Array, cell: pa.Array, vec: pa.Array, kth: pa.Array) -> pa.Array:
-            gids, cells = gid.to_numpy(zero_copy_only=False), cell.to_numpy(zero_copy_only=False)
-            reach = _chord(kth.to_numpy(zero_copy_only=False).astype(float) - 10.0 ** -SIM_DIGITS)
-            reach = np.where(np.isnan(reach), np.inf, reach)
-            m = _unit_rows(_matrix(vec))
-            found: list = [[]] * len(gids)
-            for g in np.unique(gids[gids >= 0]):
-                rows, own = np.flatnonzero(gids == g), np.flatnonzero(group_of == g)
-                hit = _chord(m[rows] @ matrix[own].T) <= reach[rows, None] + radius[None, own] + SLACK
-                hit &= own[None, :] != cells[rows, None]
+            cells = cell.to_numpy(zero_copy_only=False)
+            reach = _chord(kth.to_numpy(zero_copy_only=False).astype(float) - TIE)
+            reach = np.where(np.isnan(reach), np.inf, reach) + SLACK
+            found: list = [[]] * len(cells)
+            for rows, unit, own in _parts(group_of, gid, vec):
+                at = np.searchsorted(own, cells[rows])
+                chord = _chord(unit @ matrix[own].T)
+                between = _chord(matrix[own[at]] @ matrix[own].T)
+                home = chord[np.arange(len(rows)), at]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = np.where(between > SLACK, (chord ** 2 - home[:, None] ** 2) / (2 * between), 0.0)
+                hit = (chord - radius[own] <= reach[rows, None]) & (plane <= reach[rows, None])
+                hit[np.arange(len(rows)), at] = False
                 for i, r in enumerate(rows):
                     found[r] = own[hit[i]]
             return pa.array(found, pa.list_(pa.int32()))
 
         pivoted = asked.filter(F.col("gid") >= 0)
-        return pivoted.select("id", "grp", "vec", F.explode(reachable("gid", "cell", "vec", "kth")).alias("cell"))
+        reached = pivoted.select("id", "grp", "vec", "kth", reachable("gid", "cell", "vec", "kth").alias("cells"))
+        return reached.filter(F.size("cells") > 0)
 
 
 def _chord(cosine: np.ndarray) -> np.ndarray:

@@ -22,6 +22,12 @@ def cluster_heads(listings: DataFrame, cluster: str, k: int = NEIGHBOURS) -> Dat
     return cheapest.groupBy("cluster").agg(in_order["id"].alias("head"))
 
 
+def others_of(asked: DataFrame, heads: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """(id, cluster, similar_ids) of (id, cluster): the head of the cluster without the listing itself."""
+    others = F.filter("head", lambda x: x != F.col("id"))
+    return asked.join(heads, "cluster").select("id", "cluster", F.slice(others, 1, k).alias("similar_ids"))
+
+
 def price_neighbors(listings: DataFrame, cluster: str, k: int = NEIGHBOURS, queries: DataFrame | None = None) -> DataFrame:
     """(id, cluster, similar_ids): up to ``k`` other listings of the same cluster, cheapest first.
 
@@ -31,8 +37,7 @@ def price_neighbors(listings: DataFrame, cluster: str, k: int = NEIGHBOURS, quer
     """
     heads = written(cluster_heads(listings, cluster, k), "cluster-heads")
     asked = (listings if queries is None else queries).select("id", F.col(cluster).alias("cluster"))
-    others = F.filter("head", lambda x: x != F.col("id"))
-    return asked.join(heads, "cluster").select("id", "cluster", F.slice(others, 1, k).alias("similar_ids"))
+    return others_of(asked, heads, k)
 
 
 def neighbor_pairs(neighbors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearhome.functions.codecs import csv_to_ids, ids_to_csv, similar_from_json, similar_to_json
+from nearhome.schemas import COSINE_MESSAGE
 
 
 def to_messages(neighbors: DataFrame) -> DataFrame:
@@ -14,6 +15,20 @@ def to_messages(neighbors: DataFrame) -> DataFrame:
     return neighbors.select(F.lit(None).cast("string").alias("key"), value.alias("value"))
 
 
+def to_cosine_messages(means: DataFrame) -> DataFrame:
+    """(key, value): one JSON message per listing of (id, similar_ids, similarity), the mean similarity included."""
+    value = F.to_json(F.struct(F.col("id").alias("announceId"), F.col("similar_ids").alias("similarIds"), "similarity"))
+    return means.select(F.lit(None).cast("string").alias("key"), value.alias("value"))
+
+
+def from_cosine_messages(messages: DataFrame) -> DataFrame:
+    """(id, similar_ids, similarity) of the well-formed messages."""
+    data = messages.select(F.from_json(F.col("value").cast("string"), COSINE_MESSAGE).alias("m"))
+    return data.filter(F.col("m.announceId").isNotNull()).select(
+        F.col("m.announceId").alias("id"), F.col("m.similarIds").alias("similar_ids"), F.col("m.similarity").alias("similarity"),
+    )
+
+
 def from_messages(messages: DataFrame) -> DataFrame:
     """(id, similar_ids, cluster) of the well-formed messages."""
     data = messages.select(similar_from_json(F.col("value")).alias("m"))

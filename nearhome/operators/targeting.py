@@ -55,12 +55,14 @@ def target_users(similar: DataFrame, item_scores: DataFrame, n: int = USERS_PER_
     and a ranked list travels as one row, also when a third of all listings share it.
     """
     asked = similar.select("announce_id", F.array_sort(F.array_distinct("similar_ids")).alias("ids"))
-    lists = asked.select("ids").distinct()
-    members = lists.select("ids", F.explode("ids").alias("annonce_id"))
-    reached = members.join(item_scores, "annonce_id").groupBy("ids", "user_id").agg(F.max("score").alias("score"))
-    ranked = top_per_key(reached, ["ids"], _best_first(), n)
+    lists = written(asked.groupBy("ids").agg(F.min("announce_id").alias("list_id")), "similar-lists")
+    members = lists.select("list_id", F.explode("ids").alias("annonce_id"))
+    # a list has at most its length times ``n`` rows, so one shuffle by list serves the maximum and the ranking
+    reached = members.join(item_scores, "annonce_id").repartition("list_id")
+    best = reached.groupBy("list_id", "user_id").agg(F.max("score").alias("score"))
+    ranked = top_per_key(best, ["list_id"], _best_first(), n)
     in_order = F.array_sort(F.collect_list(F.struct("rank", "user_id", "score")))
-    packed = written(ranked.groupBy("ids").agg(in_order.alias("users")), "ranked-users")
+    packed = written(ranked.groupBy("list_id").agg(in_order.alias("users")).join(lists, "list_id"), "ranked-users")
     return (
         asked.join(packed, "ids")
         .select("announce_id", F.inline("users").alias("rank", "user_id", "score"))

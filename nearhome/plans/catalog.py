@@ -225,31 +225,38 @@ def queue_drain(spark, sf):
 
 # --- streaming ---
 
-def _run_stream(spark, messages, answers, field):
+def _run_stream(spark, messages, answer, field):
+    """Runs the stream over all waiting messages; the latest result per listing."""
     out = scratch_path(spark, "stream-out")
     stream = similarity.start_similarity(
-        messages, lambda ids: similarity.similar_for(ids, answers), similarity.parquet_sink(out),
-        scratch_path(spark, "stream-checkpoint"), field=field, run_once=True,
+        messages, answer, similarity.parquet_sink(out), scratch_path(spark, "stream-checkpoint"), field=field, run_once=True,
     )
     stream.awaitTermination()
-    return store.latest_results(spark.read.parquet(out), "batch_id").select(
-        "id", F.col("cluster").alias("cluster_id"), F.posexplode("similar_ids").alias("pos", "similar_id"),
-    )
+    return store.latest_results(spark.read.parquet(out), "batch_id")
+
+
+def _positions(results):
+    return results.select("id", F.col("cluster").alias("cluster_id"), F.posexplode("similar_ids").alias("pos", "similar_id"))
+
+
+def _inbox(spark, sf, ids, field):
+    """The ids as JSON messages in text files, with an unknown id and a broken line per supplier."""
+    suppliers = fixtures.table(spark, sf, "supplier").select("s_suppkey")
+    unknown = suppliers.select((-1 - F.col("s_suppkey")).alias("id"))
+    good = ids.unionByName(unknown).select(F.to_json(F.struct(F.col("id").alias(field))).alias("value"))
+    broken = suppliers.select(F.concat(F.lit(f'{{"{field}": '), F.col("s_suppkey").cast("string")).alias("value"))
+    path = scratch_path(spark, "stream-in")
+    good.unionByName(broken).write.text(path)
+    return spark.readStream.text(path)
 
 
 @query
 def stream_similar(spark, sf):
-    """Every listing id as a JSON message, every order line's listing once more, an unknown id and a broken line per supplier."""
-    known = fixtures.listing(spark, sf).select("id")
+    """Every listing as a message, and once more for every order line that names it."""
     again = fixtures.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"))
-    suppliers = fixtures.table(spark, sf, "supplier").select("s_suppkey")
-    unknown = suppliers.select((-1 - F.col("s_suppkey")).alias("id"))
-    ids = known.unionByName(again).unionByName(unknown).select(F.to_json(F.struct(F.col("id").alias("announceId"))).alias("value"))
-    broken = suppliers.select(F.concat(F.lit('{"announceId": '), F.col("s_suppkey").cast("string")).alias("value"))
-    inbox = scratch_path(spark, "stream-in")
-    ids.unionByName(broken).write.text(inbox)
-    answers = written(_brand_neighbors(spark, sf), "neighbors")
-    return _run_stream(spark, spark.readStream.text(inbox), answers, "announceId")
+    messages = _inbox(spark, sf, fixtures.listing(spark, sf).select("id").unionByName(again), "announceId")
+    stored = written(similarity.ordered_by_id(_brand_neighbors(spark, sf)), "neighbors")
+    return _positions(_run_stream(spark, messages, similarity.stored_answer(stored), "announceId"))
 
 
 @query
@@ -257,8 +264,37 @@ def stream_similar_events(spark, sf):
     """The JSON payload of every event as a message that names a listing in the field ``k``."""
     schema = fixtures.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    answers = written(neighbors.price_neighbors(fixtures.listing(spark, sf), "type_bien"), "neighbors")
-    return _run_stream(spark, events.select(F.col("props").alias("value")), answers, "k")
+    stored = written(similarity.ordered_by_id(neighbors.price_neighbors(fixtures.listing(spark, sf), "type_bien")), "neighbors")
+    return _positions(_run_stream(spark, events.select(F.col("props").alias("value")), similarity.stored_answer(stored), "k"))
+
+
+@query
+def stream_kmeans_summary(spark, sf):
+    """Every listing as a message, placed by the trained pipeline; incomplete listings get no result."""
+    listings = fixtures.listing_dirty(spark, sf)
+    clean = prepare.complete_listings(listings)
+    model = features.fit_features(clean)
+    scored = written(features.scored_listings(model, clean).select("id", "prix", "prediction"), "scored")
+    heads = written(neighbors.cluster_heads(scored, "prediction"), "cluster-heads")
+    answer = similarity.model_answer(listings, model, heads)
+    results = _run_stream(spark, _inbox(spark, sf, listings.select("id"), "announceId"), answer, "announceId")
+    sizes = scored.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("members"))
+    same = results.join(scored, "id").join(sizes, "cluster")
+    return same.agg(
+        F.count("*").alias("n_results"),
+        F.count_if(F.col("cluster") != F.col("prediction")).alias("other_cluster"),
+        F.count_if(F.size("similar_ids") != F.least(F.lit(10), F.col("members") - 1)).alias("wrong_length"),
+        F.count_if(F.array_contains("similar_ids", F.col("id"))).alias("self_pairs"),
+    )
+
+
+@query
+def stream_cosine(spark, sf):
+    """Every vector id as a message of the older kind; the answers travel as JSON messages."""
+    vectors = fixtures.vector(spark, sf).select("id", "vec")
+    results = _run_stream(spark, _inbox(spark, sf, vectors.select("id"), "id"), similarity.cosine_answer(vectors), "id")
+    received = store.from_cosine_messages(store.to_cosine_messages(results))
+    return received.select("id", ids_to_csv(F.col("similar_ids")).alias("similar_ids"), F.round("similarity", 8).alias("similarity"))
 
 
 # --- users to notify ---
@@ -310,6 +346,11 @@ def _als(spark, sf):
     return _als_models[key]
 
 
+def forget_models() -> None:
+    """Drops the fitted models, so that the next query trains again."""
+    _als_models.clear()
+
+
 @query
 def als_user_recs(spark, sf):
     return recommend.user_recommendations(_als(spark, sf))

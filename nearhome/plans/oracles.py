@@ -178,6 +178,13 @@ SQL: dict[str, str] = {
     "stream_similar_events": f"""
     SELECT id, cluster AS cluster_id, rank - 1 AS pos, similar_id FROM ({TYPE_PAIRS})
     WHERE id IN (SELECT annonce_id FROM ({INTERACTION}))""",
+    "stream_kmeans_summary": f"""
+    SELECT count(*) AS n_results, CAST(0 AS BIGINT) AS other_cluster, CAST(0 AS BIGINT) AS wrong_length, CAST(0 AS BIGINT) AS self_pairs
+    FROM ({LISTING_CLEAN})""",
+    "stream_cosine": f"""
+    SELECT e.vec_id AS id, coalesce(string_agg(CAST(similar_id AS VARCHAR), ',' ORDER BY rank), '') AS similar_ids,
+           round(coalesce(avg(p.similarity), 0.0), 8) AS similarity
+    FROM embeddings e LEFT JOIN ({_cosine_pairs('')}) p ON p.id = e.vec_id GROUP BY e.vec_id""",
     "target_users_observed": _targets(TYPE_PAIRS, RATING, 1000),
     "target_users_top10": _targets(TYPE_PAIRS, RATING, 10),
     "target_users_purchases": _targets(BRAND_PAIRS, _rating(PURCHASE), 1000),

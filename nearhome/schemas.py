@@ -102,6 +102,13 @@ SIMILAR_MESSAGE = T.StructType([
     T.StructField("clusterId", T.StringType()),
 ])
 
+# The older message, with the mean similarity of the neighbours.
+COSINE_MESSAGE = T.StructType([
+    T.StructField("announceId", T.LongType()),
+    T.StructField("similarIds", T.ArrayType(T.LongType())),
+    T.StructField("similarity", T.DoubleType()),
+])
+
 # They must equal the ones the marketplace uses.
 INPUT_TOPIC = "new_announce_topic"
 OUTPUT_TOPIC = "similar_calc_announces_topic"

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearhome.functions.codecs import json_field
-
+from nearhome.operators.cosine import cosine_top_k, mean_similarity
+from nearhome.operators.neighbors import others_of
+from nearhome.operators.prepare import complete_listings
+from nearhome.operators.store import to_messages
+from nearhome.schemas import NEIGHBOURS, OUTPUT_TOPIC
+from nearhome.sources import kafka
+
+Answer = Callable[[DataFrame], DataFrame]
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -18,28 +26,24 @@ def parse_ids(messages: DataFrame, field: str = "announceId") -> DataFrame:
     return messages.select(json_field(F.col("value"), field).try_cast("long").alias("id")).dropna()
 
 
-def similar_for(ids: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """Results for a batch of ids: one row per distinct known id, repeated and unknown ids drop out."""
-    return ids.distinct().join(neighbors, "id")
-
-
 def start_similarity(
     messages: DataFrame,
-    answer: Callable[[DataFrame], DataFrame],
+    answer: Answer,
     sink: Sink,
     checkpoint: str,
     field: str = "announceId",
     run_once: bool = False,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Runs ``answer`` on the ids of every micro-batch as one plan and hands the result to ``sink``.
+    """Runs ``answer`` on the distinct ids of every micro-batch as one plan and hands the result to ``sink``.
 
     A batch may be repeated after a failure, always with the same batch id, so sinks should be keyed by it or
     by the listing. ``answer`` is called per batch and can look up the current version of its tables.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        sink(answer(batch.distinct()), batch_id)
+        if not batch.isEmpty():
+            sink(answer(batch.distinct()), batch_id)
 
     writer = parse_ids(messages, field).writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
     if run_once:
@@ -49,6 +53,49 @@ def start_similarity(
     return writer.start()
 
 
+def rows_of(ids: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of ``table`` with one of the ids; unknown ids drop out.
+
+    The bounds of the batch go to the source as a plain range, so a table ordered by id (a database key, or
+    Parquet written by ``ordered_by_id``) is read only where the new listings are.
+    """
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    return table.filter(F.col("id").between(low, high)).join(ids, "id", "left_semi")
+
+
+def ordered_by_id(table: DataFrame) -> DataFrame:
+    return table.repartitionByRange("id").sortWithinPartitions("id")
+
+
+def stored_answer(neighbors: DataFrame) -> Answer:
+    """Looks up results that are already computed."""
+    return lambda ids: rows_of(ids, neighbors)
+
+
+def model_answer(listings: DataFrame, model: PipelineModel, heads: DataFrame, k: int = NEIGHBOURS) -> Answer:
+    """Places new listings with the trained pipeline and takes the head of their cluster.
+
+    Only the listings of the batch are scored; incomplete ones drop out. ``heads`` are those of the scored
+    catalogue, see ``cluster_heads``.
+    """
+
+    def answer(ids: DataFrame) -> DataFrame:
+        placed = model.transform(complete_listings(rows_of(ids, listings)))
+        return others_of(placed.select("id", F.col("prediction").alias("cluster")), heads, k)
+
+    return answer
+
+
+def cosine_answer(vectors: DataFrame, k: int = NEIGHBOURS) -> Answer:
+    """Compares the vectors of the batch with all others: (id, similar_ids, similarity) with the mean similarity."""
+
+    def answer(ids: DataFrame) -> DataFrame:
+        asked = rows_of(ids, vectors)
+        return mean_similarity(asked, cosine_top_k(vectors, k, queries=asked))
+
+    return answer
+
+
 def parquet_sink(path: str) -> Sink:
     """One folder per batch; a repeated batch replaces its own folder, so nothing appears twice."""
 
@@ -58,6 +105,11 @@ def parquet_sink(path: str) -> Sink:
     return write
 
 
+def kafka_sink(servers: str, topic: str = OUTPUT_TOPIC, encode: Callable[[DataFrame], DataFrame] = to_messages) -> Sink:
+    """One distributed write per batch, at least once."""
+    return lambda result, batch_id: kafka.append(encode(result), servers, topic)
+
+
 def similar_stream(messages: DataFrame, neighbors: DataFrame, field: str = "announceId") -> DataFrame:
     """The stateless form: a stream-static join for sinks that Spark writes itself; one result per message."""
     return parse_ids(messages, field).join(neighbors, "id")
