@@ -12,6 +12,9 @@ from nearhome.schemas import MODEL_METADATA, RETRAIN_AFTER
 from nearhome.sources.versioned import read_if_exists
 
 
+LOWEST_ID = -(2 ** 63)
+
+
 def last_id(listings: DataFrame) -> DataFrame:
     """One row with the highest listing id, null for an empty table."""
     return listings.agg(F.max("id").alias("last_id"))
@@ -22,11 +25,11 @@ def retrain_check(listings: DataFrame, trained_to: DataFrame, threshold: int = R
 
     ``trained_to`` is the one-row table of ``last_id``. Without a trained id every listing is new.
     """
-    bound = trained_to.agg(F.max("last_id").alias("last_id"))
-    newer = listings.filter(bound.scalar().isNull() | (F.col("id") > bound.scalar()))
-    counted = newer.agg(F.count("*").alias("new_listings"))
+    trained = trained_to.agg(F.max("last_id").alias("last_id"))
+    first_new = trained.select(F.coalesce(F.col("last_id") + 1, F.lit(LOWEST_ID)))
+    counted = listings.filter(F.col("id") >= first_new.scalar()).agg(F.count("*").alias("new_listings"))
     return counted.select(
-        bound.scalar().alias("last_id"), "new_listings", (F.col("new_listings") >= threshold).alias("retrain"),
+        trained.scalar().alias("last_id"), "new_listings", (F.col("new_listings") >= threshold).alias("retrain"),
     )
 
 

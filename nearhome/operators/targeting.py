@@ -6,25 +6,34 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearhome.operators.prepare import rating_matrix
 from nearhome.operators.ranking import top_per_key
 from nearhome.schemas import USERS_PER_LISTING
 from nearhome.session import written
 
 
-def similar_items(similar: DataFrame) -> DataFrame:
-    """(annonce_id): the distinct listings that occur as somebody's neighbour, few next to all listings."""
-    lists = similar.select(F.array_sort("similar_ids").alias("ids")).distinct()
+def distinct_lists(similar: DataFrame) -> DataFrame:
+    """(list_id, ids): the different neighbour lists of (announce_id, similar_ids), in id order.
+
+    The listings of a cluster mostly share one list, so everything below is done once per list. The lists are
+    counted together before the shuffle, so one that a third of all listings share is no hot key here.
+    """
+    lists = _asked(similar).groupBy("ids").agg(F.min("announce_id").alias("list_id"))
+    return written(lists, "similar-lists")
+
+
+def listed_items(lists: DataFrame) -> DataFrame:
+    """(annonce_id): the listings that occur as somebody's neighbour."""
     return written(lists.select(F.explode("ids").alias("annonce_id")).distinct(), "similar-items")
 
 
-def observed_scores(ratings: DataFrame, users: DataFrame, items: DataFrame, n: int = USERS_PER_LISTING) -> DataFrame:
-    """(annonce_id, user_id, score): the ``n`` known users with the best observed rating of each listing in ``items``.
+def observed_scores(interactions: DataFrame, users: DataFrame, items: DataFrame, n: int = USERS_PER_LISTING) -> DataFrame:
+    """(annonce_id, user_id, score): the ``n`` known users with the best mean score of each listing in ``items``.
 
-    Catalyst moves the semi joins below the rating aggregation, so ratings of other listings are never shuffled.
+    Interactions with other listings are left out before anything is shuffled by user.
     """
-    wanted = ratings.join(items, "annonce_id", "left_semi")
-    known = known_user_ratings(wanted, users)
-    scored = known.select("annonce_id", "user_id", F.col("interaction_score").alias("score"))
+    wanted = interactions.join(items, "annonce_id", "left_semi")
+    scored = known_user_ratings(rating_matrix(wanted), users).withColumnRenamed("interaction_score", "score")
     top = top_per_key(_real(scored), ["annonce_id"], _best_first(), n, split_by="user_id")
     return top.select("annonce_id", "user_id", "score")
 
@@ -46,16 +55,13 @@ def known_user_ratings(ratings: DataFrame, users: DataFrame) -> DataFrame:
     return ratings.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
 
 
-def target_users(similar: DataFrame, item_scores: DataFrame, n: int = USERS_PER_LISTING) -> DataFrame:
+def target_users(similar: DataFrame, lists: DataFrame, item_scores: DataFrame, n: int = USERS_PER_LISTING) -> DataFrame:
     """(announce_id, user_id, score, rank): the ``n`` users with the highest score over the similar listings.
 
-    ``similar`` has announce_id and similar_ids; ``item_scores`` needs only the ``n`` best users per listing:
+    ``lists`` are the distinct lists of ``similar``. ``item_scores`` needs only the ``n`` best users per listing:
     a user whose best score is at listing i and who is not among the ``n`` best there has ``n`` users ahead.
-    Listings of a cluster mostly share one list of similar ids, so users are ranked once per distinct list,
-    and a ranked list travels as one row, also when a third of all listings share it.
+    The users of a list travel as one row, also to a third of all listings.
     """
-    asked = similar.select("announce_id", F.array_sort(F.array_distinct("similar_ids")).alias("ids"))
-    lists = written(asked.groupBy("ids").agg(F.min("announce_id").alias("list_id")), "similar-lists")
     members = lists.select("list_id", F.explode("ids").alias("annonce_id"))
     # a list has at most its length times ``n`` rows, so one shuffle by list serves the maximum and the ranking
     reached = members.join(item_scores, "annonce_id").repartition("list_id")
@@ -64,7 +70,7 @@ def target_users(similar: DataFrame, item_scores: DataFrame, n: int = USERS_PER_
     in_order = F.array_sort(F.collect_list(F.struct("rank", "user_id", "score")))
     packed = written(ranked.groupBy("list_id").agg(in_order.alias("users")).join(lists, "list_id"), "ranked-users")
     return (
-        asked.join(packed, "ids")
+        _asked(similar).join(packed, "ids")
         .select("announce_id", F.inline("users").alias("rank", "user_id", "score"))
         .select("announce_id", "user_id", "score", "rank")
     )
@@ -79,6 +85,10 @@ def not_yet_sent(candidates: DataFrame, sent: DataFrame) -> DataFrame:
     return candidates.join(sent.select("announce_id", "user_id").distinct(), ["announce_id", "user_id"], "left_anti")
 
 
+def _asked(similar: DataFrame) -> DataFrame:
+    return similar.select("announce_id", F.array_sort(F.array_distinct("similar_ids")).alias("ids"))
+
+
 def _best_first() -> list:
     return [F.col("score").desc(), F.col("user_id")]
 

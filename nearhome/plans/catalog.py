@@ -300,7 +300,8 @@ def stream_cosine(spark, sf):
 # --- users to notify ---
 
 def _targets(spark, sf, interactions, cluster, n=1000):
-    return hybrid.targets_by_observed(fixtures.listing(spark, sf), interactions, fixtures.user(spark, sf), cluster, n=n)
+    similar = hybrid.similar_lists(prepare.complete_listings(fixtures.listing(spark, sf)), cluster)
+    return hybrid.targets_by_observed(similar, interactions, fixtures.user(spark, sf), n)
 
 
 @query
@@ -381,8 +382,7 @@ def als_pair_summary(spark, sf):
 @query
 def target_users_als_summary(spark, sf):
     similar = hybrid.similar_lists(fixtures.listing(spark, sf), "type_bien")
-    scores = targeting.predicted_scores(_als(spark, sf), targeting.similar_items(similar))
-    targets = targeting.target_users(similar, scores)
+    targets = hybrid.targets_by_model(similar, _als(spark, sf))
     before = F.lag("score").over(Window.partitionBy("announce_id").orderBy("rank"))
     return targets.withColumn("before", before).groupBy("announce_id").agg(
         F.count("*").alias("n_users"),

@@ -1,0 +1,95 @@
+import random
+
+from pyspark.sql import functions as F
+
+from nearhome.functions.codecs import csv_rejects
+from nearhome.operators import neighbors, store
+from nearhome.operators.ranking import top_per_key
+from nearhome.session import scratch_path
+from nearhome.sources import versioned
+
+
+def found(df):
+    return {r["id"]: r["similar_ids"] for r in df.collect()}
+
+
+def test_small_clusters_ties_and_self(spark):
+    rows = [(1, "a", 5.0), (2, "a", 5.0), (3, "a", 5.0), (4, "b", 1.0), (5, None, 1.0), (6, "a", None)]
+    df = spark.createDataFrame(rows, "id long, cluster string, prix double")
+    assert found(neighbors.price_neighbors(df, "cluster")) == {1: [2, 3], 2: [1, 3], 3: [1, 2], 4: [], 6: [1, 2, 3]}
+
+
+def test_equals_pairwise_form_with_a_hot_cluster(spark):
+    rng = random.Random(1)
+    rows = [(i, 0 if i % 3 == 0 else rng.randrange(1, 12), float(rng.randrange(20))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, cluster int, prix double").repartition(5)
+    expected = {
+        i: [x for _, x in sorted((p, j) for j, d, p in rows if d == c and j != i)[:10]] for i, c, _ in rows
+    }
+    assert found(neighbors.price_neighbors(df, "cluster")) == expected
+    asked = df.filter("id >= 290")
+    assert found(neighbors.price_neighbors(df, "cluster", queries=asked)) == {i: expected[i] for i in range(290, 300)}
+
+
+def test_pairs_are_ranked_from_one(spark):
+    df = spark.createDataFrame([(1, [7, 8])], "id long, similar_ids array<long>")
+    assert [tuple(r) for r in neighbors.neighbor_pairs(df).collect()] == [(1, 1, 7), (1, 2, 8)]
+
+
+def test_top_per_key_split_equals_unsplit(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([("hot" if i % 3 else f"k{i % 7}", i, rng.randrange(9)) for i in range(200)], "k string, v long, s int")
+    order = [F.col("s").desc(), F.col("v")]
+    plain = top_per_key(df, ["k"], order, 6).collect()
+    split = top_per_key(df, ["k"], order, 6, split_by="v", splits=5).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, split)) and len(plain) == 8 * 6
+
+
+def test_top_per_key_limits_before_the_shuffle(spark, capsys):
+    df = spark.range(100_000).withColumn("k", F.col("id") % 3)
+    top_per_key(df, ["k"], [F.col("id")], 1000).explain()
+    assert capsys.readouterr().out.count("WindowGroupLimit") == 2
+
+
+def test_message_round_trip(spark):
+    df = spark.createDataFrame([(123, [45, 67], "3"), (5, [], "1")], "id long, similar_ids array<long>, cluster string")
+    messages = store.to_messages(df)
+    assert sorted((r["key"], r["value"]) for r in messages.collect()) == [
+        (None, '{"announceId":123,"similarIds":[45,67],"clusterId":"3"}'),
+        (None, '{"announceId":5,"similarIds":[],"clusterId":"1"}'),
+    ]
+    broken = messages.unionByName(spark.createDataFrame([(None, "junk"), (None, "{}")], "key string, value string"))
+    assert found(store.from_messages(broken)) == {123: [45, 67], 5: []}
+    binary = messages.withColumn("value", F.col("value").cast("binary"))
+    assert found(store.from_messages(binary)) == {123: [45, 67], 5: []}
+
+
+def test_csv_lists(spark):
+    df = spark.createDataFrame([(1, "1,2,3"), (2, ""), (3, "1,x"), (4, " 7 , 8")], "announceId long, similarsIds string")
+    assert {r["announce_id"]: r["similar_ids"] for r in store.from_csv_table(df).collect()} == {1: [1, 2, 3], 2: [], 3: [1], 4: [7, 8]}
+    assert [r[0] for r in df.orderBy("announceId").select(csv_rejects(F.col("similarsIds"))).collect()] == [0, 0, 1, 0]
+
+
+def test_latest_result_wins(spark):
+    df = spark.createDataFrame([(1, 1, [5]), (1, 3, [7]), (1, 2, [6]), (2, 1, [])], "id long, v int, similar_ids array<long>")
+    assert found(store.latest_results(df, "v")) == {1: [7], 2: []}
+
+
+def test_drain_twice_changes_nothing(spark):
+    queue = spark.createDataFrame([(1,), (2,), (2,), (3,)], "announce_id long")
+    done = spark.createDataFrame([(2,), (2,)], "announce_id long")
+    once = store.drain(queue, done)
+    assert sorted(r[0] for r in once.collect()) == [1, 3]
+    assert sorted(r[0] for r in store.drain(once, done).collect()) == [1, 3]
+
+
+def test_publishing_from_the_current_version(spark):
+    root = scratch_path(spark, "published")
+    assert versioned.read_current(spark, root) is None
+    assert versioned.publish(spark.range(3), root) == 1
+    assert versioned.publish(versioned.read_current(spark, root).filter("id > 0"), root) == 2
+    assert sorted(r[0] for r in versioned.read_current(spark, root).collect()) == [1, 2]
+    spark.range(99).write.parquet(f"{root}/version-3")  # a write that failed before it was pointed to
+    assert versioned.read_current(spark, root).count() == 2
+    assert versioned.publish(spark.range(1), root) == 3
+    assert versioned.read_current(spark, root).count() == 1
