@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from nearhome.operators.prepare import als_ratings
 from nearhome.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REG, LISTINGS_PER_USER
+from nearhome.session import shared_dir
 
 
 def fit_als(ratings: DataFrame, seed: int = 42, blocks: int | None = None, checkpoint_interval: int = 10) -> ALSModel:
@@ -16,8 +17,10 @@ def fit_als(ratings: DataFrame, seed: int = 42, blocks: int | None = None, check
     Every ``checkpoint_interval`` iterations Spark cuts the lineage of the factors in ``spark.checkpoint.dir``.
     ``blocks`` should grow with the data; by default it is the number of shuffle partitions, at least 10.
     """
+    spark = ratings.sparkSession
+    shared_dir(spark)  # in local mode this also names a checkpoint folder
     if blocks is None:
-        blocks = max(10, int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        blocks = max(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
     als = ALS(
         userCol="user_id", itemCol="annonce_id", ratingCol="interaction_score",
         rank=ALS_RANK, maxIter=ALS_ITERATIONS, regParam=ALS_REG, coldStartStrategy="drop", seed=seed,

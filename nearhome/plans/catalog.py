@@ -8,7 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearhome.functions.codecs import ids_to_csv
+from nearhome.functions.codecs import ids_to_csv, json_field
+from nearhome.functions.vectors import cosine as cosine_of
+from nearhome.functions.vectors import l2_norm
 from nearhome.operators import cosine, features, lifecycle, neighbors, prepare, quality, recommend, store, synth, targeting
 from nearhome.plans import hybrid
 from nearhome.schemas import FEATURE_COLUMNS_OLD
@@ -61,6 +63,14 @@ def rating_purchases(spark, sf):
     return prepare.rating_matrix(fixtures.purchase(spark, sf))
 
 
+@query
+def message_ids(spark, sf):
+    """The listing named in the JSON payload of every event."""
+    return fixtures.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), json_field(F.col("props").cast("binary"), "k").try_cast("long").alias("annonce_id"),
+    )
+
+
 @query
 def rating_rejects(spark, sf):
     return prepare.als_rejects(fixtures.interaction_dirty(spark, sf))
@@ -143,6 +153,16 @@ def type_neighbors_price(spark, sf):
     return neighbors.neighbor_pairs(neighbors.price_neighbors(fixtures.listing(spark, sf), "type_bien"))
 
 
+@query
+def vector_functions(spark, sf):
+    """Length of every vector, and its cosine with the vector that has the next id."""
+    vectors = fixtures.vector(spark, sf)
+    following = vectors.select((F.col("id") - 1).alias("id"), F.col("vec").alias("next_vec"))
+    return vectors.join(following, "id", "left").select(
+        "id", F.round(l2_norm(F.col("vec")), 9).alias("norm"), F.round(cosine_of(F.col("vec"), F.col("next_vec")), 9).alias("similarity"),
+    )
+
+
 @query
 def cluster_neighbors_cosine(spark, sf):
     return cosine.cosine_top_k(fixtures.vector(spark, sf), group="cluster")
@@ -370,6 +390,14 @@ def als_user_recs_summary(spark, sf):
     )
 
 
+@query
+def als_unseen_summary(spark, sf):
+    """Recommendations left for every user without the listings they already know."""
+    recs = recommend.user_recommendations(_als(spark, sf))
+    unseen = recommend.unseen_only(recs, fixtures.interaction(spark, sf))
+    return unseen.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count("*").alias("n_recs"))
+
+
 @query
 def als_pair_summary(spark, sf):
     """Purchased (user, listing) pairs scored by the model; pairs it does not know drop out."""

@@ -136,6 +136,7 @@ SQL: dict[str, str] = {
     "rating_avg": RATING,
     "rating_weighted": _rating(INTERACTION, WEIGHT),
     "rating_purchases": _rating(PURCHASE),
+    "message_ids": f"SELECT id, annonce_id FROM ({INTERACTION})",
     "rating_rejects": f"""
     SELECT count(*) AS n_ratings,
            count(*) FILTER (WHERE user_id NOT BETWEEN -2147483648 AND 2147483647) AS user_out_of_range,
@@ -157,6 +158,10 @@ SQL: dict[str, str] = {
            CAST(0 AS BIGINT) AS self_pairs, CAST(0 AS BIGINT) AS out_of_order FROM part""",
     "cluster_neighbors_price": f"SELECT id, rank, similar_id FROM ({BRAND_PAIRS})",
     "type_neighbors_price": f"SELECT id, rank, similar_id FROM ({TYPE_PAIRS})",
+    "vector_functions": """
+    SELECT a.vec_id AS id, round(sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 9) AS norm,
+           round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
+    FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "cluster_neighbors_cosine": _cosine_pairs("AND a.label = b.label"),
     "cosine_topk": _cosine_pairs(""),
     "cosine_topk_avg": f"""
@@ -198,6 +203,10 @@ SQL: dict[str, str] = {
     WITH n AS (SELECT least(100, count(*)) AS n FROM ({RATED_LISTINGS}))
     SELECT user_id, n AS n_recs, 1 AS first_rank, CAST(n AS INTEGER) AS last_rank, n AS n_listings, CAST(0 AS BIGINT) AS out_of_order
     FROM ({RATED_USERS}) JOIN n ON true""",
+    "als_unseen_summary": f"""
+    WITH seen AS (SELECT DISTINCT user_id, annonce_id FROM ({INTERACTION}))
+    SELECT u.user_id, (SELECT least(100, count(*)) FROM ({RATED_LISTINGS})) - count(*) AS n_recs
+    FROM ({RATED_USERS}) u JOIN seen s ON s.user_id = u.user_id GROUP BY u.user_id HAVING n_recs > 0""",
     "als_pair_summary": f"""
     SELECT annonce_id, count(DISTINCT user_id) AS n_pairs, CAST(0 AS BIGINT) AS n_nan FROM ({PURCHASE})
     WHERE user_id IN ({RATED_USERS}) AND annonce_id IN ({RATED_LISTINGS}) GROUP BY annonce_id""",

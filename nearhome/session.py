@@ -40,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the folder of this application; the folder is of no use once the application has ended."""
+    return os.path.join(shared_dir(spark), f"nearhome-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
