@@ -11,16 +11,18 @@ from nearhome.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REG, LISTINGS_PER_USE
 from nearhome.session import shared_dir
 
 
-def fit_als(ratings: DataFrame, seed: int = 42, blocks: int | None = None, checkpoint_interval: int = 10) -> ALSModel:
+def blocks_for(n_ratings: int) -> int:
+    """Blocks of users and of listings: a few million ratings each, within what ALS can pair up."""
+    return min(500, max(10, n_ratings // 5_000_000))
+
+
+def fit_als(ratings: DataFrame, seed: int = 42, blocks: int = 10, checkpoint_interval: int = 10) -> ALSModel:
     """ALS on explicit ratings. Pairs with a user or listing unknown to the model are dropped when scored.
 
     Every ``checkpoint_interval`` iterations Spark cuts the lineage of the factors in ``spark.checkpoint.dir``.
-    ``blocks`` should grow with the data; by default it is the number of shuffle partitions, at least 10.
+    For large data take ``blocks`` from ``blocks_for``.
     """
-    spark = ratings.sparkSession
-    shared_dir(spark)  # in local mode this also names a checkpoint folder
-    if blocks is None:
-        blocks = max(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared_dir(ratings.sparkSession)  # in local mode this also names a checkpoint folder
     als = ALS(
         userCol="user_id", itemCol="annonce_id", ratingCol="interaction_score",
         rank=ALS_RANK, maxIter=ALS_ITERATIONS, regParam=ALS_REG, coldStartStrategy="drop", seed=seed,

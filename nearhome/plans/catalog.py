@@ -177,7 +177,7 @@ def cosine_topk(spark, sf):
 def cosine_topk_avg(spark, sf):
     vectors = fixtures.vector(spark, sf).select("id", "vec")
     means = cosine.mean_similarity(vectors, cosine.cosine_top_k(vectors))
-    return means.select("id", F.size("similar_ids").alias("n_similar"), F.round("similarity", 8).alias("similarity"))
+    return means.select("id", F.size("similar_ids").alias("n_similar"), F.round("similarity", 10).alias("similarity"))
 
 
 def _old_features(spark, sf):
@@ -314,7 +314,7 @@ def stream_cosine(spark, sf):
     vectors = fixtures.vector(spark, sf).select("id", "vec")
     results = _run_stream(spark, _inbox(spark, sf, vectors.select("id"), "id"), similarity.cosine_answer(vectors), "id")
     received = store.from_cosine_messages(store.to_cosine_messages(results))
-    return received.select("id", ids_to_csv(F.col("similar_ids")).alias("similar_ids"), F.round("similarity", 8).alias("similarity"))
+    return received.select("id", ids_to_csv(F.col("similar_ids")).alias("similar_ids"), F.round("similarity", 10).alias("similarity"))
 
 
 # --- users to notify ---

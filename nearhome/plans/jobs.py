@@ -64,7 +64,7 @@ def train_recommender(spark: SparkSession, tables, root: str) -> tuple[ALSModel,
     interactions = tables.read("user_interaction", key="id")
     ratings = targeting.known_user_ratings(prepare.rating_matrix(interactions), tables.read("user", key="id"))
     ratings = written(ratings, "ratings")
-    model = recommend.fit_als(ratings)
+    model = recommend.fit_als(ratings, blocks=recommend.blocks_for(ratings.count()))
     newest = ratings.agg(F.max("annonce_id")).first()[0]
     return model, lifecycle.save_model(spark, model, f"{root}/als", newest)
 

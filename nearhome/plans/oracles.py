@@ -165,7 +165,7 @@ SQL: dict[str, str] = {
     "cluster_neighbors_cosine": _cosine_pairs("AND a.label = b.label"),
     "cosine_topk": _cosine_pairs(""),
     "cosine_topk_avg": f"""
-    SELECT e.vec_id AS id, CAST(count(p.similar_id) AS INTEGER) AS n_similar, round(coalesce(avg(p.similarity), 0.0), 8) AS similarity
+    SELECT e.vec_id AS id, CAST(count(p.similar_id) AS INTEGER) AS n_similar, round(coalesce(avg(p.similarity), 0.0), 10) AS similarity
     FROM embeddings e LEFT JOIN ({_cosine_pairs('')}) p ON p.id = e.vec_id GROUP BY e.vec_id""",
     "listing_cosine_topk": _listing_cosine(""),
     "listing_cluster_cosine": _listing_cosine("AND a.lease_duration = b.lease_duration"),
@@ -188,7 +188,7 @@ SQL: dict[str, str] = {
     FROM ({LISTING_CLEAN})""",
     "stream_cosine": f"""
     SELECT e.vec_id AS id, coalesce(string_agg(CAST(similar_id AS VARCHAR), ',' ORDER BY rank), '') AS similar_ids,
-           round(coalesce(avg(p.similarity), 0.0), 8) AS similarity
+           round(coalesce(avg(p.similarity), 0.0), 10) AS similarity
     FROM embeddings e LEFT JOIN ({_cosine_pairs('')}) p ON p.id = e.vec_id GROUP BY e.vec_id""",
     "target_users_observed": _targets(TYPE_PAIRS, RATING, 1000),
     "target_users_top10": _targets(TYPE_PAIRS, RATING, 10),
