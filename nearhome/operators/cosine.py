@@ -24,6 +24,7 @@ from nearhome.session import written
 SIM_DIGITS = 9
 BLOCK_ROWS = 1024      # candidates that one task holds at a time
 SPLIT_ROWS = 8192     # queries that one task holds at a time
+PRUNE_FROM = 32768     # groups up to this size are compared block by block, larger ones get pivots
 MAX_PIVOTS = 4096      # bound of what is collected and broadcast
 KERNEL_ROWS = 512      # query rows of one matrix product
 SLACK = 1e-6           # covers rounding in the distance bounds
@@ -37,6 +38,7 @@ def cosine_top_k(
     group: str | None = None,
     block_rows: int = BLOCK_ROWS,
     split_rows: int = SPLIT_ROWS,
+    prune_from: int = PRUNE_FROM,
     max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """(id, rank, similar_id, similarity): the ``k`` other vectors of ``catalogue`` closest to each query.
@@ -46,7 +48,7 @@ def cosine_top_k(
     """
     asked = _usable(catalogue if queries is None else queries, group)
     cand = written(_lowest_copies(_usable(catalogue, group), k + 1), "cosine-candidates")
-    pivots = _choose_pivots(cand, block_rows, max_pivots)
+    pivots = _choose_pivots(cand, block_rows, prune_from, max_pivots)
     if pivots is None:
         one_cell = [F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("kth")]
         matches = _match(asked.select("*", *one_cell), cand.select("*", *one_cell), k, block_rows, split_rows, grouped=group is not None)
@@ -160,9 +162,9 @@ def _block_top_k(asked: pa.Table, cand: pa.Table, k: int) -> pa.Table:
     return pa.table({"id": ids, "similar_id": similar, "similarity": value})
 
 
-def _choose_pivots(cand: DataFrame, block_rows: int, max_pivots: int) -> _Pivots | None:
-    """About one pivot per ``block_rows`` vectors of each group that needs more than one block."""
-    sizes = cand.groupBy("grp").count().filter(F.col("count") > block_rows)
+def _choose_pivots(cand: DataFrame, block_rows: int, prune_from: int, max_pivots: int) -> _Pivots | None:
+    """About one pivot per ``block_rows`` vectors of each group of more than ``prune_from``."""
+    sizes = cand.groupBy("grp").count().filter(F.col("count") > prune_from)
     total = sizes.agg(F.sum("count")).first()[0]
     if total is None:
         return None
