@@ -11,8 +11,8 @@ sys.path.insert(0, ROOT)
 def spark(tmp_path_factory):
     from nearhome.session import build_session, ship_package
 
-    session = build_session("tests", "local[4]", {
-        "spark.sql.shuffle.partitions": "4",
+    session = build_session("tests", "local[8]", {
+        "spark.sql.shuffle.partitions": "2",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         "spark.ui.showConsoleProgress": "false",
