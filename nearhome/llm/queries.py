@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhome.llm import bpe, exact_dedup, url_filter, warc
-from nearhome.session import ship_package
+from nearhome.llm import bpe, exact_dedup, mixing, quality_rules, secrets, simhash, url_filter, warc
+from nearhome.session import ship_package, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -30,6 +30,25 @@ def token_digests(docs: DataFrame) -> DataFrame:
     return bpe.decode(counted, VOCABULARY, keep).select(*keep, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(mixing.sized(_read(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source", "times")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_read(spark, sf_dir, "documents"))
+    kinds = ("assign", "access", "hex")
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(F.encode(secrets.span_list(*kinds), "UTF-8"), 256).alias("base_sha256"),
+        secrets.span_list(*kinds, "linked").alias("spans"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every document, with the half of the table by hash of the id as a new batch on the other half."""
     copy = exact_dedup.digested(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,6 +57,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = simhash.fingerprints(_read(spark, sf_dir, "documents"), ["doc_id"])
+    rows = written(prints.select(F.monotonically_increasing_id().alias("row"), "doc_id", "fp"), "simhash-rows")
+    return simhash.near_duplicates(rows).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered_pages(_read(spark, sf_dir, "pages"))
 
@@ -46,7 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_exact_dedup, op9_url_filter, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op9_url_filter, op10_warc)}
 
 SQL = {
     "op6_exact_dedup": r"""
