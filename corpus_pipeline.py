@@ -4,22 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearhome.llm import exact_dedup
+from nearhome.llm import exact_dedup, mixing, quality_rules, simhash
 from nearhome.llm.queries import token_digests
 from nearhome.session import ship_package, written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the trusted target is what ``labels`` calls good."""
+    ship_package(spark)
+    return quality_rules.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     ship_package(spark)
     return exact_dedup.exact_dedup(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    ship_package(spark)
+    return simhash.near_dedup(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of their sources takes them."""
+    ship_package(spark)
+    return mixing.mix(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document and what they decode to, by their digests."""
     ship_package(spark)
     return token_digests(docs)
 
 
-STAGES = [("exact dedup", exact_duplicates), ("byte-level BPE", tokens)]
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact_duplicates),
+    ("simhash near-dedup", near_duplicates),
+    ("source mix", mix),
+    ("byte-level BPE", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ fractional part as inclusion probability. The extra draws are balanced: three un
 direction in which the totals of words and of documents stay as they are; their probabilities move along it, at random to
 one side or the other, until one is 0 or 1 (flight). A source is divided by hash into blocks of about ``BLOCK`` documents
 that fly by themselves; what stays undecided, two documents a block, flies again in blocks of the next round, until one
-block is left. Its last two documents are decided so that the words come nearest to their expected total (landing). Large
-documents fly first, so that the landing is about small ones.
+block is left. There the flight stops at the last ``LAND`` documents, of whose outcomes that one is taken whose words come
+nearest to their expected total (landing). They are of all sizes, so that their outcomes lie close together.
 
 The draw depends on ids, sizes and the seed only, so reruns agree. Null texts have no words and are taken as often as any
 other document of their source, which adds no words. Repeated rows are separate documents. Without any word all targets
@@ -30,7 +30,7 @@ from nearhome.session import written
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEAT = 1.5, 2
-BLOCK, SEED = 4_000, 42
+BLOCK, LAND, SEED = 4_000, 14, 42
 TINY = 1e-9
 
 
@@ -55,14 +55,15 @@ def targets(rows: DataFrame) -> DataFrame:
     )
 
 
-def flight(chances: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """Moves the chances of at most two documents less than all to 0 or 1, keeping the sums of chances and of words."""
+def flight(chances: np.ndarray, sizes: np.ndarray, random: np.random.Generator, land: int = 0) -> np.ndarray:
+    """Moves the chances to 0 or 1 until ``land`` documents, two at least, are left; the sums of chances and of words stay."""
     x, size = chances.astype(float).tolist(), sizes.astype(float).tolist()
     held: list[int] = []
     draws = iter(random.random(len(x)).tolist())
-    for i in range(len(x)):
-        if not TINY < x[i] < 1 - TINY:
-            continue
+    waiting = [i for i in range(len(x)) if TINY < x[i] < 1 - TINY]
+    for place, i in enumerate(waiting):
+        if len(held) + len(waiting) - place <= land:
+            break
         held.append(i)
         if len(held) < 3:
             continue
@@ -83,8 +84,9 @@ def landing(chances: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Decides the few undecided: the nearest to the expected words, then to the expected number of documents."""
     x = chances.copy()
     left = np.flatnonzero((x > 0) & (x < 1))
-    outcomes = [np.array([n >> k & 1 for k in range(len(left))]) for n in range(1 << len(left))]
-    x[left] = min(outcomes, key=lambda o: (abs(((o - x[left]) * sizes[left]).sum()), abs((o - x[left]).sum()), o.tolist()))
+    moves = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1) - x[left]
+    off = np.lexsort((np.abs(moves.sum(axis=1)).round(6), np.abs(moves @ sizes[left]).round(6)))
+    x[left] = np.round(moves[off[0]] + x[left])
     return x
 
 
@@ -97,9 +99,14 @@ def drawn(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
             ids = rows["doc_id"].to_numpy(float, na_value=np.nan)
             rows = rows.iloc[np.lexsort((rows["row"], ids, rows["mixed"], -rows["size"]))]
             random = np.random.default_rng([seed, turn, int(key[0]), int(key[1])])
+            lands = last or rows["blocks"].iloc[0] == 1
+            if lands:  # documents of evenly spread ranks come last
+                late = np.zeros(len(rows), bool)
+                late[np.linspace(0, len(rows) - 1, LAND).astype(int)] = True
+                rows = rows.iloc[np.argsort(late, kind="stable")]
             sizes = rows["size"].to_numpy(float)
-            chances = flight(rows["chance"].to_numpy(float), sizes, random)
-            rows["chance"] = landing(chances, sizes) if last or rows["blocks"].iloc[0] == 1 else chances
+            chances = flight(rows["chance"].to_numpy(float), sizes, random, LAND if lands else 0)
+            rows["chance"] = landing(chances, sizes) if lands else chances
             return rows[["row", "doc_id", "source_no", "n", "size", "chance"]]
 
         return run

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhome.llm import bpe, exact_dedup, mixing, quality_rules, secrets, simhash, url_filter, warc
+from nearhome.llm import bpe, exact_dedup, mixing, quality_model, quality_rules, secrets, simhash, url_filter, warc
 from nearhome.session import ship_package, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,12 @@ def token_digests(docs: DataFrame) -> DataFrame:
     return bpe.decode(counted, VOCABULARY, keep).select(*keep, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality_model.fitted(quality_model.rated_features(docs, _read(spark, sf_dir, "labels")))
+    return quality_model.graded(docs, model, ["doc_id"])
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(mixing.sized(_read(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source", "times")
@@ -71,7 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op9_url_filter, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_model, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op9_url_filter, op10_warc)}
 
 SQL = {
     "op6_exact_dedup": r"""
