@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearhome.session import written
+from nearhome.session import scratch_path
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,13 @@ def unpacked(df: DataFrame, struct: str) -> DataFrame:
     return df.select(f"{struct}.*")
 
 
+def written_densely(df: DataFrame, name: str) -> DataFrame:
+    """Like ``written``, in a form that takes less room: for tables that hold whole texts."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered_copy(df: DataFrame, name: str, **columns: Column) -> DataFrame:
     """(row, doc, columns): every row packed in ``doc`` under a number of its own, written once.
 
@@ -37,9 +44,18 @@ def numbered_copy(df: DataFrame, name: str, **columns: Column) -> DataFrame:
     numbered = df.select(
         F.monotonically_increasing_id().alias("row"), packed(df).alias("doc"), *[c.alias(k) for k, c in columns.items()],
     )
-    return written(numbered, name)
+    return written_densely(numbered, name)
+
+
+def by_row(copy: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """``copy`` joined with the narrow table ``rows`` on the unique ``row``.
+
+    What is to be found grows with the corpus, so it is never broadcast: both sides are shuffled, and each task hashes its
+    share of the narrow side, so the texts need no sort.
+    """
+    return copy.join(rows.hint("shuffle_hash"), "row", how)
 
 
 def without(copy: DataFrame, dropped: DataFrame) -> DataFrame:
     """The caller's rows of a numbered copy, less those whose ``row`` is in ``dropped``."""
-    return unpacked(copy.select("row", "doc").join(dropped.select("row"), "row", "left_anti"), "doc")
+    return unpacked(by_row(copy.select("row", "doc"), dropped.select("row"), "left_anti"), "doc")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearhome.llm import fuse
-from nearhome.llm.common import SPACE, numbered_copy, text_or_empty, without
+from nearhome.llm.common import SPACE, by_row, numbered_copy, text_or_empty, without
 from nearhome.session import written
 
 KEYS_PER_FILTER = 100_000
@@ -76,7 +76,7 @@ def same_bytes(copy: DataFrame, held: DataFrame, new: DataFrame, positives: Data
         .join(new.select("digest", F.col("best.row").alias("new_row")), "digest"), "exact-pairs",
     )
     wanted = pairs.select("digest", F.explode(F.array("held_row", "new_row")).alias("row"))
-    texts = copy.select("row", F.col("doc.text").alias("text")).join(wanted, "row").select("digest", normalised(text_or_empty()).alias("text"))
+    texts = by_row(copy.select("row", F.col("doc.text").alias("text")), wanted).select("digest", normalised(text_or_empty()).alias("text"))
     return texts.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearhome.llm.common import WORD, numbered_copy, text_or_empty, unpacked
+from nearhome.llm.common import WORD, by_row, numbered_copy, text_or_empty, unpacked
 from nearhome.operators.numbering import numbered
 from nearhome.session import written
 
@@ -161,4 +161,4 @@ def mix(docs: DataFrame) -> DataFrame:
     copy = numbered_copy(docs, "mix-docs", size=words(text_or_empty()))
     rows = written(copy.select("row", "doc.doc_id", F.col("doc.source").cast("string").alias("source"), "size"), "mix-sizes")
     times = written(mixed(rows).filter("times > 0").select("row", F.array_repeat(F.lit(0), F.col("times")).alias("each")), "mix-times")
-    return unpacked(copy.select("row", "doc").join(times, "row").select("doc", F.explode("each")), "doc")
+    return unpacked(by_row(copy.select("row", "doc"), times).select("doc", F.explode("each")), "doc")

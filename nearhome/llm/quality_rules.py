@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearhome.llm.common import numbered_copy, unpacked
+from nearhome.llm.common import packed, unpacked, written_densely
 from nearhome.session import written
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
@@ -152,7 +152,7 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     The texts are read twice, once to count and once to score. Nothing but the sums and the ids of trusted documents moves.
     """
     trusted = written(trusted_ids(labels), "quality-trusted")
-    scores = written(scored(docs, trusted, keep, log_ratios(*counted(docs, trusted))), "quality-scores")
+    scores = written_densely(scored(docs, trusted, keep, log_ratios(*counted(docs, trusted))), "quality-scores")
     quantiles = scores.filter("trusted").select(F.percentile_approx("score", [0.5, TAIL], 100_000).alias("q")).first()["q"]
     threshold = float("-inf") if quantiles is None else quantiles[0] - MARGIN * (quantiles[0] - quantiles[1])
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
@@ -162,10 +162,9 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep; all their columns as they came."""
-    copy = numbered_copy(docs, "quality-docs")
-    verdicts = written(judged(copy.select("row", "doc.doc_id", "doc.text"), labels, ["row"]).filter("kept").select("row"), "quality-kept")
-    return unpacked(copy.join(verdicts, "row", "left_semi"), "doc")
+    """The documents that the rules keep; all their columns as they came. They go along with their scores, so no join is needed."""
+    whole = docs.select(packed(docs).alias("doc")).select("doc", "doc.doc_id", "doc.text")
+    return unpacked(judged(whole, labels, ["doc"]).filter("kept"), "doc")
 
 
 def _flagged(docs: DataFrame, trusted: DataFrame, keep: list[str]) -> DataFrame:
