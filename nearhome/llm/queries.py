@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhome.llm import bpe, exact_dedup, mixing, quality_model, quality_rules, secrets, simhash, url_filter, warc
+from nearhome.llm import bpe, exact_dedup, mixing, ngram_lm, quality_model, quality_rules, secrets, simhash, url_filter, warc
 from nearhome.session import ship_package, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -69,6 +69,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(rows).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scored(_read(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered_pages(_read(spark, sf_dir, "pages"))
 
@@ -77,7 +81,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_model, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op9_url_filter, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_model, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op8_stupid_backoff, op9_url_filter, op10_warc)}
 
 SQL = {
     "op6_exact_dedup": r"""
