@@ -8,9 +8,9 @@ A source with the rate target / size takes each of its documents as often as the
 fractional part as inclusion probability. The extra draws are balanced: three undecided documents at a time have a
 direction in which the totals of words and of documents stay as they are; their probabilities move along it, at random to
 one side or the other, until one is 0 or 1 (flight). A source is divided by hash into blocks of about ``BLOCK`` documents
-that fly by themselves; what stays undecided, two documents a block, flies again in blocks of the next round, until one
-block is left. There the flight stops at the last ``LAND`` documents, of whose outcomes that one is taken whose words come
-nearest to their expected total (landing). They are of all sizes, so that their outcomes lie close together.
+that fly by themselves until ``LAND`` documents are left, which are of all sizes. These fly again in blocks of the next
+round, until one block is left. Of the outcomes of its last ``LAND`` documents that one is taken whose words come nearest to
+their expected total (landing).
 
 The draw depends on ids, sizes and the seed only, so reruns agree. Null texts have no words and are taken as often as any
 other document of their source, which adds no words. Repeated rows are separate documents. Without any word all targets
@@ -99,14 +99,12 @@ def drawn(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
             ids = rows["doc_id"].to_numpy(float, na_value=np.nan)
             rows = rows.iloc[np.lexsort((rows["row"], ids, rows["mixed"], -rows["size"]))]
             random = np.random.default_rng([seed, turn, int(key[0]), int(key[1])])
-            lands = last or rows["blocks"].iloc[0] == 1
-            if lands:  # documents of evenly spread ranks come last
-                late = np.zeros(len(rows), bool)
-                late[np.linspace(0, len(rows) - 1, LAND).astype(int)] = True
-                rows = rows.iloc[np.argsort(late, kind="stable")]
+            late = np.zeros(len(rows), bool)
+            late[np.linspace(0, len(rows) - 1, LAND).astype(int)] = True  # evenly spread ranks come last
+            rows = rows.iloc[np.argsort(late, kind="stable")]
             sizes = rows["size"].to_numpy(float)
-            chances = flight(rows["chance"].to_numpy(float), sizes, random, LAND if lands else 0)
-            rows["chance"] = landing(chances, sizes) if lands else chances
+            chances = flight(rows["chance"].to_numpy(float), sizes, random, LAND)
+            rows["chance"] = landing(chances, sizes) if last or rows["blocks"].iloc[0] == 1 else chances
             return rows[["row", "doc_id", "source_no", "n", "size", "chance"]]
 
         return run
@@ -122,9 +120,9 @@ def drawn(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
         decided.append(flown.filter("chance = 0 OR chance = 1").select("row", F.col("chance").cast("int").alias("extra")))
         if last:
             break
-        # two documents a block at most are undecided
-        units = flown.filter("chance > 0 AND chance < 1").withColumn("n", F.ceil(2 * F.ceil(F.col("n") / F.lit(block))))
-        most, turn = 2 * -(-most // block), turn + 1
+        # ``LAND`` documents a block at most are undecided
+        units = flown.filter("chance > 0 AND chance < 1").withColumn("n", LAND * F.ceil(F.col("n") / F.lit(block)))
+        most, turn = LAND * -(-most // block), turn + 1
     result = decided[0]
     for more in decided[1:]:
         result = result.unionByName(more)

@@ -4,8 +4,8 @@ Writing: one gzip member per record, by Spark's text writer, so that the archive
 The writer puts a separator after every row. It is the last byte of an empty gzip member with which every row ends, so
 the file is a plain sequence of members and any WARC tool reads it.
 
-Reading: records are taken one after another, each checked (gzip sum, version line, length, end of record, payload
-digest). After a check fails, the reader looks for the next place where a whole valid member, or a record behind a
+Reading: records are taken one after another, each checked (gzip sum, version line, mandatory headers, length, end of
+record, payload digest). After a check fails, the reader looks for the next place where a whole valid member, or a record behind a
 version line in an archive without compression, begins, goes on there and logs the bytes between as a quarantined gap.
 
 Of records with equal payloads of at least ``MIN_SHARED`` bytes the one with the smallest page_id is a response and the
@@ -116,6 +116,8 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | st
     if stop < 0:
         return "headers without an end"
     headers = _headers(data[at:stop])
+    if not headers.get("warc-type") or not headers.get("warc-date") or not re.fullmatch(r"<[^<>\s]+>", headers.get("warc-record-id", "")):
+        return "a mandatory header is missing"
     if not re.fullmatch(r"\d{1,18}", headers.get("content-length", ""), re.ASCII):
         return "no content length"
     begin = stop + 4

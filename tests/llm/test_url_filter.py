@@ -1,0 +1,102 @@
+import re
+
+import pytest
+
+from nearhome.llm import queries, url_filter
+
+SCHEMA = "page_id long, url string, html string, host string, label string, `row` string"
+
+
+def pages(spark, urls):
+    return spark.createDataFrame([(i, u, "<p>", "x", "x", "x") for i, u in enumerate(urls)], SCHEMA)
+
+
+def brute(url):
+    """(host, path, rule, its verdict)"""
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
+    fits = [(len(r), r, v) for v, r in url_filter.RULES for h, slash, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith(slash + p)]
+    _, rule, verdict = max(fits, default=(0, None, None))
+    return host, path, rule, verdict
+
+
+ODD = [
+    None, "", "no scheme", "http://", "http://EXAMPLE.Com", "http://example.com/", "http://example.com/en/x?y#z", "https://www.example.com/en/", "https://a.www.example.com/en/1",
+    "http://notexample.com/en/", "http://net/es/", "http://x.net/es", "x://y://z.net/fr/1", "http://a.net?/es/", "http://a.net#/es/", "//a.net/es/1", "http://ünï.net/es/ä",
+    "http://a.com\n.net/es/1", "http://a.net/" + "d/" * 500, "http://a.net/es/" + "x" * 50_000, "http://b.org//en///1.html", "HTTP://B.ORG/en/2.html?", "http://com/", "http://comx/",
+]
+
+
+def test_rules_on_odd_urls(spark, folder):
+    found = queries.op9_url_filter(spark, folder(pages=pages(spark, ODD + ODD))).collect()
+    assert len(found) == 2 * len(ODD)
+    for r in found:
+        host, path, rule, verdict = brute((ODD + ODD)[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or "allow")
+
+
+def test_empty_table(spark, folder):
+    assert queries.op9_url_filter(spark, folder(pages=pages(spark, []))).count() == 0
+
+
+def brute_template(rows, depth=url_filter.DEPTH):
+    """Template of every (host, path), node by node."""
+    nodes = [h for h, _ in rows]
+    split = [[s for s in p.split("/") if s] for _, p in rows]
+    for level in range(depth):
+        here = [(n, s[level]) for n, s in zip(nodes, split) if len(s) > level]
+        totals = {}
+        for n, s in here:
+            totals.setdefault(n, []).append(s)
+        for k, s in enumerate(split):
+            if len(s) > level:
+                among = totals[nodes[k]]
+                own = among.count(s[level]) >= max(url_filter.MIN_ROWS, url_filter.MIN_SHARE * len(among))
+                extension = re.search(r"\.[A-Za-z][A-Za-z0-9]{0,4}$", s[level])
+                nodes[k] += "/" + (s[level] if own else "*" + (extension[0] if extension else ""))
+    return [n + ("/**" if len(s) > depth else "") for n, s in zip(nodes, split)]
+
+
+def labelled(spark, rows):
+    from nearhome.session import written
+
+    return written(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, host string, path string, label int"), "urls")
+
+
+SITE = (
+    [("h.org", f"/casino/{i}.html", 1 if i % 10 else None) for i in range(60)] + [("h.org", f"/poker/{i}.html", 1 if i % 7 else 0) for i in range(60)]
+    + [("h.org", f"/news/{i}.html", 0 if i % 3 else None) for i in range(60)] + [("h.org", f"/blog/{i}", None) for i in range(40)]
+    + [("h.org", f"/{i}", None) for i in range(30)] + [("g.org", f"/a/b/c/d/{i}/f", 1) for i in range(6)] + [("", "", None)]
+)
+
+
+def test_templates(spark):
+    rows = url_filter.templates(labelled(spark, SITE)).orderBy("page_id").collect()
+    assert [r["template"] for r in rows] == brute_template([(h, p) for h, p, _ in SITE])
+
+
+def test_pure_templates_are_rejected(spark):
+    found = {}
+    for r in url_filter.judged(labelled(spark, SITE)).collect():
+        found.setdefault(r["template"], set()).add((round(r["purity"], 6), r["rejected"]))
+    assert all(len(v) == 1 for v in found.values())
+    verdict = {t: next(iter(v)) for t, v in found.items()}
+    assert verdict["h.org/casino/*.html"] == (round(55 / 58, 6), True)
+    assert verdict["h.org/poker/*.html"] == (round(52 / 64, 6), True)  # apart from casino, which is purer
+    assert verdict["h.org/news/*.html"] == (round(1 / 44, 6), False)
+    assert verdict["h.org/blog/*"] == (0.25, False) and verdict["h.org/*"] == (0.25, False)
+    assert verdict["g.org/a/b/c/d/**"] == (0.7, False)  # six labels are not enough
+
+
+def test_similar_branches_are_merged(spark):
+    rows = [("h.org", f"/{lang}/{i}", 1) for lang in ("xa", "xb", "xc") for i in range(6)] + [("h.org", f"/ok/{i}", 0) for i in range(20)]
+    found = {r["template"]: (r["purity"], r["rejected"]) for r in url_filter.judged(labelled(spark, rows)).collect()}
+    for lang in ("xa", "xb", "xc"):  # six labels each, eighteen together
+        assert found[f"h.org/{lang}/*"] == (pytest.approx(19 / 22), True)
+    assert found["h.org/ok/*"] == (pytest.approx(1 / 24), False)
+
+
+def test_native(spark, folder):
+    plan = queries.op9_url_filter(spark, folder(pages=pages(spark, ODD)))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
