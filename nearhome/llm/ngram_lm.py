@@ -7,8 +7,8 @@ no document vouches for itself. The score is the mean natural logarithm over the
 
 Three steps, each a Spark shuffle of its own:
 
-1. Texts are cut into chunks of whole documents. A chunk's n-grams are hashed, counted and sent to the parts of the count
-   tables, which divide the hashes. An n-gram travels once a chunk, however frequent it is, so no part is hot.
+1. Texts are packed into chunks of whole documents, which are written. A chunk's n-grams are hashed, counted and sent to
+   the parts of the count tables, which divide the hashes. An n-gram travels once a chunk, however frequent it is, so no part is hot.
 2. A part adds up the counts of all chunks and joins them back to the n-grams of each chunk.
 3. A chunk explodes its texts into n-grams again, meets their counts and sums up the logarithms per document.
 
@@ -23,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearhome.llm.common import WORD
 from nearhome.session import written
 
 ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
-CHUNK = 16 << 20  # bytes of text
-PART = 16 << 20  # bytes of text per part of the count tables
+CHUNK = 8 << 20  # bytes of text
+PART = 8 << 20  # bytes of text per part of the count tables
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,60 +79,76 @@ def _borders(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
 
-def chunked(docs: DataFrame, keep: list[str], parts: int, order: int) -> DataFrame:
-    """(chunk, part, hashes, data, words), written: a row of packed texts per chunk (part -1), and its n-grams by part."""
+def chunked(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(chunk, texts), written: whole documents, ``keep`` and text, packed up to ``CHUNK`` bytes a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, made = [], 0, 0
         for batch in batches:
-            begin = 0
-            bounds = np.frombuffer(batch.column(len(keep)).buffers()[1], np.int32)[batch.column(len(keep)).offset :][: batch.num_rows + 1]
+            begin, texts = 0, batch.column(len(keep))
+            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             for at in range(batch.num_rows):
-                size += int(bounds[at + 1] - bounds[at])
+                size += sizes[at]
                 if size >= CHUNK:
-                    yield from rows(held + [batch.slice(begin, at + 1 - begin)], made)
+                    yield row([*held, batch.slice(begin, at + 1 - begin)], made)
                     held, size, made, begin = [], 0, made + 1, at + 1
             if begin < batch.num_rows:
                 held.append(batch.slice(begin))
         if held:
-            yield from rows(held, made)
+            yield row(held, made)
 
-    def rows(batches: list[pa.RecordBatch], made: int) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32 | made
+    def row(batches: list[pa.RecordBatch], made: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches).combine_chunks()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
             stream.write_table(table)
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(len(keep)).to_pylist()]
-        hashes, _, lengths = hashed_ngrams(texts, order)
-        keys, counts = np.unique(np.concatenate(hashes), return_counts=True)
-        edges = _borders(keys, parts).tolist()
-        spans = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-        packs = [(_packed_numbers(np.diff(keys[a:b], prepend=np.uint64(0))), _packed_numbers(counts[a:b].astype(np.uint32))) for _, a, b in spans]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([chunk] * (len(spans) + 1), pa.int64()), pa.array([-1, *(p for p, _, _ in spans)], pa.int32()),
-            pa.array([None, *(h for h, _ in packs)], pa.binary()), pa.array([sink.getvalue().to_pybytes(), *(c for _, c in packs)], pa.binary()),
-            pa.array([int(lengths.sum()), *([None] * len(spans))], pa.int64()),
-        ], ["chunk", "part", "hashes", "data", "words"])
+        chunk = TaskContext.get().partitionId() << 32 | made
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
 
     texts = docs.select(*keep, F.col("text").cast("string").alias("text to score"))
-    return written(texts.mapInArrow(run, "chunk long, part int, hashes binary, data binary, words long"), "lm-chunks")
+    return written(texts.mapInArrow(run, "chunk long, texts binary"), "lm-chunks")
+
+
+def _opened(packed: bytes) -> tuple[pa.Table, list[bytes]]:
+    """The columns and the encoded texts of a chunk."""
+    table = pa.ipc.open_stream(packed).read_all()
+    texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in table.column(table.num_columns - 1)]
+    return table.select(table.column_names[:-1]), texts
+
+
+def chunk_ngrams(chunks: DataFrame, parts: int, order: int) -> DataFrame:
+    """(chunk, part, hashes, counts): the different n-grams of every chunk, by part of the count tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                texts = _opened(batch.column(1)[at].as_py())[1]
+                keys, counts = np.unique(np.concatenate(hashed_ngrams(texts, order)[0]), return_counts=True)
+                del texts
+                edges = _borders(keys, parts).tolist()
+                spans = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([batch.column(0)[at].as_py()] * len(spans), pa.int64()), pa.array([p for p, _, _ in spans], pa.int32()),
+                    pa.array([_packed_numbers(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in spans], pa.binary()),
+                    pa.array([_packed_numbers(counts[a:b].astype(np.uint32)) for _, a, b in spans], pa.binary()),
+                ], ["chunk", "part", "hashes", "counts"])
+
+    return chunks.select("chunk", "texts").mapInArrow(run, "chunk long, part int, hashes binary, counts binary")
 
 
-def joined_counts(chunks: DataFrame) -> DataFrame:
+def joined_counts(ngrams: DataFrame) -> DataFrame:
     """(chunk, part, data): for every n-gram of a chunk, in order of hashes, how often it occurs in the other chunks."""
 
     def run(rows: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unpacked_numbers(h.as_py()), dtype=np.uint64) for h in rows["hashes"]]
-        counts = [_unpacked_numbers(c.as_py()).astype(np.int64) for c in rows["data"]]
+        counts = [_unpacked_numbers(c.as_py()).astype(np.int64) for c in rows["counts"]]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])[:-1]
         others = [_packed_numbers((totals[p] - c).astype(np.uint64)) for p, c in zip(np.split(place, ends), counts)]
         return pa.table([rows["chunk"], rows["part"], pa.array(others, pa.binary())], ["chunk", "part", "data"])
 
-    grams = chunks.filter("part >= 0").select("chunk", "part", "hashes", "data")
-    return grams.groupBy("part").applyInArrow(run, "chunk long, part int, data binary")
+    return ngrams.groupBy("part").applyInArrow(run, "chunk long, part int, data binary")
 
 
 def text_scores(texts: list[bytes], others: np.ndarray, total: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,21 +181,21 @@ def text_scores(texts: list[bytes], others: np.ndarray, total: int, order: int)
 
 def scored(docs: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
     """The ``keep`` columns, ``n_words``, ``n_full`` (words scored at the full order), ``log_sum`` and ``score``."""
-    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    chunks = chunked(docs, keep, -(-max(size, 1) // PART), order)
-    counts = written(joined_counts(chunks), "lm-counts")
-    total = chunks.agg(F.sum("words")).first()[0] or 0
+    text = F.col("text").cast("string")
+    size, total = docs.select(F.sum(F.octet_length(text)), F.sum(F.regexp_count(text, F.lit(WORD)))).first()
+    total = total or 0
+    chunks = chunked(docs, keep)
+    counts = written(joined_counts(chunk_ngrams(chunks, -(-max(size or 0, 1) // PART), order)), "lm-counts")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part")  # the texts, then the counts in order of hashes
-        table = pa.ipc.open_stream(rows["data"][0].as_py()).read_all()
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(len(keep)).to_pylist()]
+        table, texts = _opened(rows["data"][0].as_py())
         packs = [_unpacked_numbers(d.as_py()).astype(np.int64) for d in rows["data"][1:]]
         lengths, sums, full = text_scores(texts, np.concatenate([*packs, np.zeros(0, np.int64)]), total, order)
         means = (sums / np.maximum(1, lengths)).round(9)
-        return pa.table([*table.columns[: len(keep)], *map(pa.array, (lengths, full, sums.round(6), means))], [*keep, "n_words", "n_full", "log_sum", "score"])
+        return pa.table([*table.columns, *map(pa.array, (lengths, full, sums.round(6), means))], [*keep, "n_words", "n_full", "log_sum", "score"])
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_words long, n_full long, log_sum double, score double"])
-    both = chunks.filter("part < 0").select("chunk", "part", "data").unionByName(counts)
+    both = chunks.select("chunk", F.lit(-1).alias("part"), F.col("texts").alias("data")).unionByName(counts)
     return both.groupBy("chunk").applyInArrow(run, schema)
