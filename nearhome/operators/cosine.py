@@ -5,7 +5,8 @@ query. Large groups are first divided into cells around pivot vectors. A query t
 which bounds the distance of its k-th neighbour, and after that only the cells that the triangle
 inequality cannot rule out. The result is the same as comparing all pairs.
 
-Similarities are rounded to ``SIM_DIGITS`` decimals before ranking, and ties go to the lower id.
+Neighbours are ranked by the squared difference of the unit vectors, which tells apart what the cosine rounds to 1. The
+product only makes the shortlist; equal differences go to the lower id. The reported similarity is rounded.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from nearhome.operators.ranking import top_per_key
 from nearhome.schemas import NEIGHBOURS
 from nearhome.session import written
 
-SIM_DIGITS = 9
-BLOCK_ROWS = 1024      # candidates that one task holds at a time
+SIM_DIGITS = 9         # of the reported similarity
+BLOCK_ROWS = 8192      # candidates that one task holds at a time
 SPLIT_ROWS = 8192     # queries that one task holds at a time
 PRUNE_FROM = 32768     # groups up to this size are compared block by block, larger ones get pivots
 MAX_PIVOTS = 4096      # bound of what is collected and broadcast
 KERNEL_ROWS = 512      # query rows of one matrix product
 SLACK = 1e-6           # covers rounding in the distance bounds
-TIE = 10.0 ** -SIM_DIGITS
+PAIRS = 1 << 17        # pairs whose difference is taken at once
 
 
 def cosine_top_k(
@@ -52,15 +53,15 @@ def cosine_top_k(
     if pivots is None:
         one_cell = [F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("kth")]
         matches = _match(asked.select("*", *one_cell), cand.select("*", *one_cell), k, block_rows, split_rows, grouped=group is not None)
-        return _best(matches, k)
+        return _reported(_best(matches, k))
 
     cand = written(pivots.assign(cand), "cosine-cells")
     asked = written(pivots.assign(asked), "cosine-queries")
     near = written(_best(_match(asked.withColumn("kth", F.lit(None).cast("double")), cand, k, block_rows, split_rows), k), "cosine-own-cell")
-    kth = near.filter(F.col("rank") == k).select("id", F.col("similarity").alias("kth"))
+    kth = near.filter(F.col("rank") == k).select("id", F.col("gap").alias("kth"))
     visits = written(pivots.visits(asked.join(kth, "id", "left"), cand), "cosine-visits")
     far = _match(visits.withColumn("cell", F.explode("cells")), cand, k, block_rows, split_rows)
-    return _best(near.select("id", "similar_id", "similarity").unionByName(far), k)
+    return _reported(_best(near.select("id", "similar_id", "gap").unionByName(far), k))
 
 
 def mean_similarity(asked: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -90,8 +91,11 @@ def _lowest_copies(df: DataFrame, keep: int) -> DataFrame:
 
 
 def _best(matches: DataFrame, k: int) -> DataFrame:
-    order = [F.col("similarity").desc(), F.col("similar_id")]
-    return top_per_key(matches, ["id"], order, k).select("id", "rank", "similar_id", "similarity")
+    return top_per_key(matches, ["id"], [F.col("gap"), F.col("similar_id")], k).select("id", "rank", "similar_id", "gap")
+
+
+def _reported(best: DataFrame) -> DataFrame:
+    return best.select("id", "rank", "similar_id", F.round(1 - F.col("gap") / 2, SIM_DIGITS).alias("similarity"))
 
 
 def _match(asked: DataFrame, cand: DataFrame, k: int, block_rows: int, split_rows: int, grouped: bool = True) -> DataFrame:
@@ -116,13 +120,16 @@ def _match(asked: DataFrame, cand: DataFrame, k: int, block_rows: int, split_row
     right = cand.select("id", "vec", *cell, place("blocks").alias("block"), each("splits").alias("split"))
     keys = [*cell, "block", "split"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        lambda q, c: _block_top_k(q, c, k), "id long, similar_id long, similarity double",
+        lambda q, c: _block_top_k(q, c, k), "id long, similar_id long, gap double",
     )
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
@@ -133,12 +140,15 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def _block_top_k(asked: pa.Table, cand: pa.Table, k: int) -> pa.Table:
-    """The best ``k`` candidates of each query, or those at least as good as its ``kth`` where that is known."""
+    """The best ``k`` candidates of each query, or those at least as near as its ``kth`` (a squared difference) where that is known."""
     found = []
     if asked.num_rows and cand.num_rows:
         cand_id = cand["id"].to_numpy()
         order = np.argsort(cand_id)
-        cand_id, cand_vec = cand_id[order], _unit_rows(_matrix(cand["vec"]))[order].T
+        cand_id, cand_rows = cand_id[order], _unit_rows(_matrix(cand["vec"]))[order]
+        if len(asked) and cand_rows.shape[1] != _matrix(asked["vec"]).shape[1]:
+            raise ValueError("vectors of different lengths")
+        cand_vec, blur = cand_rows.T, 8e-16 * (cand_rows.shape[1] + 8)  # of the product
         asked_id, asked_vec = asked["id"].to_numpy(), _unit_rows(_matrix(asked["vec"]))
         kth = asked["kth"].to_numpy().astype(float)
         itself = np.searchsorted(cand_id, asked_id)
@@ -146,20 +156,23 @@ def _block_top_k(asked: pa.Table, cand: pa.Table, k: int) -> pa.Table:
         cut = max(len(cand_id) - k, 0)
         for start in range(0, len(asked_id), KERNEL_ROWS):
             part = slice(start, start + KERNEL_ROWS)
-            ids, floor = asked_id[part], kth[part].copy()
-            sim = asked_vec[part] @ cand_vec
+            ids, unit, floor = asked_id[part], asked_vec[part], 1 - kth[part] / 2
+            sim = unit @ cand_vec
             own = np.flatnonzero(cand_id[itself[part]] == ids)
             sim[own, itself[part][own]] = -np.inf
             open_rows = np.flatnonzero(np.isnan(floor))
             floor[open_rows] = np.partition(sim[open_rows], cut, axis=1)[:, cut]
-            row, col = np.nonzero((sim >= floor[:, None] - TIE) & (sim > -np.inf))
-            value = np.round(sim[row, col], SIM_DIGITS)
-            by_rank = np.lexsort((col, -value, row))
+            row, col = np.nonzero((sim >= floor[:, None] - blur) & (sim > -np.inf))
+            value = np.empty(len(row))
+            for at in range(0, len(row), PAIRS):
+                some = slice(at, at + PAIRS)
+                value[some] = np.square(unit[row[some]] - cand_rows[col[some]]).sum(axis=1)
+            by_rank = np.lexsort((col, value, row))
             row, col, value = row[by_rank], col[by_rank], value[by_rank]
             keep = np.arange(len(row)) - np.searchsorted(row, row) < k
             found.append((ids[row[keep]], cand_id[col[keep]], value[keep]))
     ids, similar, value = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return pa.table({"id": ids, "similar_id": similar, "similarity": value})
+    return pa.table({"id": ids, "similar_id": similar, "gap": value})
 
 
 def _choose_pivots(cand: DataFrame, block_rows: int, prune_from: int, max_pivots: int) -> _Pivots | None:
@@ -223,7 +236,7 @@ class _Pivots:
     def visits(self, asked: DataFrame, cand: DataFrame) -> DataFrame:
         """Queries with the other ``cells`` that may still hold one of their best ``k``.
 
-        ``kth`` is the k-th similarity found so far, null when fewer were found. Chords between unit vectors are
+        ``kth`` is the k-th squared difference found so far, null when fewer were found. Chords between unit vectors are
         Euclidean distances. A vector within ``reach`` of the query can lie in another cell only if that cell's
         ball is within reach of the query, and so is the plane halfway between the two pivots.
         """
@@ -242,7 +255,7 @@ class _Pivots:
         @F.arrow_udf("array<int>")
         def reachable(gid: pa.Array, cell: pa.Array, vec: pa.Array, kth: pa.Array) -> pa.Array:
             cells = cell.to_numpy(zero_copy_only=False)
-            reach = _chord(kth.to_numpy(zero_copy_only=False).astype(float) - TIE)
+            reach = np.sqrt(kth.to_numpy(zero_copy_only=False).astype(float))
             reach = np.where(np.isnan(reach), np.inf, reach) + SLACK
             found: list = [[]] * len(cells)
             for rows, unit, own in _parts(group_of, gid, vec):

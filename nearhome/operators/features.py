@@ -11,12 +11,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearhome.operators.numbering import numbered
 from nearhome.operators.prepare import category_cardinality
 from nearhome.schemas import KMEANS_CLUSTERS, KMEANS_SEED
 
 CATEGORIES = ("type_bien", "lease_duration")
 NUMBERS = ("prix", "latitude", "longitude")
-MAX_CATEGORIES = 10_000  # labels of an indexer live in the model, so their number must stay small
+
+
+def category_index(listings: DataFrame, column: str) -> DataFrame:
+    """(value, idx, n): the index of every value by falling frequency, equal ones alphabetically, as a table.
+
+    ``index_stage`` gives the same numbers, with the labels in the model; this form takes any number of values.
+    """
+    counts = listings.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return numbered(counts, [F.col("n").desc(), F.col("value")], "idx", "category-index").select("value", "idx", "n")
 
 
 def index_stage(column: str) -> StringIndexer:
@@ -35,11 +44,7 @@ def encode_stages(column: str, n_values: int) -> list:
 
 def model_categories(listings: DataFrame, columns: Sequence[str] = CATEGORIES) -> dict[str, int]:
     """Number of values of each categorical column that enters the model, i.e. has at least two."""
-    counts = {r["column_name"]: r["n_values"] for r in category_cardinality(listings, columns).collect() if r["in_model"]}
-    for column, n in counts.items():
-        if n > MAX_CATEGORIES:
-            raise ValueError(f"{column} has {n} values; it is not a category")
-    return counts
+    return {r["column_name"]: r["n_values"] for r in category_cardinality(listings, columns).collect() if r["in_model"]}
 
 
 def feature_pipeline(

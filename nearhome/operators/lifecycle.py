@@ -57,13 +57,17 @@ def load_or_train(
     train: Callable[[DataFrame], object],
     load: Callable[[str], object],
     threshold: int = RETRAIN_AFTER,
+    catalogue: DataFrame | None = None,
 ) -> tuple[object, int]:
-    """(model, version): the newest saved model, or a new one when there is none, it is stale or cannot be read."""
+    """(model, version): the newest saved model, or a new one when there is none, it is stale or cannot be read.
+
+    It is stale by ``retrain_check`` over ``catalogue``, which may hold listings that cannot be trained on.
+    """
     known = saved_versions(spark, root)
     if known is not None:
         current = known.orderBy(F.col("version").desc()).first()
-        newer = listings if current["last_id"] is None else listings.filter(F.col("id") > current["last_id"])
-        if newer.limit(threshold).count() < threshold:
+        trained_to = known.filter(F.col("version") == current["version"]).select("last_id")
+        if not retrain_check(catalogue if catalogue is not None else listings, trained_to, threshold).first()["retrain"]:
             try:
                 return load(current["path"]), current["version"]
             except Exception as broken:  # a damaged model is replaced by a fresh one

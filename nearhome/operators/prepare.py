@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearhome.functions.scores import interaction_weight
-from nearhome.schemas import FEATURE_COLUMNS, INTERACTION_WEIGHTS
+from nearhome.schemas import FEATURE_COLUMNS
 
 
 def complete_listings(listings: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
@@ -23,8 +23,13 @@ def category_cardinality(listings: DataFrame, columns: Sequence[str]) -> DataFra
     return counts.select(F.inline(named)).withColumn("in_model", F.col("n_values") >= 2)
 
 
+EXACT = "decimal(38,12)"  # scores are added up exactly, so means do not depend on the order of summation
+
+
 def rating_matrix(interactions: DataFrame) -> DataFrame:
-    """Mean score per (user, listing), kept to six decimals so that rankings do not depend on summation order."""
+    """Mean score per (user, listing) over the scores there are. Scores that are NaN or infinite make the mean NaN."""
+    score = F.col("score")
+    finite = F.abs(score) < float("inf")  # NaN sorts above infinity
     return (
         interactions
         .select(
@@ -33,30 +38,31 @@ def rating_matrix(interactions: DataFrame) -> DataFrame:
             F.col("interaction_score").cast("float").alias("score"),
         )
         .groupBy("user_id", "annonce_id")
-        .agg(F.round(F.avg("score"), 6).alias("interaction_score"))
+        .agg(
+            F.sum(F.when(finite, score.cast("double").cast(EXACT))).alias("total"), F.count("score").alias("n"),
+            F.count_if(score.isNotNull() & ~finite).alias("odd"),
+        )
+        .select(
+            "user_id", "annonce_id",
+            F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col("total").cast("double"), "n")).alias("interaction_score"),
+        )
     )
 
 
-def weighted_rating_matrix(interactions: DataFrame, weights: dict[str, float] = INTERACTION_WEIGHTS) -> DataFrame:
-    """The rating matrix with the score taken from the interaction type."""
-    return rating_matrix(interactions.withColumn("interaction_score", interaction_weight(F.col("interaction_type"), weights)))
+def weighted_rating_matrix(interactions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """The rating matrix with the score taken from the interaction type; without ``weights`` ratings keep their own score."""
+    rated = F.col("interaction_score") if weights is None else None
+    return rating_matrix(interactions.withColumn("interaction_score", interaction_weight(F.col("interaction_type"), weights, rated=rated)))
 
 
-def als_ratings(ratings: DataFrame) -> DataFrame:
-    """Ratings with the int ids and float scores that ALS needs; see ``als_rejects`` for what does not fit."""
-    return (
-        ratings
-        .select(
-            F.col("user_id").try_cast("int").alias("user_id"),
-            F.col("annonce_id").try_cast("int").alias("annonce_id"),
-            F.col("interaction_score").cast("float").alias("interaction_score"),
-        )
-        .dropna()
-    )
+def usable_ratings(ratings: DataFrame) -> DataFrame:
+    """Ratings with both ids and a real score, which is a float for ALS."""
+    rows = ratings.select("user_id", "annonce_id", F.col("interaction_score").cast("float").alias("interaction_score"))
+    return rows.dropna()  # NaN counts as missing
 
 
 def als_rejects(ratings: DataFrame) -> DataFrame:
-    """One row: how many ratings ``als_ratings`` keeps and how many it cannot represent, by reason."""
+    """One row: the number of ratings, of ids beyond 32 bits, which ALS meets under dense numbers, and of ratings without a score."""
     wide = lambda c: F.col(c).isNotNull() & F.col(c).try_cast("int").isNull()
     return ratings.agg(
         F.count("*").alias("n_ratings"),

@@ -3,49 +3,95 @@
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhome.operators.prepare import als_ratings
+from nearhome.operators.numbering import numbered
+from nearhome.operators.prepare import usable_ratings
 from nearhome.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REG, LISTINGS_PER_USER
-from nearhome.session import shared_dir
+from nearhome.session import shared_dir, written
+
+BLOCK_RATINGS = 1_000_000
+MOST_IDS = 2**31 - 1
+
+
+class Recommender:
+    """An ALS model over dense numbers, with the tables that tell whose they are, so that ids may be any long.
+
+    ``users`` is (user_id, user_no), ``listings`` is (annonce_id, listing_no). Saved and loaded like Spark's own models.
+    """
+
+    def __init__(self, model: ALSModel, users: DataFrame, listings: DataFrame):
+        self.model, self.users, self.listings = model, users, listings
+
+    def write(self) -> Recommender:
+        return self
+
+    def overwrite(self) -> Recommender:
+        return self
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/als")
+        self.users.write.mode("overwrite").parquet(f"{path}/users")
+        self.listings.write.mode("overwrite").parquet(f"{path}/listings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Recommender:
+        return cls(ALSModel.load(f"{path}/als"), spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/listings"))
 
 
 def blocks_for(n_ratings: int) -> int:
-    """Blocks of users and of listings: a few million ratings each, within what ALS can pair up."""
-    return min(500, max(10, n_ratings // 5_000_000))
+    """Blocks of users and of listings, about ``BLOCK_RATINGS`` ratings each."""
+    return max(10, -(-n_ratings // BLOCK_RATINGS))
+
+
+def dense_ids(ratings: DataFrame, column: str, number: str) -> DataFrame:
+    """(column, number): the ids 0..n-1 in order, written."""
+    ids = written(numbered(ratings.select(column).distinct(), [F.col(column)], number, f"{number}s").select(column, F.col(number).cast("int")), number)
+    if ids.count() > MOST_IDS:
+        raise ValueError(f"ALS takes at most {MOST_IDS} different {column}")
+    return ids
 
 
-def fit_als(ratings: DataFrame, seed: int = 42, blocks: int = 10, checkpoint_interval: int = 10) -> ALSModel:
+def fit_als(ratings: DataFrame, seed: int = 42, blocks: int | None = None, checkpoint_interval: int = 10) -> Recommender:
     """ALS on explicit ratings. Pairs with a user or listing unknown to the model are dropped when scored.
 
     Every ``checkpoint_interval`` iterations Spark cuts the lineage of the factors in ``spark.checkpoint.dir``.
-    For large data take ``blocks`` from ``blocks_for``.
+    Without ``blocks`` their number follows the number of ratings.
     """
     shared_dir(ratings.sparkSession)  # in local mode this also names a checkpoint folder
+    usable = written(usable_ratings(ratings), "als-ratings")
+    users, listings = dense_ids(usable, "user_id", "user_no"), dense_ids(usable, "annonce_id", "listing_no")
+    dense = written(usable.join(users, "user_id").join(listings, "annonce_id").select("user_no", "listing_no", "interaction_score"), "als-dense")
+    blocks = blocks or blocks_for(dense.count())
     als = ALS(
-        userCol="user_id", itemCol="annonce_id", ratingCol="interaction_score",
+        userCol="user_no", itemCol="listing_no", ratingCol="interaction_score",
         rank=ALS_RANK, maxIter=ALS_ITERATIONS, regParam=ALS_REG, coldStartStrategy="drop", seed=seed,
         numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=checkpoint_interval,
     )
-    return als.fit(als_ratings(ratings))
+    return Recommender(als.fit(dense), users, listings)
 
 
-def pair_scores(model: ALSModel, pairs: DataFrame) -> DataFrame:
+def pair_scores(recommender: Recommender, pairs: DataFrame) -> DataFrame:
     """(user_id, annonce_id, prediction) of the pairs whose user and listing the model knows."""
-    ids = [F.col(c).try_cast("int").alias(c) for c in ("user_id", "annonce_id")]
-    scored = model.transform(pairs.select(*ids).dropna())
+    known = pairs.select("user_id", "annonce_id").join(recommender.users, "user_id").join(recommender.listings, "annonce_id")
+    scored = recommender.model.transform(known).select("user_id", "annonce_id", "prediction")
     return scored.filter(F.col("prediction").isNotNull() & ~F.isnan("prediction"))
 
 
-def user_recommendations(model: ALSModel, n: int = LISTINGS_PER_USER) -> DataFrame:
+def user_recommendations(recommender: Recommender, n: int = LISTINGS_PER_USER) -> DataFrame:
     """(user_id, annonce_id, rating, rank): the ``n`` best listings of every user, seen ones included."""
-    best = model.recommendForAllUsers(n)
-    return (
-        best
-        .select("user_id", F.posexplode("recommendations").alias("pos", "r"))
-        .select("user_id", F.col("r.annonce_id").alias("annonce_id"), F.col("r.rating").alias("rating"), (F.col("pos") + 1).alias("rank"))
-    )
+    best = recommender.model.recommendForAllUsers(n).select("user_no", F.posexplode("recommendations").alias("pos", "r"))
+    rows = best.select("user_no", F.col("r.listing_no").alias("listing_no"), F.col("r.rating").alias("rating"), (F.col("pos") + 1).alias("rank"))
+    named = rows.join(recommender.users, "user_no").join(recommender.listings, "listing_no")
+    return named.select("user_id", "annonce_id", "rating", "rank")
+
+
+def item_scores(recommender: Recommender, items: DataFrame, n: int) -> DataFrame:
+    """(annonce_id, user_id, score): the ``n`` users with the best score of each listing in ``items`` the model knows."""
+    known = items.select("annonce_id").join(recommender.listings, "annonce_id").select("listing_no")
+    best = recommender.model.recommendForItemSubset(known, n).select("listing_no", F.inline("recommendations").alias("user_no", "score"))
+    return best.join(recommender.users, "user_no").join(recommender.listings, "listing_no").select("annonce_id", "user_id", "score")
 
 
 def unseen_only(recommendations: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -45,6 +45,23 @@ def from_csv_table(table: DataFrame) -> DataFrame:
     return table.select(F.col("announceId").cast("long").alias("announce_id"), csv_to_ids(F.col("similarsIds")).alias("similar_ids"))
 
 
+def queue_rows(results: DataFrame, version: int) -> DataFrame:
+    """(announceId, similarsIds, version) of results (id, similar_ids), to be appended to the queue."""
+    return to_csv_table(results).withColumn("version", F.lit(version).cast("long"))
+
+
+def pending(queue: DataFrame, processed: DataFrame | None) -> DataFrame:
+    """(announceId, similarsIds, version): the latest row of every listing that has not been processed.
+
+    The queue and the list of processed rows only grow, so results stored while a listing is processed stay pending.
+    """
+    newest = queue.groupBy("announceId").agg(F.max(F.struct("version", "similarsIds")).alias("newest"))
+    rows = newest.select("announceId", "newest.similarsIds", "newest.version")
+    if processed is None:
+        return rows
+    return rows.join(processed.select("announceId", "version"), ["announceId", "version"], "left_anti").select("announceId", "similarsIds", "version")
+
+
 def latest_results(results: DataFrame, version: str) -> DataFrame:
     """One row per listing: the result with the highest version.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearhome.operators.prepare import rating_matrix
 from nearhome.operators.ranking import top_per_key
+from nearhome.operators.recommend import Recommender, item_scores
 from nearhome.schemas import USERS_PER_LISTING
 from nearhome.session import written
 
@@ -34,43 +34,53 @@ def observed_scores(interactions: DataFrame, users: DataFrame, items: DataFrame,
     """
     wanted = interactions.join(items, "annonce_id", "left_semi")
     scored = known_user_ratings(rating_matrix(wanted), users).withColumnRenamed("interaction_score", "score")
-    top = top_per_key(_real(scored), ["annonce_id"], _best_first(), n, split_by="user_id")
+    top = top_per_key(written(_real(scored), "observed-scores"), ["annonce_id"], _best_first(), n, split_by="user_id")
     return top.select("annonce_id", "user_id", "score")
 
 
-def predicted_scores(model: ALSModel, items: DataFrame, n: int = USERS_PER_LISTING) -> DataFrame:
+def predicted_scores(model: Recommender, items: DataFrame, n: int = USERS_PER_LISTING) -> DataFrame:
     """(annonce_id, user_id, score): the ``n`` users with the best ALS score of each listing in ``items`` the model knows.
 
     Train the model on ratings of known users only, see ``known_user_ratings``.
     """
-    ids = items.select(F.col("annonce_id").try_cast("int").alias("annonce_id")).dropna()
-    best = model.recommendForItemSubset(ids, n)
-    scored = best.select(
-        F.col("annonce_id").cast("long").alias("annonce_id"), F.inline("recommendations").alias("user_id", "score"),
-    )
-    return _real(scored.withColumn("user_id", F.col("user_id").cast("long")))
+    return _real(item_scores(model, items, n))
 
 
 def known_user_ratings(ratings: DataFrame, users: DataFrame) -> DataFrame:
     return ratings.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
 
 
-def target_users(similar: DataFrame, lists: DataFrame, item_scores: DataFrame, n: int = USERS_PER_LISTING) -> DataFrame:
+OUT_ROWS = 1_000_000  # rows that one task gives out
+SHARES = 32           # groups of listings among which a task's rows are divided, so that tasks come out even
+
+
+def target_users(
+    similar: DataFrame, lists: DataFrame, scores: DataFrame, n: int = USERS_PER_LISTING, out_rows: int = OUT_ROWS,
+) -> DataFrame:
     """(announce_id, user_id, score, rank): the ``n`` users with the highest score over the similar listings.
 
-    ``lists`` are the distinct lists of ``similar``. ``item_scores`` needs only the ``n`` best users per listing:
+    ``lists`` are the distinct lists of ``similar``. ``scores`` needs only the ``n`` best users per listing:
     a user whose best score is at listing i and who is not among the ``n`` best there has ``n`` users ahead.
-    The users of a list travel as one row, also to a third of all listings.
+    The users of a list travel as one row. What comes out is up to ``n`` times as many rows as go in, so the listings are
+    spread before: those of a list are divided into groups by how many rows they will make, and so are the tasks.
     """
     members = lists.select("list_id", F.explode("ids").alias("annonce_id"))
     # a list has at most its length times ``n`` rows, so one shuffle by list serves the maximum and the ranking
-    reached = members.join(item_scores, "annonce_id").repartition("list_id")
+    reached = members.join(scores, "annonce_id").repartition("list_id")
     best = reached.groupBy("list_id", "user_id").agg(F.max("score").alias("score"))
     ranked = top_per_key(best, ["list_id"], _best_first(), n)
     in_order = F.array_sort(F.collect_list(F.struct("rank", "user_id", "score")))
-    packed = written(ranked.groupBy("list_id").agg(in_order.alias("users")).join(lists, "list_id"), "ranked-users")
+    packed = written(ranked.groupBy("list_id").agg(in_order.alias("users")), "ranked-users")
+    asked = written(_asked(similar).join(lists, "ids").select("announce_id", "list_id"), "asked-lists")
+    loads = asked.groupBy("list_id").agg(F.count("*").alias("members")).join(packed.select("list_id", F.size("users").alias("width")), "list_id")
+    loads = written(loads.select("list_id", (F.col("members") * F.col("width")).alias("rows")), "list-loads")
+    tasks = max(1, -(-(loads.agg(F.sum("rows")).first()[0] or 0) // out_rows))
+    groups = loads.select("list_id", F.ceil(F.col("rows") * SHARES / out_rows).alias("groups"))
+    group = F.pmod(F.xxhash64("announce_id"), F.col("groups"))
+    left = asked.join(groups, "list_id").select("announce_id", "list_id", group.alias("group"))
+    right = packed.join(groups, "list_id").select("list_id", "users", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
     return (
-        _asked(similar).join(packed, "ids")
+        left.repartition(tasks, "list_id", "group").join(right.repartition(tasks, "list_id", "group").hint("shuffle_hash"), ["list_id", "group"])
         .select("announce_id", F.inline("users").alias("rank", "user_id", "score"))
         .select("announce_id", "user_id", "score", "rank")
     )

@@ -12,10 +12,11 @@ from nearhome.functions.codecs import ids_to_csv, json_field
 from nearhome.functions.vectors import cosine as cosine_of
 from nearhome.functions.vectors import l2_norm
 from nearhome.operators import cosine, features, lifecycle, neighbors, prepare, quality, recommend, store, synth, targeting
-from nearhome.plans import hybrid
+from nearhome.plans import hybrid, jobs
 from nearhome.schemas import FEATURE_COLUMNS_OLD
 from nearhome.session import scratch_path, ship_package, written
 from nearhome.sources import fixtures, versioned
+from nearhome.sources.tables import FolderTables
 from nearhome.streaming import similarity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,12 @@ def rating_weighted(spark, sf):
     return prepare.weighted_rating_matrix(fixtures.interaction(spark, sf), EVENT_WEIGHTS)
 
 
+@query
+def rating_declared(spark, sf):
+    """The events under the declared type names, scored by the default weights; ratings keep their own score."""
+    return prepare.weighted_rating_matrix(fixtures.interaction_declared(spark, sf))
+
+
 @query
 def rating_purchases(spark, sf):
     return prepare.rating_matrix(fixtures.purchase(spark, sf))
@@ -81,12 +88,7 @@ def rating_rejects(spark, sf):
 @query
 def category_index(spark, sf):
     listings = fixtures.listing(spark, sf)
-    indexed = [
-        features.index_stage(c).fit(listings).transform(listings)
-        .groupBy(F.col(c).alias("value"), F.col(f"{c}_index").cast("int").alias("idx"))
-        .agg(F.count("*").alias("n")).select(F.lit(c).alias("column_name"), "value", "idx", "n")
-        for c in features.CATEGORIES
-    ]
+    indexed = [features.category_index(listings, c).select(F.lit(c).alias("column_name"), "value", F.col("idx").cast("int").alias("idx"), "n") for c in features.CATEGORIES]
     return indexed[0].unionByName(indexed[1])
 
 
@@ -192,6 +194,15 @@ def listing_cosine_topk(spark, sf):
     return cosine.cosine_top_k(_old_features(spark, sf)[1])
 
 
+@query
+def listing_cosine_real_prices(spark, sf):
+    """Prices from ten thousand up, as a marketplace has them; the neighbours then differ in the last digits of the cosine."""
+    real = (F.col("prix") - 900) * 260 + 10_000
+    listings = prepare.complete_listings(fixtures.listing(spark, sf).withColumn("prix", real), FEATURE_COLUMNS_OLD)
+    model = features.fit_features(listings, categories=["type_bien"], clusters=None, order=FEATURE_COLUMNS_OLD)
+    return cosine.cosine_top_k(features.feature_arrays(features.scored_listings(model, listings)))
+
+
 @query
 def listing_cluster_cosine(spark, sf):
     listings, vectors = _old_features(spark, sf)
@@ -243,6 +254,18 @@ def queue_drain(spark, sf):
     return store.drain(queue, processed).select("announce_id", ids_to_csv(F.col("similar_ids")).alias("similar_ids"))
 
 
+@query
+def queue_concurrent(spark, sf):
+    """Results stored after the queue was read and before its rows count as processed: they stay pending."""
+    tables = FolderTables(spark, scratch_path(spark, "queue-tables"))
+    jobs.store_results(tables, _brand_neighbors(spark, sf), 1)
+    read = written(jobs.pending_results(tables), "queue-read")
+    wanted = fixtures.interaction(spark, sf).select(F.col("annonce_id").alias("id")).distinct()
+    jobs.store_results(tables, neighbors.price_neighbors(fixtures.listing(spark, sf), "type_bien", queries=fixtures.listing(spark, sf).join(wanted, "id", "left_semi")), 2)
+    tables.append(read.select("announceId", "version"), jobs.DONE)
+    return jobs.pending_results(tables).select(F.col("announceId").alias("announce_id"), F.col("similarsIds").alias("similar_ids"), "version")
+
+
 # --- streaming ---
 
 def _run_stream(spark, messages, answer, field):
@@ -355,7 +378,7 @@ def notify_unsent(spark, sf):
 
 # --- collaborative filtering ---
 
-_als_models: dict[tuple[str, str], object] = {}
+_als_models: dict[tuple, object] = {}
 
 
 def _als(spark, sf):
@@ -372,6 +395,19 @@ def forget_models() -> None:
     _als_models.clear()
 
 
+WIDE = 2**40
+
+
+def _als_wide(spark, sf):
+    """The same model for ids beyond 32 bits."""
+    key = (spark.sparkContext.applicationId, sf, "wide")
+    if key not in _als_models:
+        wide = fixtures.interaction(spark, sf).withColumns({c: F.col(c) + WIDE for c in ("user_id", "annonce_id")})
+        users = fixtures.user(spark, sf).withColumn("id", F.col("id") + WIDE)
+        _als_models[key] = recommend.fit_als(targeting.known_user_ratings(prepare.rating_matrix(wide), users))
+    return _als_models[key]
+
+
 @query
 def als_user_recs(spark, sf):
     return recommend.user_recommendations(_als(spark, sf))
@@ -379,7 +415,16 @@ def als_user_recs(spark, sf):
 
 @query
 def als_user_recs_summary(spark, sf):
-    recs = recommend.user_recommendations(_als(spark, sf))
+    return _recs_summary(recommend.user_recommendations(_als(spark, sf)))
+
+
+@query
+def als_wide_user_recs_summary(spark, sf):
+    recs = recommend.user_recommendations(_als_wide(spark, sf))
+    return _recs_summary(recs).withColumn("user_id", F.col("user_id") - WIDE)
+
+
+def _recs_summary(recs):
     before = F.lag("rating").over(Window.partitionBy("user_id").orderBy("rank"))
     return recs.withColumn("before", before).groupBy(F.col("user_id").cast("long").alias("user_id")).agg(
         F.count("*").alias("n_recs"),
@@ -401,7 +446,16 @@ def als_unseen_summary(spark, sf):
 @query
 def als_pair_summary(spark, sf):
     """Purchased (user, listing) pairs scored by the model; pairs it does not know drop out."""
-    scored = recommend.pair_scores(_als(spark, sf), fixtures.purchase(spark, sf).select("user_id", "annonce_id").distinct())
+    return _pair_summary(recommend.pair_scores(_als(spark, sf), fixtures.purchase(spark, sf).select("user_id", "annonce_id").distinct()))
+
+
+@query
+def als_wide_pair_summary(spark, sf):
+    pairs = fixtures.purchase(spark, sf).select((F.col("user_id") + WIDE).alias("user_id"), (F.col("annonce_id") + WIDE).alias("annonce_id"))
+    return _pair_summary(recommend.pair_scores(_als_wide(spark, sf), pairs.distinct())).withColumn("annonce_id", F.col("annonce_id") - WIDE)
+
+
+def _pair_summary(scored):
     return scored.groupBy(F.col("annonce_id").cast("long").alias("annonce_id")).agg(
         F.count("*").alias("n_pairs"), F.count_if(F.isnan("prediction")).alias("n_nan"),
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearhome.operators.neighbors import price_neighbors
 from nearhome.operators.prepare import complete_listings
+from nearhome.operators.recommend import Recommender
 from nearhome.operators.targeting import (
     distinct_lists, listed_items, not_yet_sent, notifications, observed_scores, predicted_scores, target_users,
 )
@@ -25,7 +25,7 @@ def targets_by_observed(similar: DataFrame, interactions: DataFrame, users: Data
     return target_users(similar, lists, observed_scores(interactions, users, listed_items(lists), n), n)
 
 
-def targets_by_model(similar: DataFrame, model: ALSModel, n: int = USERS_PER_LISTING) -> DataFrame:
+def targets_by_model(similar: DataFrame, model: Recommender, n: int = USERS_PER_LISTING) -> DataFrame:
     """(announce_id, user_id, score, rank) with the scores that ALS predicts for the similar listings."""
     lists = distinct_lists(similar)
     return target_users(similar, lists, predicted_scores(model, listed_items(lists), n), n)

@@ -5,9 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,8 +20,11 @@ from nearhome.streaming import similarity
 
 def prepare_similarity(spark: SparkSession, tables, root: str, threshold: int = RETRAIN_AFTER, k: int = NEIGHBOURS) -> int:
     """Trains the cluster model where needed and publishes the cluster heads of the current catalogue."""
-    listings = prepare.complete_listings(tables.read("annonce", key="id"))
-    model, version = lifecycle.load_or_train(spark, listings, f"{root}/clusters", features.fit_features, PipelineModel.load, threshold)
+    catalogue = tables.read("annonce", key="id")
+    listings = prepare.complete_listings(catalogue)
+    model, version = lifecycle.load_or_train(
+        spark, listings, f"{root}/clusters", features.fit_features, PipelineModel.load, threshold, catalogue=catalogue,
+    )
     scored = features.scored_listings(model, listings)
     heads = neighbors.cluster_heads(scored, "prediction", k).withColumn("model_version", F.lit(version))
     return versioned.publish(heads, f"{root}/heads")
@@ -54,61 +55,75 @@ def similarity_stream(
             paths = lifecycle.saved_versions(spark, f"{root}/clusters").filter(F.col("version") == version)
             model = PipelineModel.load(paths.first()["path"])
             loaded.update(published=published, heads=heads.drop("model_version"), model=model)
-        return similarity.model_answer(tables.read("annonce"), loaded["model"], loaded["heads"], k)(ids)
+        return similarity.model_answer(tables.read("annonce", key="id"), loaded["model"], loaded["heads"], k)(ids)
 
     return similarity.start_similarity(messages, answer, sink, checkpoint, **options)
 
 
-def train_recommender(spark: SparkSession, tables, root: str) -> tuple[ALSModel, int]:
-    """Fits ALS on the ratings of known users and saves it as the next version."""
+def train_recommender(spark: SparkSession, tables, root: str, by_type: bool = False) -> tuple[recommend.Recommender, int]:
+    """Fits ALS on the ratings of known users and saves it as the next version; ``by_type`` scores by the type of interaction."""
     interactions = tables.read("user_interaction", key="id")
-    ratings = targeting.known_user_ratings(prepare.rating_matrix(interactions), tables.read("user", key="id"))
-    ratings = written(ratings, "ratings")
-    model = recommend.fit_als(ratings, blocks=recommend.blocks_for(ratings.count()))
+    matrix = prepare.weighted_rating_matrix(interactions) if by_type else prepare.rating_matrix(interactions)
+    ratings = written(targeting.known_user_ratings(matrix, tables.read("user", key="id")), "ratings")
+    model = recommend.fit_als(ratings)
     newest = ratings.agg(F.max("annonce_id")).first()[0]
     return model, lifecycle.save_model(spark, model, f"{root}/als", newest)
 
 
-def recommend_all(spark: SparkSession, tables, root: str, n: int = LISTINGS_PER_USER) -> int:
+def recommend_all(spark: SparkSession, tables, root: str, n: int = LISTINGS_PER_USER, by_type: bool = False) -> int:
     """Trains and replaces ``user_recommendations``; the old rows stay until the new ones are computed."""
-    model, version = train_recommender(spark, tables, root)
+    model, version = train_recommender(spark, tables, root, by_type)
     best = written(recommend.user_recommendations(model, n).select("user_id", "annonce_id", "rating"), "recommendations")
     tables.replace(best, "user_recommendations")
     return version
 
 
+QUEUE, DONE, SENT = "similar_announces", "processed_announces", "to_announce_notifications"
+
+
+def pending_results(tables) -> DataFrame | None:
+    """What ``notify`` would work on, or None before the first result."""
+    if not tables.exists(QUEUE):
+        return None
+    done = tables.read(DONE, key="announceId") if tables.exists(DONE) else None
+    return store.pending(tables.read(QUEUE, key="announceId"), done)
+
+
 def notify(spark: SparkSession, tables, root: str, n: int = USERS_PER_LISTING) -> int:
-    """Notifies the best users of every queued listing once and takes the listings off the queue; returns how many pairs.
+    """Notifies the best users of every pending listing once; returns how many pairs.
 
-    A run that fails before the queue is replaced can be repeated: pairs already written are left out.
-    Nothing else may write the queue table while it is replaced.
+    Nothing is replaced: pairs and processed listings are appended, so results that arrive meanwhile stay pending. A run
+    that fails can be repeated: pairs already written are left out.
     """
-    queue = written(tables.read("similar_announces"), "queue")
+    queue = pending_results(tables)
+    if queue is None:
+        return 0
+    queue = written(queue, "queue")
     similar = store.from_csv_table(queue)
     newest = lifecycle.saved_versions(spark, f"{root}/als").orderBy(F.col("version").desc()).first()
-    targets = targeting.notifications(hybrid.targets_by_model(similar, ALSModel.load(newest["path"]), n)).distinct()
-    sent = _read_or_none(tables, "to_announce_notifications")
-    fresh = written(targets if sent is None else targeting.not_yet_sent(targets, sent), "notifications")
-    tables.append(fresh, "to_announce_notifications")
-    done = queue.select("announceId").distinct()
-    # written first: a database table is emptied before its new rows arrive
-    left = written(store.drain(tables.read("similar_announces"), done, "announceId"), "queue-left")
-    tables.replace(left, "similar_announces")
+    targets = targeting.notifications(hybrid.targets_by_model(similar, recommend.Recommender.load(spark, newest["path"]), n))
+    if tables.exists(SENT):
+        # only the part of the ledger that can matter is read
+        ids = queue.select(F.col("announceId").alias("id"))
+        ledger = tables.read(SENT, key="announce_id").withColumnRenamed("announce_id", "id")
+        targets = targeting.not_yet_sent(targets, similarity.rows_of(ids, ledger).withColumnRenamed("id", "announce_id"))
+    fresh = written(targets, "notifications")
+    tables.append(fresh, SENT)
+    tables.append(queue.select("announceId", "version"), DONE)
     return fresh.count()
 
 
-def store_results(tables, results: DataFrame) -> None:
-    """Adds results of (id, similar_ids) to the queue table; the latest result of a listing replaces earlier ones."""
-    fresh = store.to_csv_table(results)
-    old = _read_or_none(tables, "similar_announces")
-    merged = fresh if old is None else store.drain(old, fresh, "announceId").unionByName(fresh)
-    tables.replace(written(merged, "similar-announces"), "similar_announces")
+def store_results(tables, results: DataFrame, version: int) -> None:
+    """Appends results of (id, similar_ids) to the queue; of several for a listing the highest version counts."""
+    tables.append(store.queue_rows(results, version), QUEUE)
 
 
-def _read_or_none(tables, name: str) -> DataFrame | None:
-    try:
-        return tables.read(name)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def store_stream(tables, messages: DataFrame, checkpoint: str, **options) -> StreamingQuery:
+    """Appends the results that arrive as messages to the queue, for as long as the query runs.
+
+    The version is the batch, so a repeated batch appends the same rows once more, which count once.
+    """
+    def process(batch: DataFrame, batch_id: int) -> None:
+        store_results(tables, store.from_messages(batch), batch_id)
+
+    return similarity.start_batches(messages.select("value"), process, checkpoint, **options)

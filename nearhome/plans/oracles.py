@@ -38,8 +38,10 @@ PURCHASE = """
 
 
 def _rating(interactions: str, score: str = "interaction_score") -> str:
+    """Means of exactly added scores."""
     return f"""
-    SELECT user_id, annonce_id, round(avg({score}), 6) AS interaction_score
+    SELECT user_id, annonce_id,
+           CAST(sum(CAST(CAST({score} AS DOUBLE) AS DECIMAL(38, 12))) AS DOUBLE) / nullif(count({score}), 0) AS interaction_score
     FROM ({interactions}) GROUP BY user_id, annonce_id"""
 
 
@@ -64,11 +66,11 @@ def _targets(pairs: str, rating: str, n: int) -> str:
 
 def _cosine_pairs(same_group: str) -> str:
     return f"""
-    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank,
-           similar_id, similarity
-    FROM (SELECT a.vec_id AS id, b.vec_id AS similar_id,
-                 round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
-          FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id {same_group})
+    WITH long AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    unit AS (SELECT vec_id, label, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM long)
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY gap, similar_id) AS INTEGER) AS rank, similar_id, similarity
+    FROM (SELECT a.vec_id AS id, b.vec_id AS similar_id, list_distance(a.u, b.u) AS gap, round(list_cosine_similarity(a.v, b.v), 9) AS similarity
+          FROM unit a JOIN unit b ON a.vec_id <> b.vec_id {same_group})
     QUALIFY rank <= 10"""
 
 
@@ -79,16 +81,19 @@ def _category(column: str) -> str:
     FROM ({LISTING}) GROUP BY {column}"""
 
 
-def _listing_cosine(same_group: str) -> str:
-    """Cosine of (price, one-hot type without its least frequent value, latitude, longitude)."""
+def _listing_cosine(same_group: str, price: str = "prix") -> str:
+    """Cosine of (price, one-hot type without its least frequent value, latitude, longitude), by the difference of unit vectors."""
     return f"""
     WITH idx AS (SELECT value, idx, max(idx) OVER () AS dropped FROM ({_category('type_bien')})),
-    f AS (SELECT id, prix, latitude, longitude, lease_duration, idx, CASE WHEN idx < dropped THEN 1.0 ELSE 0.0 END AS hot
+    f AS (SELECT id, {price} AS prix, latitude, longitude, lease_duration, idx, CASE WHEN idx < dropped THEN 1.0 ELSE 0.0 END AS hot
           FROM ({LISTING}) JOIN idx ON type_bien = value),
     n AS (SELECT *, sqrt(prix * prix + latitude * latitude + longitude * longitude + hot) AS norm FROM f)
-    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank,
-           similar_id, similarity
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY gap, similar_id) AS INTEGER) AS rank, similar_id, similarity
     FROM (SELECT a.id, b.id AS similar_id,
+                 (a.prix / a.norm - b.prix / b.norm) ** 2 + (a.latitude / a.norm - b.latitude / b.norm) ** 2
+                 + (a.longitude / a.norm - b.longitude / b.norm) ** 2
+                 + CASE WHEN a.idx = b.idx THEN (a.hot / a.norm - b.hot / b.norm) ** 2
+                        ELSE (a.hot / a.norm) ** 2 + (b.hot / b.norm) ** 2 END AS gap,
                  round((a.prix * b.prix + a.latitude * b.latitude + a.longitude * b.longitude
                         + CASE WHEN a.idx = b.idx THEN a.hot ELSE 0.0 END) / (a.norm * b.norm), 9) AS similarity
           FROM n a JOIN n b ON a.id <> b.id {same_group})
@@ -124,6 +129,8 @@ RATING = _rating(INTERACTION)
 RATED_USERS = f"SELECT DISTINCT user_id FROM ({INTERACTION}) WHERE user_id IN (SELECT c_custkey FROM customer)"
 RATED_LISTINGS = f"SELECT DISTINCT annonce_id FROM ({INTERACTION}) WHERE user_id IN (SELECT c_custkey FROM customer)"
 WEIGHT = "CASE interaction_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 3.0 WHEN 'purchase' THEN 5.0 ELSE 0.0 END"
+DECLARED = """CASE interaction_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 3.0 WHEN 'purchase' THEN 5.0
+    WHEN 'signup' THEN interaction_score ELSE 0.0 END"""
 
 _BAD_TYPE = "interaction_type NOT IN ('view', 'click', 'purchase', 'signup', 'error')"
 
@@ -135,6 +142,7 @@ SQL: dict[str, str] = {
           UNION ALL SELECT 'lease_duration', count(DISTINCT p_brand) FROM part)""",
     "rating_avg": RATING,
     "rating_weighted": _rating(INTERACTION, WEIGHT),
+    "rating_declared": _rating(INTERACTION, DECLARED),
     "rating_purchases": _rating(PURCHASE),
     "message_ids": f"SELECT id, annonce_id FROM ({INTERACTION})",
     "rating_rejects": f"""
@@ -168,6 +176,7 @@ SQL: dict[str, str] = {
     SELECT e.vec_id AS id, CAST(count(p.similar_id) AS INTEGER) AS n_similar, round(coalesce(avg(p.similarity), 0.0), 10) AS similarity
     FROM embeddings e LEFT JOIN ({_cosine_pairs('')}) p ON p.id = e.vec_id GROUP BY e.vec_id""",
     "listing_cosine_topk": _listing_cosine(""),
+    "listing_cosine_real_prices": _listing_cosine("", "(prix - 900) * 260 + 10000"),
     "listing_cluster_cosine": _listing_cosine("AND a.lease_duration = b.lease_duration"),
     "similar_messages": f"""
     SELECT '{{"announceId":' || id || ',"similarIds":[' || ids || '],"clusterId":"' || cluster || '"}}' AS value
@@ -179,6 +188,9 @@ SQL: dict[str, str] = {
     "queue_drain": f"""
     SELECT id AS announce_id, ids AS similar_ids FROM ({_lists(BRAND_PAIRS)})
     WHERE id NOT IN (SELECT annonce_id FROM ({INTERACTION}))""",
+    "queue_concurrent": f"""
+    SELECT id AS announce_id, ids AS similar_ids, CAST(2 AS BIGINT) AS version FROM ({_lists(TYPE_PAIRS)})
+    WHERE id IN (SELECT annonce_id FROM ({INTERACTION}))""",
     "stream_similar": f"SELECT id, cluster AS cluster_id, rank - 1 AS pos, similar_id FROM ({BRAND_PAIRS})",
     "stream_similar_events": f"""
     SELECT id, cluster AS cluster_id, rank - 1 AS pos, similar_id FROM ({TYPE_PAIRS})
@@ -259,3 +271,5 @@ SQL: dict[str, str] = {
           FROM (SELECT c_custkey * 5 + slot AS id, c_custkey AS user_id
                 FROM (SELECT c_custkey, unnest(range(5)) AS slot FROM customer)))""",
 }
+for _wide in ("user_recs_summary", "pair_summary"):  # the ids of a model do not change what comes out
+    SQL[f"als_wide_{_wide}"] = SQL[f"als_{_wide}"]

@@ -122,6 +122,10 @@ OLD_ROOMS = ["S0", "S1", "S2", "S3", "S4", "S5", "Any"]
 ROLES = ["ROLE_USER", "ROLE_ADMIN"]
 INTERACTION_TYPES = ["VIEW", "SAVE", "CONTACT", "RATING"]
 INTERACTION_WEIGHTS = {"VIEW": 1.0, "FAVORITE": 3.0, "MESSAGE": 5.0}
+# The declared types by the same scale: saving is marking as a favourite, contacting is sending a message. A rating says its
+# score itself.
+DECLARED_WEIGHTS = {"VIEW": 1.0, "SAVE": 3.0, "CONTACT": 5.0}
+RATED_TYPE = "RATING"
 FEATURE_COLUMNS = ["prix", "type_bien", "lease_duration", "latitude", "longitude"]
 FEATURE_COLUMNS_OLD = ["prix", "type_bien", "latitude", "longitude"]
 KMEANS_CLUSTERS = 10

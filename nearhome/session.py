@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,8 @@ JOB_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a top-n cut runs in every task before the shuffle also for n above Spark's default of 1000
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     "spark.ui.enabled": "false",
 }
 
@@ -41,7 +45,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of this application; the folder is of no use once the application has ended."""
-    return os.path.join(shared_dir(spark), f"nearhome-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"nearhome-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+    for made in _scopes:
+        made.append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the file system it lies in, wherever that is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written to scratch paths meanwhile; results must have been handed on by then."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            remove_path(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -58,6 +58,16 @@ def interaction_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def interaction_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All interactions with the declared type names."""
+    kind = F.col("interaction_type")
+    names = {"view": "VIEW", "click": "SAVE", "purchase": "CONTACT", "signup": "RATING"}
+    named = F.lit("OTHER")
+    for old, new in names.items():
+        named = F.when(kind == old, F.lit(new)).otherwise(named)
+    return interaction(spark, sf_dir).withColumn("interaction_type", named)
+
+
 def purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as interactions; the ordered quantity is the score."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

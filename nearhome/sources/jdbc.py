@@ -24,7 +24,7 @@ def read_table(
     table: str,
     properties: dict[str, str],
     key: str | None = None,
-    partitions: int = 1,
+    partitions: int = 32,
 ) -> DataFrame:
     """A table scan. With ``key`` it runs as ``partitions`` parallel range scans over the key's true bounds.
 
@@ -39,6 +39,28 @@ def read_table(
     return spark.read.format("jdbc").options(**options).load()
 
 
+def exists(spark: SparkSession, url: str, table: str, properties: dict[str, str]) -> bool:
+    """Whether the database can describe the table. Spark asks it for no row; other failures than a missing table are raised."""
+    try:
+        spark.read.format("jdbc").options(**read_options(url, table, properties)).load()
+    except Exception as error:
+        if missing_table(error):
+            return False
+        raise
+    return True
+
+
+def missing_table(error: Exception) -> bool:
+    """By the SQL state that the driver reports: 42S02 and 42P01 stand for an unknown table."""
+    cause = getattr(error, "_origin", None)
+    while cause is not None:
+        state = cause.getSQLState() if "getSQLState" in dir(cause) else None
+        if state in ("42S02", "42P01"):
+            return True
+        cause = cause.getCause()
+    return "TABLE_OR_VIEW_NOT_FOUND" in str(error)
+
+
 def write_options(url: str, table: str, properties: dict[str, str], batch_size: int = 10_000, connections: int = 32) -> dict[str, str]:
     # numPartitions bounds the parallel connections of the writers
     return {**properties, "url": url, "dbtable": table, "batchsize": str(batch_size), "numPartitions": str(connections)}

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearhome.session import remove_path
+
 POINTER = T.StructType([T.StructField("version", T.LongType(), False), T.StructField("path", T.StringType(), False)])
 
 
@@ -32,6 +34,15 @@ def read_current(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(found[1]) if found else None
 
 
+def append_current(df: DataFrame, root: str) -> None:
+    """Adds rows to the version that readers see; the first rows make the first version."""
+    found = current(df.sparkSession, root)
+    if found is None:
+        publish(df, root)
+    else:
+        df.write.mode("append").parquet(found[1])
+
+
 def publish(df: DataFrame, root: str) -> int:
     """Writes ``df`` as the next version and then points readers to it.
 
@@ -45,3 +56,11 @@ def publish(df: DataFrame, root: str) -> int:
     df.write.mode("overwrite").parquet(path)
     spark.createDataFrame([(version, path)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return version
+
+
+def remove_old(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Deletes all but the newest ``keep`` versions; readers that still hold an older one must have ended."""
+    pointers = read_if_exists(spark, f"{root}/pointers", POINTER)
+    if pointers is not None:
+        for row in pointers.orderBy(F.col("version").desc()).offset(keep).collect():  # one row per publication
+            remove_path(spark, row["path"])

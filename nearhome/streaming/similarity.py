@@ -15,6 +15,7 @@ from nearhome.operators.neighbors import others_of
 from nearhome.operators.prepare import complete_listings
 from nearhome.operators.store import to_messages
 from nearhome.schemas import NEIGHBOURS, OUTPUT_TOPIC
+from nearhome.session import scratch_scope, written
 from nearhome.sources import kafka
 
 Answer = Callable[[DataFrame], DataFrame]
@@ -42,10 +43,18 @@ def start_similarity(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            sink(answer(batch.distinct()), batch_id)
+        with scratch_scope(batch.sparkSession):
+            ids = written(batch.distinct(), "stream-ids")
+            if not ids.isEmpty():
+                sink(answer(ids), batch_id)
 
-    writer = parse_ids(messages, field).writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
+    return start_batches(parse_ids(messages, field), process, checkpoint, run_once, every)
+
+
+def start_batches(
+    stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, run_once: bool = False, every: str | None = None,
+) -> StreamingQuery:
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
     if run_once:
         writer = writer.trigger(availableNow=True)
     elif every:
@@ -53,14 +62,30 @@ def start_similarity(
     return writer.start()
 
 
+RANGES = 16  # that go to the source at most; what lies in none of them is not read
+
+
+def id_ranges(ids: DataFrame, ranges: int = RANGES) -> list[tuple[int, int]]:
+    """Bounds of the ids, by equal parts of their span that hold any."""
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return []
+    width = (high - low) // ranges + 1
+    part = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(str(low)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)"))
+    found = ids.groupBy(part.alias("part")).agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
+    return [(r["low"], r["high"]) for r in found]
+
+
 def rows_of(ids: DataFrame, table: DataFrame) -> DataFrame:
     """The rows of ``table`` with one of the ids; unknown ids drop out.
 
-    The bounds of the batch go to the source as a plain range, so a table ordered by id (a database key, or
-    Parquet written by ``ordered_by_id``) is read only where the new listings are.
+    A few plain ranges go to the source, so a table ordered by id (a database key, or Parquet written by
+    ``ordered_by_id``) is read only where the new listings are.
     """
-    low, high = ids.agg(F.min("id"), F.max("id")).first()
-    return table.filter(F.col("id").between(low, high)).join(ids, "id", "left_semi")
+    inside = F.lit(False)
+    for low, high in id_ranges(ids):
+        inside = inside | F.col("id").between(low, high)
+    return table.filter(inside).join(ids, "id", "left_semi")
 
 
 def ordered_by_id(table: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from nearhome import __main__ as command
-from nearhome.operators import lifecycle, synth
+from nearhome.operators import lifecycle, store, synth
 from nearhome.plans import jobs
-from nearhome.session import scratch_path, shared_dir
-from nearhome.sources import jdbc, kafka
+from nearhome.session import scratch_path, scratch_scope, shared_dir
+from nearhome.sources import jdbc, kafka, versioned
 from nearhome.sources.tables import FolderTables
 from nearhome.streaming import similarity
 
@@ -36,26 +37,94 @@ def test_stream_to_notifications(spark, market):
     jobs.similarity_stream(spark, tables, spark.readStream.text(inbox), similarity.parquet_sink(out), models, chk, run_once=True).awaitTermination()
     results = spark.read.parquet(out)
     assert sorted(r["id"] for r in results.collect()) == asked
-    jobs.store_results(tables, results)
-    jobs.store_results(tables, results)  # a repeated result replaces the earlier one
-    assert tables.read("similar_announces").count() == 6
+    # the results travel as messages and are stored by the stream
+    topic = scratch_path(spark, "topic")
+    store.to_messages(results).select("value").write.text(topic)
+    run = lambda: jobs.store_stream(tables, spark.readStream.text(topic), scratch_path(spark, "store-chk"), run_once=True).awaitTermination()
+    run()
+    run()  # the same results once more, under the same version
+    assert jobs.pending_results(tables).count() == 6
 
     assert jobs.recommend_all(spark, tables, models, 7) == 1
     per_user = tables.read("user_recommendations").groupBy("user_id").count()
     assert per_user.filter("count <> 7").count() == 0
 
-    before = tables.read("similar_announces").cache()
-    before.count()
     n = jobs.notify(spark, tables, models, 5)
     sent = tables.read("to_announce_notifications")
     assert 0 < n == sent.count() == sent.distinct().count()
     assert sent.groupBy("announce_id").count().filter("count > 5").count() == 0
-    assert tables.read("similar_announces").count() == 0
-    tables.replace(before, "similar_announces")  # as if the run had failed before the queue was replaced
+    assert jobs.pending_results(tables).count() == 0
+    assert jobs.notify(spark, tables, models, 5) == 0
+    jobs.store_results(tables, results.filter(F.col("id") == asked[0]), 7)  # as if the run had failed before it said what is done
+    assert [r["announceId"] for r in jobs.pending_results(tables).collect()] == [asked[0]]
     assert jobs.notify(spark, tables, models, 5) == 0
     assert tables.read("to_announce_notifications").count() == n
 
 
+def test_results_stored_while_others_are_processed_stay(spark):
+    tables = FolderTables(spark, scratch_path(spark, "concurrent"))
+    assert jobs.pending_results(tables) is None
+    row = lambda i, similar, version: jobs.store_results(tables, spark.createDataFrame([(i, similar)], "id long, similar_ids array<long>"), version)
+    row(1, [5], 1)
+    row(2, [6], 1)
+    read = jobs.pending_results(tables).collect()
+    row(1, [7, 8], 2)
+    tables.append(spark.createDataFrame(read).select("announceId", "version"), jobs.DONE)
+    assert [tuple(r) for r in jobs.pending_results(tables).collect()] == [(1, "7,8", 2)]
+
+
+def test_rows_appended_after_a_replacement_are_seen(spark):
+    tables = FolderTables(spark, scratch_path(spark, "appended"))
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    assert not tables.exists("t")
+    tables.append(rows(1), "t")
+    tables.replace(rows(2, 3), "t")
+    tables.append(rows(4, 5), "t")
+    tables.append(rows(6), "t")
+    assert sorted(r["id"] for r in tables.read("t").collect()) == [2, 3, 4, 5, 6] and tables.exists("t")
+    for i in range(3):
+        tables.replace(rows(i), "t")
+    versioned.remove_old(spark, f"{tables.root}/t", keep=1)
+    assert [r["id"] for r in tables.read("t").collect()] == [2]
+    assert sorted(f for f in os.listdir(f"{tables.root}/t") if f.startswith("version")) == ["version-5"]
+
+
+def test_scratch_is_removed(spark):
+    with scratch_scope(spark):
+        path = scratch_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+class Told:
+    """Tables that only note how they are read."""
+
+    def __init__(self, tables):
+        self.tables, self.keys = tables, {}
+
+    def read(self, name, key=None):
+        self.keys[name] = key
+        return self.tables.read(name)
+
+    def __getattr__(self, name):
+        return getattr(self.tables, name)
+
+
+def test_every_read_of_the_jobs_is_split_by_a_key(spark, market):
+    tables, models = market
+    told = Told(tables)
+    jobs.store_results(tables, spark.createDataFrame([(1, [3])], "id long, similar_ids array<long>"), 99)
+    jobs.prepare_similarity(spark, told, models)
+    jobs.recommend_all(spark, told, models, 2, by_type=True)
+    jobs.notify(spark, told, models, 2)
+    inbox = scratch_path(spark, "in")
+    spark.createDataFrame([('{"announceId": 3}',)], "value string").write.text(inbox)
+    jobs.similarity_stream(spark, told, spark.readStream.text(inbox), similarity.parquet_sink(scratch_path(spark, "out")), models, scratch_path(spark, "chk"), run_once=True).awaitTermination()
+    assert {"annonce", "user", "user_interaction", "similar_announces"} <= set(told.keys)
+    assert all(told.keys.values()), told.keys
+
+
 def test_recommendations_are_replaced(spark, market):
     tables, models = market
     first = jobs.recommend_all(spark, tables, models, 3)

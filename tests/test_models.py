@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import functions as F
 
+from nearhome import schemas
 from nearhome.operators import features, lifecycle, recommend, targeting
 from nearhome.plans import hybrid
 from nearhome.session import scratch_path
@@ -34,6 +34,50 @@ def als(spark, ratings):
     return recommend.fit_als(ratings)
 
 
+def factors(als):
+    """Factors by the ids themselves."""
+    number = [{r[1]: r[0] for r in table.collect()} for table in (als.users, als.listings)]
+    rows = (als.model.userFactors.collect(), als.model.itemFactors.collect())
+    return [{n[r["id"]]: np.array(r["features"]) for r in found} for n, found in zip(number, rows)]
+
+
+def test_the_last_half_step_is_solved(ratings, als):
+    """For every user: sum of (prediction - rating) * listing factors + regularisation * ratings * user factors = 0."""
+    user, item = factors(als)
+    given = {}
+    for u, i, score in ratings.collect():
+        given.setdefault(u, []).append((item[i], float(np.float32(score))))
+    for u, rows in given.items():
+        slope = sum((user[u] @ y - score) * y for y, score in rows) + schemas.ALS_REG * len(rows) * user[u]
+        assert np.abs(slope).max() < 1e-3
+        assert len(user[u]) == schemas.ALS_RANK
+
+
+def test_ids_of_any_size(spark, ratings):
+    wide = ratings.select((F.col("user_id") + 2**40).alias("user_id"), (F.col("annonce_id") - 2**50).alias("annonce_id"), "interaction_score")
+    found = recommend.user_recommendations(recommend.fit_als(wide), 3).select(
+        (F.col("user_id") - 2**40).alias("user_id"), (F.col("annonce_id") + 2**50).alias("annonce_id"), F.round("rating", 4).alias("rating"))
+    plain = recommend.user_recommendations(recommend.fit_als(ratings), 3).select("user_id", "annonce_id", F.round("rating", 4).alias("rating"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_clusters_are_better_than_one(spark, pipeline):
+    scored = features.scored_listings(pipeline, listings(spark)).select(vector_to_array("norm_features").alias("v"), "prediction").collect()
+    m, place = np.array([r["v"] for r in scored]), np.array([r["prediction"] for r in scored])
+    cost = sum(np.square(m[place == c] - m[place == c].mean(axis=0)).sum() for c in set(place.tolist()))
+    assert len(set(place.tolist())) == 4 and cost < 0.5 * np.square(m - m.mean(axis=0)).sum()
+
+
+def test_notification_rows_are_spread(spark):
+    """A third of the listings share one list."""
+    similar = spark.range(3000).select(
+        F.col("id").alias("announce_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("id") % 40 + 3)).cast("array<long>").alias("similar_ids"))
+    scores = spark.range(50).crossJoin(spark.range(50).select(F.col("id").alias("user_id"))).select(F.col("id").alias("annonce_id"), "user_id", (F.col("user_id") / 7).alias("score"))
+    found = targeting.target_users(similar, targeting.distinct_lists(similar), scores, 20, out_rows=6000)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 * 20 and len(sizes) == 10 and max(sizes) < 2 * 6000
+
+
 def test_unseen_category_is_scored_as_zeros(spark, pipeline):
     new = spark.createDataFrame([(1, 10.0, "NEW", "M", 1.0, 2.0), (2, 10.0, "C", "M", 1.0, 2.0)], LISTING)
     rows = {r["id"]: r for r in pipeline.transform(new).select("id", vector_to_array("features").alias("v"), "prediction").collect()}
@@ -48,10 +92,14 @@ def test_single_valued_category_is_left_out(spark):
     assert len(row["v"]) == 3 + 1
 
 
-def test_a_text_is_no_category(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError, match="type_bien"):
-        features.fit_features(listings(spark))
+def test_any_number_of_values_has_an_index(spark):
+    df = spark.range(24_000).select((F.col("id") % 12_000).cast("string").alias("c")).unionByName(spark.createDataFrame([("7",), ("30",), ("30",)], "c string"))
+    rows = features.category_index(df, "c").orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == list(range(12_000))
+    assert [(r["value"], r["n"]) for r in rows[:4]] == [("30", 4), ("7", 3), ("0", 2), ("1", 2)]
+    few = listings(spark)
+    by_model = features.index_stage("type_bien").fit(few).transform(few).select("type_bien", F.col("type_bien_index").cast("long")).distinct()
+    assert sorted(map(tuple, by_model.collect())) == sorted((r["value"], r["idx"]) for r in features.category_index(few, "type_bien").collect())
 
 
 def test_older_column_order(spark):
@@ -105,8 +153,7 @@ def test_everything_is_new_without_a_trained_id(spark):
 
 def test_prediction_is_the_product_of_the_factors(spark, ratings, als):
     scored = recommend.pair_scores(als, ratings.select("user_id", "annonce_id")).collect()
-    user = {r["id"]: np.array(r["features"]) for r in als.userFactors.collect()}
-    item = {r["id"]: np.array(r["features"]) for r in als.itemFactors.collect()}
+    user, item = factors(als)
     assert len(scored) == ratings.count()
     for r in scored:
         assert r["prediction"] == pytest.approx(user[r["user_id"]] @ item[r["annonce_id"]], abs=1e-4)
@@ -119,9 +166,9 @@ def test_unknown_users_and_listings_get_no_score(spark, als):
 
 def test_cold_start_survives_saving(spark, als):
     path = scratch_path(spark, "als")
-    als.write().save(path)
-    loaded = ALSModel.load(path)
-    assert loaded.getColdStartStrategy() == "drop"
+    als.write().overwrite().save(path)
+    loaded = recommend.Recommender.load(spark, path)
+    assert loaded.model.getColdStartStrategy() == "drop"
     pairs = spark.createDataFrame([(0, 0), (0, 999)], "user_id long, annonce_id long")
     assert recommend.pair_scores(loaded, pairs).count() == 1
 
@@ -138,8 +185,7 @@ def test_recommendations_are_ranked(spark, ratings, als):
 def test_targets_equal_the_cross_join_form(spark, als):
     """The best users of each list, by scoring every user with every similar listing."""
     similar = spark.createDataFrame([(1, [0, 1, 2]), (2, [2, 0, 1]), (3, [5]), (4, []), (5, [7, 999])], "announce_id long, similar_ids array<long>")
-    user = {r["id"]: np.array(r["features"]) for r in als.userFactors.collect()}
-    item = {r["id"]: np.array(r["features"]) for r in als.itemFactors.collect()}
+    user, item = factors(als)
     found = {}
     for r in hybrid.targets_by_model(similar, als, 4).orderBy("announce_id", "rank").collect():
         found.setdefault(r["announce_id"], []).append(r["user_id"])
@@ -173,7 +219,7 @@ def test_observed_targets_equal_brute_force_with_a_hot_listing(spark):
     mean = {}
     for u, i, s in made:
         mean.setdefault((u, i), []).append(s)
-    mean = {key: round(float(np.mean(v)), 6) for key, v in mean.items()}
+    mean = {key: float(np.sum(v)) / len(v) for key, v in mean.items()}
     for announce, ids in lists.items():
         score = {u: max(mean[u, i] for i in ids if (u, i) in mean) for u in range(35) if any((u, i) in mean for i in ids)}
         assert got.get(announce, []) == sorted(score, key=lambda u: (-score[u], u))[:6]

@@ -41,7 +41,7 @@ def test_top_per_key_split_equals_unsplit(spark):
     df = spark.createDataFrame([("hot" if i % 3 else f"k{i % 7}", i, rng.randrange(9)) for i in range(200)], "k string, v long, s int")
     order = [F.col("s").desc(), F.col("v")]
     plain = top_per_key(df, ["k"], order, 6).collect()
-    split = top_per_key(df, ["k"], order, 6, split_by="v", splits=5).collect()
+    split = top_per_key(df, ["k"], order, 6, split_by="v", part_rows=7).collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, split)) and len(plain) == 8 * 6
 
 
@@ -93,3 +93,8 @@ def test_publishing_from_the_current_version(spark):
     assert versioned.read_current(spark, root).count() == 2
     assert versioned.publish(spark.range(1), root) == 3
     assert versioned.read_current(spark, root).count() == 1
+
+
+def test_a_large_limit_still_cuts_before_the_shuffle(spark, capsys):
+    top_per_key(spark.range(10**6).withColumn("k", F.col("id") % 3), ["k"], [F.col("id")], 5000).explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out

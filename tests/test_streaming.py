@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,7 +78,8 @@ def test_lookup_pushes_the_range_of_the_batch(spark, capsys):
     rows = similarity.rows_of(spark.createDataFrame([(7,), (9,), (5000,)], "id long"), spark.read.parquet(path))
     rows.explain()
     plan = capsys.readouterr().out
-    assert "GreaterThanOrEqual(id,7)" in plan and "LessThanOrEqual(id,5000)" in plan
+    scan = plan[plan.index("FileScan"):]
+    assert re.search(r"DataFilters: \[.*>= 7.*<= 9.*5000", scan) and "Or(And(" in scan[scan.index("PushedFilters"):]
     assert sorted(r["x"] for r in rows.collect()) == [14, 18]
 
 
@@ -96,3 +98,16 @@ def test_stateless_form(spark, answers):
     query = results.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r["id"] for r in spark.read.parquet(out).collect()] == [5]
+
+
+def test_two_far_ids_are_two_ranges(spark, tmp_path):
+    ids = spark.createDataFrame([(1,), (10**9,)], "id long")
+    assert similarity.id_ranges(ids) == [(1, 1), (10**9, 10**9)]
+    assert similarity.id_ranges(spark.createDataFrame([(-2**63,), (2**63 - 1,), (5,)], "id long")) == [(-2**63, -2**63), (5, 5), (2**63 - 1, 2**63 - 1)]
+    assert similarity.id_ranges(spark.createDataFrame([], "id long")) == []
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 2), (500, 3), (10**9, 4)], "id long, x long").write.parquet(path)
+    rows = similarity.rows_of(ids, spark.read.parquet(path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "1000000000" in plan and "Or(" in plan
+    assert sorted(r["x"] for r in rows.collect()) == [2, 4]
