@@ -2,6 +2,7 @@
 
     python -m nearhome prepare    --folder /data --models /models
     python -m nearhome stream     --folder /data --models /models --servers host:9092 --checkpoint /chk/similar
+    python -m nearhome cosine     --folder /data --models /models --servers host:9092 --checkpoint /chk/cosine
     python -m nearhome store      --folder /data --servers host:9092 --checkpoint /chk/store
     python -m nearhome recommend  --url jdbc:mysql://... --properties db.properties --models /models
     python -m nearhome notify     --url jdbc:mysql://... --properties db.properties --models /models
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 
+from nearhome.operators import store
 from nearhome.plans import jobs
 from nearhome.schemas import OUTPUT_TOPIC
 from nearhome.session import build_session, ship_package
@@ -29,7 +31,7 @@ def read_properties(path: str) -> dict[str, str]:
 def parser() -> argparse.ArgumentParser:
     main = argparse.ArgumentParser(prog="nearhome")
     commands = main.add_subparsers(dest="command", required=True)
-    for name in ("prepare", "stream", "store", "recommend", "notify"):
+    for name in ("prepare", "stream", "cosine", "store", "recommend", "notify"):
         command = commands.add_parser(name)
         place = command.add_mutually_exclusive_group(required=True)
         place.add_argument("--folder", help="shared folder of Parquet tables")
@@ -40,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
             command.add_argument("--models", required=True, help="shared folder of the models")
         if name == "recommend":
             command.add_argument("--by-type", action="store_true", help="score interactions by their type")
-        if name in ("stream", "store"):
+        if name in ("stream", "cosine", "store"):
             command.add_argument("--servers", required=True)
             command.add_argument("--starting", choices=kafka.STARTING_OFFSETS, default="earliest")
             command.add_argument("--checkpoint", required=True, help="folder of this query alone")
@@ -65,6 +67,10 @@ def main(arguments: list[str] | None = None) -> None:
     elif args.command == "store":
         results = kafka.read_stream(spark, args.servers, OUTPUT_TOPIC, starting=args.starting)
         jobs.store_stream(tables, results, args.checkpoint, every=args.every).awaitTermination()
+    elif args.command == "cosine":
+        messages = kafka.read_stream(spark, args.servers, starting=args.starting)
+        sink = similarity.kafka_sink(args.servers, encode=store.to_cosine_messages)
+        jobs.cosine_stream(spark, tables, messages, sink, args.models, args.checkpoint, every=args.every).awaitTermination()
     else:
         messages = kafka.read_stream(spark, args.servers, starting=args.starting)
         sink = similarity.kafka_sink(args.servers)

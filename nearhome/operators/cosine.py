@@ -47,21 +47,47 @@ def cosine_top_k(
     Input columns are ``id`` and ``vec``; with ``group`` only vectors of the same group are compared.
     Zero vectors, and vectors with a null, NaN or infinity, have no similarity and are left out.
     """
-    asked = _usable(catalogue if queries is None else queries, group)
+    index = build_index(catalogue, k, group, block_rows, prune_from, max_pivots)
+    return index.search(catalogue if queries is None else queries, split_rows)
+
+
+class CosineIndex:
+    """The candidates of a catalogue, written once with their cells; any number of searches reads them."""
+
+    def __init__(self, cand: DataFrame, pivots: _Pivots | None, sizes: DataFrame | int, k: int, group: str | None, block_rows: int):
+        self.cand, self.pivots, self.sizes, self.k, self.group, self.block_rows = cand, pivots, sizes, k, group, block_rows
+
+    def search(self, queries: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+        """(id, rank, similar_id, similarity) of the queries (id, vec and, where the index has one, the group)."""
+        asked, k = _usable(queries, self.group), self.k
+        match = lambda rows: _match(rows, self.cand, self.sizes, k, split_rows)
+        if self.pivots is None:
+            return _reported(_best(match(asked.select("*", F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("kth"))), k))
+        asked = written(self.pivots.assign(asked), "cosine-queries")
+        near = written(_best(match(asked.withColumn("kth", F.lit(None).cast("double"))), k), "cosine-own-cell")
+        kth = near.filter(F.col("rank") == k).select("id", F.col("gap").alias("kth"))
+        visits = written(self.pivots.visits(asked.join(kth, "id", "left")), "cosine-visits")
+        far = match(visits.withColumn("cell", F.explode("cells")))
+        return _reported(_best(near.select("id", "similar_id", "gap").unionByName(far), k))
+
+
+def build_index(
+    catalogue: DataFrame, k: int = NEIGHBOURS, group: str | None = None,
+    block_rows: int = BLOCK_ROWS, prune_from: int = PRUNE_FROM, max_pivots: int = MAX_PIVOTS,
+) -> CosineIndex:
+    """Candidates, cells, radii and block layout of ``catalogue`` (id, vec and the group), for searches of up to ``k``."""
     cand = written(_lowest_copies(_usable(catalogue, group), k + 1), "cosine-candidates")
     pivots = _choose_pivots(cand, block_rows, prune_from, max_pivots)
     if pivots is None:
-        one_cell = [F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("kth")]
-        matches = _match(asked.select("*", *one_cell), cand.select("*", *one_cell), k, block_rows, split_rows, grouped=group is not None)
-        return _reported(_best(matches, k))
-
-    cand = written(pivots.assign(cand), "cosine-cells")
-    asked = written(pivots.assign(asked), "cosine-queries")
-    near = written(_best(_match(asked.withColumn("kth", F.lit(None).cast("double")), cand, k, block_rows, split_rows), k), "cosine-own-cell")
-    kth = near.filter(F.col("rank") == k).select("id", F.col("gap").alias("kth"))
-    visits = written(pivots.visits(asked.join(kth, "id", "left"), cand), "cosine-visits")
-    far = _match(visits.withColumn("cell", F.explode("cells")), cand, k, block_rows, split_rows)
-    return _reported(_best(near.select("id", "similar_id", "gap").unionByName(far), k))
+        cand = cand.withColumn("cell", F.lit(-1))
+    else:
+        cand = written(pivots.assign(cand), "cosine-cells")
+        pivots.measure(cand)
+    if pivots is None and group is None:
+        sizes: DataFrame | int = max(1, ceil(cand.count() / block_rows))
+    else:
+        sizes = written(cand.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks")), "cosine-sizes")
+    return CosineIndex(cand, pivots, sizes, k, group, block_rows)
 
 
 def mean_similarity(asked: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -98,22 +124,22 @@ def _reported(best: DataFrame) -> DataFrame:
     return best.select("id", "rank", "similar_id", F.round(1 - F.col("gap") / 2, SIM_DIGITS).alias("similarity"))
 
 
-def _match(asked: DataFrame, cand: DataFrame, k: int, block_rows: int, split_rows: int, grouped: bool = True) -> DataFrame:
+def _match(asked: DataFrame, cand: DataFrame, sizes: DataFrame | int, k: int, split_rows: int) -> DataFrame:
     """Best ``k`` of every (query, candidate block) within the same group and cell.
 
     A cell with many candidates is hashed into blocks and one with many queries into splits, so that a task
-    never holds more than about ``block_rows`` candidates and ``split_rows`` queries, however hot the cell.
+    never holds more than a block of candidates and about ``split_rows`` queries, however hot the cell.
+    ``sizes`` are the blocks by group and cell, or their number where there is one cell only.
     """
     cell = ["grp", "cell"]
-    if grouped:
-        sizes = cand.groupBy(*cell).agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    if isinstance(sizes, int):
+        counts = {"blocks": sizes, "splits": ceil(asked.count() / split_rows)}
+        counts = {name: F.lit(max(n, 1)).cast("long") for name, n in counts.items()}
+        asked, cand = asked.withColumns(counts), cand.withColumns(counts)
+    else:
         loads = asked.groupBy(*cell).agg(F.ceil(F.count("*") / split_rows).alias("splits"))
         layout = written(sizes.join(loads, cell), "cosine-layout")
         asked, cand = asked.join(layout, cell), cand.join(layout, cell)
-    else:
-        counts = {"blocks": ceil(cand.count() / block_rows), "splits": ceil(asked.count() / split_rows)}
-        counts = {name: F.lit(max(n, 1)).cast("long") for name, n in counts.items()}
-        asked, cand = asked.withColumns(counts), cand.withColumns(counts)
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = asked.select("id", "vec", "kth", *cell, place("splits").alias("split"), each("blocks").alias("block"))
@@ -233,15 +259,9 @@ class _Pivots:
         named = df.join(F.broadcast(self.groups), "grp", "left").withColumn("gid", F.coalesce("gid", F.lit(-1)))
         return named.select("id", "grp", "vec", "gid", nearest("gid", "vec").alias("cell"))
 
-    def visits(self, asked: DataFrame, cand: DataFrame) -> DataFrame:
-        """Queries with the other ``cells`` that may still hold one of their best ``k``.
-
-        ``kth`` is the k-th squared difference found so far, null when fewer were found. Chords between unit vectors are
-        Euclidean distances. A vector within ``reach`` of the query can lie in another cell only if that cell's
-        ball is within reach of the query, and so is the plane halfway between the two pivots.
-        """
-        group_of, matrix = self.group_of, self.matrix
-        radius = np.full(len(matrix), -np.inf)
+    def measure(self, cand: DataFrame) -> None:
+        """Finds the radius of every cell, the largest chord from its pivot to a candidate."""
+        matrix, self.radius = self.matrix, np.full(len(self.matrix), -np.inf)
 
         @F.arrow_udf("double")
         def pivot_chord(cell: pa.Array, vec: pa.Array) -> pa.Array:
@@ -250,7 +270,16 @@ class _Pivots:
 
         inside = cand.filter(F.col("cell") >= 0).select("cell", pivot_chord("cell", "vec").alias("chord"))
         for row in inside.groupBy("cell").agg(F.max("chord").alias("radius")).collect():  # one row per pivot
-            radius[row["cell"]] = row["radius"]
+            self.radius[row["cell"]] = row["radius"]
+
+    def visits(self, asked: DataFrame) -> DataFrame:
+        """Queries with the other ``cells`` that may still hold one of their best ``k``.
+
+        ``kth`` is the k-th squared difference found so far, null when fewer were found. Chords between unit vectors are
+        Euclidean distances. A vector within ``reach`` of the query can lie in another cell only if that cell's
+        ball is within reach of the query, and so is the plane halfway between the two pivots.
+        """
+        group_of, matrix, radius = self.group_of, self.matrix, self.radius
 
         @F.arrow_udf("array<int>")
         def reachable(gid: pa.Array, cell: pa.Array, vec: pa.Array, kth: pa.Array) -> pa.Array:

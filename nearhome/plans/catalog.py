@@ -13,7 +13,7 @@ from nearhome.functions.vectors import cosine as cosine_of
 from nearhome.functions.vectors import l2_norm
 from nearhome.operators import cosine, features, lifecycle, neighbors, prepare, quality, recommend, store, synth, targeting
 from nearhome.plans import hybrid, jobs
-from nearhome.schemas import FEATURE_COLUMNS_OLD
+from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD
 from nearhome.session import scratch_path, ship_package, written
 from nearhome.sources import fixtures, versioned
 from nearhome.sources.tables import FolderTables
@@ -139,6 +139,19 @@ def kmeans_neighbors_summary(spark, sf):
     )
 
 
+@query
+def kmeans_cost(spark, sf):
+    """The cost of a single cluster, and whether the trained clusters cost less than half of it."""
+    listings = fixtures.listing(spark, sf)
+    model = features.fit_features(listings)
+    scored = written(features.scored_listings(model, listings), "scored")
+    cost = features.centre_distances(model, scored).agg(F.sum("own")).scalar()
+    sums = features.feature_arrays(scored).select(F.posexplode("vec").alias("pos", "value")).groupBy("pos").agg(
+        F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"), F.count("*").alias("n"))
+    one = sums.agg(F.max("n").alias("n_listings"), F.sum(F.col("squares") - F.col("total") * F.col("total") / F.col("n")).alias("one"))
+    return one.select("n_listings", F.round("one", 3).alias("one_cluster_cost"), (cost < F.col("one") / 2).alias("better"))
+
+
 # --- neighbours ---
 
 def _brand_neighbors(spark, sf):
@@ -408,6 +421,28 @@ def _als_wide(spark, sf):
     return _als_models[key]
 
 
+@query
+def als_solution(spark, sf):
+    """Per user: the ratings, whether the factors solve the last half step, and predictions unlike the product of the factors.
+
+    The half step asks that sum((prediction - rating) * listing factors) + regularisation * ratings * user factors is zero.
+    """
+    found = _als(spark, sf)
+    ratings = prepare.usable_ratings(targeting.known_user_ratings(prepare.rating_matrix(fixtures.interaction(spark, sf)), fixtures.user(spark, sf)))
+    users = found.model.userFactors.join(found.users, F.col("id") == F.col("user_no")).select("user_id", F.col("features").alias("x"))
+    listings = found.model.itemFactors.join(found.listings, F.col("id") == F.col("listing_no")).select("annonce_id", F.col("features").alias("y"))
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda total, v: total + v)
+    rows = ratings.join(users, "user_id").join(listings, "annonce_id").withColumn("dot", dot)
+    told = recommend.pair_scores(found, ratings.select("user_id", "annonce_id"))
+    rows = rows.join(told, ["user_id", "annonce_id"], "left").withColumn("off", ~F.coalesce(F.abs(F.col("prediction") - F.col("dot")) < 1e-3, F.lit(False)))
+    slope = F.zip_with("x", "y", lambda a, b: (F.col("dot") - F.col("interaction_score")) * b + ALS_REG * a)
+    slopes = rows.select("user_id", "annonce_id", "off", F.posexplode(slope).alias("place", "slope"))
+    sums = slopes.groupBy("user_id", "place").agg(F.sum("slope").alias("slope"), F.count("*").alias("n"), F.count_if("off").alias("n_off"))
+    return sums.groupBy("user_id").agg(
+        F.max("n").alias("n_ratings"), F.count("*").alias("rank"), (F.max(F.abs("slope") / F.col("n")) < 1e-3).alias("solved"), F.max("n_off").alias("n_off"),
+    )
+
+
 @query
 def als_user_recs(spark, sf):
     return recommend.user_recommendations(_als(spark, sf))

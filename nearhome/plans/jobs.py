@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from nearhome.operators import features, lifecycle, neighbors, prepare, recommend, store, targeting
 from nearhome.plans import hybrid
 from nearhome.schemas import LISTINGS_PER_USER, NEIGHBOURS, RETRAIN_AFTER, USERS_PER_LISTING
-from nearhome.session import written
+from nearhome.session import scratch_kept, written
 from nearhome.sources import versioned
 from nearhome.streaming import similarity
 
@@ -60,6 +60,29 @@ def similarity_stream(
     return similarity.start_similarity(messages, answer, sink, checkpoint, **options)
 
 
+def cosine_stream(
+    spark: SparkSession, tables, messages: DataFrame, sink: similarity.Sink, root: str, checkpoint: str, k: int = NEIGHBOURS, **options,
+) -> StreamingQuery:
+    """Answers listing ids in the field ``id`` with the nearest listings by cosine and their mean similarity.
+
+    Features and their index are made once per catalogue that ``prepare_similarity`` has published.
+    """
+    loaded: dict = {}
+
+    def answer(ids: DataFrame) -> DataFrame:
+        published = versioned.current(spark, f"{root}/heads")
+        if loaded.get("published") != published:
+            newest = lifecycle.saved_versions(spark, f"{root}/clusters").orderBy(F.col("version").desc()).first()
+            with scratch_kept():
+                listings = prepare.complete_listings(tables.read("annonce", key="id"))
+                scored = features.scored_listings(PipelineModel.load(newest["path"]), listings)
+                vectors = written(similarity.ordered_by_id(features.feature_arrays(scored)), "listing-vectors")
+            loaded.update(published=published, answer=similarity.cosine_answer(vectors, k))
+        return loaded["answer"](ids)
+
+    return similarity.start_similarity(messages, answer, sink, checkpoint, field="id", **options)
+
+
 def train_recommender(spark: SparkSession, tables, root: str, by_type: bool = False) -> tuple[recommend.Recommender, int]:
     """Fits ALS on the ratings of known users and saves it as the next version; ``by_type`` scores by the type of interaction."""
     interactions = tables.read("user_interaction", key="id")

@@ -215,6 +215,9 @@ SQL: dict[str, str] = {
     WITH n AS (SELECT least(100, count(*)) AS n FROM ({RATED_LISTINGS}))
     SELECT user_id, n AS n_recs, 1 AS first_rank, CAST(n AS INTEGER) AS last_rank, n AS n_listings, CAST(0 AS BIGINT) AS out_of_order
     FROM ({RATED_USERS}) JOIN n ON true""",
+    "als_solution": f"""
+    SELECT user_id, count(*) AS n_ratings, CAST({schemas.ALS_RANK} AS BIGINT) AS rank, true AS solved, CAST(0 AS BIGINT) AS n_off
+    FROM ({RATING}) WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id""",
     "als_unseen_summary": f"""
     WITH seen AS (SELECT DISTINCT user_id, annonce_id FROM ({INTERACTION}))
     SELECT u.user_id, (SELECT least(100, count(*)) FROM ({RATED_LISTINGS})) - count(*) AS n_recs
@@ -273,3 +276,6 @@ SQL: dict[str, str] = {
 }
 for _wide in ("user_recs_summary", "pair_summary"):  # the ids of a model do not change what comes out
     SQL[f"als_wide_{_wide}"] = SQL[f"als_{_wide}"]
+SQL["kmeans_cost"] = f"""
+    SELECT max(n) AS n_listings, round(sum(squares - total * total / n), 3) AS one_cluster_cost, true AS better
+    FROM (SELECT pos, count(*) AS n, sum(value) AS total, sum(value * value) AS squares FROM ({SQL['feature_vectors']}) GROUP BY pos)"""

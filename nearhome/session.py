@@ -60,6 +60,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def scratch_kept() -> Iterator[None]:
+    """What is written meanwhile outlives the scopes that are open."""
+    held, _scopes[:] = _scopes[:], []
+    try:
+        yield
+    finally:
+        _scopes[:] = held
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what was written to scratch paths meanwhile; results must have been handed on by then."""

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearhome.functions.codecs import json_field
-from nearhome.operators.cosine import cosine_top_k, mean_similarity
+from nearhome.operators.cosine import build_index, mean_similarity
 from nearhome.operators.neighbors import others_of
 from nearhome.operators.prepare import complete_listings
 from nearhome.operators.store import to_messages
 from nearhome.schemas import NEIGHBOURS, OUTPUT_TOPIC
-from nearhome.session import scratch_scope, written
+from nearhome.session import scratch_kept, scratch_scope, written
 from nearhome.sources import kafka
 
 Answer = Callable[[DataFrame], DataFrame]
@@ -112,11 +112,16 @@ def model_answer(listings: DataFrame, model: PipelineModel, heads: DataFrame, k:
 
 
 def cosine_answer(vectors: DataFrame, k: int = NEIGHBOURS) -> Answer:
-    """Compares the vectors of the batch with all others: (id, similar_ids, similarity) with the mean similarity."""
+    """Compares the vectors of the batch with all others: (id, similar_ids, similarity) with the mean similarity.
+
+    The catalogue is indexed once, before the first batch.
+    """
+    with scratch_kept():
+        index = build_index(vectors, k)
 
     def answer(ids: DataFrame) -> DataFrame:
-        asked = rows_of(ids, vectors)
-        return mean_similarity(asked, cosine_top_k(vectors, k, queries=asked))
+        asked = written(rows_of(ids, vectors), "cosine-asked")
+        return mean_similarity(asked, index.search(asked))
 
     return answer
 

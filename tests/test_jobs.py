@@ -61,6 +61,15 @@ def test_stream_to_notifications(spark, market):
     assert tables.read("to_announce_notifications").count() == n
 
 
+def test_cosine_job(spark, market):
+    tables, models = market
+    inbox, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    spark.createDataFrame([('{"id": 3}',), ('{"id": 99999}',)], "value string").write.text(inbox)
+    jobs.cosine_stream(spark, tables, spark.readStream.text(inbox), similarity.parquet_sink(out), models, scratch_path(spark, "chk"), run_once=True).awaitTermination()
+    found = store.from_cosine_messages(store.to_cosine_messages(spark.read.parquet(out))).collect()
+    assert [r["id"] for r in found] == [3] and len(found[0]["similar_ids"]) == 10 and -1 <= found[0]["similarity"] <= 1
+
+
 def test_results_stored_while_others_are_processed_stay(spark):
     tables = FolderTables(spark, scratch_path(spark, "concurrent"))
     assert jobs.pending_results(tables) is None

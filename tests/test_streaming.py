@@ -1,4 +1,5 @@
 import json
+import os
 import re
 
 import pytest
@@ -100,6 +101,26 @@ def test_stateless_form(spark, answers):
     assert [r["id"] for r in spark.read.parquet(out).collect()] == [5]
 
 
+def test_cosine_batches_share_one_index(spark):
+    """The second batch writes nothing of the catalogue's size and leaves no scratch behind."""
+    vectors = spark.range(3000).select("id", F.array(F.cos(F.col("id") * 1.0), F.sin(F.col("id") * 1.0), F.col("id") / 1000).alias("vec"))
+    answer, place = similarity.cosine_answer(vectors, 2), os.path.dirname(scratch_path(spark, "x"))
+    written_rows = []
+
+    def sink(result, batch_id):
+        result.collect()
+        for folder in set(os.listdir(place)) - before:
+            written_rows.append(spark.read.parquet(f"{place}/{folder}").count())
+
+    inbox, chk = scratch_path(spark, "in"), scratch_path(spark, "chk")
+    for i in (5, 6):
+        spark.createDataFrame([(json.dumps({"id": i}),)], "value string").write.mode("append").text(inbox)
+        before = set(os.listdir(place)) | {os.path.basename(chk)}
+        similarity.start_similarity(spark.readStream.text(inbox), answer, sink, chk, "id", run_once=True).awaitTermination()
+        assert set(os.listdir(place)) | {os.path.basename(chk)} == before
+    assert len(written_rows) >= 4 and max(written_rows) <= 4
+
+
 def test_two_far_ids_are_two_ranges(spark, tmp_path):
     ids = spark.createDataFrame([(1,), (10**9,)], "id long")
     assert similarity.id_ranges(ids) == [(1, 1), (10**9, 10**9)]
