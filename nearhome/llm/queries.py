@@ -83,7 +83,49 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_model, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op8_stupid_backoff, op9_url_filter, op10_warc)}
 
+
+
+def _template_sql() -> str:
+    """The path-template tree level by level, the merge of similar branches, and the rules."""
+    n, share, depth = url_filter.MIN_ROWS, url_filter.MIN_SHARE, url_filter.DEPTH
+    levels = []
+    for k in range(1, depth + 1):
+        levels.append(f"""
+        c{k} AS (SELECT *, parts[{k}] AS seg, count(*) OVER (PARTITION BY node, parts[{k}]) AS own, count(parts[{k}]) OVER (PARTITION BY node) AS total FROM l{k - 1}),
+        l{k} AS (SELECT page_id, host, path, rule, ruled, label, parts, CASE WHEN seg IS NULL THEN node
+                    ELSE node || '/' || CASE WHEN own >= {n} AND own >= {share} * total THEN seg
+                                             ELSE '*' || regexp_extract(seg, '(\\.[A-Za-z][A-Za-z0-9]{{0,4}})$', 1) END END AS node FROM c{k})""")
+    rules = "\n".join(
+        f"WHEN (host = '{at}' OR host LIKE '%.{at}') AND starts_with(path, '/{tail}') THEN '{rule}'"
+        for _, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1])) for at, _, tail in [rule.partition("/")]
+    )
+    verdicts = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in url_filter.RULES)
+    return f"""
+        WITH u AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+        ), r AS (SELECT *, CASE {rules} END AS rule FROM u),
+        v AS (SELECT *, CASE rule {verdicts} END AS ruled FROM r),
+        l0 AS (SELECT *, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS label,
+                      list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, host AS node FROM v),
+        {",".join(levels)},
+        t AS (SELECT *, node || CASE WHEN len(parts) > {depth} THEN '/**' ELSE '' END AS template FROM l{depth}),
+        k AS (SELECT host, template, count(label) AS labelled, coalesce(sum(label), 0) AS rejected FROM t GROUP BY host, template),
+        p AS (SELECT *, rejected / labelled AS share, host || '/*' || coalesce('/' || nullif(array_to_string(string_split(template, '/')[3:], '/'), ''), '') AS parent
+              FROM k WHERE labelled > 0),
+        g AS (SELECT *, lag(labelled) OVER w AS n0, lag(rejected) OVER w AS r0 FROM p WINDOW w AS (PARTITION BY host, parent ORDER BY share, template)),
+        e AS (SELECT *, (rejected + r0 + 1) / (labelled + n0 + 2) AS pooled FROM g),
+        b AS (SELECT *, sum(CASE WHEN n0 IS NULL OR share - r0 / n0 > {url_filter.SIMILAR} * sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / n0)) THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY host, parent ORDER BY share, template) AS branch FROM e),
+        q AS (SELECT template, (sum(rejected) OVER x + 1) / (sum(labelled) OVER x + 4) AS purity FROM b WINDOW x AS (PARTITION BY host, parent, branch))
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(purity, 0.25) >= {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+               template, coalesce(purity, 0.25) AS purity
+        FROM t LEFT JOIN q USING (template)
+    """
+
+
 SQL = {
+    "op9_url_filter": _template_sql(),
     "op6_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
