@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from nearhome.plans.catalog import QUERIES
+from nearhome.plans.oracles import SQL
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -27,10 +29,19 @@ def plain(frame):
 
 def test_every_sql_has_its_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"als_user_recs"}
+    assert set(SQL) <= set(entry_point.oracle_sql()) and set(QUERIES) <= set(entry_point.queries())
+    assert set(QUERIES) - set(SQL) == {"als_user_recs"}
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+def test_entry_without_the_optional_queries(monkeypatch):
+    def missing(name):
+        raise ModuleNotFoundError(name=name)
+
+    monkeypatch.setattr(entry_point.importlib, "import_module", missing)
+    assert set(entry_point.queries()) == set(QUERIES) and set(entry_point.oracle_sql()) == set(SQL)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     df = entry_point.queries()[name](spark, SF_DIR)
     found = df.toPandas()
