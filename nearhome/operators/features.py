@@ -28,17 +28,23 @@ def category_index(listings: DataFrame, column: str) -> DataFrame:
     return numbered(counts, [F.col("n").desc(), F.col("value")], "idx", "category-index").select("value", "idx", "n")
 
 
-def index_stage(column: str) -> StringIndexer:
-    """Index by falling frequency, equal ones alphabetically; a value unseen at training gets an index of its own."""
-    return StringIndexer(inputCol=column, outputCol=f"{column}_index", handleInvalid="keep")
+def index_stage(*columns: str) -> StringIndexer:
+    """Index by falling frequency, equal ones alphabetically; a value unseen at training gets an index of its own.
+
+    All columns are counted in one pass.
+    """
+    return StringIndexer(inputCols=list(columns), outputCols=[f"{c}_index" for c in columns], handleInvalid="keep")
 
 
-def encode_stages(column: str, n_values: int) -> list:
+def encode_stages(counts: dict[str, int]) -> list:
     """One-hot without the least frequent value, which is all zeros; so is a value unseen at training."""
+    if not counts:
+        return []
+    slices = [VectorSlicer(inputCol=f"{c}_all", outputCol=f"{c}_encoded", indices=list(range(n - 1))) for c, n in counts.items()]
     return [
-        index_stage(column),
-        OneHotEncoder(inputCol=f"{column}_index", outputCol=f"{column}_all"),
-        VectorSlicer(inputCol=f"{column}_all", outputCol=f"{column}_encoded", indices=list(range(n_values - 1))),
+        index_stage(*counts),
+        OneHotEncoder(inputCols=[f"{c}_index" for c in counts], outputCols=[f"{c}_all" for c in counts]),
+        *slices,
     ]
 
 
@@ -59,7 +65,7 @@ def feature_pipeline(
     ``order`` names the assembled columns; by default the numbers, then the categories.
     """
     counts = model_categories(listings, categories)
-    stages = [stage for column, n in counts.items() for stage in encode_stages(column, n)]
+    stages = encode_stages(counts)
     inputs = [
         f"{c}_encoded" if c in categories else c
         for c in (order or [*NUMBERS, *categories])
