@@ -1,10 +1,14 @@
 """Exact cosine neighbours.
 
 Every vector is compared by blocks of NumPy products, and a block gives out only the best ``k`` of each
-query. Large groups are first divided into cells around pivot vectors. A query then meets its own cell,
-which bounds the distance of its k-th neighbour, and after that only the cells that the triangle
+query. Groups are divided into cells around pivot vectors, whose number grows with the group. A query meets its own
+cell first, which bounds the distance of its k-th neighbour, and after that only the cells that the triangle
 inequality cannot rule out. The result is the same as comparing all pairs.
 
+A cell holds about ``CELL_ROWS`` vectors, or as many as the root of a group's size where that is more, which keeps the work
+of finding the nearest pivot and that within the cells in balance. A group of less than two cells is one cell. Pivots are a
+table like the vectors; no step depends on their fitting into one task or on the driver.
+
 Neighbours are ranked by the squared difference of the unit vectors, which tells apart what the cosine rounds to 1. The
 product only makes the shortlist; equal differences go to the lower id. The reported similarity is rounded.
 """
@@ -25,11 +29,11 @@ from nearhome.session import written
 SIM_DIGITS = 9         # of the reported similarity
 BLOCK_ROWS = 8192      # candidates that one task holds at a time
 SPLIT_ROWS = 8192     # queries that one task holds at a time
-PRUNE_FROM = 32768     # groups up to this size are compared block by block, larger ones get pivots
-MAX_PIVOTS = 4096      # bound of what is collected and broadcast
+CELL_ROWS = 16384      # vectors around a pivot
 KERNEL_ROWS = 512      # query rows of one matrix product
 SLACK = 1e-6           # covers rounding in the distance bounds
 PAIRS = 1 << 17        # pairs whose difference is taken at once
+NO_CELL = -(2 ** 63)   # of a group that is one cell
 
 
 def cosine_top_k(
@@ -39,50 +43,52 @@ def cosine_top_k(
     group: str | None = None,
     block_rows: int = BLOCK_ROWS,
     split_rows: int = SPLIT_ROWS,
-    prune_from: int = PRUNE_FROM,
-    max_pivots: int = MAX_PIVOTS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(id, rank, similar_id, similarity): the ``k`` other vectors of ``catalogue`` closest to each query.
 
     Input columns are ``id`` and ``vec``; with ``group`` only vectors of the same group are compared.
     Zero vectors, and vectors with a null, NaN or infinity, have no similarity and are left out.
     """
-    index = build_index(catalogue, k, group, block_rows, prune_from, max_pivots)
+    index = build_index(catalogue, k, group, block_rows, cell_rows)
     return index.search(catalogue if queries is None else queries, split_rows)
 
 
 class CosineIndex:
-    """The candidates of a catalogue, written once with their cells; any number of searches reads them."""
+    """The candidates of a catalogue, written once with their cells; any number of searches reads them.
+
+    ``pivots`` is (grp, cell, vec, radius), or None where every group is one cell.
+    """
 
-    def __init__(self, cand: DataFrame, pivots: _Pivots | None, sizes: DataFrame | int, k: int, group: str | None, block_rows: int):
+    def __init__(self, cand: DataFrame, pivots: DataFrame | None, sizes: DataFrame | int, k: int, group: str | None, block_rows: int):
         self.cand, self.pivots, self.sizes, self.k, self.group, self.block_rows = cand, pivots, sizes, k, group, block_rows
 
     def search(self, queries: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
         """(id, rank, similar_id, similarity) of the queries (id, vec and, where the index has one, the group)."""
         asked, k = _usable(queries, self.group), self.k
         match = lambda rows: _match(rows, self.cand, self.sizes, k, split_rows)
+        unknown = F.lit(None).cast("double").alias("kth")
         if self.pivots is None:
-            return _reported(_best(match(asked.select("*", F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("kth"))), k))
-        asked = written(self.pivots.assign(asked), "cosine-queries")
-        near = written(_best(match(asked.withColumn("kth", F.lit(None).cast("double"))), k), "cosine-own-cell")
+            return _reported(_best(match(asked.select("*", F.lit(NO_CELL).alias("cell"), unknown)), k))
+        asked = written(_placed(written(asked, "cosine-asked"), self.pivots, self.block_rows, split_rows), "cosine-queries")
+        near = written(_best(match(asked.select("*", unknown)), k), "cosine-own-cell")
         kth = near.filter(F.col("rank") == k).select("id", F.col("gap").alias("kth"))
-        visits = written(self.pivots.visits(asked.join(kth, "id", "left")), "cosine-visits")
-        far = match(visits.withColumn("cell", F.explode("cells")))
-        return _reported(_best(near.select("id", "similar_id", "gap").unionByName(far), k))
+        visits = written(_visits(asked.join(kth, "id", "left"), self.pivots, self.block_rows, split_rows), "cosine-visits")
+        return _reported(_best(near.select("id", "similar_id", "gap").unionByName(match(visits)), k))
 
 
 def build_index(
-    catalogue: DataFrame, k: int = NEIGHBOURS, group: str | None = None,
-    block_rows: int = BLOCK_ROWS, prune_from: int = PRUNE_FROM, max_pivots: int = MAX_PIVOTS,
+    catalogue: DataFrame, k: int = NEIGHBOURS, group: str | None = None, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS,
 ) -> CosineIndex:
     """Candidates, cells, radii and block layout of ``catalogue`` (id, vec and the group), for searches of up to ``k``."""
     cand = written(_lowest_copies(_usable(catalogue, group), k + 1), "cosine-candidates")
-    pivots = _choose_pivots(cand, block_rows, prune_from, max_pivots)
-    if pivots is None:
-        cand = cand.withColumn("cell", F.lit(-1))
+    pivots = written(_drawn_pivots(cand, cell_rows), "cosine-pivots")
+    if pivots.isEmpty():
+        cand, pivots = cand.withColumn("cell", F.lit(NO_CELL)), None
     else:
-        cand = written(pivots.assign(cand), "cosine-cells")
-        pivots.measure(cand)
+        placed = written(_placed(cand, pivots, block_rows, SPLIT_ROWS), "cosine-cells")
+        radius = placed.groupBy("grp", "cell").agg(F.max("home").alias("radius"))
+        pivots, cand = written(pivots.join(radius, ["grp", "cell"]), "cosine-radii"), placed.select("id", "grp", "vec", "cell")
     if pivots is None and group is None:
         sizes: DataFrame | int = max(1, ceil(cand.count() / block_rows))
     else:
@@ -90,6 +96,85 @@ def build_index(
     return CosineIndex(cand, pivots, sizes, k, group, block_rows)
 
 
+def _drawn_pivots(cand: DataFrame, cell_rows: int) -> DataFrame:
+    """(grp, cell, vec): candidates drawn by their hash, about one a cell, in groups of two cells and more."""
+    sizes = cand.groupBy("grp").agg(F.count("*").alias("n"))
+    step = F.greatest(F.lit(cell_rows), F.ceil(F.sqrt("n")))
+    large = written(sizes.withColumn("step", step).filter(F.col("n") >= 2 * F.col("step")).select("grp", "step"), "cosine-groups")
+    return cand.join(large, "grp").filter(F.pmod(F.xxhash64("id"), F.col("step")) == 0).select("grp", F.col("id").alias("cell"), "vec")
+
+
+def _placed(rows: DataFrame, pivots: DataFrame, block_rows: int, split_rows: int) -> DataFrame:
+    """``rows`` (id, grp, vec) with the ``cell`` of the nearest pivot and ``home``, the chord to it; ``NO_CELL`` without pivots."""
+    near = _meet(rows, pivots.select(F.col("cell").alias("id"), "grp", "vec"), block_rows, split_rows, _nearest, "id long, cell long, gap double")
+    best = near.groupBy("id").agg(F.min(F.struct("gap", "cell")).alias("best"))
+    return rows.join(best, "id", "left").select(
+        "id", "grp", "vec", F.coalesce("best.cell", F.lit(NO_CELL)).alias("cell"), F.sqrt("best.gap").alias("home"),
+    )
+
+
+def _visits(asked: DataFrame, pivots: DataFrame, block_rows: int, split_rows: int) -> DataFrame:
+    """(id, grp, vec, cell, kth): each query once per other cell that may still hold one of its best ``k``.
+
+    ``kth`` is the k-th squared difference found so far, null when fewer were found.
+    """
+    homes = pivots.select("grp", "cell", F.col("vec").alias("pivot"))
+    left = asked.filter(F.col("cell") != NO_CELL).join(homes, ["grp", "cell"])
+    right = pivots.select(F.col("cell").alias("id"), "grp", "vec", "radius")
+    found = _meet(left, right, block_rows, split_rows, _reachable, "id long, cell long")
+    return found.join(left.select("id", "grp", "vec", "kth"), "id").select("id", "grp", "vec", "cell", "kth")
+
+
+def _meet(left: DataFrame, right: DataFrame, block_rows: int, split_rows: int, job, schema: str) -> DataFrame:
+    """Runs ``job`` on every split of ``left`` and block of ``right`` (few rows) of a group."""
+    blocks = right.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    splits = left.groupBy("grp").agg(F.ceil(F.count("*") / split_rows).alias("splits"))
+    layout = written(blocks.join(splits, "grp"), "cosine-meeting")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = left.join(layout, "grp").select(*left.columns, place("splits").alias("split"), each("blocks").alias("block"))
+    held = right.join(layout, "grp").select(*right.columns, place("blocks").alias("block"), each("splits").alias("split"))
+    keys = ["grp", "block", "split"]
+    return dealt.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(job, schema)
+
+
+def _nearest(asked: pa.Table, pivots: pa.Table) -> pa.Table:
+    """The nearest pivot of the block for every row, the lower cell among equals."""
+    cells, gaps = np.empty(0, np.int64), np.empty(0)
+    if asked.num_rows and pivots.num_rows:
+        order = np.argsort(pivots["id"].to_numpy())
+        number, unit = pivots["id"].to_numpy()[order], _unit_rows(_matrix(pivots["vec"]))[order]
+        rows = _unit_rows(_matrix(asked["vec"]))
+        at = np.concatenate([np.argmax(rows[i : i + KERNEL_ROWS] @ unit.T, axis=1) for i in range(0, len(rows), KERNEL_ROWS)])
+        cells, gaps = number[at], np.square(rows - unit[at]).sum(axis=1)
+    return pa.table({"id": asked["id"] if len(cells) else pa.array([], pa.int64()), "cell": cells, "gap": gaps})
+
+
+def _reachable(asked: pa.Table, pivots: pa.Table) -> pa.Table:
+    """The cells of the block, other than the own one, that a query's reach may touch.
+
+    Chords between unit vectors are Euclidean distances. A vector within reach of the query can lie in another cell only
+    if that cell's ball is within reach of the query, and so is the plane halfway between the two pivots.
+    """
+    ids, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if asked.num_rows and pivots.num_rows:
+        number, radius, unit = pivots["id"].to_numpy(), pivots["radius"].to_numpy(), _unit_rows(_matrix(pivots["vec"]))
+        known, own, home = asked["id"].to_numpy(), asked["cell"].to_numpy(), asked["home"].to_numpy()
+        reach = np.sqrt(asked["kth"].to_numpy().astype(float))
+        reach = np.where(np.isnan(reach), np.inf, reach) + SLACK
+        rows, centres = _unit_rows(_matrix(asked["vec"])), _unit_rows(_matrix(asked["pivot"]))
+        for start in range(0, len(rows), KERNEL_ROWS):
+            part = slice(start, start + KERNEL_ROWS)
+            chord, between = _chord(rows[part] @ unit.T), _chord(centres[part] @ unit.T)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(between > SLACK, (chord ** 2 - home[part, None] ** 2) / (2 * between), 0.0)
+            hit = (chord - radius <= reach[part, None]) & (plane <= reach[part, None]) & (number != own[part, None])
+            query, cell = np.nonzero(hit)
+            ids.append(known[part][query])
+            cells.append(number[cell])
+    return pa.table({"id": np.concatenate(ids), "cell": np.concatenate(cells)})
+
+
 def mean_similarity(asked: DataFrame, neighbors: DataFrame) -> DataFrame:
     """(id, similar_ids, similarity): neighbours in order and their mean similarity, 0.0 where there is none."""
     in_order = F.array_sort(F.collect_list(F.struct("rank", "similar_id")))
@@ -201,109 +286,5 @@ def _block_top_k(asked: pa.Table, cand: pa.Table, k: int) -> pa.Table:
     return pa.table({"id": ids, "similar_id": similar, "gap": value})
 
 
-def _choose_pivots(cand: DataFrame, block_rows: int, prune_from: int, max_pivots: int) -> _Pivots | None:
-    """About one pivot per ``block_rows`` vectors of each group of more than ``prune_from``."""
-    sizes = cand.groupBy("grp").count().filter(F.col("count") > prune_from)
-    total = sizes.agg(F.sum("count")).first()[0]
-    if total is None:
-        return None
-    step = max(block_rows, ceil(total / max_pivots))
-    sizes = written(sizes, "cosine-groups")
-    spread = F.xxhash64("id")
-    drawn = (
-        cand.join(sizes, "grp", "left_semi")
-        .filter(F.pmod(spread, F.lit(step)) == 0)
-        .orderBy(spread)
-        .limit(max_pivots)
-        .select("grp", "vec")
-        .collect()
-    )
-    return _Pivots(cand, [r["grp"] for r in drawn], [r["vec"] for r in drawn]) if drawn else None
-
-
-def _parts(group_of: np.ndarray, gid: pa.Array, vec: pa.Array):
-    """(row numbers, their unit vectors, the pivots of their group) in small parts; rows without pivots are left out."""
-    gids, unit = gid.to_numpy(zero_copy_only=False), _unit_rows(_matrix(vec))
-    for g in np.unique(gids[gids >= 0]):
-        own = np.flatnonzero(group_of == g)
-        rows = np.flatnonzero(gids == g)
-        for start in range(0, len(rows), KERNEL_ROWS):
-            part = rows[start:start + KERNEL_ROWS]
-            yield part, unit[part], own
-
-
-class _Pivots:
-    """At most ``max_pivots`` unit vectors; the cells of a group are numbered by their pivot."""
-
-    def __init__(self, cand: DataFrame, groups: list, vectors: list):
-        spark = cand.sparkSession
-        names = sorted(set(groups))
-        number = {g: i for i, g in enumerate(names)}
-        self.group_of = np.array([number[g] for g in groups])
-        self.matrix = _unit_rows(np.array(vectors))
-        schema = f"grp {cand.schema['grp'].dataType.simpleString()}, gid int"
-        self.groups = spark.createDataFrame([(g, i) for g, i in number.items()], schema)
-
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Adds the group number and the nearest pivot as ``cell``; both are -1 in a group without pivots."""
-        group_of, matrix = self.group_of, self.matrix
-
-        @F.arrow_udf("int")
-        def nearest(gid: pa.Array, vec: pa.Array) -> pa.Array:
-            cell = np.full(len(gid), -1, dtype=np.int32)
-            for rows, unit, own in _parts(group_of, gid, vec):
-                cell[rows] = own[np.argmax(unit @ matrix[own].T, axis=1)]
-            return pa.array(cell)
-
-        # one row per pivoted group, at most ``max_pivots``
-        named = df.join(F.broadcast(self.groups), "grp", "left").withColumn("gid", F.coalesce("gid", F.lit(-1)))
-        return named.select("id", "grp", "vec", "gid", nearest("gid", "vec").alias("cell"))
-
-    def measure(self, cand: DataFrame) -> None:
-        """Finds the radius of every cell, the largest chord from its pivot to a candidate."""
-        matrix, self.radius = self.matrix, np.full(len(self.matrix), -np.inf)
-
-        @F.arrow_udf("double")
-        def pivot_chord(cell: pa.Array, vec: pa.Array) -> pa.Array:
-            near = matrix[cell.to_numpy(zero_copy_only=False)]
-            return pa.array(_chord(np.einsum("ij,ij->i", _unit_rows(_matrix(vec)), near)))
-
-        inside = cand.filter(F.col("cell") >= 0).select("cell", pivot_chord("cell", "vec").alias("chord"))
-        for row in inside.groupBy("cell").agg(F.max("chord").alias("radius")).collect():  # one row per pivot
-            self.radius[row["cell"]] = row["radius"]
-
-    def visits(self, asked: DataFrame) -> DataFrame:
-        """Queries with the other ``cells`` that may still hold one of their best ``k``.
-
-        ``kth`` is the k-th squared difference found so far, null when fewer were found. Chords between unit vectors are
-        Euclidean distances. A vector within ``reach`` of the query can lie in another cell only if that cell's
-        ball is within reach of the query, and so is the plane halfway between the two pivots.
-        """
-        group_of, matrix, radius = self.group_of, self.matrix, self.radius
-
-        @F.arrow_udf("array<int>")
-        def reachable(gid: pa.Array, cell: pa.Array, vec: pa.Array, kth: pa.Array) -> pa.Array:
-            cells = cell.to_numpy(zero_copy_only=False)
-            reach = np.sqrt(kth.to_numpy(zero_copy_only=False).astype(float))
-            reach = np.where(np.isnan(reach), np.inf, reach) + SLACK
-            found: list = [[]] * len(cells)
-            for rows, unit, own in _parts(group_of, gid, vec):
-                at = np.searchsorted(own, cells[rows])
-                chord = _chord(unit @ matrix[own].T)
-                between = _chord(matrix[own[at]] @ matrix[own].T)
-                home = chord[np.arange(len(rows)), at]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(between > SLACK, (chord ** 2 - home[:, None] ** 2) / (2 * between), 0.0)
-                hit = (chord - radius[own] <= reach[rows, None]) & (plane <= reach[rows, None])
-                hit[np.arange(len(rows)), at] = False
-                for i, r in enumerate(rows):
-                    found[r] = own[hit[i]]
-            return pa.array(found, pa.list_(pa.int32()))
-
-        pivoted = asked.filter(F.col("gid") >= 0)
-        reached = pivoted.select("id", "grp", "vec", "kth", reachable("gid", "cell", "vec", "kth").alias("cells"))
-        return reached.filter(F.size("cells") > 0)
-
-
 def _chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * cosine, 0.0))

@@ -63,7 +63,7 @@ def test_huge_and_tiny_entries(spark):
 def test_equals_all_pairs(spark, blocks):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(240, 5)).round(3)
-    found = cosine.cosine_top_k(frame(spark, vectors), 6, block_rows=blocks[0], split_rows=blocks[1], prune_from=blocks[0])
+    found = cosine.cosine_top_k(frame(spark, vectors), 6, block_rows=blocks[0], split_rows=blocks[1], cell_rows=blocks[0])
     same(result(found), brute(vectors, 6))
 
 
@@ -80,13 +80,13 @@ def test_pruning_on_clustered_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(8, 4)) * 5
     vectors = (centres[rng.integers(0, 8, 400)] + rng.normal(size=(400, 4)) * 0.05).round(4)
-    same(result(cosine.cosine_top_k(frame(spark, vectors), 5, block_rows=20, split_rows=30, prune_from=20)), brute(vectors, 5))
+    same(result(cosine.cosine_top_k(frame(spark, vectors), 5, block_rows=20, split_rows=30, cell_rows=20)), brute(vectors, 5))
 
 
 def test_few_pivots(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(200, 3)).round(3)
-    same(result(cosine.cosine_top_k(frame(spark, vectors), 4, block_rows=10, prune_from=10, max_pivots=2)), brute(vectors, 4))
+    same(result(cosine.cosine_top_k(frame(spark, vectors), 4, block_rows=10, cell_rows=10)), brute(vectors, 4))
 
 
 def test_a_third_are_copies(spark):
@@ -94,7 +94,7 @@ def test_a_third_are_copies(spark):
     vectors = rng.normal(size=(300, 3)).round(2)
     vectors[rng.permutation(300)[:100]] = (0.5, -0.25, 1.0)
     for block_rows in (1000, 16):
-        same(result(cosine.cosine_top_k(frame(spark, vectors), 5, block_rows=block_rows, split_rows=20, prune_from=block_rows)), brute(vectors, 5))
+        same(result(cosine.cosine_top_k(frame(spark, vectors), 5, block_rows=block_rows, split_rows=20, cell_rows=block_rows)), brute(vectors, 5))
 
 
 def test_scaled_copies_tie_on_the_lower_id(spark):
@@ -109,7 +109,7 @@ def test_groups_with_a_hot_one(spark, block_rows):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(260, 4)).round(3)
     groups = ["hot" if i % 3 else f"g{i % 40}" for i in range(260)]
-    found = cosine.cosine_top_k(frame(spark, vectors, groups), 5, group="grp", block_rows=block_rows, split_rows=25, prune_from=2 * block_rows)
+    found = cosine.cosine_top_k(frame(spark, vectors, groups), 5, group="grp", block_rows=block_rows, split_rows=25, cell_rows=block_rows)
     same(result(found), brute(vectors, 5, groups))
 
 
@@ -118,7 +118,7 @@ def test_queries_outside_the_catalogue(spark):
     vectors = rng.normal(size=(150, 3)).round(3)
     catalogue, asked = frame(spark, vectors[:120]), frame(spark, vectors[120:], first=120)
     for block_rows in (1000, 15):
-        found = result(cosine.cosine_top_k(catalogue, 4, queries=asked, block_rows=block_rows, prune_from=block_rows))
+        found = result(cosine.cosine_top_k(catalogue, 4, queries=asked, block_rows=block_rows, cell_rows=block_rows))
         expected = {}
         for i in range(120, 150):
             alone = brute([*vectors[:120], vectors[i]], 4)
@@ -130,7 +130,7 @@ def test_fewer_than_k_in_own_cell(spark):
     # ten far-off singles make cells of their own, where no query finds k others
     rng = np.random.default_rng(7)
     vectors = np.concatenate([np.eye(12)[:10] * 9, rng.normal(size=(90, 12)) * 0.01 + 1]).round(4)
-    same(result(cosine.cosine_top_k(frame(spark, vectors), 8, block_rows=3, prune_from=3)), brute(vectors, 8))
+    same(result(cosine.cosine_top_k(frame(spark, vectors), 8, block_rows=3, cell_rows=3)), brute(vectors, 8))
 
 
 def test_a_far_vector_changes_nothing(spark):
@@ -154,7 +154,7 @@ def test_mean_similarity_defaults_to_zero(spark):
 @pytest.mark.parametrize("group", [None, "grp"])
 def test_no_cross_join_in_the_plan(spark, capsys, block_rows, group):
     df = frame(spark, np.eye(6) + 0.1, ["a", "b"] * 3)
-    cosine.cosine_top_k(df, 2, group=group, block_rows=block_rows, prune_from=block_rows).explain()
+    cosine.cosine_top_k(df, 2, group=group, block_rows=block_rows, cell_rows=block_rows).explain()
     plan = capsys.readouterr().out
     assert "CoGroup" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
