@@ -1,93 +1,7 @@
-"""Table and message schemas, value domains and default parameters."""
+"""Schemas of metadata and messages, value domains and default parameters."""
 
 from pyspark.sql import types as T
 
-USER = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("username", T.StringType(), False),
-    T.StructField("password", T.StringType(), False),
-    T.StructField("telephone", T.StringType()),
-    T.StructField("nom", T.StringType()),
-    T.StructField("active", T.BooleanType()),
-    T.StructField("abonnement_id", T.LongType()),
-])
-
-USER_ROLES = T.StructType([
-    T.StructField("user_id", T.LongType()),
-    T.StructField("roles", T.StringType()),
-])
-
-LISTING = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("titre", T.StringType(), False),
-    T.StructField("description", T.StringType()),
-    T.StructField("prix", T.FloatType(), False),
-    T.StructField("lease_duration", T.StringType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("rooms", T.StringType()),
-    T.StructField("latitude", T.DoubleType()),
-    T.StructField("longitude", T.DoubleType()),
-    T.StructField("type_bien", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("user_id", T.LongType()),
-])
-
-LISTING_OLD = T.StructType([
-    T.StructField("id", T.IntegerType(), False),
-    T.StructField("title", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("price", T.DecimalType(10, 2)),
-    T.StructField("latitude", T.DoubleType()),
-    T.StructField("longitude", T.DoubleType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("rooms", T.StringType()),
-])
-
-ATTACHMENT = T.StructType([
-    T.StructField("annonce_id", T.LongType()),
-    T.StructField("attachment_paths", T.StringType()),
-])
-
-SAVED_SEARCH = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("query", T.StringType()),
-    T.StructField("min_prix", T.FloatType()),
-    T.StructField("max_prix", T.FloatType()),
-    T.StructField("type", T.IntegerType()),
-    T.StructField("status_annonce", T.IntegerType()),
-    T.StructField("latitude", T.DoubleType()),
-    T.StructField("longitude", T.DoubleType()),
-    T.StructField("radius", T.DoubleType()),
-    T.StructField("rooms", T.IntegerType()),
-    T.StructField("type_bien", T.IntegerType()),
-    T.StructField("user_id", T.LongType()),
-])
-
-INTERACTION = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("user_id", T.LongType(), False),
-    T.StructField("annonce_id", T.LongType(), False),
-    T.StructField("interaction_score", T.FloatType(), False),
-    T.StructField("interaction_type", T.StringType(), False),
-    T.StructField("interaction_date", T.TimestampType()),
-])
-
-SIMILAR_CSV = T.StructType([
-    T.StructField("announceId", T.LongType()),
-    T.StructField("similarsIds", T.StringType()),
-])
-
-NOTIFICATION = T.StructType([
-    T.StructField("announce_id", T.LongType()),
-    T.StructField("user_id", T.LongType()),
-])
-
-USER_RECOMMENDATION = T.StructType([
-    T.StructField("user_id", T.IntegerType(), False),
-    T.StructField("annonce_id", T.IntegerType(), False),
-    T.StructField("rating", T.FloatType(), False),
-])
-
 MODEL_METADATA = T.StructType([
     T.StructField("version", T.LongType(), False),
     T.StructField("last_id", T.LongType()),
