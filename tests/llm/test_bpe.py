@@ -1,4 +1,3 @@
-import base64
 import hashlib
 
 import public_tokenizers
@@ -8,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from llm.conftest import ODD, SCHEMA
+from llm.conftest import ODD
 from nearhome.llm import bpe, queries
 
 RANKS = bpe.read_ranks(queries.VOCABULARY)

@@ -1,7 +1,6 @@
 import hashlib
 import re
 
-import pytest
 
 from llm.conftest import ODD, frame
 from nearhome.llm import queries, secrets
