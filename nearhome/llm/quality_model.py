@@ -122,6 +122,19 @@ def _sums(rated: DataFrame, size: int, job) -> np.ndarray:
     return sum((np.frombuffer(p["total"]) for p in parts), np.zeros(size))
 
 
+def _renumbered(rated: DataFrame, used: np.ndarray) -> DataFrame:
+    """The rated features by their place in ``used``, without the others, written: so each step sends the tasks little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        for batch in batches:
+            places = [place[np.frombuffer(x.as_py(), np.int32)] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[p >= 0].tobytes() for p in places], pa.binary())], ["grade", "features"])
+
+    return written(rated.mapInArrow(run, "grade int, features binary"), "model-places")
+
+
 def fitted(rated: DataFrame) -> Model | None:
     """The model, or None without two different grades."""
     count = lambda grade, rows, flat: np.concatenate([np.bincount(grade, minlength=GRADES), np.bincount(grade[rows] * BUCKETS + flat, minlength=GRADES * BUCKETS)])
@@ -136,16 +149,12 @@ def fitted(rated: DataFrame) -> Model | None:
         apart = np.abs(np.log(low / (texts[:k].sum() + 1)) - np.log(high / (texts[k:].sum() + 1)))
         scale = np.maximum(scale, apart - ERRORS * np.sqrt(1 / low + 1 / high))
     used = np.flatnonzero(scale > 0)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    size = len(used)
+    size, scale = len(used), scale[used]
+    slim = _renumbered(rated, used)
 
     def objective(point: np.ndarray) -> tuple[float, np.ndarray]:
-        def job(grade, rows, flat):
-            at = place[flat]
-            return loss_and_slopes(grade, rows[at >= 0], at[at >= 0], scale[used], point)
-
-        total = _sums(rated, 1 + size + GRADES - 1, job) / n
+        job = lambda grade, rows, flat: loss_and_slopes(grade, rows, flat, scale, point)
+        total = _sums(slim, 1 + size + GRADES - 1, job) / n
         total[1 : size + 1] += RIDGE * point[:size]
         return total[0] + RIDGE / 2 * (point[:size] @ point[:size]), total[1:]
 
@@ -154,7 +163,7 @@ def fitted(rated: DataFrame) -> Model | None:
     point = np.concatenate([np.zeros(size), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     point = _minimum(objective, point)
     weights = np.zeros(BUCKETS)
-    weights[used] = point[:size] * scale[used]
+    weights[used] = point[:size] * scale
     return Model(weights, _thresholds(point[size:]))
 
 
