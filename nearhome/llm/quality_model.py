@@ -118,10 +118,33 @@ def _sums(rated: DataFrame, size: int, job) -> np.ndarray:
                 total += job(batch.column(0).to_numpy().astype(int), rows, np.concatenate(found))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    parts = rated.mapInArrow(run, "total binary").collect()  # a vector of fixed size per task, ``TASKS`` of them
+    parts = rated.coalesce(TASKS).mapInArrow(run, "total binary").collect()  # a vector of fixed size per task, ``TASKS`` of them
     return sum((np.frombuffer(p["total"]) for p in parts), np.zeros(size))
 
 
+def _evidence(rated: DataFrame, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, scales) of the features whose share differs between low and high grades, by the texts that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((BUCKETS, GRADES), np.int64)
+        for batch in batches:
+            for grade, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts[np.frombuffer(x.as_py(), np.int32), grade] += 1
+        at = np.flatnonzero(counts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(counts[at, k]) for k in range(GRADES))], ["bucket", *names])
+
+    names = [f"grade_{k}" for k in range(GRADES)]
+    counts = rated.coalesce(TASKS).mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in names))
+    totals = counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    scales = []
+    for k in range(1, GRADES):
+        low, high = (sum(map(F.col, some), F.lit(0.5)) for some in (names[:k], names[k:]))
+        apart = F.abs(F.log(low / float(texts[:k].sum() + 1)) - F.log(high / float(texts[k:].sum() + 1)))
+        scales.append(apart - ERRORS * F.sqrt(1 / low + 1 / high))
+    found = totals.select("bucket", F.greatest(*scales).alias("scale")).filter("scale > 0").orderBy("bucket").collect()  # BUCKETS rows at most
+    return np.array([r["bucket"] for r in found], np.int64), np.array([r["scale"] for r in found], float)
+
+
 def _renumbered(rated: DataFrame, used: np.ndarray) -> DataFrame:
     """The rated features by their place in ``used``, without the others, written: so each step sends the tasks little."""
 
@@ -137,19 +160,14 @@ def _renumbered(rated: DataFrame, used: np.ndarray) -> DataFrame:
 
 def fitted(rated: DataFrame) -> Model | None:
     """The model, or None without two different grades."""
-    count = lambda grade, rows, flat: np.concatenate([np.bincount(grade, minlength=GRADES), np.bincount(grade[rows] * BUCKETS + flat, minlength=GRADES * BUCKETS)])
-    counts = _sums(rated, GRADES * (BUCKETS + 1), count)
-    texts, having = counts[:GRADES], counts[GRADES:].reshape(GRADES, BUCKETS)
+    texts = np.zeros(GRADES)
+    for grade, n in rated.groupBy("grade").count().collect():
+        texts[grade] = n
     n = texts.sum()
     if (texts > 0).sum() < 2:
         return None
-    scale = np.zeros(BUCKETS)
-    for k in range(1, GRADES):
-        low, high = having[:k].sum(axis=0) + 0.5, having[k:].sum(axis=0) + 0.5
-        apart = np.abs(np.log(low / (texts[:k].sum() + 1)) - np.log(high / (texts[k:].sum() + 1)))
-        scale = np.maximum(scale, apart - ERRORS * np.sqrt(1 / low + 1 / high))
-    used = np.flatnonzero(scale > 0)
-    size, scale = len(used), scale[used]
+    used, scale = _evidence(rated, texts)
+    size = len(used)
     slim = _renumbered(rated, used)
 
     def objective(point: np.ndarray) -> tuple[float, np.ndarray]:
