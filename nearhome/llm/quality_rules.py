@@ -8,8 +8,8 @@ that of the raw corpus. The score is the mean log ratio of a text's n-grams. Eve
 kept, so the same document is always judged alike. The threshold lies ``MARGIN`` times as far below the median of the
 trusted documents' own scores as their ``TAIL`` quantile does, so that documents like the trusted ones stay.
 
-The raw model counts every n-gram of all documents. The target model takes the trusted rows with the smallest hashes,
-``TRUSTED`` at most; this documented bound is what allows to broadcast their ids. Trusted are ids labelled with quality 1
+The raw model counts every n-gram of all documents, the target model those of all trusted ones, and the quantiles are
+those of all trusted documents (by a sketch with a rank error of 1 in 100,000). Trusted are ids labelled with quality 1
 and never with quality 0 or toxic 1. Without any trusted document the method keeps what the base rules keep.
 
 A null or empty text has no words and fails. Repeated rows are judged alike; a null doc_id is never trusted.
@@ -30,7 +30,6 @@ from nearhome.session import written
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 BUCKETS = 1 << 14
-TRUSTED = 20_000
 TAIL, MARGIN = 0.005, 2.0
 CHUNK = 1 << 20  # words hashed at once
 
@@ -83,13 +82,13 @@ def ngram_buckets(ids: np.ndarray, vocabulary: list[bytes], buckets: int = BUCKE
         yield (pairs >> np.uint64(20)).astype(np.int64) % buckets
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """(doc_id): ids with good labels only, the ``limit`` with the smallest hashes."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id): the distinct ids with good labels only."""
     good = (
         labels.filter("doc_id IS NOT NULL").groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).filter("quality = 1 AND toxic = 0")
     )
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
+    return good.select("doc_id")
 
 
 def counted(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +107,15 @@ def counted(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    sums = _flagged(docs, trusted, []).mapInArrow(run, "bucket long, raw long, target long")
+    sums = _flagged(docs, trusted).mapInArrow(run, "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, n, m in sums.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # BUCKETS rows at most
         raw[bucket], target[bucket] = n, m
     return raw, target
 
 
-def scored(docs: DataFrame, trusted: DataFrame, keep: list[str], ratios: np.ndarray) -> DataFrame:
-    """The ``keep`` columns, the measures, ``trusted``, and ``score``: the mean log ratio of all n-grams, 0 without any."""
+def scored(docs: DataFrame, keep: list[str], ratios: np.ndarray) -> DataFrame:
+    """The ``keep`` columns, ``scored_id`` (the doc_id), the measures, and ``score``: the mean log ratio of all n-grams, 0 without any."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +129,12 @@ def scored(docs: DataFrame, trusted: DataFrame, keep: list[str], ratios: np.ndar
                 total = sum(float(shared.value[b].sum()) for b in ngram_buckets(ids, vocabulary))
                 scores.append(round(total / max(1, 2 * len(ids) - 1), 9))
             columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(MEASURES))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns, batch.column(len(keep) + 1), pa.array(scores, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], batch.column(len(keep) + 1), *columns, pa.array(scores, pa.float64())], names)
 
-    names = [*keep, *MEASURES, "trusted", "score"]
+    names = [*keep, "scored_id", *MEASURES, "score"]
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{c} long" for c in MEASURES), "trusted boolean, score double"])
-    return _flagged(docs, trusted, keep).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"scored_id {types['doc_id']}", *(f"{c} long" for c in MEASURES), "score double"])
+    return docs.select(*keep, F.col("text").cast("string").alias("text to score"), F.col("doc_id").alias("scored_id")).mapInArrow(run, schema)
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -149,11 +148,13 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns, the measures, ``score``, ``base_failed`` and ``kept``, one row per document.
 
-    The texts are read twice, once to count and once to score. Nothing but the sums and the ids of trusted documents moves.
+    The texts are read twice, once to count and once to score. To count, they are shuffled once to meet the trusted ids; the
+    quantiles need a join of ids and scores only.
     """
     trusted = written(trusted_ids(labels), "quality-trusted")
-    scores = written_densely(scored(docs, trusted, keep, log_ratios(*counted(docs, trusted))), "quality-scores")
-    quantiles = scores.filter("trusted").select(F.percentile_approx("score", [0.5, TAIL], 100_000).alias("q")).first()["q"]
+    scores = written_densely(scored(docs, keep, log_ratios(*counted(docs, trusted))), "quality-scores")
+    good = scores.select(F.col("scored_id").alias("doc_id"), "score").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
+    quantiles = good.select(F.percentile_approx("score", [0.5, TAIL], 100_000).alias("q")).first()["q"]
     threshold = float("-inf") if quantiles is None else quantiles[0] - MARGIN * (quantiles[0] - quantiles[1])
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return scores.select(
@@ -167,7 +168,8 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return unpacked(judged(whole, labels, ["doc"]).filter("kept"), "doc")
 
 
-def _flagged(docs: DataFrame, trusted: DataFrame, keep: list[str]) -> DataFrame:
-    ids = F.broadcast(trusted.select("doc_id", F.lit(True).alias("known")))  # TRUSTED ids at most
-    joined = docs.select(*{*keep, "doc_id"}, F.col("text").cast("string").alias("text to count")).join(ids, "doc_id", "left")
-    return joined.select(*keep, "text to count", F.coalesce("known", F.lit(False)).alias("trusted"))
+def _flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text to count, trusted). Ids grow with the labels, so they are never broadcast."""
+    ids = trusted.select("doc_id", F.lit(True).alias("known")).hint("shuffle_hash")
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text to count")).join(ids, "doc_id", "left")
+    return joined.select("text to count", F.coalesce("known", F.lit(False)).alias("trusted"))

@@ -90,6 +90,14 @@ def test_query(spark, folder, none):
     assert empty.count() == 0
 
 
+def test_all_trusted_documents_count(spark):
+    n = 25_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('a', id % 50, ' b c') AS text")
+    trusted = quality_rules.trusted_ids(spark.range(0, n, 1).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").union(spark.sql("SELECT 7L, 0, 0")))
+    raw, target = quality_rules.counted(docs, trusted)
+    assert raw.sum() == 5 * n and target.sum() == 5 * (n - 1)  # three words and two pairs each
+
+
 def test_without_labels_the_base_rules_decide(spark, folder):
     docs, labels = corpus(spark)
     found = queries.op4_quality_rules(spark, folder(documents=docs, labels=labels.limit(0))).collect()
