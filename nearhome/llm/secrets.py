@@ -9,8 +9,8 @@ Found by themselves (leftmost, not overlapping within a kind; failing ones are d
 Weak parts mean nothing alone: identifiers (an assigned user, account or key id), secrets (a mixed token of 20 characters
 or more, or a value assigned to a name like pwd) and endpoints (an address, or a value assigned to a name like host). A
 weak secret and an identifier are reported when they begin within ``REACH`` characters of each other in one scope; access
-keys count as identifiers. An endpoint is reported when it stands as near to a secret so reported. Scopes are
-the blocks of a text between blank lines. The parts meet in an interval join: by scope and by bins of ``REACH``
+keys count as identifiers. Assign and hex spans are secrets by themselves, so an identifier as near to one is reported
+too. An endpoint is reported when it stands as near to a secret that is reported, weak or not. Scopes are the blocks of a text between blank lines. The parts meet in an interval join: by scope and by bins of ``REACH``
 characters, so a bin holds a bounded number of parts.
 
 Positions are code points, ends exclusive. Null texts count as empty. Repeated rows are told apart by a number that is
@@ -30,7 +30,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a run of [0-9a-f]+ is as long as it gets, so this drops the shorter ones alone
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
+STRONG = ["assign", "access", "hex"]
+KINDS = [*STRONG, "identifier", "secret", "endpoint"]
 
 IDENTIFIER = r"""(?i:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user_?id|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
 SECRET = (
@@ -81,7 +82,9 @@ def found_parts(docs: DataFrame) -> DataFrame:
         spans(F.col("text"), HEX, number["hex"], (0, LEAST["hex"])).alias("hex"),
     )
     text = F.col("text")
-    linkable = F.regexp_like(text, F.lit(SECRET)) & ((F.size("access") > 0) | F.regexp_like(text, F.lit(IDENTIFIER)))
+    has = lambda pattern: F.regexp_like(text, F.lit(pattern))
+    strong = (F.size("assign") > 0) | (F.size("hex") > 0)
+    linkable = (strong & (has(IDENTIFIER) | has(ENDPOINT))) | (has(SECRET) & ((F.size("access") > 0) | has(IDENTIFIER)))
     weak = F.concat(*[spans(text, pattern, number[k]) for k, pattern in (("identifier", IDENTIFIER), ("secret", SECRET), ("endpoint", ENDPOINT))])
     none = F.array().cast(_SPANS)
     flagged = base.withColumn("linkable", linkable)
@@ -92,20 +95,21 @@ def found_parts(docs: DataFrame) -> DataFrame:
 
 
 def linked_parts(found: DataFrame) -> DataFrame:
-    """(row, start, kind, end): weak parts that stand with their complement."""
+    """(row, start, kind, end): weak parts that stand with their complement, weak or strong."""
     candidates = found.filter(F.size("parts") > 0)
-    pieces = candidates.select("row", F.inline(F.concat("parts", "access", "breaks")).alias("start", "kind", "end"))
+    pieces = candidates.select("row", F.inline(F.concat("parts", *STRONG, "breaks")).alias("start", "kind", "end"))
     # the scope is the number of blank lines before
     scope = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
     parts = pieces.withColumn("scope", F.count_if(F.col("kind") == -1).over(scope)).filter("kind >= 0")
     parts = written(parts.withColumn("bin", F.floor(F.col("start") / REACH)), "secret-scopes")
     number = {k: i for i, k in enumerate(KINDS)}
     of = lambda *kinds: parts.filter(F.col("kind").isin([number[k] for k in kinds]))
-    near = written(_near(of("secret"), of("identifier", "access")), "secret-links")
-    secrets = near.select("row", "scope", "bin", *_own()).distinct()
+    near = written(_near(of("secret", "assign", "hex"), of("identifier", "access")), "secret-links")
+    secrets = near.filter(F.col("kind") == number["secret"]).select("row", "scope", "bin", *_own()).distinct()
+    secrets = secrets.unionByName(of("assign", "hex").select("row", "scope", "bin", *_own()))
     endpoints = _near(secrets, of("endpoint")).select("row", *_other())
     linked = secrets.select("row", *_own()).unionByName(near.select("row", *_other())).unionByName(endpoints)
-    return linked.filter(F.col("kind") != number["access"]).distinct()
+    return linked.filter(~F.col("kind").isin([number[k] for k in STRONG])).distinct()
 
 
 def _own() -> list[str]:

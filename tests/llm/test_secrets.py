@@ -61,6 +61,24 @@ def test_weak_parts_are_reported_only_together(spark, folder):
     assert found == {i: ",".join(s) for i, (_, s) in enumerate(LINKED)}
 
 
+def linked_spans(spark, folder, texts):
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["spans"] for r in queries.op5_secret_scan(spark, folder(documents=frame(spark, rows))).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_parts_near_strong_spans_are_reported(spark, folder):
+    cases = [
+        ("user: bob\npassword: hunter22\nhost: db.example.com", "identifier:0:9,assign:10:28,endpoint:29:49"),
+        (f"client_id=abc {HEX}", "identifier:0:13,hex:14:46"),
+        ("password: hunter22 host: db.example.com", "assign:0:18,endpoint:19:39"),
+        ("user: bob\n\npassword: hunter22", "assign:11:29"),
+        ("user: bob " + "x " * 200 + "password: hunter22", "assign:410:428"),
+        (f"{KEY} password: hunter22", "access:0:20,assign:21:39"),
+    ]
+    assert linked_spans(spark, folder, [t for t, _ in cases]) == [s for _, s in cases]
+
+
 def test_parts_in_one_hot_text(spark, folder):
     text = " ".join(f"user=u{i:05d} Ab3dEf6hIj9k{i:05d}Lm2nOp5q" for i in range(3000))
     rows = [(1, text, "a"), (1, text, "a")]
