@@ -6,8 +6,8 @@ Found by themselves (leftmost, not overlapping within a kind; failing ones are d
 - access: ``AKIA`` and capitals or digits, 20 characters or more;
 - hex: 24 hexadecimal digits or more.
 
-Weak parts mean nothing alone: identifiers (an assigned user, account or key id), secrets (a mixed token of 20 characters
-or more, or a value assigned to a name like pwd) and endpoints (an address, or a value assigned to a name like host). A
+Weak parts mean nothing alone: identifiers (an assigned user, account or key id), secrets (a token of 20 characters
+or more with a digit, a capital and a small letter anywhere in it, also right behind ``=`` or a quote, or a value assigned to a name like pwd) and endpoints (an address, or a value assigned to a name like host). A
 weak secret and an identifier are reported when they begin within ``REACH`` characters of each other in one scope; access
 keys count as identifiers. Assign and hex spans are secrets by themselves, so an identifier as near to one is reported
 too. An endpoint is reported when it stands as near to a secret that is reported, weak or not. Scopes are the blocks of a text between blank lines. The parts meet in an interval join: by scope and by bins of ``REACH``
@@ -36,7 +36,8 @@ KINDS = [*STRONG, "identifier", "secret", "endpoint"]
 IDENTIFIER = r"""(?i:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user_?id|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
 SECRET = (
     r"""(?i:pwd|passphrase|private_?key|access_?key|credential|auth)["']?\x20*[:=]\x20*["']?[^\x20\x09-\x0D"']{6,}"""
-    r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[a-z0-9+/_-]{0,40}[A-Z])(?=[A-Z0-9+/_-]{0,40}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"""
+    # the lookaheads go through the whole token, possessively, so each token is read four times at most
+    r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"""
 )
 ENDPOINT = (
     r"""(?i:https?|ftp|jdbc:[a-z]+|mysql|postgres(?:ql)?|mongodb|redis|amqps?|s3|ssh)://[^\x20\x09-\x0D"'<>]+"""

@@ -79,6 +79,20 @@ def test_parts_near_strong_spans_are_reported(spark, folder):
     assert linked_spans(spark, folder, [t for t, _ in cases]) == [s for _, s in cases]
 
 
+def test_tokens_behind_names_and_with_late_classes(spark, folder):
+    late = "aB" * 30 + "7" + "cD" * 10
+    small, capital = "A1" * 30 + "z" + "B2" * 5, "g1" * 30 + "Z" + "h2" * 5
+    cases = [
+        ("user=alice sig=Ab3dEf6hIj9kLm2nOp5q", "identifier:0:10,secret:15:35"),
+        ("?user=alice&sig=Ab3dEf6hIj9kLm2nOp5q&x=1", "identifier:1:11,secret:16:36"),
+        ('user=alice\nSIG="Ab3dEf6hIj9kLm2nOp5q=="', "identifier:0:10,secret:16:38"),
+        *[(f"user=alice {t}", f"identifier:0:10,secret:11:{11 + len(t)}") for t in (late, small, capital)],
+        ("user=alice " + "aB" * 200_000, ""),
+        ("user=alice a_long_lower_name_of_pwd=hunter22", "identifier:0:10,secret:32:44"),
+    ]
+    assert linked_spans(spark, folder, [t for t, _ in cases]) == [s for _, s in cases]
+
+
 def test_parts_in_one_hot_text(spark, folder):
     text = " ".join(f"user=u{i:05d} Ab3dEf6hIj9k{i:05d}Lm2nOp5q" for i in range(3000))
     rows = [(1, text, "a"), (1, text, "a")]
