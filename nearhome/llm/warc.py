@@ -2,7 +2,8 @@
 
 Writing: one gzip member per record, by Spark's text writer, so that the archives are committed like any other table.
 The writer puts a separator after every row. It is the last byte of an empty gzip member with which every row ends, so
-the file is a plain sequence of members and any WARC tool reads it.
+the file is a plain sequence of members and any WARC tool reads it. A row holds all members of an archive, which ends
+before it would pass ``FILE_BYTES`` or ``RECORDS_PER_FILE``; only a single record that is larger makes a larger archive.
 
 Reading: records are taken one after another, each checked (gzip sum, version line, mandatory headers, length, end of
 record, payload digest). After a check fails, the reader looks for the next place where a whole valid member, or a record behind a
@@ -30,6 +31,7 @@ from nearhome.session import scratch_path, written
 
 MIN_SHARED = 100  # bytes; smaller payloads are always stored
 RECORDS_PER_FILE = 10_000
+FILE_BYTES = 32 << 20  # compressed; an archive is written and read as one row
 SLICE = 8 << 20  # bytes of payload in a batch that goes back to Spark
 CHUNK = 1 << 16
 DATE = "2000-01-01T00:00:00Z"  # the pages carry no time; a fixed one keeps reruns equal
@@ -75,26 +77,31 @@ def record_bytes(record_id: str, url: str | None, payload: bytes | None, digest:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Writes the records of ``page_records`` as archives of bounded size below ``path``."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             columns = [batch.column(i) for i in range(5)]
-            out, size = [], 0
             for at in range(batch.num_rows):
                 page, url, payload, digest, refers = (c[at].as_py() for c in columns)
                 record = record_bytes("" if page is None else str(page), url, payload, digest, None if refers is None else str(refers))
-                out.append(gzip.compress(record, 6, mtime=0) + _EMPTY[:-1])
-                size += len(out[-1])
-                if size > SLICE:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-
-    packed = records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(members, "member binary")
-    writer = packed.select(F.col("member").cast("string").alias("value")).write
-    writer.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
+                member = gzip.compress(record, 6, mtime=0) + _EMPTY
+                if held and (size + len(member) > file_bytes or len(held) >= records_per_file):
+                    yield row(held)
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield row(held)
+
+    def row(members: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["archive"])  # the writer adds the last byte
+
+    packed = records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(archives, "archive binary")
+    writer = packed.select(F.col("archive").cast("string").alias("value")).write
+    writer.option("lineSep", "\u0000").option("maxRecordsPerFile", 1).text(path)
 
 
 # --- reading ---

@@ -1,6 +1,7 @@
 import glob
 import gzip
 import hashlib
+import os
 import random
 
 import pytest
@@ -56,6 +57,17 @@ def test_archives_are_read_by_any_gzip_reader(spark, tmp_path):
     assert text.count(b"WARC-Record-ID: ") == len(ODD) and text.startswith(b"WARC/1.1\r\n")
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    path, pick = str(tmp_path / "warc"), random.Random(1)
+    rows = [(i, f"http://h/{i}", pick.randbytes(30_000 if i == 20 else 5_000).hex()) for i in range(40)]
+    warc.write_archives(warc.page_records(pages(spark, rows)).coalesce(1), path, file_bytes=20_000)
+    files = {f: warc.salvage(open(f, "rb").read()) for f in glob.glob(path + "/part-*")}
+    found = {f: [(h["warc-record-id"], len(p)) for *_, h, p in units] for f, units in files.items()}
+    assert all(os.path.getsize(f) <= 20_000 or len(held) == 1 for f, held in found.items())
+    assert max(map(len, found.values())) > 1
+    assert sorted(x for held in found.values() for x in held) == sorted((f"<urn:page:{i}>", len(html)) for i, _, html in rows)
+
+
 def records(n, seed=1):
     pick = random.Random(seed)
     payloads = [pick.randbytes(pick.randint(0, 400)) for _ in range(n)]
