@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhome.llm import bpe, exact_dedup, mixing, ngram_lm, quality_model, quality_rules, secrets, simhash, url_filter, warc
+from nearhome.llm import bpe, exact_dedup, mixing, ngram_lm, quality_model, quality_rules, secrets, sharding, simhash, url_filter, warc
 from nearhome.session import ship_package, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -81,7 +81,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_model, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op8_stupid_backoff, op9_url_filter, op10_warc)}
+SHARDS = 24
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(_read(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_byte_bpe, op2_quality_model, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op8_stupid_backoff,
+    op9_url_filter, op10_warc, op13_sharding,
+)}
 
 
 
@@ -124,7 +135,36 @@ def _template_sql() -> str:
     """
 
 
+def _sharding_sql() -> str:
+    """The checksum byte by byte, and all jumps of every key: its shard is the last one below the number of shards."""
+    following = f"(key * {sharding.MULTIPLIER} + 1) % 18446744073709551616"
+    return f"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, x:
+                       CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, i)) AS steps
+        ), d AS (
+            SELECT row_number() OVER () AS place, doc_id, octet_length(encode(coalesce(text, ''))) + {sharding.HEADER} AS size,
+                   xor(4294967295, list_reduce(
+                       list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h:
+                           (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1),
+                       lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1]), 4294967295)) AS text_crc32
+            FROM documents, crc
+        ), j AS (
+            SELECT place, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[:16])::UBIGINT::HUGEINT AS key, 0::BIGINT AS jump FROM d
+            UNION ALL
+            SELECT place, {following}, floor((jump + 1) * (2147483648::DOUBLE / (({following}) // 8589934592 + 1)::DOUBLE))::BIGINT
+            FROM j WHERE jump <= {SHARDS}
+        ), s AS (
+            SELECT place, max(jump) FILTER (jump < {SHARDS}) AS shard, max(jump) FILTER (jump <= {SHARDS}) AS grown_shard FROM j GROUP BY place
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+        FROM d JOIN s USING (place)
+    """
+
+
 SQL = {
+    "op13_sharding": _sharding_sql(),
     "op9_url_filter": _template_sql(),
     "op6_exact_dedup": r"""
         WITH t AS (
