@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhome.llm import bpe, exact_dedup, mixing, ngram_lm, quality_model, quality_rules, secrets, sharding, simhash, url_filter, warc
+from nearhome.llm import bpe, exact_dedup, fp_search, mixing, ngram_lm, quality_model, quality_rules, secrets, sharding, simhash, url_filter, warc
 from nearhome.session import ship_package, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -81,6 +81,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_read(spark, sf_dir, "pages"))
 
 
+def op11_fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 SHARDS = 24
 
 
@@ -91,7 +95,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality_model, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op8_stupid_backoff,
-    op9_url_filter, op10_warc, op13_sharding,
+    op9_url_filter, op10_warc, op11_fp_search, op13_sharding,
 )}
 
 
@@ -163,7 +167,28 @@ def _sharding_sql() -> str:
     """
 
 
+def _search_sql() -> str:
+    """Every item against every document by a join on terms."""
+    lower = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    terms = f"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS doc, doc_id, {terms} AS terms FROM documents),
+        v AS (SELECT doc, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        t AS (SELECT doc, doc_id, n, term, count(*) AS tf FROM v GROUP BY ALL),
+        s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+        f AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term),
+        i AS (SELECT number, item_id, unnest(terms) AS term
+              FROM (SELECT row_number() OVER () AS number, item_id, list_distinct({terms}) AS terms FROM benchmark)),
+        x AS (SELECT number, item_id, doc, doc_id,
+                     sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score
+              FROM i JOIN t USING (term) JOIN f USING (term), s GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM x WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {fp_search.TOP}
+    """
+
+
 SQL = {
+    "op11_fp_search": _search_sql(),
     "op13_sharding": _sharding_sql(),
     "op9_url_filter": _template_sql(),
     "op6_exact_dedup": r"""
