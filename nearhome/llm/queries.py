@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhome.llm import bpe, exact_dedup, fp_search, mixing, ngram_lm, quality_model, quality_rules, secrets, sharding, simhash, url_filter, warc
+from nearhome.llm import bpe, collocations, exact_dedup, fp_search, mixing, ngram_lm, quality_model, quality_rules, secrets, sharding, simhash, url_filter, warc
 from nearhome.session import ship_package, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -85,6 +85,10 @@ def op11_fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 SHARDS = 24
 
 
@@ -95,7 +99,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality_model, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_exact_dedup, op7_simhash, op8_stupid_backoff,
-    op9_url_filter, op10_warc, op11_fp_search, op13_sharding,
+    op9_url_filter, op10_warc, op11_fp_search, op12_collocations, op13_sharding,
 )}
 
 
@@ -187,7 +191,32 @@ def _search_sql() -> str:
     """
 
 
+def _collocations_sql() -> str:
+    """Phrases by looking ahead from every word, and all their cuts, in 128-bit integers."""
+    folded = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    return f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({folded}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+        g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, words[i:i + k - 1] AS parts
+              FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest(range(1, {collocations.MAX_WORDS + 1})) AS k))),
+        c AS (SELECT lang, phrase, any_value(parts) AS parts, any_value(k) AS k, count(*) AS a FROM g GROUP BY lang, phrase),
+        t AS (SELECT lang, sum(a)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+        f AS (SELECT * FROM c WHERE k > 1 AND a >= {collocations.MIN_COUNT}),
+        x AS (SELECT f.*, unnest(range(1, k)) AS cut FROM f),
+        y AS (SELECT x.lang, x.phrase, x.k, x.a, cut, l.a AS l, r.a AS r, ((1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+              FROM x JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(x.parts[:cut], ' ')
+                     JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(x.parts[cut + 1:], ' ')),
+        b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        d AS (SELECT b.* FROM b WHERE NOT EXISTS (
+                  SELECT 1 FROM (SELECT lang, a, array_to_string(unnest([parts[:k - 1], parts[2:]]), ' ') AS inner_phrase FROM f) z
+                  WHERE z.lang = b.lang AND z.inner_phrase = b.phrase AND 100 * z.a >= {collocations.SHARE} * b.a)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank FROM d)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= {collocations.TOP}
+    """
+
+
 SQL = {
+    "op12_collocations": _collocations_sql(),
     "op11_fp_search": _search_sql(),
     "op13_sharding": _sharding_sql(),
     "op9_url_filter": _template_sql(),

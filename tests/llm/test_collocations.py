@@ -1,0 +1,134 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from llm.conftest import EXTRA, ODD, prose
+from llm.test_sql import SF_DIR, compare
+from nearhome.llm import collocations, double_array, queries
+
+SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in EXTRA)
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, lang, None, *EXTRA) for i, (t, lang) in enumerate(rows)], SCHEMA)
+
+
+def brute(rows, min_count=10, max_words=3, share=50, top=2000):
+    f, total = Counter(), Counter()
+    for text, lang in rows:
+        lang = lang if lang is not None else "und"
+        folded = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", folded):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, max_words + 1):
+                f.update((lang, *words[i : i + k]) for i in range(len(words) - k + 1))
+    chosen = [c for c, a in f.items() if len(c) > 2 and a >= min_count]
+    inside = {}
+    for lang, *words in chosen:
+        for k in range(2, len(words)):
+            for i in range(len(words) - k + 1):
+                part = (lang, *words[i : i + k])
+                inside[part] = max(inside.get(part, 0), f[lang, *words])
+    found = {}
+    for lang, *words in chosen:
+        a = f[lang, *words]
+        if 100 * inside.get((lang, *words), 0) >= share * a:
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = f[lang, *words[:k]], f[lang, *words[k:]]
+            cuts.append((10**6 * a * a // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        found.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), left, right))
+    return sorted(
+        (lang, rank, p.decode(), -a, left, right, total[lang], -score)
+        for lang, some in found.items() for rank, (score, a, p, left, right) in enumerate(sorted(some)[:top], 1)
+    )
+
+
+def check(spark, folder, rows):
+    found = queries.op12_collocations(spark, folder(documents=documents(spark, rows)))
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
+def invented(seed, n, words=40):
+    """Texts over few words of falling frequency, in several languages, with odd separators."""
+    pick = random.Random(seed)
+    names = ["the", "of", "Ünï", "\U0001f600", "a", "ab", "abc", "x" * 65, "y" * 64, "x" * 65 + "z", *(f"w{i}" for i in range(words))]
+    weights = [1 / (i + 1) for i in range(len(names))]
+    gaps = [" "] * 12 + ["  ", "\t", ", ", ".", "\n", "\r\n", " \x0b", "!? "]
+    return [
+        ("".join(w + pick.choice(gaps) for w in pick.choices(names, weights, k=pick.randint(0, 60))), pick.choice(["en", "en", "fr", None, "und", "é"]))
+        for _ in range(n)
+    ]
+
+
+def test_query_on_odd_documents(spark, folder):
+    odd = [(t, ["en", None, "de"][k % 3]) for k, (_, t, _) in enumerate(ODD)]
+    check(spark, folder, odd + invented(1, 150) + [("The same THREE words. here", "en")] * 12 + [("one two", "")] * 10)
+
+
+def test_odd_documents_by_sql(spark, folder):
+    compare(spark, "op12_collocations", folder(documents=documents(spark, invented(2, 300) + [(None, None), ("", "en"), (" . ", "en")])))
+
+
+def test_empty_tables_and_nothing_frequent(spark, folder):
+    for rows in ([], [(None, None), ("", "en")], [("a b c d", "en")], [("a", "en")] * 20, [("a. b", "en")] * 20):
+        assert queries.op12_collocations(spark, folder(documents=documents(spark, rows))).count() == 0
+
+
+@pytest.mark.parametrize("keys, buckets, segment, held", [(7, 64, 100, 50), (1000, 1, 10, 1), (1, 1 << 25, 1 << 22, 7)])
+def test_small_parts_and_stretches(spark, folder, monkeypatch, keys, buckets, segment, held):
+    monkeypatch.setattr(collocations, "PART_KEYS", keys)
+    monkeypatch.setattr(collocations, "SEGMENT", segment)
+    monkeypatch.setattr(collocations, "HELD", held)
+    monkeypatch.setattr(collocations, "GROUP_ROWS", 5)
+    rows = invented(3, 60, words=4)[: 60 if keys > 1 else 25]
+    found = collocations.collocations(documents(spark, rows), min_count=10 if keys > 1 else 18, buckets=buckets)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 10 if keys > 1 else 18)
+
+
+def test_a_third_of_the_rows_alike(spark, folder):
+    check(spark, folder, invented(4, 200) + [("hot passage of many copies, and the rest", "en")] * 100)
+
+
+@pytest.mark.parametrize("words", [2, 4])
+def test_other_lengths(spark, words):
+    rows = invented(5, 80, words=2)
+    found = collocations.collocations(documents(spark, rows), min_count=5, max_words=words, share=80, top=25)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 5, words, 80, 25)
+
+
+def test_products_beyond_64_bits(spark):
+    level = spark.createDataFrame([("en", "a b", 3 * 10**12, [4 * 10**12], [5 * 10**12])], "lang string, phrase string, n long, fronts array<long>, backs array<long>")
+    row = collocations.best_phrases([level], spark.createDataFrame([("en", 10**13)], "lang string, total long"), 5).first()
+    assert row["score"] == 10**6 * (3 * 10**12) ** 2 // (4 * 10**12 * 5 * 10**12)
+
+
+def test_the_tries_decide_the_counts(spark, folder, monkeypatch):
+    """With one bucket every pair is a candidate, so only the tries can tell the frequent ones."""
+    rows = invented(6, 40, words=3)
+    seen = []
+    real = collocations.counted
+    monkeypatch.setattr(collocations, "counted", lambda r, t: seen.append(t.count()) or real(r, t))
+    found = collocations.collocations(documents(spark, rows), buckets=1)
+    assert sorted(map(tuple, found.collect())) == brute(rows) and seen == [1, 1]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 300, 20_000])
+def test_double_array_finds_its_keys_and_no_others(n):
+    pick = random.Random(n)
+    keys = sorted({prose(pick.random(), 1).encode() + bytes([pick.randrange(256) for _ in range(pick.randint(0, 3))]) for _ in range(n)})
+    lengths = np.array([len(k) for k in keys], np.int64)
+    trie = double_array.build(np.frombuffer(b"".join(keys), np.uint8), lengths, np.arange(len(keys), dtype=np.int32))
+    state = lambda key: trie.state_of(key)
+    assert all(trie.value[state(k)] == i for i, k in enumerate(keys))
+    known = set(keys)
+    for k in keys[:500]:
+        for other in (k + b"\x00", k[:-1], k[:-1] + b"\xff"):
+            assert other in known or not other or state(other) < 0 or trie.value[state(other)] < 0
