@@ -4,8 +4,8 @@ Words are counted per language, and the frequent ones numbered. A byte trie of t
 numbers, in which 0 stands for an infrequent word and for the end of a piece. A phrase of ``k + 1`` words is a pair of
 neighbouring phrases of ``k`` words, so every level is the same: (1) a pair can be frequent only if both its members are
 and if its hash bucket, counted over the whole corpus, is; such pairs are the candidates, and no frequent phrase is left out.
-(2) Tries over the candidates are broadcast one after another, each of at most ``PART_KEYS`` pairs, and in every task the
-states of all text positions go down a trie byte by byte, at once; the accepting states are binned and the tasks' sums added
+(2) Tries over the candidates are broadcast one after another, each of about ``PART_KEYS`` pairs, and in every task the
+states of all text positions whose pair belongs to it go down byte by byte, at once; the accepting states are binned and the tasks' sums added
 up. (3) The frequent pairs are numbered and the arrays rewritten for the next level.
 
 Texts are cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those at spaces and tabs into words; only A-Z are lower-cased. A null
@@ -39,8 +39,9 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2_000
 SHARE = 50  # per cent of a phrase's occurrences that a longer one must have to replace it
-PART_KEYS = 1_000_000  # keys of a trie, which is what a broadcast holds
-BUCKETS = 1 << 25  # of hashed pairs; a bit each is broadcast
+PART_KEYS = 250_000  # pairs of a trie, which is what a broadcast holds,
+WORD_KEYS = 500_000  # and words of one
+BUCKETS = 1 << 27  # of hashed pairs; a bit each is broadcast
 LONG_WORD = 64
 SEGMENT = 1 << 22  # bytes of text that a task has in hand
 HELD = 1 << 21  # pairs or words a task gathers before it hands them on
@@ -141,12 +142,18 @@ def words_to_numbers(trie: DoubleArray, roots: list[int], texts: list[bytes]) ->
 
 # --- tries ---
 
-def parts_of(count: int) -> int:
-    return max(1, -(-count // PART_KEYS))
+def parts_of(count: int, size: int) -> int:
+    return max(1, -(-count // size))
 
 
-def with_part(rows: DataFrame, count: int, *key: str) -> DataFrame:
-    return rows.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts_of(count))).cast("int"))
+def pair_part(left, right, parts: int):
+    """The trie a pair belongs to; of columns or of arrays. Pairs with a common member are spread."""
+    return (left * 31 + right) % parts
+
+
+def with_pair_part(pairs: DataFrame, count: int) -> DataFrame:
+    left, right = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(2**32 - 1))
+    return pairs.withColumn("part", pair_part(left, right, parts_of(count, PART_KEYS)).cast("int"))
 
 
 def _trie_row(part: int, trie: DoubleArray, keys: np.ndarray) -> pd.DataFrame:
@@ -186,13 +193,14 @@ def pair_tries(pairs: DataFrame) -> DataFrame:
 
 
 def loaded(tries: DataFrame) -> Iterator:
-    """The tries as broadcasts, one at a time: (trie, keys), bounded by ``PART_KEYS`` keys."""
+    """(part, broadcast) of the tries, one at a time; a broadcast is (trie, keys) of a bounded number of keys."""
     context = tries.sparkSession.sparkContext
     for part in sorted(r["part"] for r in tries.select("part").collect()):
-        row = tries.filter(F.col("part") == part).first()
-        trie = DoubleArray(*(np.frombuffer(bytes(row[c]), np.int32) for c in ("base", "check", "value")))
-        shared = context.broadcast((trie, np.frombuffer(bytes(row["keys"]), np.int64)))
-        yield shared
+        columns = tries.filter(F.col("part") == part).toArrow().to_pydict()
+        trie = DoubleArray(*(np.frombuffer(columns[c][0], np.int32) for c in ("base", "check", "value")))
+        shared = context.broadcast((trie, np.frombuffer(columns["keys"][0], np.int64)))
+        del columns, trie
+        yield part, shared
         shared.destroy()
 
 
@@ -205,7 +213,7 @@ def _lists(numbers: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 def encoded(docs: DataFrame, tries: DataFrame) -> DataFrame:
     """(ids): the arrays of word numbers. Each part's trie passes over the texts, which go along until the last one."""
     rows, count = docs, tries.count()
-    for number, shared in enumerate(loaded(tries)):
+    for number, (_, shared) in enumerate(loaded(tries)):
         first, last = number == 0, number == count - 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
@@ -313,28 +321,29 @@ def candidates(rows: DataFrame, min_count: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "pair long").distinct()
 
 
-def descend(trie: DoubleArray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def descend(trie: DoubleArray, left: np.ndarray, right: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(which pairs end in an accepting state, its value): all states go down one level at a time."""
-    at, states = np.arange(len(left)), np.zeros(len(left), np.int64)
+    at = np.flatnonzero(pair_part(left, right, parts) == part) if parts > 1 else np.arange(len(left))
+    states = np.zeros(len(at), np.int64)
     for symbols in pair_bytes(left, right):
         known, states = trie.step(states, symbols[at])
         at = at[known]
     return at, trie.value[states]
 
 
-def counted(rows: DataFrame, tries: DataFrame) -> list[DataFrame]:
+def counted(rows: DataFrame, tries: DataFrame, parts: int) -> list[DataFrame]:
     """(pair, n) of every part's candidates, written: a task bins its accepting states, Spark adds up."""
     found = []
-    for shared in loaded(tries):
+    for part, shared in loaded(tries):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], part=part, shared=shared) -> Iterator[pa.RecordBatch]:
             trie, keys = shared.value
             bins = np.zeros(len(keys), np.int64)
             for batch in batches:
                 ids = flat(batch)
                 for at in range(0, len(ids), HELD):
                     _, left, right = neighbours(ids[at : at + HELD + 1])
-                    bins += np.bincount(descend(trie, left, right)[1], minlength=len(keys))
+                    bins += np.bincount(descend(trie, left, right, part, parts)[1], minlength=len(keys))
             some = np.flatnonzero(bins)
             yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(bins[some])], ["pair", "n"])
 
@@ -343,24 +352,23 @@ def counted(rows: DataFrame, tries: DataFrame) -> list[DataFrame]:
     return found
 
 
-def rewritten(rows: DataFrame, tries: DataFrame) -> DataFrame:
+def rewritten(rows: DataFrame, tries: DataFrame, parts: int) -> DataFrame:
     """(ids): the arrays of the next level, at every place the number of the frequent pair that begins there."""
-    column = "more array<int>"
-    for number, shared in enumerate(loaded(tries)):
+    for number, (part, shared) in enumerate(loaded(tries)):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], part=part, shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
             trie, _ = shared.value
             for batch in batches:
                 ids, lengths = flat(batch), batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
                 more = np.zeros(len(ids), np.int32) if first else batch.column(1).flatten().to_numpy(zero_copy_only=False).copy()
                 for at in range(0, len(ids), HELD):
                     place, left, right = neighbours(ids[at : at + HELD + 1])
-                    some, value = descend(trie, left, right)
+                    some, value = descend(trie, left, right, part, parts)
                     more[at + place[some]] = value
                 offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(a, pa.int32())) for a in (ids, more)], ["ids", "more"])
 
-        rows = written_densely(rows.mapInArrow(run, f"ids array<int>, {column}"), "phrase-level")
+        rows = written_densely(rows.mapInArrow(run, "ids array<int>, more array<int>"), "phrase-level")
     return rows.select(F.col("more").alias("ids"))
 
 
@@ -379,9 +387,10 @@ def next_level(rows: DataFrame, below: DataFrame, min_count: int, buckets: int)
     and its first word; ``fronts`` and ``backs`` are how often its first 1, 2, ... and its last 1, 2, ... words occur.
     """
     found = written(candidates(rows, min_count, buckets), "phrase-candidates")
-    tries = written(pair_tries(with_part(found, found.count(), "pair").withColumn("id", F.lit(None).cast("int"))), "phrase-tries")
+    count = found.count()
+    tries = written(pair_tries(with_pair_part(found, count).withColumn("id", F.lit(None).cast("int"))), "phrase-tries")
     frequent = None
-    for sums in counted(rows, tries):
+    for sums in counted(rows, tries, parts_of(count, PART_KEYS)):
         frequent = sums if frequent is None else frequent.unionByName(sums)
     if frequent is None:
         frequent = found.withColumn("n", F.lit(0).cast("long"))
@@ -427,7 +436,8 @@ def collocations(
     counts = written(word_counts(slim), "phrase-word-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     words = with_numbers(counts.filter(F.col("n") >= min_count), "phrase-numbers")
-    tries = written(word_tries(with_part(words, words.count(), "lang", "word")), "phrase-word-tries")
+    part = F.pmod(F.xxhash64("lang", "word"), F.lit(parts_of(words.count(), WORD_KEYS))).cast("int")
+    tries = written(word_tries(words.withColumn("part", part)), "phrase-word-tries")
     none = F.array().cast("array<long>")
     below = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", none.alias("fronts"), none.alias("backs"))
     kept, above = [], None
@@ -442,7 +452,8 @@ def collocations(
                 break
             if size < max_words:
                 pairs = above.select((F.shiftleft(F.col("left").cast("long"), 32) + F.col("right")).alias("pair"), "id")
-                rows = rewritten(rows, written(pair_tries(with_part(pairs, above.count(), "pair")), "phrase-tries"))
+                count = above.count()
+                rows = rewritten(rows, written(pair_tries(with_pair_part(pairs, count)), "phrase-tries"), parts_of(count, PART_KEYS))
         kept.append(below)
     else:
         kept.append(below.filter(F.lit(False)))

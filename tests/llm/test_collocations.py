@@ -85,6 +85,7 @@ def test_empty_tables_and_nothing_frequent(spark, folder):
 @pytest.mark.parametrize("keys, buckets, segment, held", [(7, 64, 100, 50), (1000, 1, 10, 1), (1, 1 << 25, 1 << 22, 7)])
 def test_small_parts_and_stretches(spark, folder, monkeypatch, keys, buckets, segment, held):
     monkeypatch.setattr(collocations, "PART_KEYS", keys)
+    monkeypatch.setattr(collocations, "WORD_KEYS", keys)
     monkeypatch.setattr(collocations, "SEGMENT", segment)
     monkeypatch.setattr(collocations, "HELD", held)
     monkeypatch.setattr(collocations, "GROUP_ROWS", 5)
@@ -115,7 +116,7 @@ def test_the_tries_decide_the_counts(spark, folder, monkeypatch):
     rows = invented(6, 40, words=3)
     seen = []
     real = collocations.counted
-    monkeypatch.setattr(collocations, "counted", lambda r, t: seen.append(t.count()) or real(r, t))
+    monkeypatch.setattr(collocations, "counted", lambda r, t, n: seen.append(t.count()) or real(r, t, n))
     found = collocations.collocations(documents(spark, rows), buckets=1)
     assert sorted(map(tuple, found.collect())) == brute(rows) and seen == [1, 1]
 
