@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Normalizer, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Normalizer, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearhome.operators.numbering import numbered
 from nearhome.operators.prepare import category_cardinality
 from nearhome.schemas import KMEANS_CLUSTERS, KMEANS_SEED
+from nearhome.session import written
 
 CATEGORIES = ("type_bien", "lease_duration")
 NUMBERS = ("prix", "latitude", "longitude")
@@ -22,71 +23,109 @@ NUMBERS = ("prix", "latitude", "longitude")
 def category_index(listings: DataFrame, column: str) -> DataFrame:
     """(value, idx, n): the index of every value by falling frequency, equal ones alphabetically, as a table.
 
-    ``index_stage`` gives the same numbers, with the labels in the model; this form takes any number of values.
+    The model holds this table, so a category may have any number of values.
     """
     counts = listings.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     return numbered(counts, [F.col("n").desc(), F.col("value")], "idx", "category-index").select("value", "idx", "n")
 
 
-def index_stage(*columns: str) -> StringIndexer:
-    """Index by falling frequency, equal ones alphabetically; a value unseen at training gets an index of its own.
+def model_categories(listings: DataFrame, columns: Sequence[str] = CATEGORIES) -> list[str]:
+    """The categorical columns that enter the model: those with at least two values."""
+    usable = {r["column_name"] for r in category_cardinality(listings, columns).collect() if r["in_model"]}
+    return [c for c in columns if c in usable]
 
-    All columns are counted in one pass.
+
+def with_index(rows: DataFrame, column: str, index: DataFrame, size: int) -> DataFrame:
+    """``rows`` with ``<column>_index``, found by a join with the index; a value that is not in it gets the last number.
+
+    The last number is that of the least frequent value, which one-hot encoding leaves out: both become zeros. Spark decides
+    from the written index's size whether it is broadcast, and divides a hot value of a shuffled join at run time.
     """
-    return StringIndexer(inputCols=list(columns), outputCols=[f"{c}_index" for c in columns], handleInvalid="keep")
+    known = index.select(F.col("value").alias(column), F.col("idx").cast("double").alias(f"{column}_index"))
+    return rows.join(known, column, "left").fillna(float(size - 1), [f"{column}_index"])
 
 
-def encode_stages(counts: dict[str, int]) -> list:
-    """One-hot without the least frequent value, which is all zeros; so is a value unseen at training."""
-    if not counts:
-        return []
-    slices = [VectorSlicer(inputCol=f"{c}_all", outputCol=f"{c}_encoded", indices=list(range(n - 1))) for c, n in counts.items()]
-    return [
-        index_stage(*counts),
-        OneHotEncoder(inputCols=[f"{c}_index" for c in counts], outputCols=[f"{c}_all" for c in counts]),
-        *slices,
-    ]
+class FeatureModel:
+    """The trained pipeline together with the category tables it looks values up in.
+
+    ``indices`` maps a categorical column to its table (value, idx, n) and the number of its values; the tables stay where
+    they are written, none of their values is on the driver. Saved and loaded like Spark's own models.
+    """
+
+    def __init__(self, pipeline: PipelineModel, indices: dict[str, tuple[DataFrame, int]]):
+        self.pipeline, self.indices, self.stages = pipeline, indices, pipeline.stages
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        columns = rows.columns
+        for column, (index, size) in self.indices.items():
+            rows = with_index(rows, column, index, size)
+        return self.pipeline.transform(rows.select(*columns, *[f"{c}_index" for c in self.indices]))
 
+    def write(self) -> FeatureModel:
+        return self
 
-def model_categories(listings: DataFrame, columns: Sequence[str] = CATEGORIES) -> dict[str, int]:
-    """Number of values of each categorical column that enters the model, i.e. has at least two."""
-    return {r["column_name"]: r["n_values"] for r in category_cardinality(listings, columns).collect() if r["in_model"]}
+    def overwrite(self) -> FeatureModel:
+        return self
 
+    def save(self, path: str) -> None:
+        for column, (index, _) in self.indices.items():
+            index.write.mode("overwrite").parquet(f"{path}/index/{column}")
+        spark = SparkSession.active()
+        sizes = [(i, c, size) for i, (c, (_, size)) in enumerate(self.indices.items())]
+        spark.createDataFrame(sizes, "place int, column string, size long").coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
 
-def feature_pipeline(
+    @classmethod
+    def load(cls, path: str) -> FeatureModel:
+        spark = SparkSession.active()
+        sizes = spark.read.parquet(f"{path}/sizes").orderBy("place").collect()  # one row a column
+        indices = {r["column"]: (spark.read.parquet(f"{path}/index/{r['column']}"), r["size"]) for r in sizes}
+        return cls(PipelineModel.load(f"{path}/pipeline"), indices)
+
+
+def encoder(sizes: dict[str, int]) -> list:
+    """One-hot without the last index. The number of values is all that it learns, so it is fitted without the listings."""
+    if not sizes:
+        return []
+    names = list(sizes)
+    spark = SparkSession.active()
+    last = spark.createDataFrame([tuple(float(sizes[c] - 1) for c in names)], ", ".join(f"`{c}_index` double" for c in names))
+    return [OneHotEncoder(inputCols=[f"{c}_index" for c in names], outputCols=[f"{c}_encoded" for c in names]).fit(last)]
+
+
+def fit_features(
     listings: DataFrame,
     categories: Sequence[str] = CATEGORIES,
     clusters: int | None = KMEANS_CLUSTERS,
     seed: int = KMEANS_SEED,
     order: Sequence[str] | None = None,
-) -> Pipeline:
+) -> FeatureModel:
     """Index, encode, assemble and normalise; with ``clusters`` also K-Means on the normalised vectors.
 
-    ``order`` names the assembled columns; by default the numbers, then the categories.
+    ``order`` names the assembled columns; by default the numbers, then the categories. Only the columns that are needed are
+    read, so that long texts are not carried through the training.
     """
-    counts = model_categories(listings, categories)
-    stages = encode_stages(counts)
-    inputs = [
-        f"{c}_encoded" if c in categories else c
-        for c in (order or [*NUMBERS, *categories])
-        if c not in categories or c in counts
-    ]
-    stages += [
+    needed = listings.select("id", *NUMBERS, *categories)
+    used = model_categories(needed, categories)
+    indices = {}
+    for column in used:
+        index = written(category_index(needed, column), f"index-{column}")
+        indices[column] = (index, index.count())
+    inputs = [f"{c}_encoded" if c in categories else c for c in (order or [*NUMBERS, *categories]) if c not in categories or c in used]
+    stages = [
+        *encoder({c: size for c, (_, size) in indices.items()}),
         VectorAssembler(inputCols=inputs, outputCol="features"),
         Normalizer(inputCol="features", outputCol="norm_features", p=2.0),
     ]
     if clusters:
         stages.append(KMeans(featuresCol="norm_features", predictionCol="prediction", k=clusters, seed=seed))
-    return Pipeline(stages=stages)
-
-
-def fit_features(listings: DataFrame, **options) -> PipelineModel:
-    """Fits the pipeline on the columns it needs, so that long texts are not carried through the training."""
-    needed = listings.select("id", *NUMBERS, *options.get("categories", CATEGORIES))
-    return feature_pipeline(needed, **options).fit(needed)
+    rows = needed
+    for column, (index, size) in indices.items():
+        rows = with_index(rows, column, index, size)
+    return FeatureModel(Pipeline(stages=stages).fit(rows), indices)
 
 
-def scored_listings(model: PipelineModel, listings: DataFrame) -> DataFrame:
+def scored_listings(model: FeatureModel, listings: DataFrame) -> DataFrame:
     """(id, prix, features, norm_features, prediction) of the catalogue."""
     scored = model.transform(listings)
     wanted = [c for c in ("id", "prix", "features", "norm_features", "prediction") if c in scored.columns]
@@ -98,7 +137,7 @@ def feature_arrays(scored: DataFrame) -> DataFrame:
     return scored.select("id", vector_to_array("norm_features").alias("vec"))
 
 
-def centre_distances(model: PipelineModel, scored: DataFrame) -> DataFrame:
+def centre_distances(model: FeatureModel, scored: DataFrame) -> DataFrame:
     """(id, prediction, own, nearest): squared distance to the own centre and to the nearest one."""
     centres = [[float(x) for x in c] for c in model.stages[-1].clusterCenters()]
     vec = vector_to_array("norm_features")

@@ -6,6 +6,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearhome.operators.inner_product import top_products
 from nearhome.operators.numbering import numbered
 from nearhome.operators.prepare import usable_ratings
 from nearhome.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REG, LISTINGS_PER_USER
@@ -79,12 +80,17 @@ def pair_scores(recommender: Recommender, pairs: DataFrame) -> DataFrame:
     return scored.filter(F.col("prediction").isNotNull() & ~F.isnan("prediction"))
 
 
+def factors(recommender: Recommender) -> tuple[DataFrame, DataFrame]:
+    """(user_id, vec) and (item_id, vec): the factors under the ids they belong to."""
+    users = recommender.model.userFactors.join(recommender.users, F.col("id") == F.col("user_no"))
+    listings = recommender.model.itemFactors.join(recommender.listings, F.col("id") == F.col("listing_no"))
+    return users.select("user_id", F.col("features").alias("vec")), listings.select(F.col("annonce_id").alias("item_id"), F.col("features").alias("vec"))
+
+
 def user_recommendations(recommender: Recommender, n: int = LISTINGS_PER_USER) -> DataFrame:
     """(user_id, annonce_id, rating, rank): the ``n`` best listings of every user, seen ones included."""
-    best = recommender.model.recommendForAllUsers(n).select("user_no", F.posexplode("recommendations").alias("pos", "r"))
-    rows = best.select("user_no", F.col("r.listing_no").alias("listing_no"), F.col("r.rating").alias("rating"), (F.col("pos") + 1).alias("rank"))
-    named = rows.join(recommender.users, "user_no").join(recommender.listings, "listing_no")
-    return named.select("user_id", "annonce_id", "rating", "rank")
+    best = top_products(*factors(recommender), n)
+    return best.select("user_id", F.col("item_id").alias("annonce_id"), F.col("score").cast("float").alias("rating"), "rank")
 
 
 def item_scores(recommender: Recommender, items: DataFrame, n: int) -> DataFrame:

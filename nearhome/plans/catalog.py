@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from nearhome.functions.vectors import cosine as cosine_of
 from nearhome.functions.vectors import l2_norm
 from nearhome.operators import cosine, features, lifecycle, neighbors, prepare, quality, recommend, store, synth, targeting
 from nearhome.plans import hybrid, jobs
-from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD
+from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD, LISTINGS_PER_USER
 from nearhome.session import scratch_path, ship_package, written
 from nearhome.sources import fixtures, versioned
 from nearhome.sources.tables import FolderTables
@@ -448,6 +447,29 @@ def als_user_recs(spark, sf):
     return recommend.user_recommendations(_als(spark, sf))
 
 
+def _als_purchases(spark, sf):
+    """ALS on the purchases, which name every listing."""
+    key = (spark.sparkContext.applicationId, sf, "purchases")
+    if key not in _als_models:
+        ratings = prepare.rating_matrix(fixtures.purchase(spark, sf))
+        _als_models[key] = recommend.fit_als(targeting.known_user_ratings(ratings, fixtures.user(spark, sf)))
+    return _als_models[key]
+
+
+@query
+def als_topn_exact(spark, sf):
+    """Per user: how many listings are recommended, and at how many ranks the rating is not that of the best listings by comparing all."""
+    found = _als_purchases(spark, sf)
+    ours = recommend.user_recommendations(found)
+    best = found.model.recommendForAllUsers(LISTINGS_PER_USER).select("user_no", F.posexplode("recommendations").alias("pos", "r"))
+    best = best.join(found.users, "user_no").select("user_id", (F.col("pos") + 1).alias("rank"), F.col("r.rating").alias("best"))
+    off = F.abs(F.col("rating") - F.col("best")) <= 1e-5 * F.greatest(F.lit(1.0), F.abs("best"))
+    both = ours.join(best, ["user_id", "rank"], "full")
+    return both.groupBy("user_id").agg(
+        F.count("annonce_id").alias("n_recs"), F.count_distinct("annonce_id").alias("n_listings"), F.count_if(~F.coalesce(off, F.lit(False))).alias("n_off"),
+    )
+
+
 @query
 def als_user_recs_summary(spark, sf):
     return _recs_summary(recommend.user_recommendations(_als(spark, sf)))
@@ -522,8 +544,8 @@ def model_lifecycle(spark, sf):
     """The model is trained on the complete listings, then loaded again as it is still fresh, and scores the catalogue."""
     root = scratch_path(spark, "models")
     clean = prepare.complete_listings(fixtures.listing_dirty(spark, sf))
-    lifecycle.load_or_train(spark, clean, root, features.fit_features, PipelineModel.load)
-    model, version = lifecycle.load_or_train(spark, clean, root, features.fit_features, PipelineModel.load)
+    lifecycle.load_or_train(spark, clean, root, features.fit_features, features.FeatureModel.load)
+    model, version = lifecycle.load_or_train(spark, clean, root, features.fit_features, features.FeatureModel.load)
     scored = features.scored_listings(model, clean).agg(F.count("prediction").alias("n_scored"))
     versions = lifecycle.saved_versions(spark, root)
     return versions.filter(F.col("version") == version).select("version", "last_id", scored.scalar().alias("n_scored"))

@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,7 +22,7 @@ def prepare_similarity(spark: SparkSession, tables, root: str, threshold: int =
     catalogue = tables.read("annonce", key="id")
     listings = prepare.complete_listings(catalogue)
     model, version = lifecycle.load_or_train(
-        spark, listings, f"{root}/clusters", features.fit_features, PipelineModel.load, threshold, catalogue=catalogue,
+        spark, listings, f"{root}/clusters", features.fit_features, features.FeatureModel.load, threshold, catalogue=catalogue,
     )
     scored = features.scored_listings(model, listings)
     heads = neighbors.cluster_heads(scored, "prediction", k).withColumn("model_version", F.lit(version))
@@ -53,7 +52,7 @@ def similarity_stream(
             heads = spark.read.parquet(published[1])
             version = heads.agg(F.max("model_version")).first()[0]
             paths = lifecycle.saved_versions(spark, f"{root}/clusters").filter(F.col("version") == version)
-            model = PipelineModel.load(paths.first()["path"])
+            model = features.FeatureModel.load(paths.first()["path"])
             loaded.update(published=published, heads=heads.drop("model_version"), model=model)
         return similarity.model_answer(tables.read("annonce", key="id"), loaded["model"], loaded["heads"], k)(ids)
 
@@ -75,7 +74,7 @@ def cosine_stream(
             newest = lifecycle.saved_versions(spark, f"{root}/clusters").orderBy(F.col("version").desc()).first()
             with scratch_kept():
                 listings = prepare.complete_listings(tables.read("annonce", key="id"))
-                scored = features.scored_listings(PipelineModel.load(newest["path"]), listings)
+                scored = features.scored_listings(features.FeatureModel.load(newest["path"]), listings)
                 vectors = written(similarity.ordered_by_id(features.feature_arrays(scored)), "listing-vectors")
             loaded.update(published=published, answer=similarity.cosine_answer(vectors, k))
         return loaded["answer"](ids)

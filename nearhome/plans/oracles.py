@@ -215,6 +215,10 @@ SQL: dict[str, str] = {
     WITH n AS (SELECT least(100, count(*)) AS n FROM ({RATED_LISTINGS}))
     SELECT user_id, n AS n_recs, 1 AS first_rank, CAST(n AS INTEGER) AS last_rank, n AS n_listings, CAST(0 AS BIGINT) AS out_of_order
     FROM ({RATED_USERS}) JOIN n ON true""",
+    "als_topn_exact": f"""
+    WITH n AS (SELECT least(100, count(DISTINCT annonce_id)) AS n FROM ({PURCHASE}) WHERE user_id IN (SELECT c_custkey FROM customer))
+    SELECT DISTINCT user_id, n AS n_recs, n AS n_listings, CAST(0 AS BIGINT) AS n_off
+    FROM ({PURCHASE}) JOIN n ON true WHERE user_id IN (SELECT c_custkey FROM customer)""",
     "als_solution": f"""
     SELECT user_id, count(*) AS n_ratings, CAST({schemas.ALS_RANK} AS BIGINT) AS rank, true AS solved, CAST(0 AS BIGINT) AS n_off
     FROM ({RATING}) WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id""",

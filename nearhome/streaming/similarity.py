@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearhome.functions.codecs import json_field
 from nearhome.operators.cosine import build_index, mean_similarity
+from nearhome.operators.features import FeatureModel
 from nearhome.operators.neighbors import others_of
 from nearhome.operators.prepare import complete_listings
 from nearhome.operators.store import to_messages
@@ -97,7 +97,7 @@ def stored_answer(neighbors: DataFrame) -> Answer:
     return lambda ids: rows_of(ids, neighbors)
 
 
-def model_answer(listings: DataFrame, model: PipelineModel, heads: DataFrame, k: int = NEIGHBOURS) -> Answer:
+def model_answer(listings: DataFrame, model: FeatureModel, heads: DataFrame, k: int = NEIGHBOURS) -> Answer:
     """Places new listings with the trained pipeline and takes the head of their cluster.
 
     Only the listings of the batch are scored; incomplete ones drop out. ``heads`` are those of the scored

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -97,9 +96,27 @@ def test_any_number_of_values_has_an_index(spark):
     rows = features.category_index(df, "c").orderBy("idx").collect()
     assert [r["idx"] for r in rows] == list(range(12_000))
     assert [(r["value"], r["n"]) for r in rows[:4]] == [("30", 4), ("7", 3), ("0", 2), ("1", 2)]
-    few = listings(spark)
-    by_model = features.index_stage("type_bien").fit(few).transform(few).select("type_bien", F.col("type_bien_index").cast("long")).distinct()
-    assert sorted(map(tuple, by_model.collect())) == sorted((r["value"], r["idx"]) for r in features.category_index(few, "type_bien").collect())
+
+
+def test_model_with_many_values_of_a_category(spark, tmp_path):
+    """100,000 values, a third of the listings on one; the model holds a table of them, not their labels."""
+    n = 200_000
+    rows = spark.range(n).select(
+        "id", (10.0 + F.col("id") % 7).alias("prix"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id") % 100_000)).alias("type_bien"),
+        F.lit("M").alias("lease_duration"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"),
+    )
+    model = features.fit_features(rows, clusters=None)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    values = rows.select("type_bien").distinct().count()
+    index = {r["value"]: r["idx"] for r in features.category_index(rows, "type_bien").collect()}
+    assert index["hot"] == 0 and sorted(index.values()) == list(range(values))
+    some = rows.filter("id % 5003 = 0 OR id = 199999").union(spark.createDataFrame([(-1, 1.0, "unseen", "M", 0.0, 0.0)], rows.schema))
+    for known in (model, features.FeatureModel.load(str(tmp_path / "m"))):
+        for r in known.transform(some).select("type_bien", "features").collect():
+            hot = [i - 3 for i in r["features"].indices.tolist() if i >= 3]
+            expected = index.get(r["type_bien"], values - 1)
+            assert r["features"].size == 3 + values - 1 and hot == ([expected] if expected < values - 1 else [])
+    assert all("labels" not in [p.name for p in stage.params] for stage in model.stages)
 
 
 def test_older_column_order(spark):
@@ -124,7 +141,7 @@ def test_model_versions(spark, monkeypatch):
         return features.fit_features(df, clusters=2)
 
     def run(df, threshold=20):
-        return lifecycle.load_or_train(spark, df, root, train, PipelineModel.load, threshold)[1]
+        return lifecycle.load_or_train(spark, df, root, train, features.FeatureModel.load, threshold)[1]
 
     assert run(listings(spark, 40)) == 1
     assert run(listings(spark, 59)) == 1  # 19 new listings
