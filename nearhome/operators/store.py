@@ -29,11 +29,11 @@ def from_cosine_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def from_messages(messages: DataFrame) -> DataFrame:
-    """(id, similar_ids, cluster) of the well-formed messages."""
-    data = messages.select(similar_from_json(F.col("value")).alias("m"))
+def from_messages(messages: DataFrame, *keep: str) -> DataFrame:
+    """(id, similar_ids, cluster) of the well-formed messages, and the columns to ``keep``."""
+    data = messages.select(similar_from_json(F.col("value")).alias("m"), *keep)
     return data.filter(F.col("m.announceId").isNotNull()).select(
-        F.col("m.announceId").alias("id"), F.col("m.similarIds").alias("similar_ids"), F.col("m.clusterId").alias("cluster"),
+        F.col("m.announceId").alias("id"), F.col("m.similarIds").alias("similar_ids"), F.col("m.clusterId").alias("cluster"), *keep,
     )
 
 
@@ -45,6 +45,31 @@ def from_csv_table(table: DataFrame) -> DataFrame:
     return table.select(F.col("announceId").cast("long").alias("announce_id"), csv_to_ids(F.col("similarsIds")).alias("similar_ids"))
 
 
+EPOCH = 2**32  # versions of an epoch: one a batch of a checkpoint
+
+
+def version_of(epoch: int, batch_id: int) -> int:
+    """Grows with the batches of a checkpoint, and with the epochs that checkpoints are given one after another."""
+    return epoch * EPOCH + batch_id
+
+
+def next_epoch(epochs: DataFrame | None, queue: DataFrame | None) -> int:
+    """One more than any epoch that was given out or that the queue's versions belong to."""
+    newest = [0]
+    if epochs is not None:
+        newest.append(epochs.agg(F.max("epoch")).first()[0] or 0)
+    if queue is not None:
+        newest.append((queue.agg(F.max("version")).first()[0] or 0) // EPOCH)
+    return max(newest) + 1
+
+
+def one_per_listing(results: DataFrame, order: list[str]) -> DataFrame:
+    """The last result of every listing among those of one batch, by the ``order`` columns and then by the list itself."""
+    rest = [c for c in results.columns if c not in ("id", *order)]
+    newest = F.max(F.struct(*order, *rest)).alias("newest")
+    return results.groupBy("id").agg(newest).select("id", *[f"newest.{c}" for c in rest])
+
+
 def queue_rows(results: DataFrame, version: int) -> DataFrame:
     """(announceId, similarsIds, version) of results (id, similar_ids), to be appended to the queue."""
     return to_csv_table(results).withColumn("version", F.lit(version).cast("long"))

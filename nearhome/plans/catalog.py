@@ -278,6 +278,25 @@ def queue_concurrent(spark, sf):
     return jobs.pending_results(tables).select(F.col("announceId").alias("announce_id"), F.col("similarsIds").alias("similar_ids"), "version")
 
 
+@query
+def queue_restart(spark, sf):
+    """All listings are answered by brand and processed; a new checkpoint answers those of the events again, by type."""
+    tables = FolderTables(spark, scratch_path(spark, "restart-tables"))
+
+    def stored(results):
+        path = scratch_path(spark, "restart-in")
+        store.to_messages(results).select("value").write.text(path)
+        jobs.store_stream(tables, spark.readStream.text(path), scratch_path(spark, "restart-checkpoint"), run_once=True).awaitTermination()
+
+    stored(_brand_neighbors(spark, sf))
+    tables.append(written(jobs.pending_results(tables), "restart-done").select("announceId", "version"), jobs.DONE)
+    wanted = fixtures.interaction(spark, sf).select(F.col("annonce_id").alias("id")).distinct()
+    listings = fixtures.listing(spark, sf)
+    stored(neighbors.price_neighbors(listings, "type_bien", queries=listings.join(wanted, "id", "left_semi")))
+    epoch = F.floor(F.col("version") / store.EPOCH)
+    return jobs.pending_results(tables).select(F.col("announceId").alias("announce_id"), F.col("similarsIds").alias("similar_ids"), epoch.alias("epoch"))
+
+
 # --- streaming ---
 
 def _run_stream(spark, messages, answer, field):
@@ -352,6 +371,30 @@ def stream_cosine(spark, sf):
     return received.select("id", ids_to_csv(F.col("similar_ids")).alias("similar_ids"), F.round("similarity", 10).alias("similarity"))
 
 
+@query
+def stream_latest(spark, sf):
+    """Results by type (version 1) and by brand (version 2) as messages, in batches that repeat, replay and mix up the versions.
+
+    What comes last out of the stream for a listing is what the store holds in the end; only changes come out.
+    """
+    listings = fixtures.listing(spark, sf)
+    versions = {1: neighbors.price_neighbors(listings, "type_bien"), 2: neighbors.price_neighbors(listings, "lease_duration")}
+    messages = {v: written(store.to_messages(r).select("value", F.lit(v).cast("long").alias("version")), "latest-messages") for v, r in versions.items()}
+    odd = F.crc32("value") % 2 == 1
+    batches = [
+        messages[1].filter(odd), messages[2].filter(odd), messages[1].unionByName(messages[2].filter(odd)),
+        messages[2].filter(~odd).unionByName(messages[1]), messages[1], messages[2],
+    ]
+    inbox, out = scratch_path(spark, "latest-in"), scratch_path(spark, "latest-out")
+    for number, batch in enumerate(batches):  # read one after another
+        batch.coalesce(1).write.mode("append").parquet(f"{inbox}/{number}")
+    stream = spark.readStream.schema("value string, version long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(inbox)
+    jobs.latest_stream(stream, similarity.parquet_sink(out), scratch_path(spark, "latest-checkpoint"), run_once=True).awaitTermination()
+    changes = spark.read.parquet(out)
+    last = changes.groupBy("id").agg(F.max(F.struct("version", "cluster", "similars_ids")).alias("last"), F.count("*").alias("n"))
+    return last.select("id", "last.cluster", F.col("last.similars_ids").alias("similar_ids"), (F.col("n") <= 2).alias("changes_only"))
+
+
 # --- users to notify ---
 
 def _targets(spark, sf, interactions, cluster, n=1000):

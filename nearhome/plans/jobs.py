@@ -12,9 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from nearhome.operators import features, lifecycle, neighbors, prepare, recommend, store, targeting
 from nearhome.plans import hybrid
 from nearhome.schemas import LISTINGS_PER_USER, NEIGHBOURS, RETRAIN_AFTER, USERS_PER_LISTING
-from nearhome.session import scratch_kept, written
+from nearhome.session import scratch_kept, scratch_scope, written
 from nearhome.sources import versioned
-from nearhome.streaming import similarity
+from nearhome.streaming import latest, similarity
 
 
 def prepare_similarity(spark: SparkSession, tables, root: str, threshold: int = RETRAIN_AFTER, k: int = NEIGHBOURS) -> int:
@@ -135,17 +135,59 @@ def notify(spark: SparkSession, tables, root: str, n: int = USERS_PER_LISTING) -
     return fresh.count()
 
 
-def store_results(tables, results: DataFrame, version: int) -> None:
-    """Appends results of (id, similar_ids) to the queue; of several for a listing the highest version counts."""
-    tables.append(store.queue_rows(results, version), QUEUE)
+def store_results(tables, results: DataFrame, version: int, repeated: bool = False) -> None:
+    """Appends results of (id, similar_ids) to the queue; of several for a listing the highest version counts.
+
+    With ``repeated`` the rows that an earlier attempt has appended under the same version are left out.
+    """
+    rows = store.queue_rows(results, version)
+    if repeated and tables.exists(QUEUE):
+        there = tables.read(QUEUE, key="announceId").filter(F.col("version") == version).select("announceId")
+        rows = written(rows.join(there, "announceId", "left_anti"), "queue-rows")
+    tables.append(rows, QUEUE)
+
+
+EPOCHS = "result_epochs"
+
+
+def checkpoint_epoch(spark: SparkSession, tables, checkpoint: str) -> int:
+    """The epoch of a checkpoint: above all others when it is first used, and the same whenever its query starts again.
+
+    A checkpoint is known by the id that Spark gives its query and keeps there, so one made anew under an old path is a new one.
+    One writer at a time gives out epochs.
+    """
+    metadata = spark.read.text(f"{checkpoint}/metadata")
+    query = metadata.select(F.get_json_object("value", "$.id")).first()[0]
+    known = tables.read(EPOCHS, key="epoch") if tables.exists(EPOCHS) else None
+    found = known.filter(F.col("query") == query).agg(F.max("epoch")).first()[0] if known is not None else None
+    if found is None:
+        found = store.next_epoch(known, tables.read(QUEUE, key="announceId") if tables.exists(QUEUE) else None)
+        tables.append(spark.createDataFrame([(query, found)], "query string, epoch long").coalesce(1), EPOCHS)
+    return found
 
 
 def store_stream(tables, messages: DataFrame, checkpoint: str, **options) -> StreamingQuery:
     """Appends the results that arrive as messages to the queue, for as long as the query runs.
 
-    The version is the batch, so a repeated batch appends the same rows once more, which count once.
+    Versions grow with the batches and, across checkpoints, with the epochs, so what a new checkpoint stores comes after all
+    that older ones stored and becomes pending again. Only the first batch of a run can be a repeated one. Of several results
+    for a listing in a batch the last one counts, by the message's timestamp and offset where the source has them.
     """
+    order = [c for c in ("timestamp", "offset") if c in messages.columns]
+    state: dict = {}
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        store_results(tables, store.from_messages(batch), batch_id)
+        spark = batch.sparkSession
+        repeated = not state
+        if repeated:
+            state["epoch"] = checkpoint_epoch(spark, tables, checkpoint)
+        results = store.one_per_listing(store.from_messages(batch, *order), order)
+        with scratch_scope(spark):
+            store_results(tables, results, store.version_of(state["epoch"], batch_id), repeated)
+
+    return similarity.start_batches(messages.select("value", *order), process, checkpoint, **options)
+
 
-    return similarity.start_batches(messages.select("value"), process, checkpoint, **options)
+def latest_stream(messages: DataFrame, sink: similarity.Sink, checkpoint: str, **options) -> StreamingQuery:
+    """Hands on the result of a listing whenever it changes, for as long as the query runs; see ``latest.changed_results``."""
+    return similarity.start_batches(latest.changed_results(messages), sink, checkpoint, mode="update", **options)

@@ -191,6 +191,10 @@ SQL: dict[str, str] = {
     "queue_concurrent": f"""
     SELECT id AS announce_id, ids AS similar_ids, CAST(2 AS BIGINT) AS version FROM ({_lists(TYPE_PAIRS)})
     WHERE id IN (SELECT annonce_id FROM ({INTERACTION}))""",
+    "queue_restart": f"""
+    SELECT id AS announce_id, ids AS similar_ids, CAST(2 AS BIGINT) AS epoch FROM ({_lists(TYPE_PAIRS)})
+    WHERE id IN (SELECT annonce_id FROM ({INTERACTION}))""",
+    "stream_latest": f"SELECT id, cluster, ids AS similar_ids, true AS changes_only FROM ({_lists(BRAND_PAIRS)})",
     "stream_similar": f"SELECT id, cluster AS cluster_id, rank - 1 AS pos, similar_id FROM ({BRAND_PAIRS})",
     "stream_similar_events": f"""
     SELECT id, cluster AS cluster_id, rank - 1 AS pos, similar_id FROM ({TYPE_PAIRS})

@@ -53,8 +53,9 @@ def start_similarity(
 
 def start_batches(
     stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, run_once: bool = False, every: str | None = None,
+    mode: str = "append",
 ) -> StreamingQuery:
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(process)
     if run_once:
         writer = writer.trigger(availableNow=True)
     elif every:

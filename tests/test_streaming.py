@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearhome.operators import neighbors, store
+from nearhome.plans import jobs
 from nearhome.session import scratch_path
+from nearhome.sources.tables import FolderTables
 from nearhome.streaming import similarity
 
 
@@ -132,3 +134,69 @@ def test_two_far_ids_are_two_ranges(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "1000000000" in plan and "Or(" in plan
     assert sorted(r["x"] for r in rows.collect()) == [2, 4]
+
+
+def latest_changes(spark, batches):
+    """What comes out for batches of (version, id, similar ids), read one after another, by batch."""
+    inbox, out = scratch_path(spark, "latest-in"), scratch_path(spark, "latest-out")
+    for number, rows in enumerate(batches):
+        lines = [(r[1] if isinstance(r[1], str) else json.dumps({"announceId": r[1], "similarIds": r[2], "clusterId": "c"}), r[0]) for r in rows]
+        spark.createDataFrame(lines, "value string, version long").coalesce(1).write.mode("append").parquet(f"{inbox}/{number}")
+    stream = spark.readStream.schema("value string, version long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(inbox)
+    jobs.latest_stream(stream, similarity.parquet_sink(out), scratch_path(spark, "latest-chk"), run_once=True).awaitTermination()
+    rows = spark.read.schema("id long, version long, cluster string, similars_ids string, batch_id int").parquet(out).collect()
+    return sorted((r["batch_id"], r["id"], r["version"], r["similars_ids"]) for r in rows)
+
+
+def test_only_changes_of_the_latest_result_come_out(spark):
+    found = latest_changes(spark, [
+        [(3, 1, [5, 6]), (2, 1, [7]), (1, 2, [9]), (None, 4, [1]), (8, "junk", None), (8, "{}", None)],
+        [(3, 1, [5, 6]), (2, 1, [8]), (1, 2, [10]), (5, 3, [])],  # repeated, late, replayed under the same version
+        [(4, 1, [5, 6]), (2, 2, [9, 1]), (3, 2, [9, 2]), (3, 2, [9, 3])],  # a new version without a change; several at once
+        [(4, 1, [1]), (5, 1, [1])],
+    ])
+    assert found == [(0, 1, 3, "5,6"), (0, 2, 1, "9"), (1, 3, 5, ""), (2, 2, 3, "9,3"), (3, 1, 5, "1")]
+
+
+def test_a_hot_listing_keeps_one_state(spark):
+    rows = [(v, 1, [v]) for v in range(1, 400)] + [(v, 2 + v, [1]) for v in range(1, 800)]
+    found = latest_changes(spark, [rows, rows[::-1]])
+    assert found[0] == (0, 1, 399, "399") and len(found) == 800
+
+
+def test_versions_grow_across_checkpoints(spark):
+    """A checkpoint made anew under the same path, and one that goes on."""
+    tables = FolderTables(spark, scratch_path(spark, "versions"))
+    inbox, first, second = (scratch_path(spark, n) for n in ("in", "chk1", "chk2"))
+
+    def store_all(checkpoint):
+        jobs.store_stream(tables, spark.readStream.text(inbox), checkpoint, run_once=True).awaitTermination()
+        return sorted((r["announceId"], r["similarsIds"], divmod(r["version"], store.EPOCH)) for r in jobs.pending_results(tables).collect())
+
+    message = lambda i, ids: json.dumps({"announceId": i, "similarIds": ids, "clusterId": "c"})
+    put(spark, inbox, [message(1, [5]), message(2, [6])])
+    assert store_all(first) == [(1, "5", (1, 0)), (2, "6", (1, 0))]
+    tables.append(jobs.pending_results(tables).select("announceId", "version"), jobs.DONE)
+    put(spark, inbox, [message(1, [7])])
+    assert store_all(first) == [(1, "7", (1, 1))]
+    tables.append(jobs.pending_results(tables).select("announceId", "version"), jobs.DONE)
+    assert store_all(first) == []
+    found = store_all(second)  # reads everything again; in its only batch one result a listing counts
+    assert [(r[0], r[2]) for r in found] == [(1, (2, 0)), (2, (2, 0))]
+    put(spark, inbox, [message(2, [3])])
+    assert store_all(first)[0][2] == (2, 0)  # an older checkpoint does not win against a newer one
+    assert tables.read(jobs.EPOCHS).count() == 2
+
+
+def test_a_repeated_batch_adds_nothing(spark):
+    tables = FolderTables(spark, scratch_path(spark, "repeated"))
+    results = spark.createDataFrame([(1, [5]), (2, [6])], "id long, similar_ids array<long>")
+    jobs.store_results(tables, results.limit(1), 7)
+    jobs.store_results(tables, results, 7, repeated=True)
+    jobs.store_results(tables, results, 7, repeated=True)
+    assert sorted(r["announceId"] for r in tables.read(jobs.QUEUE).collect()) == [1, 2]
+
+
+def test_the_last_message_of_a_batch_counts(spark):
+    rows = spark.createDataFrame([(1, [9], 5, 1), (1, [2], 5, 2), (1, [8], 4, 9)], "id long, similar_ids array<long>, timestamp int, offset long")
+    assert [tuple(r) for r in store.one_per_listing(rows, ["timestamp", "offset"]).collect()] == [(1, [2])]
