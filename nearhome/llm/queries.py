@@ -57,10 +57,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every document, with the half of the table by hash of the id as a new batch on the other half."""
-    copy = exact_dedup.digested(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return exact_dedup.deduplicated(copy, exact_dedup.incoming_half()).select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"),
-    )
+    snapshot, batch = exact_dedup.halves(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_batch, of_snapshot = exact_dedup.dedup_batch(snapshot, batch)
+    return of_batch.unionByName(of_snapshot).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
