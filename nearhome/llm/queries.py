@@ -103,42 +103,61 @@ QUERIES = {f.__name__: f for f in (
 
 
 
-def _template_sql() -> str:
-    """The path-template tree level by level, the merge of similar branches, and the rules."""
-    n, share, depth = url_filter.MIN_ROWS, url_filter.MIN_SHARE, url_filter.DEPTH
+def _template_sql(depth: int = 8) -> str:
+    """The path-template tree level by level, as deep as the provided paths go, the groups of similar siblings, and the rules."""
+    u, n = url_filter, url_filter.MIN_ROWS
+    wildcard = lambda x: f"'*' || regexp_extract({x}, '{u.EXTENSION}', 1)"
     levels = []
-    for k in range(1, depth + 1):
+    for k in range(depth):
         levels.append(f"""
-        c{k} AS (SELECT *, parts[{k}] AS seg, count(*) OVER (PARTITION BY node, parts[{k}]) AS own, count(parts[{k}]) OVER (PARTITION BY node) AS total FROM l{k - 1}),
-        l{k} AS (SELECT page_id, host, path, rule, ruled, label, parts, CASE WHEN seg IS NULL THEN node
-                    ELSE node || '/' || CASE WHEN own >= {n} AND own >= {share} * total THEN seg
-                                             ELSE '*' || regexp_extract(seg, '(\\.[A-Za-z][A-Za-z0-9]{{0,4}})$', 1) END END AS node FROM c{k})""")
+        c{k} AS (SELECT *, sum(n) OVER (PARTITION BY host, names) AS total, sum(n) OVER (PARTITION BY host, names, rest[1]) AS own,
+                        min(array_to_string(rest, '/')) OVER (PARTITION BY host, names) = max(array_to_string(rest, '/')) OVER (PARTITION BY host, names) AS single
+                 FROM l{k} WHERE len(rest) > 0),
+        l{k + 1} AS (SELECT host, path, n, labelled, rejected, CASE WHEN total < {n} OR single THEN [] ELSE rest[2:] END AS rest,
+                     list_append(names, CASE
+                         WHEN total < {n} OR single THEN array_to_string(list_transform(rest, lambda s:
+                             CASE WHEN total >= {n} AND NOT regexp_matches(s, '{u.VARIABLE}') THEN s ELSE {wildcard('s')} END), '/')
+                         WHEN own >= {n} AND NOT regexp_matches(rest[1], '{u.VARIABLE}') THEN rest[1] ELSE {wildcard('rest[1]')} END) AS names FROM c{k})""")
+    ended = " UNION ALL ".join(f"SELECT * FROM l{k} WHERE len(rest) = 0" for k in range(depth + 1))
     rules = "\n".join(
         f"WHEN (host = '{at}' OR host LIKE '%.{at}') AND starts_with(path, '/{tail}') THEN '{rule}'"
-        for _, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1])) for at, _, tail in [rule.partition("/")]
+        for _, rule in sorted(u.RULES, key=lambda r: -len(r[1])) for at, _, tail in [rule.partition("/")]
     )
-    verdicts = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in url_filter.RULES)
+    verdicts = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in u.RULES)
     return f"""
-        WITH u AS (
-            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+        WITH RECURSIVE u AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{u.UPPER}', '{u.LOWER}') AS host,
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
         ), r AS (SELECT *, CASE {rules} END AS rule FROM u),
         v AS (SELECT *, CASE rule {verdicts} END AS ruled FROM r),
-        l0 AS (SELECT *, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS label,
-                      list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, host AS node FROM v),
+        l0 AS (SELECT host, path, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS rejected,
+                      list_filter(string_split(path, '/'), lambda x: x <> '') AS rest, []::VARCHAR[] AS names FROM v GROUP BY host, path),
         {",".join(levels)},
-        t AS (SELECT *, node || CASE WHEN len(parts) > {depth} THEN '/**' ELSE '' END AS template FROM l{depth}),
-        k AS (SELECT host, template, count(label) AS labelled, coalesce(sum(label), 0) AS rejected FROM t GROUP BY host, template),
-        p AS (SELECT *, rejected / labelled AS share, host || '/*' || coalesce('/' || nullif(array_to_string(string_split(template, '/')[3:], '/'), ''), '') AS parent
-              FROM k WHERE labelled > 0),
-        g AS (SELECT *, lag(labelled) OVER w AS n0, lag(rejected) OVER w AS r0 FROM p WINDOW w AS (PARTITION BY host, parent ORDER BY share, template)),
-        e AS (SELECT *, (rejected + r0 + 1) / (labelled + n0 + 2) AS pooled FROM g),
-        b AS (SELECT *, sum(CASE WHEN n0 IS NULL OR share - r0 / n0 > {url_filter.SIMILAR} * sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / n0)) THEN 1 ELSE 0 END)
-                     OVER (PARTITION BY host, parent ORDER BY share, template) AS branch FROM e),
-        q AS (SELECT template, (sum(rejected) OVER x + 1) / (sum(labelled) OVER x + 4) AS purity FROM b WINDOW x AS (PARTITION BY host, parent, branch))
-        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(purity, 0.25) >= {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
-               template, coalesce(purity, 0.25) AS purity
-        FROM t LEFT JOIN q USING (template)
+        t AS ({ended}),
+        x AS (SELECT host, names[:d] AS node, d, sum(labelled) AS labelled, sum(rejected) AS rejected
+              FROM (SELECT host, names, labelled, rejected, unnest(range(len(names) + 1)) AS d FROM t) GROUP BY ALL),
+        s AS (SELECT host, node, node[:d - 1] AS parent, floor({u.STEPS} * rejected / labelled)::INT AS share, labelled, rejected FROM x WHERE d > 0 AND labelled > 0),
+        b AS (SELECT host, parent, share, sum(labelled) AS n, sum(rejected) AS r, row_number() OVER (PARTITION BY host, parent ORDER BY share) AS place
+              FROM s GROUP BY host, parent, share),
+        g AS (
+            SELECT host, parent, share, place, n, r, n AS gn, r AS gr, 1 AS number FROM b WHERE place = 1
+            UNION ALL
+            SELECT host, parent, share, place, n, r, CASE WHEN apart THEN n ELSE gn + n END, CASE WHEN apart THEN r ELSE gr + r END,
+                   CASE WHEN apart THEN number + 1 ELSE number END
+            FROM (SELECT b.*, gn, gr, number, b.r / b.n - gr / gn > {u.SIMILAR} * sqrt(
+                      ((b.r + gr + 1) / (b.n + gn + 2)) * (1 - (b.r + gr + 1) / (b.n + gn + 2)) * (1 / b.n + 1 / gn)) AS apart
+                  FROM g JOIN b ON b.host = g.host AND b.parent = g.parent AND b.place = g.place + 1)
+        ), p AS (SELECT host, parent, share, sum(n) OVER w AS n, sum(r) OVER w AS r FROM g WINDOW w AS (PARTITION BY host, parent, number)),
+        k AS (SELECT x.host, x.node, x.d, x.labelled AS own, coalesce(p.n, x.labelled) AS n, coalesce(p.r, x.rejected) AS r
+              FROM x LEFT JOIN s ON s.host = x.host AND s.node = x.node LEFT JOIN p ON p.host = s.host AND p.parent = s.parent AND p.share = s.share),
+        q AS (
+            SELECT host, node, d, own, (r + {u.WEIGHT} * {u.PRIOR}::DOUBLE) / (n + {u.WEIGHT}::DOUBLE) AS purity FROM k WHERE d = 0
+            UNION ALL
+            SELECT k.host, k.node, k.d, k.own, CASE WHEN k.own = q.own THEN purity ELSE (r + {u.WEIGHT} * purity) / (n + {u.WEIGHT}::DOUBLE) END FROM q JOIN k ON k.host = q.host AND k.d = q.d + 1 AND k.node[:q.d] = q.node
+        )
+        SELECT page_id, v.host, v.path, rule, coalesce(ruled, CASE WHEN purity >= {u.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+               CASE WHEN len(names) > 0 THEN v.host || '/' || array_to_string(names, '/') ELSE v.host END AS template, purity
+        FROM v JOIN t ON t.host = v.host AND t.path = v.path JOIN q ON q.host = t.host AND q.node = t.names
     """
 
 

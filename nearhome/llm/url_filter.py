@@ -4,20 +4,26 @@ A page's host is what stands between the first ``://`` and the next ``/``, ``?``
 path goes on to ``?``, ``#`` or the end. A rule fits its host and all subdomains where the path begins with the rule's;
 the longest wins.
 
-The tree has a root per host and a level per path segment. Under a node, a segment value stays a branch of its own when
-it holds at least ``MIN_ROWS`` pages and ``MIN_SHARE`` of the node's; all others are variable and become a wildcard,
-which keeps a file extension. Segments behind ``DEPTH`` levels share one wildcard. Sibling branches whose shares of
-rejected labels do not differ significantly are merged; branches without any label are not similar to labelled ones.
-A template is rejected when its smoothed labelled purity, (rejected + 1) / (labelled + 4), is at least ``PURITY``; so a
-template with few labels or none is allowed. Labels are given by the caller as 1 (reject), 0 (keep) or null.
+The tree has a root per host and a branch per path segment, as deep as the paths go. A segment value stays a branch of its own
+when at least ``MIN_ROWS`` pages go through it and it is no number, id or hash; all others are variable and become a wildcard,
+which keeps a file extension. What a node decides does not depend on other nodes' sizes. Where fewer than ``MIN_ROWS`` pages or
+one single path go on below a node, the rest of the path is one last branch.
+
+Labels are given by the caller as 1 (reject), 0 (keep) or null; each node counts those of its subtree. Siblings are ordered by
+their share of rejected labels, in steps of a thousandth, and one after another joined to the group before it as long as the two
+do not differ by a two-proportion test against the whole group; the siblings of a group count their labels together. A node's
+purity is smoothed with its parent's from the root down: (rejected + ``WEIGHT`` * parent's purity) / (labelled + ``WEIGHT``), above
+the root ``PRIOR``; a node that holds all of its parent's labels adds nothing and keeps its purity. A template is a whole path of branches; it is rejected at a purity of ``PURITY`` or more. A branch without labels
+has its parent's purity, so a host is rejected as a whole only when its labels say so, and one without labels is allowed.
 
 A null URL or one without ``://`` has an empty host and path, fits no rule and is allowed unless the templates of the
-empty host say otherwise. Only DataFrame functions are used.
+empty host say otherwise. Repeated rows count as often as they stand there; long paths are read whole; an empty table gives an
+empty result; columns other than page_id and url are not read. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearhome.session import written
@@ -32,11 +38,14 @@ RULES = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-DEPTH = 4
 MIN_ROWS = 5
-MIN_SHARE = 0.01
 SIMILAR = 1.96  # standard errors between the label shares of branches that are merged
+STEPS = 1000  # of a label share; siblings within one are not told apart
+WEIGHT = 4.0
+PRIOR = 0.25
 PURITY = 0.8
+VARIABLE = r"^([0-9]+|[0-9A-Fa-f-]{16,})(\.[A-Za-z][A-Za-z0-9]{0,4})?$"  # numbers, ids and hashes
+EXTENSION = r"(\.[A-Za-z][A-Za-z0-9]{0,4})$"
 
 
 def host_of(url: Column) -> Column:
@@ -58,71 +67,119 @@ def first_rule(host: Column, path: Column, rules: list[tuple[str, str]] = RULES)
     return chain
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``urls`` (row, host, path, label) with the ``parent`` and the ``branch`` of every path's place in the tree."""
+def counted_paths(urls: DataFrame) -> DataFrame:
+    """(host, path, n, labelled, rejected) of ``urls`` (host, path, label); counted before the shuffle, so a hot path is one row a task."""
+    rejected = F.coalesce(F.sum("label"), F.lit(0)).cast("long")
+    return urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), rejected.alias("rejected"))
+
+
+def _wildcard(segment: Column) -> Column:
+    return F.concat(F.lit("*"), F.regexp_extract(segment, EXTENSION, 1))
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """``paths`` with ``names``, the branches from the host to the end of every path. One round a level that has frequent nodes."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = urls.select("*", segments.alias("segments"), F.col("host").alias("node"))
-    for level in range(depth):
-        segment = F.get("segments", F.lit(level))
-        rows = written(rows.withColumn("segment", segment), f"url-level-{level}")
-        counted = rows.filter("segment IS NOT NULL").groupBy("node", "segment").agg(F.count("*").alias("n"))
-        totals = rows.filter("segment IS NOT NULL").groupBy("node").agg(F.count("*").alias("total"))
-        literal = (
-            counted.filter(F.col("n") >= MIN_ROWS).join(totals, "node").filter(F.col("n") >= MIN_SHARE * F.col("total"))
-            .select("node", "segment", F.lit(True).alias("literal"))
-        )
-        extension = F.regexp_extract("segment", r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", 1)
-        name = F.when(F.col("literal"), F.col("segment")).otherwise(F.concat(F.lit("*"), extension))
-        rows = (
-            rows.join(written(literal, f"url-literal-{level}"), ["node", "segment"], "left")
-            .withColumn("node", F.when(F.col("segment").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", name)))
-            .drop("segment", "literal")
-        )
-    deeper = F.when(F.size("segments") > depth, F.lit("/**")).otherwise(F.lit(""))
-    template = F.concat("node", deeper)
-    return rows.select(*[c for c in rows.columns if c not in ("segments", "node")], template.alias("template"))
-
-
-def merged_branches(rows: DataFrame) -> DataFrame:
-    """(template, branch, purity): the templates, their merged branch and its smoothed share of rejected labels.
-
-    Siblings have the same parent, the template less its first path segment's name: they differ in one branch of the host.
-    They are ordered by their share of rejected labels, and neighbours in that order that do not differ by a
-    two-proportion test belong to one branch. A host has at most 1 / ``MIN_SHARE`` branches a level, so the window is small.
+    rows = written(paths.select("*", segments.alias("left"), F.array().cast("array<string>").alias("names")), "url-paths")
+    done, level = rows.filter(F.size("left") == 0), 0
+    while True:
+        active = rows.filter(F.size("left") > 0).select("*", F.concat_ws("/", "names").alias("node"), F.get("left", F.lit(0)).alias("segment"))
+        rest = F.concat_ws("/", "left")
+        nodes = active.groupBy("host", "node").agg(F.sum("n").alias("total"), F.min(rest).alias("low"), F.max(rest).alias("high"))
+        nodes = written(nodes.select("host", "node", (F.col("total") >= MIN_ROWS).alias("frequent"), (F.col("low") == F.col("high")).alias("single")), f"url-nodes-{level}")
+        if nodes.isEmpty():
+            return done.drop("left")
+        branches = active.groupBy("host", "node", "segment").agg(F.sum("n").alias("own")).filter(F.col("own") >= MIN_ROWS)
+        branches = written(branches.filter(~F.col("segment").rlike(VARIABLE)).select("host", "node", "segment", F.lit(True).alias("literal")), f"url-branches-{level}")
+        known = active.join(nodes, ["host", "node"]).join(branches, ["host", "node", "segment"], "left")
+        last = ~F.col("frequent") | F.col("single")
+        tail = F.transform("left", lambda s: F.when(F.col("frequent") & ~s.rlike(VARIABLE), s).otherwise(_wildcard(s)))
+        name = F.when(last, F.array_join(tail, "/")).when(F.col("literal"), F.col("segment")).otherwise(_wildcard(F.col("segment")))
+        left = F.when(last, F.array().cast("array<string>")).otherwise(F.slice("left", 2, 2**30))
+        named = known.select(*paths.columns, left.alias("left"), F.array_append("names", name).alias("names"))
+        rows = written(named, f"url-level-{level}")
+        done, level = done.unionByName(rows.filter(F.size("left") == 0)), level + 1
+
+
+def tree(rows: DataFrame) -> DataFrame:
+    """(host, names, depth, labelled, rejected): the nodes of all templates, ``names`` being those down to the node."""
+    whole = rows.groupBy("host", "names").agg(F.sum("labelled").alias("labelled"), F.sum("rejected").alias("rejected"))
+    depth = F.explode(F.sequence(F.lit(0), F.size("names"))).alias("depth")
+    nodes = whole.select("host", "names", "labelled", "rejected", depth).select("host", F.slice("names", 1, F.col("depth")).alias("names"), "depth", "labelled", "rejected")
+    return nodes.groupBy("host", "names", "depth").agg(F.sum("labelled").alias("labelled"), F.sum("rejected").alias("rejected"))
+
+
+def _group(state: Column, step: Column) -> Column:
+    """The next step of label shares joins the group so far or begins another."""
+    pooled = (step["rejected"] + state["rejected"] + 1) / (step["labelled"] + state["labelled"] + 2)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / step["labelled"] + 1 / state["labelled"]))
+    apart = step["rejected"] / step["labelled"] - state["rejected"] / state["labelled"] > SIMILAR * error
+    new = (state["labelled"] == 0) | apart
+    total = lambda c: F.when(new, step[c]).otherwise(state[c] + step[c]).alias(c)
+    number = state["number"] + F.when(new, 1).otherwise(0)
+    return F.struct(
+        number.alias("number"), total("labelled"), total("rejected"),
+        F.array_append(state["steps"], F.struct(number.alias("number"), step["share"].alias("share"))).alias("steps"),
+    )
+
+
+def merged_branches(nodes: DataFrame) -> DataFrame:
+    """(host, names, pooled_labelled, pooled_rejected) of the labelled nodes: the labels of their group of similar siblings.
+
+    A parent's siblings are first added up by step of their share, so the list that is gone through has ``STEPS`` + 1 rows at most.
     """
-    counts = rows.groupBy("host", "template").agg(
-        F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("rejected"),
+    parent = F.slice("names", 1, F.col("depth") - 1)
+    share = F.floor(F.lit(STEPS) * F.col("rejected") / F.col("labelled")).cast("int")
+    siblings = nodes.filter("labelled > 0 AND depth > 0").select("host", parent.alias("parent"), "names", share.alias("share"), "labelled", "rejected")
+    steps = siblings.groupBy("host", "parent", "share").agg(F.sum("labelled").alias("labelled"), F.sum("rejected").alias("rejected"))
+    in_order = F.array_sort(F.collect_list(F.struct("share", "labelled", "rejected")))
+    start = F.struct(
+        F.lit(0).alias("number"), F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("rejected"),
+        F.array().cast("array<struct<number:int,share:int>>").alias("steps"),
     )
-    parts = F.split("template", "/")
-    counts = written(counts.withColumn("parent", F.concat_ws("/", F.get(parts, F.lit(0)), F.lit("*"), F.slice(parts, 3, 2**30))), "url-counts")
-    labelled = counts.filter("labelled > 0").withColumn("share", F.col("rejected") / F.col("labelled"))
-    order = Window.partitionBy("host", "parent").orderBy("share", "template")
-    n0, r0 = F.lag("labelled").over(order), F.lag("rejected").over(order)
-    pooled = (F.col("rejected") + r0 + 1) / (F.col("labelled") + n0 + 2)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / n0))
-    apart = F.when(n0.isNull() | (F.col("share") - r0 / n0 > SIMILAR * error), 1).otherwise(0)
-    branches = labelled.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
-    totals = branches.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("n"), F.sum("rejected").alias("r"))
-    return branches.join(totals, ["host", "parent", "branch"]).select(
-        "template", F.concat_ws("#", "parent", "branch").alias("branch"), ((F.col("r") + 1) / (F.col("n") + 4)).alias("purity"),
+    found = steps.groupBy("host", "parent").agg(in_order.alias("list")).select("host", "parent", F.inline(F.aggregate("list", start, _group)["steps"]))
+    groups = written(steps.join(found, ["host", "parent", "share"]), "url-steps")
+    totals = groups.groupBy("host", "parent", "number").agg(F.sum("labelled").alias("pooled_labelled"), F.sum("rejected").alias("pooled_rejected"))
+    pooled = groups.select("host", "parent", "share", "number").join(totals, ["host", "parent", "number"])
+    return siblings.select("host", "parent", "names", "share").join(pooled, ["host", "parent", "share"]).select("host", "names", "pooled_labelled", "pooled_rejected")
+
+
+def purities(rows: DataFrame) -> DataFrame:
+    """(host, names, purity, own_labelled) of every template, smoothed from the root down."""
+    nodes = written(tree(rows), "url-tree")
+    merged = written(merged_branches(nodes), "url-merged")
+    known = nodes.join(merged, ["host", "names"], "left").select(
+        "host", "names", F.col("labelled").alias("own"), F.coalesce("pooled_labelled", "labelled").alias("n"), F.coalesce("pooled_rejected", "rejected").alias("r"),
     )
+    whole = rows.groupBy("host", "names").agg(F.sum("labelled").alias("own_labelled"))
+    depth = F.explode(F.sequence(F.lit(0), F.size("names"))).alias("depth")
+    steps = whole.select("host", F.col("names").alias("whole"), "own_labelled", depth).withColumn("names", F.slice("whole", 1, F.col("depth")))
+    path = F.array_sort(F.collect_list(F.struct("depth", "own", "n", "r")))
+    lists = steps.join(known, ["host", "names"]).groupBy("host", F.col("whole").alias("names")).agg(path.alias("path"), F.max("own_labelled").alias("own_labelled"))
+    smoothed = lambda above, node: (node["r"] + WEIGHT * above["purity"]) / (node["n"] + WEIGHT)
+    start = F.struct(F.lit(PRIOR).alias("purity"), F.lit(-1).cast("long").alias("own"))
+    purity = F.aggregate("path", start, lambda above, node: F.struct(
+        F.when(node["own"] == above["own"], above["purity"]).otherwise(smoothed(above, node)).alias("purity"), node["own"].alias("own"),
+    ))["purity"]
+    return lists.select("host", "names", purity.alias("purity"), "own_labelled")
 
 
 def judged(urls: DataFrame) -> DataFrame:
-    """``urls`` (row, host, path, label) with ``template``, ``purity`` and ``rejected``."""
-    rows = written(templates(urls), "url-templates")
-    verdicts = written(merged_branches(rows).select("template", "purity"), "url-purity")
-    purity = F.coalesce("purity", F.lit(0.25))  # no label at all: (0 + 1) / (0 + 4)
-    return rows.join(verdicts, "template", "left").withColumn("purity", purity).withColumn("rejected", F.col("purity") >= PURITY)
+    """(host, path, template, purity, rejected, own_labelled) of every different host and path of ``urls`` (host, path, label)."""
+    rows = written(templates(written(counted_paths(urls), "url-counts")), "url-templates")
+    known = written(purities(rows), "url-purity")
+    template = F.when(F.size("names") > 0, F.concat_ws("/", "host", F.array_join("names", "/"))).otherwise(F.col("host"))
+    found = rows.join(known, ["host", "names"])
+    return found.select("host", "path", template.alias("template"), "purity", (F.col("purity") >= PURITY).alias("rejected"), "own_labelled")
 
 
 def filtered_pages(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page; labels are the verdicts of the rules."""
     slim = pages.select("page_id", F.col("url").cast("string").alias("url"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = slim.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("first", first_rule(F.col("host"), F.col("path")))
+    rows = slim.select("page_id", host.alias("host"), path.alias("path")).withColumn("first", first_rule(F.col("host"), F.col("path")))
     label = F.when(F.col("first.verdict") == "block", 1).when(F.col("first.verdict") == "allow", 0)
-    done = judged(rows.select("page_id", "host", "path", F.col("first.rule").alias("rule"), F.col("first.verdict").alias("ruled"), label.alias("label")))
+    rows = written(rows.select("page_id", "host", "path", F.col("first.rule").alias("rule"), F.col("first.verdict").alias("ruled"), label.alias("label")), "url-rows")
+    done = rows.join(written(judged(rows), "url-judged"), ["host", "path"])
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return done.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
