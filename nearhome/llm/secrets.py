@@ -7,14 +7,18 @@ Found by themselves (leftmost, not overlapping within a kind; failing ones are d
 - hex: 24 hexadecimal digits or more.
 
 Weak parts mean nothing alone: identifiers (an assigned user, account or key id), secrets (a token of 20 characters
-or more with a digit, a capital and a small letter anywhere in it, also right behind ``=`` or a quote, or a value assigned to a name like pwd) and endpoints (an address, or a value assigned to a name like host). A
-weak secret and an identifier are reported when they begin within ``REACH`` characters of each other in one scope; access
-keys count as identifiers. Assign and hex spans are secrets by themselves, so an identifier as near to one is reported
-too. An endpoint is reported when it stands as near to a secret that is reported, weak or not. Scopes are the blocks of a text between blank lines. The parts meet in an interval join: by scope and by bins of ``REACH``
-characters, so a bin holds a bounded number of parts.
-
-Positions are code points, ends exclusive. Null texts count as empty. Repeated rows are told apart by a number that is
-written with them. Only DataFrame functions are used.
+or more with a digit, a capital and a small letter anywhere in it, also right behind ``=`` or a quote, or a value assigned to
+a name like pwd) and endpoints (an address, or a value assigned to a name like host). A weak secret and an identifier are
+reported when at most ``REACH`` characters lie between them in one scope, whichever comes first and however long they are;
+access keys count as identifiers. Assign and hex spans are secrets by themselves, so an identifier as near to one is reported
+too. An endpoint is reported when it stands as near to a secret that is reported, weak or not. Parts that overlap are not linked
+to each other. Scopes are the blocks of a text between blank lines. The parts meet in an interval join: by scope and by the bin
+of ``REACH`` characters in which one ends and the other begins, so a bin holds a bounded number of parts.
+
+Positions are code points, ends exclusive; equal starts go by the order of the kinds. Null texts count as empty. Texts are
+scanned whole; the lengths of matches and of what lies between them are added up by a window per text, so the work grows
+with the matches. Repeated rows are told apart by a number that is written with them. Empty tables give no rows; columns other
+than doc_id and text are not read. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -47,70 +51,68 @@ BREAK = r"\n[\x20\x09\r]*\n"
 REACH = 300
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+_PIECES = "array<struct<kind:int,place:int,gap:int,length:int,size:int>>"
+_NUMBER = {k: i for i, k in enumerate(KINDS)}
+_BREAK_KIND = -1
 
 
-def spans(text: Column, pattern: str, kind: int, value: tuple[int, int] | None = None) -> Column:
-    """(start, kind, end) of all matches of ``pattern``; with ``value`` (group, least) only those whose group is as long.
-
-    The text between the matches and the matches themselves alternate, so their lengths add up to the positions.
-    """
+def pieces(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """(kind, place, gap, length, size) of all matches: how many characters lie before it, how long it and its ``group`` are."""
     regex = F.lit(pattern)
-    group, least = value or (0, 0)
-    pieces = F.arrays_zip(
+    zipped = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, regex, F.lit(group)).alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("found"))
-
-    def add(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.char_length(piece["gap"])
-        end = begin + F.coalesce(F.char_length(piece["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), F.char_length(piece["value"]).alias("size"))
-        return F.struct(end.alias("at"), F.when(piece["match"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(span))).alias("found"))
+    measured = F.transform(zipped, lambda piece, place: F.struct(
+        F.lit(kind).alias("kind"), place.alias("place"), F.char_length(piece["gap"]).alias("gap"),
+        F.char_length(piece["match"]).alias("length"), F.char_length(piece["value"]).alias("size"),
+    ))
+    return F.when(F.regexp_like(text, regex), measured).otherwise(F.array().cast(_PIECES)).cast(_PIECES)
 
-    found = F.filter(F.aggregate(pieces, start, add, lambda s: s["found"]), lambda s: s["size"] >= least)
-    placed = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
-    return F.when(F.regexp_like(text, regex), placed).otherwise(F.array().cast(_SPANS)).cast(_SPANS)
 
-
-def found_parts(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, assign, access, hex, parts, breaks): spans by kind; weak parts only where they could be linked."""
-    number = {k: i for i, k in enumerate(KINDS)}
+def found_pieces(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, pieces): the matches of every kind, written; those of weak parts and blank lines only where they could be linked."""
+    text = F.col("text")
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("text")).select(
-        "row", "doc_id", "text",
-        spans(F.col("text"), ASSIGN, number["assign"], (2, LEAST["assign"])).alias("assign"),
-        spans(F.col("text"), ACCESS, number["access"], (0, LEAST["access"])).alias("access"),
-        spans(F.col("text"), HEX, number["hex"], (0, LEAST["hex"])).alias("hex"),
+        "row", "doc_id", "text", pieces(text, ASSIGN, _NUMBER["assign"], 2).alias("assign"),
+        pieces(text, ACCESS, _NUMBER["access"]).alias("access"), pieces(text, HEX, _NUMBER["hex"]).alias("hex"),
     )
-    text = F.col("text")
     has = lambda pattern: F.regexp_like(text, F.lit(pattern))
-    strong = (F.size("assign") > 0) | (F.size("hex") > 0)
-    linkable = (strong & (has(IDENTIFIER) | has(ENDPOINT))) | (has(SECRET) & ((F.size("access") > 0) | has(IDENTIFIER)))
-    weak = F.concat(*[spans(text, pattern, number[k]) for k, pattern in (("identifier", IDENTIFIER), ("secret", SECRET), ("endpoint", ENDPOINT))])
-    none = F.array().cast(_SPANS)
-    flagged = base.withColumn("linkable", linkable)
-    return written(flagged.select(
-        "row", "doc_id", "assign", "access", "hex", F.when(F.col("linkable"), weak).otherwise(none).alias("parts"),
-        F.when(F.col("linkable"), spans(text, BREAK, -1)).otherwise(none).alias("breaks"),
-    ), "secret-parts")
-
-
-def linked_parts(found: DataFrame) -> DataFrame:
-    """(row, start, kind, end): weak parts that stand with their complement, weak or strong."""
-    candidates = found.filter(F.size("parts") > 0)
-    pieces = candidates.select("row", F.inline(F.concat("parts", *STRONG, "breaks")).alias("start", "kind", "end"))
+    some = lambda kind: F.exists(kind, lambda piece: piece["size"] >= LEAST[kind])
+    linkable = ((some("assign") | some("hex")) & (has(IDENTIFIER) | has(ENDPOINT))) | (has(SECRET) & (some("access") | has(IDENTIFIER)))
+    weak = [pieces(text, p, k) for k, p in ((_NUMBER["identifier"], IDENTIFIER), (_NUMBER["secret"], SECRET), (_NUMBER["endpoint"], ENDPOINT), (_BREAK_KIND, BREAK))]
+    none = F.array().cast(_PIECES)
+    return written(base.withColumn("linkable", linkable).select(
+        "row", "doc_id", F.concat("assign", "access", "hex", F.when(F.col("linkable"), F.concat(*weak)).otherwise(none)).alias("pieces"),
+    ), "secret-pieces")
+
+
+def placed_spans(found: DataFrame) -> DataFrame:
+    """(row, kind, start, end): where the matches lie, short ones of the strong kinds dropped, written."""
+    rows = found.filter(F.size("pieces") > 0).select("row", F.inline("pieces"))
+    before = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("gap") + F.coalesce("length", F.lit(0))).over(before), F.lit(0)) + F.col("gap")
+    least = F.lit(0)
+    for kind, size in LEAST.items():
+        least = F.when(F.col("kind") == _NUMBER[kind], size).otherwise(least)
+    placed = rows.withColumn("start", start.cast("int")).filter(F.col("length").isNotNull() & (F.col("size") >= least))
+    return written(placed.select("row", "kind", "start", (F.col("start") + F.col("length")).alias("end")), "secret-places")
+
+
+def linked_parts(spans: DataFrame) -> DataFrame:
+    """(row, start, kind, end): weak parts that stand with their complement, weak or strong, of (row, kind, start, end)."""
+    weak = spans.filter(F.col("kind") >= len(STRONG)).select("row").distinct()  # where there is anything to link
     # the scope is the number of blank lines before
     scope = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    parts = pieces.withColumn("scope", F.count_if(F.col("kind") == -1).over(scope)).filter("kind >= 0")
-    parts = written(parts.withColumn("bin", F.floor(F.col("start") / REACH)), "secret-scopes")
-    number = {k: i for i, k in enumerate(KINDS)}
-    of = lambda *kinds: parts.filter(F.col("kind").isin([number[k] for k in kinds]))
+    parts = spans.join(written(weak, "secret-rows"), "row", "left_semi").withColumn("scope", F.count_if(F.col("kind") == _BREAK_KIND).over(scope))
+    parts = written(parts.filter("kind >= 0"), "secret-scopes")
+    of = lambda *kinds: parts.filter(F.col("kind").isin([_NUMBER[k] for k in kinds]))
     near = written(_near(of("secret", "assign", "hex"), of("identifier", "access")), "secret-links")
-    secrets = near.filter(F.col("kind") == number["secret"]).select("row", "scope", "bin", *_own()).distinct()
-    secrets = secrets.unionByName(of("assign", "hex").select("row", "scope", "bin", *_own()))
+    secrets = near.filter(F.col("kind") == _NUMBER["secret"]).select("row", "scope", *_own()).distinct()
+    secrets = written(secrets.unionByName(of("assign", "hex").select("row", "scope", *_own())), "secret-reported")
     endpoints = _near(secrets, of("endpoint")).select("row", *_other())
     linked = secrets.select("row", *_own()).unionByName(near.select("row", *_other())).unionByName(endpoints)
-    return linked.filter(~F.col("kind").isin([number[k] for k in STRONG])).distinct()
+    return linked.filter(F.col("kind") >= len(STRONG)).distinct()
 
 
 def _own() -> list[str]:
@@ -122,19 +124,34 @@ def _other() -> list[Column]:
 
 
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The interval join: parts of both sides in one scope that begin within ``REACH`` of each other and are not the same text."""
-    reached = left.withColumn("reached", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    others = right.select("row", "scope", F.col("bin").alias("reached"), *[F.col(c).alias(f"other_{c}") for c in _own()])
-    apart = (F.col("other_end") <= F.col("start")) | (F.col("other_start") >= F.col("end"))
-    return reached.join(others, ["row", "scope", "reached"]).filter((F.abs(F.col("start") - F.col("other_start")) <= REACH) & apart)
+    """The interval join: parts of both sides in one scope with ``REACH`` characters or less between them.
+
+    One ends where the other begins, or at most a bin before.
+    """
+    ours = left.select("row", "scope", *_own())
+    theirs = right.select("row", "scope", *[F.col(c).alias(f"other_{c}") for c in _own()])
+
+    def followed(first: DataFrame, end: str, second: DataFrame, start: str) -> DataFrame:
+        bin_of = lambda c: F.floor(F.col(c) / REACH)
+        ends = first.withColumn("bin", F.explode(F.array(bin_of(end), bin_of(end) + 1)))
+        pairs = ends.join(second.withColumn("bin", bin_of(start)), ["row", "scope", "bin"])
+        return pairs.filter((F.col(start) - F.col(end)).between(0, REACH)).select(*columns)
+
+    columns = ["row", "scope", *_own(), *[f"other_{c}" for c in _own()]]
+    return followed(ours, "end", theirs, "other_start").unionByName(followed(theirs, "other_end", ours, "start"))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """(row, doc_id, assign, access, hex, linked): arrays of (start, kind, end) per document."""
-    found = found_parts(docs)
-    linked = linked_parts(found).groupBy("row").agg(F.collect_list(F.struct(*_own())).alias("linked"))
-    joined = found.drop("parts", "breaks").join(written(linked, "secret-linked"), "row", "left")
-    return joined.withColumn("linked", F.coalesce("linked", F.array().cast(_SPANS)))
+    found = found_pieces(docs)
+    spans = placed_spans(found)
+    linked = written(linked_parts(spans), "secret-linked")
+    shown = spans.filter(F.col("kind").between(0, len(STRONG) - 1)).select("row", *_own()).unionByName(linked.select("row", *_own()))
+    lists = written(shown.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*_own()))).alias("spans")), "secret-lists")
+    joined = found.select("row", "doc_id").join(lists, "row", "left")
+    every = F.coalesce("spans", F.array().cast(_SPANS))
+    of = lambda low, high: F.filter(every, lambda s: s["kind"].between(low, high))
+    return joined.select("row", "doc_id", *[of(_NUMBER[k], _NUMBER[k]).alias(k) for k in STRONG], of(len(STRONG), len(KINDS)).alias("linked"))
 
 
 def span_list(*arrays: str) -> Column:

@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
+import time
 
+import regex
 
-from llm.conftest import ODD, frame
+from llm.conftest import ODD, frame, prose
 from nearhome.llm import queries, secrets
 
 either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -36,6 +39,26 @@ LINKED = [
 ]
 
 
+def brute_linked(text):
+    """All spans of a text, every pair of parts looked at."""
+    kinds = {k: i for i, k in enumerate(secrets.KINDS)}
+    base = [tuple(map(int, (s.split(":")[1], kinds[s.split(":")[0]], s.split(":")[2]))) for s in brute(text).split(",") if s]
+    matches = lambda pattern: [m.span() for m in regex.finditer(pattern, text)]
+    breaks = [a for a, _ in matches(secrets.BREAK)]
+    parts = base + [(a, kinds[k], b) for k, p in (("identifier", secrets.IDENTIFIER), ("secret", secrets.SECRET), ("endpoint", secrets.ENDPOINT)) for a, b in matches(p)]
+    scope = lambda part: sum(b <= part[0] for b in breaks)
+    near = lambda x, y: scope(x) == scope(y) and (0 <= y[0] - x[2] <= secrets.REACH or 0 <= x[0] - y[2] <= secrets.REACH)
+    of = lambda *names: [p for p in parts if secrets.KINDS[p[1]] in names]
+    found, reported = set(base), set(of("assign", "hex"))
+    for secret in of("secret", "assign", "hex"):
+        for other in of("identifier", "access"):
+            if near(secret, other):
+                found |= {secret, other}
+                reported.add(secret)
+    found |= {e for e in of("endpoint") for r in reported if near(r, e)}
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
 def check(spark, rows, path):
     found = queries.op5_secret_scan(spark, path).collect()
     got = sorted((str(r["doc_id"]), r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found)
@@ -100,6 +123,46 @@ def test_parts_in_one_hot_text(spark, folder):
     assert [len(r["spans"].split(",")) for r in found] == [6000, 6000]
 
 
+def test_long_parts_link_on_both_sides(spark, folder):
+    long = "x7" * 171 + "A"
+    cases = [
+        (f"user: bob\nauth: {long}\nhost: db.example.com", "identifier:0:9,secret:10:359,endpoint:360:380"),
+        (f"auth: {long}\nuser: bob", "secret:0:349,identifier:350:359"),
+        (f"host: {'h' * 5000} user: bob password: hunter22", "endpoint:0:5006,identifier:5007:5016,assign:5017:5035"),
+        ("user: bob" + " " * 300 + "password: hunter22", "identifier:0:9,assign:309:327"),
+        ("user: bob" + " " * 301 + "password: hunter22", "assign:310:328"),
+    ]
+    assert linked_spans(spark, folder, [t for t, _ in cases]) == [s for _, s in cases]
+
+
+def test_linking_by_brute_force(spark, folder):
+    pick = random.Random(11)
+    part = lambda: pick.choice([
+        f"user=u{pick.randrange(999)}", "Ab3dEf6hIj9kLm2nOp5q" + "x" * pick.choice([0, 0, 400]), f"password: {'p' * pick.randint(3, 9)}", "https://db.example.org/x",
+        f"host: h{pick.randrange(99)}.example", HEX, KEY, "\n\n", "\n", "é" * pick.randint(1, 350), "pwd=" + "z" * pick.choice([6, 700]), "word " * pick.randint(1, 60),
+    ])
+    texts = [" ".join(part() for _ in range(pick.randint(1, 25))) for _ in range(300)]
+    assert linked_spans(spark, folder, texts) == [brute_linked(t) for t in texts]
+
+
+def test_planted_credentials(spark, folder):
+    """A third of the documents hold credentials in parts, so the join has work to do."""
+    texts = [
+        prose(i, 40) + (f"\nclient_id: c{i:04d}\nAb3dEf6hIj9kLm2nOp5q{i:05d}\nserver: s{i}.example.net\n" if i % 3 == 0 else " server: lone.example.net ") + prose(i, 40)
+        for i in range(3000)
+    ]
+    found = linked_spans(spark, folder, texts)
+    assert found == [brute_linked(t) for t in texts] and sum("endpoint" in s for s in found) == 1000
+
+
+def test_work_grows_with_the_matches(spark, folder):
+    """64,000 matches in one text, 2.6 MB."""
+    text = " ".join(f"{i:040x}" for i in range(64_000))
+    start = time.time()
+    [found] = linked_spans(spark, folder, [text])
+    assert found == brute(text) and time.time() - start < 60
+
+
 def test_odd_documents(spark, odd, none, folder):
     check(spark, ODD, folder(documents=odd))
     assert queries.op5_secret_scan(spark, folder(documents=none)).count() == 0
