@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearhome.functions.exact import limb_names, limb_sums, total
 from nearhome.functions.scores import interaction_weight
 from nearhome.schemas import FEATURE_COLUMNS
 
@@ -23,11 +24,11 @@ def category_cardinality(listings: DataFrame, columns: Sequence[str]) -> DataFra
     return counts.select(F.inline(named)).withColumn("in_model", F.col("n_values") >= 2)
 
 
-EXACT = "decimal(38,12)"  # scores are added up exactly, so means do not depend on the order of summation
+def rating_state(interactions: DataFrame) -> DataFrame:
+    """(user_id, annonce_id, n, odd, limbs of the sum): what the means of a batch are made of; states of batches add up.
 
-
-def rating_matrix(interactions: DataFrame) -> DataFrame:
-    """Mean score per (user, listing) over the scores there are. Scores that are NaN or infinite make the mean NaN."""
+    ``n`` counts the scores, ``odd`` those that are NaN or infinite. Scores are single-precision.
+    """
     score = F.col("score")
     finite = F.abs(score) < float("inf")  # NaN sorts above infinity
     return (
@@ -38,17 +39,26 @@ def rating_matrix(interactions: DataFrame) -> DataFrame:
             F.col("interaction_score").cast("float").alias("score"),
         )
         .groupBy("user_id", "annonce_id")
-        .agg(
-            F.sum(F.when(finite, score.cast("double").cast(EXACT))).alias("total"), F.count("score").alias("n"),
-            F.count_if(score.isNotNull() & ~finite).alias("odd"),
-        )
-        .select(
-            "user_id", "annonce_id",
-            F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col("total").cast("double"), "n")).alias("interaction_score"),
-        )
+        .agg(F.count("score").alias("n"), F.count_if(score.isNotNull() & ~finite).alias("odd"), *limb_sums(F.when(finite, score), "sum"))
     )
 
 
+def merged_states(states: DataFrame) -> DataFrame:
+    """One row per (user, listing) of the rows of several states."""
+    return states.groupBy("user_id", "annonce_id").agg(*[F.sum(c).alias(c) for c in ("n", "odd", *limb_names("sum"))])
+
+
+def ratings_of(state: DataFrame) -> DataFrame:
+    """(user_id, annonce_id, interaction_score): the mean score; NaN where a score is NaN or infinite, null without any."""
+    mean = F.try_divide(total("sum"), "n")
+    return state.select("user_id", "annonce_id", F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(mean).alias("interaction_score"))
+
+
+def rating_matrix(interactions: DataFrame) -> DataFrame:
+    """Mean score per (user, listing) over the scores there are, from sums that lose nothing, whatever their sizes and order."""
+    return ratings_of(rating_state(interactions))
+
+
 def weighted_rating_matrix(interactions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rating matrix with the score taken from the interaction type; without ``weights`` ratings keep their own score."""
     rated = F.col("interaction_score") if weights is None else None

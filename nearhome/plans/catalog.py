@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nearhome.functions.codecs import ids_to_csv, json_field
 from nearhome.functions.vectors import cosine as cosine_of
 from nearhome.functions.vectors import l2_norm
-from nearhome.operators import cosine, features, lifecycle, neighbors, prepare, quality, recommend, store, synth, targeting
+from nearhome.operators import cosine, features, lifecycle, neighbors, prepare, quality, rating_store, recommend, store, synth, targeting
 from nearhome.plans import hybrid, jobs
 from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD, LISTINGS_PER_USER
 from nearhome.session import scratch_path, ship_package, written
@@ -69,6 +69,19 @@ def rating_purchases(spark, sf):
     return prepare.rating_matrix(fixtures.purchase(spark, sf))
 
 
+@query
+def rating_incremental(spark, sf):
+    """The events arrive by type, as batches; two are merged into a base before the others come, and one comes twice."""
+    root, events = scratch_path(spark, "rating-store"), fixtures.interaction(spark, sf)
+    for batch, kind in enumerate(EVENT_TYPES):
+        rating_store.fold(events.filter(F.col("interaction_type") == kind), root, batch)
+        if batch == 1:
+            rating_store.compact(spark, root)
+    rating_store.fold(events.filter(F.col("interaction_type") == EVENT_TYPES[-1]), root, len(EVENT_TYPES) - 1)
+    rating_store.fold(events.filter(F.coalesce(~F.col("interaction_type").isin(EVENT_TYPES), F.lit(True))), root, len(EVENT_TYPES))
+    return rating_store.ratings(spark, root)
+
+
 @query
 def message_ids(spark, sf):
     """The listing named in the JSON payload of every event."""

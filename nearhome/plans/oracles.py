@@ -38,10 +38,11 @@ PURCHASE = """
 
 
 def _rating(interactions: str, score: str = "interaction_score") -> str:
-    """Means of exactly added scores."""
+    """Means of exactly added scores: as whole multiples of 2**-70, in 128-bit integers."""
     return f"""
     SELECT user_id, annonce_id,
-           CAST(sum(CAST(CAST({score} AS DOUBLE) AS DECIMAL(38, 12))) AS DOUBLE) / nullif(count({score}), 0) AS interaction_score
+           CAST(sum(CAST(CAST({score} AS DOUBLE) * 1180591620717411303424 AS HUGEINT)) AS DOUBLE) / 1180591620717411303424 / nullif(count({score}), 0)
+               AS interaction_score
     FROM ({interactions}) GROUP BY user_id, annonce_id"""
 
 
@@ -141,6 +142,7 @@ SQL: dict[str, str] = {
     FROM (SELECT 'type_bien' AS column_name, count(DISTINCT p_type) AS n_values FROM part
           UNION ALL SELECT 'lease_duration', count(DISTINCT p_brand) FROM part)""",
     "rating_avg": RATING,
+    "rating_incremental": RATING,
     "rating_weighted": _rating(INTERACTION, WEIGHT),
     "rating_declared": _rating(INTERACTION, DECLARED),
     "rating_purchases": _rating(PURCHASE),

@@ -33,11 +33,13 @@ def test_every_sql_has_its_query():
     assert set(QUERIES) - set(SQL) == {"als_user_recs"}
 
 
-def test_entry_without_the_optional_queries(monkeypatch):
+@pytest.mark.parametrize("error", [ModuleNotFoundError(name="nearhome.llm"), ModuleNotFoundError(name="public_tokenizers"), ImportError("cannot import name 'x'")])
+def test_entry_without_the_optional_queries(monkeypatch, capsys, error):
     def missing(name):
-        raise ModuleNotFoundError(name=name)
+        raise error
 
     monkeypatch.setattr(entry_point.importlib, "import_module", missing)
+    assert set(entry_point.queries()) == set(QUERIES) and "left out" in capsys.readouterr().err
     assert set(entry_point.queries()) == set(QUERIES) and set(entry_point.oracle_sql()) == set(SQL)
 
 
