@@ -2,11 +2,12 @@
 
 Words are counted per language, and the frequent ones numbered. A byte trie of them turns every text into an array of word
 numbers, in which 0 stands for an infrequent word and for the end of a piece. A phrase of ``k + 1`` words is a pair of
-neighbouring phrases of ``k`` words, so every level is the same: (1) a pair can be frequent only if both its members are
-and if its hash bucket, counted over the whole corpus, is; such pairs are the candidates, and no frequent phrase is left out.
-(2) Tries over the candidates are broadcast one after another, each of about ``PART_KEYS`` pairs, and in every task the
-states of all text positions whose pair belongs to it go down byte by byte, at once; the accepting states are binned and the tasks' sums added
-up. (3) The frequent pairs are numbered and the arrays rewritten for the next level.
+neighbouring phrases of ``k`` words, so every level is the same: (1) a pair can be frequent only if both its members are, so the
+places whose neighbours are both frequent are gathered, and a pair is a candidate once enough of its places are seen; a task
+tells of no more than that many, and no frequent phrase is left out. (2) Tries over the candidates are broadcast, ``PART_KEYS``
+pairs each and ``PARTS`` at a time, and in every task the states of all text positions whose pair belongs to a trie go down byte
+by byte, at once; the accepting states are binned and the tasks' sums added up, which gives the counts. (3) The frequent pairs are
+numbered and the arrays rewritten for the next level.
 
 Texts are cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those at spaces and tabs into words; only A-Z are lower-cased. A null
 text is empty, a null language ``und``. Everything is counted per language. A phrase's score is floor(1000000 * a * a / (l * r))
@@ -22,6 +23,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -40,12 +42,11 @@ MAX_WORDS = 3
 TOP = 2_000
 SHARE = 50  # per cent of a phrase's occurrences that a longer one must have to replace it
 PART_KEYS = 250_000  # pairs of a trie, which is what a broadcast holds,
-WORD_KEYS = 500_000  # and words of one
-BUCKETS = 1 << 27  # of hashed pairs; a bit each is broadcast
+WORD_KEYS = 500_000  # words of one,
+PARTS = 6  # and tries that a task has in hand during a pass over the arrays
 LONG_WORD = 64
 SEGMENT = 1 << 22  # bytes of text that a task has in hand
 HELD = 1 << 21  # pairs or words a task gathers before it hands them on
-GROUP_ROWS = 200_000  # phrases ranked at once before the best of a language meet
 
 _BREAK, _BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 _FOLD = bytes(10 if b in _BREAK else 32 if b in _BLANK else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -192,28 +193,28 @@ def pair_tries(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("part").applyInPandas(build, _TRIE)
 
 
-def loaded(tries: DataFrame) -> Iterator:
-    """(part, broadcast) of the tries, one at a time; a broadcast is (trie, keys) of a bounded number of keys."""
+def loaded(tries: DataFrame, at_once: int) -> Iterator[list[tuple]]:
+    """(part, broadcast) of the tries, some at a time; a broadcast is (trie, keys) of a bounded number of keys."""
     context = tries.sparkSession.sparkContext
-    for part in sorted(r["part"] for r in tries.select("part").collect()):
-        columns = tries.filter(F.col("part") == part).toArrow().to_pydict()
-        trie = DoubleArray(*(np.frombuffer(columns[c][0], np.int32) for c in ("base", "check", "value")))
-        shared = context.broadcast((trie, np.frombuffer(columns["keys"][0], np.int64)))
-        del columns, trie
-        yield part, shared
-        shared.destroy()
+    parts = sorted(r["part"] for r in tries.select("part").collect())
+    for start in range(0, len(parts), at_once):
+        held = []
+        for part in parts[start : start + at_once]:  # the driver has one in hand
+            columns = tries.filter(F.col("part") == part).toArrow().to_pydict()
+            trie = DoubleArray(*(np.frombuffer(columns[c][0], np.int32) for c in ("base", "check", "value")))
+            held.append((part, context.broadcast((trie, np.frombuffer(columns["keys"][0], np.int64)))))
+            del columns, trie
+        yield held
+        for _, shared in held:
+            shared.destroy()
 
 
 # --- arrays of numbers, one a segment ---
 
-def _lists(numbers: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(numbers, pa.int32()))
-
-
 def encoded(docs: DataFrame, tries: DataFrame) -> DataFrame:
-    """(ids): the arrays of word numbers. Each part's trie passes over the texts, which go along until the last one."""
+    """(ids): the arrays of word numbers, as bytes. Each part's trie passes over the texts, which go along until the last one."""
     rows, count = docs, tries.count()
-    for number, (_, shared) in enumerate(loaded(tries)):
+    for number, [(_, shared)] in enumerate(loaded(tries, 1)):
         first, last = number == 0, number == count - 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
@@ -222,22 +223,22 @@ def encoded(docs: DataFrame, tries: DataFrame) -> DataFrame:
                 roots = {lang: trie.state_of(lang_key(lang)) for lang in batch.column(0).unique().to_pylist()}
                 for langs, texts, before in _stretches(batch, first):
                     ids, offsets = words_to_numbers(trie, [roots[lang] for lang in langs], texts)
-                    ids = _lists(ids if first else np.maximum(ids, before), offsets)
+                    ids = ids if first else np.maximum(ids, before)
                     if last:
-                        yield pa.RecordBatch.from_arrays([ids], ["ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
                     else:
                         whole = pa.array(texts, pa.binary()).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), whole, ids], ["lang", "text", "ids"])
+                        own = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+                        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), whole, pa.array(own, pa.binary())], ["lang", "text", "ids"])
 
-        schema = "ids array<int>" if last else "lang string, text string, ids array<int>"
-        rows = written_densely(rows.mapInArrow(run, schema), "phrase-words")
+        rows = written_densely(rows.mapInArrow(run, "ids binary" if last else "lang string, text string, ids binary"), "phrase-words")
     return rows
 
 
 def _stretches(batch: pa.RecordBatch, first: bool) -> Iterator[tuple[list[str], list[bytes], np.ndarray | None]]:
     """(languages, texts, their numbers so far) in stretches of about ``SEGMENT`` bytes."""
     langs, texts, size, begin = [], [], 0, 0
-    numbers = lambda end: None if first else batch.column(2).slice(begin, end - begin).flatten().to_numpy(zero_copy_only=False)
+    numbers = lambda end: None if first else np.concatenate([ids for ids in arrays(batch.slice(begin, end - begin), 2)])
     for at, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
         for data in segments(text.as_py()) if first else [text.as_py().encode("utf-8", "surrogatepass")]:
             langs.append(lang)
@@ -250,9 +251,10 @@ def _stretches(batch: pa.RecordBatch, first: bool) -> Iterator[tuple[list[str],
         yield langs, texts, numbers(batch.num_rows)
 
 
-def flat(batch: pa.RecordBatch) -> np.ndarray:
-    """The numbers of a batch's arrays one after another; every array ends with 0, so none runs into the next."""
-    return batch.column(0).flatten().to_numpy(zero_copy_only=False)
+def arrays(batch: pa.RecordBatch, column: int = 0) -> Iterator[np.ndarray]:
+    """The arrays of a batch. A pair never reaches from one into the next, nor from one text into the next, since texts end with 0."""
+    for value in batch.column(column):
+        yield np.frombuffer(value.as_buffer(), np.int32)
 
 
 def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,64 +263,30 @@ def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, ids[at].astype(np.int64), ids[at + 1].astype(np.int64)
 
 
-def bucket_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(24)).astype(np.int64) % buckets
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], keys_of, counted: bool) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """The different keys of a task, with their counts if ``counted``, in stretches of bounded size."""
-    held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        ids = flat(batch)
-        for at in range(0, len(ids), HELD):
-            keys, n = np.unique(keys_of(ids[at : at + HELD + 1]), return_counts=True)
-            held, back = np.unique(np.append(held, keys), return_inverse=True)
-            counts = np.bincount(back, np.append(counts, n), len(held)).astype(np.int64)
-            if len(held) > HELD:
-                yield held, counts if counted else None
-                held, counts = held[:0], counts[:0]
-    if len(held):
-        yield held, counts if counted else None
-
-
-def heavy_buckets(rows: DataFrame, min_count: int, buckets: int) -> np.ndarray:
-    """One bit a bucket of hashed pairs: whether at least ``min_count`` places of the corpus fall into it."""
+def pair_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left << 32 | right
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keys(ids: np.ndarray) -> np.ndarray:
-            _, left, right = neighbours(ids)
-            return bucket_of(left << 32 | right, buckets)
-
-        for held, counts in _gathered(batches, keys, True):
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], ["bucket", "n"])
-
-    sums = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    place = F.col("bucket") + 1
-    maps = sums.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(-(-buckets // 32768) * 4096, np.uint8)
-    for block, part in maps.collect():  # BUCKETS bits at most
-        bits[(block - 1) * 4096 : block * 4096] = np.frombuffer(bytes(part), np.uint8)
-    return bits
 
-
-def candidates(rows: DataFrame, min_count: int, buckets: int) -> DataFrame:
-    """(pair): the different pairs that can occur ``min_count`` times."""
-    shared = rows.sparkSession.sparkContext.broadcast(heavy_buckets(rows, min_count, buckets))
+def candidates(rows: DataFrame, min_count: int) -> DataFrame:
+    """(pair): the pairs with ``min_count`` places or more. A task counts to ``min_count`` at most before it tells of a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-
-        def keys(ids: np.ndarray) -> np.ndarray:
-            _, left, right = neighbours(ids)
-            pairs = left << 32 | right
-            bucket = bucket_of(pairs, buckets)
-            return pairs[(bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1]
-
-        for held, _ in _gathered(batches, keys, False):
-            yield pa.RecordBatch.from_arrays([pa.array(held)], ["pair"])
+        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in arrays(batch):
+                for at in range(0, len(ids), HELD):
+                    _, left, right = neighbours(ids[at : at + HELD + 1])
+                    pairs, n = np.unique(pair_of(left, right), return_counts=True)
+                    held, back = np.unique(np.append(held, pairs), return_inverse=True)
+                    counts = np.minimum(np.bincount(back, np.append(counts, n), len(held)).astype(np.int64), min_count)
+                    if len(held) > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts, pa.int32())], ["pair", "seen"])
+                        held, counts = held[:0], counts[:0]
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts, pa.int32())], ["pair", "seen"])
 
-    return rows.mapInArrow(run, "pair long").distinct()
+    seen = rows.mapInArrow(run, "pair long, seen int").groupBy("pair").agg(F.sum("seen").alias("seen"))
+    return seen.filter(F.col("seen") >= min_count).select("pair")
 
 
 def descend(trie: DoubleArray, left: np.ndarray, right: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,20 +300,21 @@ def descend(trie: DoubleArray, left: np.ndarray, right: np.ndarray, part: int, p
 
 
 def counted(rows: DataFrame, tries: DataFrame, parts: int) -> list[DataFrame]:
-    """(pair, n) of every part's candidates, written: a task bins its accepting states, Spark adds up."""
+    """(pair, n) of the candidates of every pass, written: a task bins its accepting states, Spark adds up."""
     found = []
-    for part, shared in loaded(tries):
+    for held in loaded(tries, PARTS):
 
-        def run(batches: Iterator[pa.RecordBatch], part=part, shared=shared) -> Iterator[pa.RecordBatch]:
-            trie, keys = shared.value
-            bins = np.zeros(len(keys), np.int64)
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            bins = [np.zeros(len(shared.value[1]), np.int64) for _, shared in held]
             for batch in batches:
-                ids = flat(batch)
-                for at in range(0, len(ids), HELD):
-                    _, left, right = neighbours(ids[at : at + HELD + 1])
-                    bins += np.bincount(descend(trie, left, right, part, parts)[1], minlength=len(keys))
-            some = np.flatnonzero(bins)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(bins[some])], ["pair", "n"])
+                for ids in arrays(batch):
+                    for at in range(0, len(ids), HELD):
+                        _, left, right = neighbours(ids[at : at + HELD + 1])
+                        for bin_, (part, shared) in zip(bins, held):
+                            bin_ += np.bincount(descend(shared.value[0], left, right, part, parts)[1], minlength=len(bin_))
+            for bin_, (_, shared) in zip(bins, held):
+                some = np.flatnonzero(bin_)
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[1][some]), pa.array(bin_[some])], ["pair", "n"])
 
         sums = rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         found.append(written(sums, "phrase-counts"))
@@ -354,22 +323,24 @@ def counted(rows: DataFrame, tries: DataFrame, parts: int) -> list[DataFrame]:
 
 def rewritten(rows: DataFrame, tries: DataFrame, parts: int) -> DataFrame:
     """(ids): the arrays of the next level, at every place the number of the frequent pair that begins there."""
-    for number, (part, shared) in enumerate(loaded(tries)):
+    count = -(-tries.count() // PARTS)
+    for number, held in enumerate(loaded(tries, PARTS)):
+        first, last = number == 0, number == count - 1
 
-        def run(batches: Iterator[pa.RecordBatch], part=part, shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
-            trie, _ = shared.value
+        def run(batches: Iterator[pa.RecordBatch], held=held, first=first, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, lengths = flat(batch), batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
-                more = np.zeros(len(ids), np.int32) if first else batch.column(1).flatten().to_numpy(zero_copy_only=False).copy()
-                for at in range(0, len(ids), HELD):
-                    place, left, right = neighbours(ids[at : at + HELD + 1])
-                    some, value = descend(trie, left, right, part, parts)
-                    more[at + place[some]] = value
-                offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(a, pa.int32())) for a in (ids, more)], ["ids", "more"])
-
-        rows = written_densely(rows.mapInArrow(run, "ids array<int>, more array<int>"), "phrase-level")
-    return rows.select(F.col("more").alias("ids"))
+                for row, ids in enumerate(arrays(batch)):
+                    more = np.zeros(len(ids), np.int32) if first else np.frombuffer(batch.column(1)[row].as_buffer(), np.int32).copy()
+                    for at in range(0, len(ids), HELD):
+                        place, left, right = neighbours(ids[at : at + HELD + 1])
+                        for part, shared in held:
+                            some, value = descend(shared.value[0], left, right, part, parts)
+                            more[at + place[some]] = value
+                    columns = [pa.array([a.tobytes()], pa.binary()) for a in ((more,) if last else (ids, more))]
+                    yield pa.RecordBatch.from_arrays(columns, ["ids"] if last else ["ids", "more"])
+
+        rows = written_densely(rows.mapInArrow(run, "ids binary" if last else "ids binary, more binary"), "phrase-level")
+    return rows
 
 
 # --- phrases ---
@@ -380,13 +351,13 @@ def with_numbers(rows: DataFrame, name: str) -> DataFrame:
     return written(numbered(rows, [F.col("n").desc(), *others], "id", name).withColumn("id", (F.col("id") + 1).cast("int")), name)
 
 
-def next_level(rows: DataFrame, below: DataFrame, min_count: int, buckets: int) -> DataFrame:
+def next_level(rows: DataFrame, below: DataFrame, min_count: int) -> DataFrame:
     """The frequent phrases one word longer than those of ``below``, whose numbers ``rows`` holds.
 
     (id, left, right, lang, phrase, last, n, fronts, backs): ``left`` and ``right`` are the numbers of the phrase without its last
     and its first word; ``fronts`` and ``backs`` are how often its first 1, 2, ... and its last 1, 2, ... words occur.
     """
-    found = written(candidates(rows, min_count, buckets), "phrase-candidates")
+    found = written(candidates(rows, min_count), "phrase-candidates")
     count = found.count()
     tries = written(pair_tries(with_pair_part(found, count).withColumn("id", F.lit(None).cast("int"))), "phrase-tries")
     frequent = None
@@ -429,7 +400,7 @@ def replaced(below: DataFrame, above: DataFrame, share: int) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, share: int = SHARE, top: int = TOP, buckets: int = BUCKETS,
+    docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, share: int = SHARE, top: int = TOP,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of two to ``max_words`` words of every language."""
     slim = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text")).filter("text != ''")
@@ -444,7 +415,7 @@ def collocations(
     if not words.isEmpty():
         rows = encoded(slim, tries)
         for size in range(2, max_words + 1):
-            above = next_level(rows, below, min_count, buckets)
+            above = next_level(rows, below, min_count)
             if size > 2:
                 kept.append(replaced(below, above, share))
             below = above
@@ -461,13 +432,16 @@ def collocations(
 
 
 def best_phrases(levels: list[DataFrame], totals: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` of every language; those of groups of some hundred thousand first, so that no language is one task's work."""
+    """The first ``top`` of every language; those of groups first, so that no language is one task's work.
+
+    There are as many groups as make a group and the best of all groups about equally large.
+    """
     phrases = levels[0]
     for level in levels[1:]:
         phrases = phrases.unionByName(level)
     cut = lowest_cut()
     scored = written(phrases.select("lang", "phrase", F.col("n").alias("a"), cut.alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), "phrase-scores")
-    groups = max(1, -(-scored.count() // GROUP_ROWS))
+    groups = max(1, ceil(sqrt(scored.count() / top)))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     some = scored.withColumn("group", F.pmod(F.xxhash64("phrase"), F.lit(groups))).withColumn("rank", rank("lang", "group")).filter(F.col("rank") <= top)
