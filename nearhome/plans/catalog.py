@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nearhome.functions.codecs import ids_to_csv, json_field
 from nearhome.functions.vectors import cosine as cosine_of
 from nearhome.functions.vectors import l2_norm
-from nearhome.operators import cosine, features, lifecycle, neighbors, prepare, quality, rating_store, recommend, store, synth, targeting
+from nearhome.operators import cosine, features, head_state, lifecycle, neighbors, prepare, quality, rating_store, recommend, store, synth, targeting
 from nearhome.plans import hybrid, jobs
 from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD, LISTINGS_PER_USER
 from nearhome.session import scratch_path, ship_package, written
@@ -175,6 +175,20 @@ def cluster_neighbors_price(spark, sf):
     return neighbors.neighbor_pairs(_brand_neighbors(spark, sf))
 
 
+@query
+def heads_incremental(spark, sf):
+    """The cheapest of every type, kept up to date: listings nobody interacted with are there first, the others come, and at last
+    those leave that every fifth customer purchased."""
+    listings = fixtures.listing(spark, sf).select("id", F.col("type_bien").alias("cluster"), "prix")
+    known = fixtures.interaction(spark, sf).select(F.col("annonce_id").alias("id")).distinct()
+    sold = fixtures.purchase(spark, sf).filter(F.col("user_id") % 5 == 0).select(F.col("annonce_id").alias("id")).distinct()
+    state = written(head_state.head_state(listings.join(known, "id", "left_anti"), "cluster"), "heads")
+    state = written(head_state.updated(state, listings.join(known, "id", "left_semi")), "heads")
+    state = written(head_state.updated(state, sold.select("id", F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("double").alias("prix"))), "heads")
+    left = listings.join(sold, "id", "left_anti")
+    return head_state.heads(head_state.refilled(state, left, "cluster")).select("cluster", ids_to_csv(F.col("head")).alias("head"))
+
+
 @query
 def type_neighbors_price(spark, sf):
     return neighbors.neighbor_pairs(neighbors.price_neighbors(fixtures.listing(spark, sf), "type_bien"))

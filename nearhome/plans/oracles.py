@@ -168,6 +168,11 @@ SQL: dict[str, str] = {
            CAST(0 AS BIGINT) AS self_pairs, CAST(0 AS BIGINT) AS out_of_order FROM part""",
     "cluster_neighbors_price": f"SELECT id, rank, similar_id FROM ({BRAND_PAIRS})",
     "type_neighbors_price": f"SELECT id, rank, similar_id FROM ({TYPE_PAIRS})",
+    "heads_incremental": f"""
+    SELECT cluster, string_agg(CAST(id AS VARCHAR), ',' ORDER BY prix, id) AS head
+    FROM (SELECT type_bien AS cluster, id, prix FROM ({LISTING}) WHERE id NOT IN (SELECT annonce_id FROM ({PURCHASE}) WHERE user_id % 5 = 0)
+          QUALIFY row_number() OVER (PARTITION BY type_bien ORDER BY prix, id) <= 11)
+    GROUP BY cluster""",
     "vector_functions": """
     SELECT a.vec_id AS id, round(sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 9) AS norm,
            round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity

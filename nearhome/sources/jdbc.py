@@ -18,6 +18,21 @@ def split_options(column: str, lower: int, upper: int, partitions: int) -> dict[
     }
 
 
+def depth_query(table: str, key: str, partitions: int) -> str:
+    """The lowest key of each of ``partitions`` equally large parts of the table, one row a part; the database reads its index for it."""
+    parts = f"SELECT {key} AS k, NTILE({partitions}) OVER (ORDER BY {key}) AS part FROM {table} WHERE {key} IS NOT NULL"
+    return f"(SELECT MIN(k) AS low FROM ({parts}) p GROUP BY part) b"
+
+
+def depth_predicates(key: str, lows: list[int]) -> list[str]:
+    """Conditions of which every row meets exactly one: the keys between neighbouring bounds, missing keys with the lowest."""
+    bounds = sorted(set(lows))[1:]  # what lies below the second one is the first part
+    if not bounds:
+        return [f"{key} IS NULL OR {key} IS NOT NULL"]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(bounds, bounds[1:])]
+    return [f"{key} IS NULL OR {key} < {bounds[0]}", *inner, f"{key} >= {bounds[-1]}"]
+
+
 def read_table(
     spark: SparkSession,
     url: str,
@@ -25,18 +40,26 @@ def read_table(
     properties: dict[str, str],
     key: str | None = None,
     partitions: int = 32,
+    even: bool = False,
 ) -> DataFrame:
-    """A table scan. With ``key`` it runs as ``partitions`` parallel range scans over the key's true bounds.
+    """A table scan. With ``key`` it runs as up to ``partitions`` parallel range scans.
 
-    Filters and column choices made on the result are pushed to the database by Spark.
+    The ranges hold equally many rows, whatever gaps the whole-numbered key has. ``even`` takes ranges of equal width over the key's
+    true bounds instead, for databases without window functions. Filters and column choices made on the result are pushed to the
+    database by Spark.
     """
     options = read_options(url, table, properties)
-    if key is not None and partitions > 1:
+    if key is None or partitions <= 1:
+        return spark.read.format("jdbc").options(**options).load()
+    if even:
         bounds = f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}) b"
         lo, hi = spark.read.format("jdbc").options(**read_options(url, bounds, properties)).load().first()
         if lo is not None:
             options |= split_options(key, int(lo), int(hi), partitions)
-    return spark.read.format("jdbc").options(**options).load()
+        return spark.read.format("jdbc").options(**options).load()
+    parts = spark.read.format("jdbc").options(**read_options(url, depth_query(table, key, partitions), properties)).load()
+    predicates = depth_predicates(key, [int(r[0]) for r in parts.collect()])
+    return spark.read.jdbc(url, table, predicates=predicates, properties={k: v for k, v in options.items() if k not in ("url", "dbtable")})
 
 
 def exists(spark: SparkSession, url: str, table: str, properties: dict[str, str]) -> bool:

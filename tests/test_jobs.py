@@ -189,6 +189,15 @@ class Recorder:
     def first(self):
         return (3, 90)
 
+    def collect(self):
+        return [(low,) for low in self.lows]
+
+    def jdbc(self, url, table, **told):
+        self.told |= {"url": url, "dbtable": table, **told}
+        return self
+
+    lows = [3, 500, 501, 10**9]
+
 
 class Recorded:
     def __init__(self):
@@ -203,7 +212,7 @@ class Recorded:
 
 def test_jdbc_scan_is_split_by_the_key(spark):
     session = Recorded()
-    jdbc.read_table(session, "jdbc:x", "annonce", {"user": "u"}, key="id", partitions=4)
+    jdbc.read_table(session, "jdbc:x", "annonce", {"user": "u"}, key="id", partitions=4, even=True)
     bounds, scan = (r.told for r in session.made)
     assert bounds["dbtable"].startswith("(SELECT MIN(id)")
     assert {k: scan[k] for k in ("dbtable", "user", "partitionColumn", "lowerBound", "upperBound", "numPartitions")} == {
@@ -216,6 +225,28 @@ def test_jdbc_scan_is_split_by_the_key(spark):
         jdbc.split_options("id", 5, 1, 2)
 
 
+def test_jdbc_scan_of_a_sparse_key_has_equally_large_parts(spark):
+    session = Recorded()
+    jdbc.read_table(session, "jdbc:x", "annonce", {"user": "u"}, key="id", partitions=4)
+    bounds, scan = (r.told for r in session.made)
+    assert "NTILE(4) OVER (ORDER BY id)" in bounds["dbtable"] and bounds["url"] == "jdbc:x"
+    assert scan["predicates"] == ["id IS NULL OR id < 500", "id >= 500 AND id < 501", "id >= 501 AND id < 1000000000", "id >= 1000000000"]
+    assert scan["dbtable"] == "annonce" and scan["properties"] == {"user": "u", "fetchsize": "10000"}
+
+
+def test_parts_of_a_skewed_key_by_the_queries_themselves():
+    """The bounds and conditions, run by another engine: nearly all keys in one small span, some missing and repeated."""
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE t AS SELECT CASE WHEN i % 50 = 0 THEN i * 1000000 WHEN i % 97 = 0 THEN NULL ELSE i // 2 END AS id FROM range(10000) r(i)")
+    lows = [r[0] for r in connection.sql(f"SELECT * FROM {jdbc.depth_query('t', 'id', 8)}").fetchall()]
+    sizes = [connection.sql(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in jdbc.depth_predicates("id", lows)]
+    assert sum(sizes) == 10_000 and len(sizes) == 8 and max(sizes) < 1.2 * 10_000 / 8
+    for few in ([], [5], [5, 5]):
+        assert connection.sql(f"SELECT count(*) FROM t WHERE {jdbc.depth_predicates('id', few)[0]}").fetchall()[0][0] == 10_000
+
+
 def test_jdbc_writes(spark):
     added, replaced = Recorded(), Recorded()
     jdbc.append(added, "jdbc:x", "t", {"password": "p"})
