@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from nearhome.functions.codecs import ids_to_csv, json_field
 from nearhome.functions.vectors import cosine as cosine_of
 from nearhome.functions.vectors import l2_norm
-from nearhome.operators import cosine, features, head_state, lifecycle, neighbors, prepare, quality, rating_store, recommend, store, synth, targeting
+from nearhome.operators import cosine, decay, features, head_state, lifecycle, neighbors, prepare, quality, rating_store, recommend, searches, store, synth, targeting
 from nearhome.plans import hybrid, jobs
 from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD, LISTINGS_PER_USER
 from nearhome.session import scratch_path, ship_package, written
@@ -82,6 +83,19 @@ def rating_incremental(spark, sf):
     return rating_store.ratings(spark, root)
 
 
+@query
+def rating_decayed(spark, sf):
+    """Scores at a fixed day, from one state a type of event."""
+    events = fixtures.interaction(spark, sf)
+    states = [decay.decay_state(events.filter(F.col("interaction_type") == kind)) for kind in EVENT_TYPES]
+    states.append(decay.decay_state(events.filter(F.coalesce(~F.col("interaction_type").isin(EVENT_TYPES), F.lit(True)))))
+    whole = states[0]
+    for state in states[1:]:
+        whole = whole.unionByName(state)
+    scores = decay.decayed_scores(decay.merged_decay(whole), date(2024, 3, 1))
+    return scores.select("user_id", "annonce_id", F.round("decayed", 8).alias("decayed"), F.round("interaction_score", 8).alias("interaction_score"))
+
+
 @query
 def message_ids(spark, sf):
     """The listing named in the JSON payload of every event."""
@@ -422,6 +436,18 @@ def stream_latest(spark, sf):
     return last.select("id", "last.cluster", F.col("last.similars_ids").alias("similar_ids"), (F.col("n") <= 2).alias("changes_only"))
 
 
+# --- saved searches ---
+
+@query
+def search_matches(spark, sf):
+    """How many listings match every saved search, the nearest and the farthest of them."""
+    listings = fixtures.listing(spark, sf)
+    found = searches.matched_searches(listings, fixtures.saved_search(spark, sf))
+    return found.groupBy("search_id").agg(
+        F.count("*").alias("n_listings"), F.sum("listing_id").alias("listings"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.max("distance"), 6).alias("farthest"),
+    )
+
+
 # --- users to notify ---
 
 def _targets(spark, sf, interactions, cluster, n=1000):

@@ -173,6 +173,28 @@ SQL: dict[str, str] = {
     FROM (SELECT type_bien AS cluster, id, prix FROM ({LISTING}) WHERE id NOT IN (SELECT annonce_id FROM ({PURCHASE}) WHERE user_id % 5 = 0)
           QUALIFY row_number() OVER (PARTITION BY type_bien ORDER BY prix, id) <= 11)
     GROUP BY cluster""",
+    "rating_decayed": f"""
+    SELECT user_id, annonce_id, round(sum(score * share), 8) AS decayed, round(sum(score * share) / sum(share), 8) AS interaction_score
+    FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS annonce_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS score,
+                 2.0::DOUBLE ** (-date_diff('day', CAST(ts AS DATE), DATE '2024-03-01') / 7.0::DOUBLE) AS share
+          FROM events WHERE value IS NOT NULL AND ts IS NOT NULL)
+    GROUP BY user_id, annonce_id""",
+    "search_matches": f"""
+    WITH s AS (
+        SELECT c_custkey AS id, CASE WHEN c_custkey % 11 <> 0 THEN low END AS min_prix, CASE WHEN c_custkey % 13 <> 0 THEN low + c_custkey % 200 END AS max_prix,
+               CASE WHEN c_custkey % 3 = 0 THEN 48.85::DOUBLE + (c_custkey % 7) / 100.0::DOUBLE ELSE ((c_custkey * 7919) % 18000) / 100.0::DOUBLE - 90 END AS latitude,
+               CASE WHEN c_custkey % 3 = 0 THEN 2.35::DOUBLE + (c_custkey % 5) / 100.0::DOUBLE ELSE ((c_custkey * 104729) % 36000) / 100.0::DOUBLE - 180 END AS longitude,
+               CASE WHEN c_custkey % 29 <> 0 THEN 50.0::DOUBLE + c_custkey % 1500 END AS radius,
+               CASE WHEN c_custkey % 4 = 0 THEN p_type END AS type_bien
+        FROM (SELECT c_custkey, 900.0::DOUBLE + (c_custkey * 13) % 1000 AS low, (c_custkey * 31) % (SELECT count(*) FROM part) AS p FROM customer) JOIN part ON p_partkey = p
+    ), d AS (
+        SELECT s.id AS search_id, l.id AS listing_id, radius, 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE,
+                   sin(radians(l.latitude - s.latitude) / 2) ** 2 + cos(radians(s.latitude)) * cos(radians(l.latitude)) * sin(radians(l.longitude - s.longitude) / 2) ** 2))) AS distance
+        FROM s JOIN ({LISTING}) l ON (min_prix IS NULL OR l.prix >= min_prix) AND (max_prix IS NULL OR l.prix <= max_prix) AND (s.type_bien IS NULL OR s.type_bien = l.type_bien)
+    )
+    SELECT search_id, count(*) AS n_listings, CAST(sum(listing_id) AS BIGINT) AS listings,
+           round(min(CASE WHEN radius IS NOT NULL THEN distance END), 6) AS nearest, round(max(CASE WHEN radius IS NOT NULL THEN distance END), 6) AS farthest
+    FROM d WHERE radius IS NULL OR distance <= radius GROUP BY search_id""",
     "vector_functions": """
     SELECT a.vec_id AS id, round(sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 9) AS norm,
            round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity

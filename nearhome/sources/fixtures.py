@@ -79,6 +79,23 @@ def purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def saved_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved search of every customer; a third of them look around one place. Some have no radius, no price bound or no type."""
+    key, types = F.col("c_custkey"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("type"))
+    n_parts = types.count()
+    rows = table(spark, sf_dir, "customer").withColumn("part", F.pmod(key * 31, F.lit(n_parts)))
+    low = 900.0 + F.pmod(key * 13, F.lit(1000))
+    hot = key % 3 == 0
+    return rows.join(types, "part").select(
+        key.alias("id"), key.alias("user_id"),
+        F.when(key % 11 != 0, low).alias("min_prix"), F.when(key % 13 != 0, low + F.pmod(key, F.lit(200))).alias("max_prix"),
+        F.when(hot, 48.85 + (key % 7) / 100.0).otherwise(F.pmod(key * 7919, F.lit(18000)) / 100.0 - 90).alias("latitude"),
+        F.when(hot, 2.35 + (key % 5) / 100.0).otherwise(F.pmod(key * 104729, F.lit(36000)) / 100.0 - 180).alias("longitude"),
+        F.when(key % 29 != 0, 50.0 + F.pmod(key, F.lit(1500))).alias("radius"),
+        F.when(key % 4 == 0, F.col("type")).alias("type_bien"),
+    )
+
+
 def vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("vec"),
