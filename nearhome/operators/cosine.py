@@ -19,7 +19,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearhome.operators.ranking import top_per_key
@@ -34,6 +34,8 @@ KERNEL_ROWS = 512      # query rows of one matrix product
 SLACK = 1e-6           # covers rounding in the distance bounds
 PAIRS = 1 << 17        # pairs whose difference is taken at once
 NO_CELL = -(2 ** 63)   # of a group that is one cell
+DELTAS = 8             # parts beside the base of an index
+OVERFULL = 4           # times its share, and a cell asks for a new index
 
 
 def cosine_top_k(
@@ -57,11 +59,43 @@ def cosine_top_k(
 class CosineIndex:
     """The candidates of a catalogue, written once with their cells; any number of searches reads them.
 
-    ``pivots`` is (grp, cell, vec, radius), or None where every group is one cell.
+    ``pivots`` is (grp, cell, vec, radius), or None where every group is one cell. ``counts`` is (grp, cell, n). New vectors are added
+    as a delta beside what is written; after ``DELTAS`` of them the parts are written as one.
     """
 
-    def __init__(self, cand: DataFrame, pivots: DataFrame | None, sizes: DataFrame | int, k: int, group: str | None, block_rows: int):
-        self.cand, self.pivots, self.sizes, self.k, self.group, self.block_rows = cand, pivots, sizes, k, group, block_rows
+    def __init__(self, cand: DataFrame, pivots: DataFrame | None, counts: DataFrame, k: int, group: str | None, block_rows: int, cell_rows: int, deltas: int = 0):
+        self.cand, self.pivots, self.counts, self.k, self.group, self.block_rows = cand, pivots, counts, k, group, block_rows
+        self.cell_rows, self.deltas = cell_rows, deltas
+        if pivots is None and group is None:
+            self.sizes: DataFrame | int = max(1, ceil((counts.agg(F.sum("n")).first()[0] or 0) / block_rows))
+        else:
+            self.sizes = counts.select("grp", "cell", F.ceil(F.col("n") / block_rows).alias("blocks"))
+
+    def added(self, vectors: DataFrame) -> CosineIndex:
+        """The index with new vectors, whose ids it does not hold; only they are read and placed.
+
+        Each goes to the cell of its nearest pivot, whose radius grows where it lies beyond, so all bounds of the search hold on.
+        """
+        rows = _lowest_copies(_usable(vectors, self.group), self.k + 1)
+        pivots = self.pivots
+        if pivots is None:
+            delta = written(rows.withColumn("cell", F.lit(NO_CELL)), "cosine-delta")
+        else:
+            placed = written(_placed(written(rows, "cosine-new"), pivots, self.block_rows, SPLIT_ROWS), "cosine-delta")
+            reach = placed.groupBy("grp", "cell").agg(F.max("home").alias("home"))
+            grown = pivots.join(reach, ["grp", "cell"], "left").withColumn("radius", F.greatest("radius", F.coalesce("home", F.lit(0.0))))
+            pivots, delta = written(grown.drop("home"), "cosine-radii"), placed.select("id", "grp", "vec", "cell")
+        cand, deltas = self.cand.unionByName(delta), self.deltas + 1
+        if deltas > DELTAS:
+            cand, deltas = written(cand, "cosine-cells"), 0
+        more = delta.groupBy("grp", "cell").agg(F.count("*").alias("n"))
+        counts = written(self.counts.unionByName(more).groupBy("grp", "cell").agg(F.sum("n").alias("n")), "cosine-counts")
+        return CosineIndex(cand, pivots, counts, self.k, self.group, self.block_rows, self.cell_rows, deltas)
+
+    def outgrown(self) -> bool:
+        """Whether a group would be divided more finely if the index were built anew: one of its cells holds ``OVERFULL`` times its share."""
+        share = F.greatest(F.lit(self.cell_rows), F.ceil(F.sqrt(F.sum("n").over(Window.partitionBy("grp")))))
+        return not self.counts.filter(F.col("n") >= 2 * self.cell_rows).withColumn("share", share).filter(F.col("n") >= OVERFULL * F.col("share")).isEmpty()
 
     def search(self, queries: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
         """(id, rank, similar_id, similarity) of the queries (id, vec and, where the index has one, the group)."""
@@ -89,11 +123,8 @@ def build_index(
         placed = written(_placed(cand, pivots, block_rows, SPLIT_ROWS), "cosine-cells")
         radius = placed.groupBy("grp", "cell").agg(F.max("home").alias("radius"))
         pivots, cand = written(pivots.join(radius, ["grp", "cell"]), "cosine-radii"), placed.select("id", "grp", "vec", "cell")
-    if pivots is None and group is None:
-        sizes: DataFrame | int = max(1, ceil(cand.count() / block_rows))
-    else:
-        sizes = written(cand.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks")), "cosine-sizes")
-    return CosineIndex(cand, pivots, sizes, k, group, block_rows)
+    counts = written(cand.groupBy("grp", "cell").agg(F.count("*").alias("n")), "cosine-counts")
+    return CosineIndex(cand, pivots, counts, k, group, block_rows, cell_rows)
 
 
 def _drawn_pivots(cand: DataFrame, cell_rows: int) -> DataFrame:

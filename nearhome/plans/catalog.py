@@ -228,6 +228,19 @@ def cosine_topk(spark, sf):
     return cosine.cosine_top_k(fixtures.vector(spark, sf).select("id", "vec"))
 
 
+@query
+def cosine_incremental(spark, sf):
+    """The vectors come label by label, as deltas of an index over those of the first labels."""
+    vectors = fixtures.vector(spark, sf)
+    label = F.dense_rank().over(Window.orderBy("cluster"))
+    labels = vectors.select("cluster").distinct().select("cluster", F.pmod(label, F.lit(4)).alias("turn"))
+    dealt = written(vectors.join(labels, "cluster", "left").select("id", "vec", F.coalesce("turn", F.lit(0)).alias("turn")), "cosine-dealt")
+    index = cosine.build_index(dealt.filter("turn = 0").select("id", "vec"))
+    for turn in (1, 2, 3):
+        index = index.added(dealt.filter(F.col("turn") == turn).select("id", "vec"))
+    return index.search(dealt.select("id", "vec"))
+
+
 @query
 def cosine_topk_avg(spark, sf):
     vectors = fixtures.vector(spark, sf).select("id", "vec")

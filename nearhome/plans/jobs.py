@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from nearhome.operators import features, lifecycle, neighbors, prepare, recommend, store, targeting
+from nearhome.operators import cosine, features, lifecycle, neighbors, prepare, recommend, store, targeting
 from nearhome.plans import hybrid
 from nearhome.schemas import LISTINGS_PER_USER, NEIGHBOURS, RETRAIN_AFTER, USERS_PER_LISTING
 from nearhome.session import scratch_kept, scratch_scope, written
@@ -64,7 +64,8 @@ def cosine_stream(
 ) -> StreamingQuery:
     """Answers listing ids in the field ``id`` with the nearest listings by cosine and their mean similarity.
 
-    Features and their index are made once per catalogue that ``prepare_similarity`` has published.
+    When ``prepare_similarity`` has published a catalogue with the same model and only new listings, these are added to the index;
+    otherwise features and index are made anew.
     """
     loaded: dict = {}
 
@@ -76,12 +77,26 @@ def cosine_stream(
                 listings = prepare.complete_listings(tables.read("annonce", key="id"))
                 scored = features.scored_listings(features.FeatureModel.load(newest["path"]), listings)
                 vectors = written(similarity.ordered_by_id(features.feature_arrays(scored)), "listing-vectors")
-            loaded.update(published=published, answer=similarity.cosine_answer(vectors, k))
+                before = loaded.get("vectors") if loaded.get("model") == newest["path"] else None
+                index = catalogue_index(vectors, before, loaded.get("index"), k)
+            loaded.update(published=published, model=newest["path"], vectors=vectors, index=index)
+            loaded["answer"] = similarity.cosine_answer(vectors, k, index)
         return loaded["answer"](ids)
 
     return similarity.start_similarity(messages, answer, sink, checkpoint, field="id", **options)
 
 
+def catalogue_index(vectors: DataFrame, before: DataFrame | None, index: cosine.CosineIndex | None, k: int) -> cosine.CosineIndex:
+    """``index``, made of the vectors ``before``, with those that have come since; a new one where vectors have changed or left."""
+    if before is not None and index is not None:
+        known = before.join(vectors.select("id", F.col("vec").alias("now")), "id", "left")
+        if known.filter(~F.coalesce(F.col("vec") == F.col("now"), F.lit(False))).isEmpty():
+            grown = index.added(vectors.join(before.select("id"), "id", "left_anti"))
+            if not grown.outgrown():
+                return grown
+    return cosine.build_index(vectors, k)
+
+
 def train_recommender(spark: SparkSession, tables, root: str, by_type: bool = False) -> tuple[recommend.Recommender, int]:
     """Fits ALS on the ratings of known users and saves it as the next version; ``by_type`` scores by the type of interaction."""
     interactions = tables.read("user_interaction", key="id")

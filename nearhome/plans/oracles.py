@@ -201,6 +201,7 @@ SQL: dict[str, str] = {
     FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "cluster_neighbors_cosine": _cosine_pairs("AND a.label = b.label"),
     "cosine_topk": _cosine_pairs(""),
+    "cosine_incremental": _cosine_pairs(""),
     "cosine_topk_avg": f"""
     SELECT e.vec_id AS id, CAST(count(p.similar_id) AS INTEGER) AS n_similar, round(coalesce(avg(p.similarity), 0.0), 10) AS similarity
     FROM embeddings e LEFT JOIN ({_cosine_pairs('')}) p ON p.id = e.vec_id GROUP BY e.vec_id""",

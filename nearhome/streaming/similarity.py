@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearhome.functions.codecs import json_field
-from nearhome.operators.cosine import build_index, mean_similarity
+from nearhome.operators.cosine import CosineIndex, build_index, mean_similarity
 from nearhome.operators.features import FeatureModel
 from nearhome.operators.neighbors import others_of
 from nearhome.operators.prepare import complete_listings
@@ -112,13 +112,14 @@ def model_answer(listings: DataFrame, model: FeatureModel, heads: DataFrame, k:
     return answer
 
 
-def cosine_answer(vectors: DataFrame, k: int = NEIGHBOURS) -> Answer:
+def cosine_answer(vectors: DataFrame, k: int = NEIGHBOURS, index: CosineIndex | None = None) -> Answer:
     """Compares the vectors of the batch with all others: (id, similar_ids, similarity) with the mean similarity.
 
-    The catalogue is indexed once, before the first batch.
+    Without an ``index`` the catalogue is indexed once, before the first batch.
     """
-    with scratch_kept():
-        index = build_index(vectors, k)
+    if index is None:
+        with scratch_kept():
+            index = build_index(vectors, k)
 
     def answer(ids: DataFrame) -> DataFrame:
         asked = written(rows_of(ids, vectors), "cosine-asked")

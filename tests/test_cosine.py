@@ -190,3 +190,54 @@ def test_vectors_of_different_lengths_are_refused(spark):
     rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0, 4.0, 5.0])]
     with pytest.raises(Exception, match="different lengths"):
         cosine.cosine_top_k(spark.createDataFrame(rows, "id long, vec array<double>"), 1).collect()
+
+
+@pytest.mark.parametrize("cell_rows, groups", [(20, False), (20, True), (10_000, False), (10_000, True)])
+def test_deltas_give_what_a_rebuild_gives(spark, monkeypatch, cell_rows, groups):
+    """Clusters, copies and vectors beyond every radius come as deltas; after some of them the parts are written as one."""
+    monkeypatch.setattr(cosine, "DELTAS", 2)
+    rng = np.random.default_rng(7)
+    vectors = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(60, 3)) * 0.01 + [5, 1, 0], np.tile([1.0, 2.0, 3.0], (40, 1)), -rng.random((50, 3))])
+    order = rng.permutation(len(vectors))
+    names = [["x", "y", None][i % 3] if i < 295 else "new" for i in range(len(vectors))] if groups else None
+    part = lambda some: spark.createDataFrame(
+        [(int(i), None if names is None else names[i], [float(x) for x in vectors[i]]) for i in some], "id long, grp string, vec array<double>")
+    group = "grp" if groups else None
+    index = cosine.build_index(part(order[:120]), 4, group, block_rows=16, cell_rows=cell_rows)
+    for some in (order[120:125], order[125:200], order[200:260], order[260:]):
+        index = index.added(part(some))
+    found = result(index.search(part(range(len(vectors))), split_rows=32))
+    kept = [i for i in range(len(vectors)) if names is None or names[i] is not None]
+    expected = brute([vectors[i] for i in kept], 4, None if names is None else [names[i] for i in kept])
+    same(found, {(kept[i], rank): (kept[j], s) for (i, rank), (j, s) in expected.items()})
+    assert index.deltas <= 2
+
+
+def test_an_index_asks_for_a_new_one_when_a_cell_is_overfull(spark):
+    rng = np.random.default_rng(8)
+    index = cosine.build_index(frame(spark, rng.normal(size=(100, 3))), 3, cell_rows=20)
+    assert not index.outgrown()
+    index = index.added(frame(spark, rng.normal(size=(30, 3)) * 0.01 + [9, 9, 9], first=100))
+    assert not index.outgrown()
+    index = index.added(frame(spark, rng.normal(size=(300, 3)) * 0.01 + [9, 9, 9], first=200))
+    assert index.outgrown()
+
+
+def test_the_catalogue_index_is_added_to_or_made_anew(spark, monkeypatch):
+    from nearhome.plans import jobs
+
+    built, real = [], cosine.build_index
+    monkeypatch.setattr(cosine, "build_index", lambda *a, **b: built.append(1) or real(*a, **b))
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(60, 3))
+    first, more = frame(spark, vectors[:50]), frame(spark, vectors)
+    index = jobs.catalogue_index(first, None, None, 3)
+    grown = jobs.catalogue_index(more, first, index, 3)
+    assert len(built) == 1
+    same(result(grown.search(more)), brute(vectors, 3))
+    changed = frame(spark, [v * [1, 1, -1] if i == 4 else v for i, v in enumerate(vectors)])
+    again = jobs.catalogue_index(changed, more, grown, 3)
+    assert len(built) == 2
+    same(result(again.search(changed)), brute([v * [1, 1, -1] if i == 4 else v for i, v in enumerate(vectors)], 3))
+    jobs.catalogue_index(first, changed, again, 3)
+    assert len(built) == 3  # some have left
