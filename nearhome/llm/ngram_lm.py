@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearhome.llm.common import WORD
+from nearhome.llm.common import WORD, by_row, numbered_copy
 from nearhome.session import written
 
 ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
@@ -199,3 +199,46 @@ def scored(docs: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_words long, n_full long, log_sum double, score double"])
     both = chunks.select("chunk", F.lit(-1).alias("part"), F.col("texts").alias("data")).unionByName(counts)
     return both.groupBy("chunk").applyInArrow(run, schema)
+
+
+def document_ngrams(rows: DataFrame, order: int) -> DataFrame:
+    """(row, hash, own): the different n-grams of every document of (row, text), and how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0), batch.column(1)):
+                keys, own = np.unique(np.concatenate(hashed_ngrams([(text.as_py() or "").encode("utf-8", "surrogatepass")], order)[0]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(keys), row.as_py())), pa.array(keys.view(np.int64)), pa.array(own.astype(np.int64)),
+                ], ["row", "hash", "own"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, hash long, own long")
+
+
+def scored_relationally(docs: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
+    """As ``scored``, by a count table and joins alone: the n-grams of every document meet the summed counts by hash and are
+    summed up per document. A document's n-grams all travel, twice; see the README for what that costs."""
+    copy = numbered_copy(docs, "lm-docs", text=F.col("text").cast("string"))
+    total = copy.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    grams = written(document_ngrams(copy, order), "lm-ngrams")
+    counts = grams.groupBy("hash").agg(F.sum("own").alias("n"))
+    outside = grams.join(counts, "hash").select("row", "hash", (F.col("n") - F.col("own")).alias("others"))
+    lists = outside.groupBy("row").agg(F.collect_list(F.struct("hash", "others")).alias("known"))
+    names = [*keep, "n_words", "n_full", "log_sum", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text = (batch.column(len(keep))[at].as_py() or "").encode("utf-8", "surrogatepass")
+                known = batch.column(len(keep) + 1)[at].as_py() or []
+                order_of = np.argsort(np.array([k["hash"] for k in known], np.int64).view(np.uint64), kind="stable")
+                others = np.array([k["others"] for k in known], np.int64)[order_of]
+                lengths, sums, full = text_scores([text], others, total, order)
+                means = (sums / np.maximum(1, lengths)).round(9)
+                columns = [pa.array(lengths), pa.array(full), pa.array(sums.round(6)), pa.array(means)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, 1) for i in range(len(keep))), *columns], names)
+
+    types = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_words long, n_full long, log_sum double, score double"])
+    both = by_row(copy, lists, "left").select(*[F.col("doc")[c].alias(c) for c in keep], F.col("text").alias("text to score"), "known")
+    return both.mapInArrow(run, schema)

@@ -49,6 +49,15 @@ def test_scores_are_those_of_the_definition(spark, monkeypatch, order, chunk, pa
         assert found[i][2] == pytest.approx(score, abs=1e-6)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_the_relational_form_gives_the_same(spark, order):
+    texts = corpus()
+    df = frame(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(3)
+    found = {r["doc_id"]: (r["n_words"], r["n_full"], r["score"]) for r in ngram_lm.scored_relationally(df, ["doc_id"], order).collect()}
+    for i, (n, full, score) in enumerate(brute(texts, order)):
+        assert found[i] == (n, full, pytest.approx(score, abs=1e-6))
+
+
 def test_query_on_odd_documents(spark, odd, none, folder):
     found = sorted((str(r["doc_id"]), r["n_words"], r["n_full"]) for r in queries.op8_stupid_backoff(spark, folder(documents=odd)).collect())
     assert found == sorted((str(i), n, full) for (i, _, _), (n, full, _) in zip(ODD, brute([t for _, t, _ in ODD], 2)))
