@@ -46,6 +46,7 @@ WORD_KEYS = 500_000  # words of one,
 PARTS = 6  # and tries that a task has in hand during a pass over the arrays
 LONG_WORD = 64
 SEGMENT = 1 << 22  # bytes of text that a task has in hand
+SLICE = 64  # bins that travel together; where a task has found none of them, they do not
 HELD = 1 << 21  # pairs or words a task gathers before it hands them on
 
 _BREAK, _BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -312,11 +313,26 @@ def counted(rows: DataFrame, tries: DataFrame, parts: int) -> list[DataFrame]:
                         _, left, right = neighbours(ids[at : at + HELD + 1])
                         for bin_, (part, shared) in zip(bins, held):
                             bin_ += np.bincount(descend(shared.value[0], left, right, part, parts)[1], minlength=len(bin_))
-            for bin_, (_, shared) in zip(bins, held):
-                some = np.flatnonzero(bin_)
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value[1][some]), pa.array(bin_[some])], ["pair", "n"])
-
-        sums = rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            for bin_, (part, _) in zip(bins, held):
+                slices = np.append(bin_, np.zeros(-len(bin_) % SLICE, np.int64)).reshape(-1, SLICE)
+                some = np.flatnonzero(slices.any(axis=1))
+                ends = pa.array(np.arange(len(some) + 1) * SLICE, pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(some), part, np.int32)), pa.array(some, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(slices[some].ravel())),
+                ], ["part", "slice", "bins"])
+
+        def named(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                bins = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, SLICE)
+                for part, shared in held:
+                    row, place = np.nonzero(bins[of == part])
+                    pairs = shared.value[1][at[of == part][row] * SLICE + place]
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(bins[of == part][row, place])], ["pair", "n"])
+
+        slices = rows.mapInArrow(run, "part int, slice int, bins array<long>").groupBy("part", "slice")
+        sums = slices.agg(*[F.sum(F.get("bins", F.lit(k))).alias(f"b{k}") for k in range(SLICE)])
+        sums = sums.select("part", "slice", F.array(*[f"b{k}" for k in range(SLICE)]).alias("bins")).mapInArrow(named, "pair long, n long")
         found.append(written(sums, "phrase-counts"))
     return found
 
