@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearhome.operators.numbering import numbered
-from nearhome.operators.prepare import category_cardinality
 from nearhome.schemas import KMEANS_CLUSTERS, KMEANS_SEED
 from nearhome.session import written
 
@@ -20,19 +19,21 @@ CATEGORIES = ("type_bien", "lease_duration")
 NUMBERS = ("prix", "latitude", "longitude")
 
 
-def category_index(listings: DataFrame, column: str) -> DataFrame:
-    """(value, idx, n): the index of every value by falling frequency, equal ones alphabetically, as a table.
+def category_indices(listings: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, idx, n), written: the index of every value of each column by falling frequency, equal ones alphabetically.
 
-    The model holds this table, so a category may have any number of values.
+    All columns are counted in one pass and numbered together. The model holds this table, so a category may have any number of values.
     """
-    counts = listings.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return numbered(counts, [F.col("n").desc(), F.col("value")], "idx", "category-index").select("value", "idx", "n")
+    named = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = listings.select(F.inline(named)).dropna().groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    placed = numbered(counts, [F.col("column_name"), F.col("n").desc(), F.col("value")], "idx", "category-index")
+    first = placed.groupBy("column_name").agg(F.min("idx").alias("first"))  # one row a column
+    return written(placed.join(first, "column_name").select("column_name", "value", (F.col("idx") - F.col("first")).alias("idx"), "n"), "category-indices")
 
 
-def model_categories(listings: DataFrame, columns: Sequence[str] = CATEGORIES) -> list[str]:
-    """The categorical columns that enter the model: those with at least two values."""
-    usable = {r["column_name"] for r in category_cardinality(listings, columns).collect() if r["in_model"]}
-    return [c for c in columns if c in usable]
+def category_index(listings: DataFrame, column: str) -> DataFrame:
+    """(value, idx, n) of one column, see ``category_indices``."""
+    return category_indices(listings, [column]).select("value", "idx", "n")
 
 
 def with_index(rows: DataFrame, column: str, index: DataFrame, size: int) -> DataFrame:
@@ -106,11 +107,10 @@ def fit_features(
     read, so that long texts are not carried through the training.
     """
     needed = listings.select("id", *NUMBERS, *categories)
-    used = model_categories(needed, categories)
-    indices = {}
-    for column in used:
-        index = written(category_index(needed, column), f"index-{column}")
-        indices[column] = (index, index.count())
+    found = category_indices(needed, categories)
+    sizes = dict(found.groupBy("column_name").count().collect())  # one row a column
+    used = [c for c in categories if sizes.get(c, 0) >= 2]  # a column with a single value tells nothing
+    indices = {c: (found.filter(F.col("column_name") == c).select("value", "idx", "n"), sizes[c]) for c in used}
     inputs = [f"{c}_encoded" if c in categories else c for c in (order or [*NUMBERS, *categories]) if c not in categories or c in used]
     stages = [
         *encoder({c: size for c, (_, size) in indices.items()}),

@@ -46,12 +46,16 @@ def blocks_for(n_ratings: int) -> int:
     return max(10, -(-n_ratings // BLOCK_RATINGS))
 
 
-def dense_ids(ratings: DataFrame, column: str, number: str) -> DataFrame:
-    """(column, number): the ids 0..n-1 in order, written."""
-    ids = written(numbered(ratings.select(column).distinct(), [F.col(column)], number, f"{number}s").select(column, F.col(number).cast("int")), number)
-    if ids.count() > MOST_IDS:
-        raise ValueError(f"ALS takes at most {MOST_IDS} different {column}")
-    return ids
+def dense_ids(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user_id, user_no) and (annonce_id, listing_no): the ids of either kind numbered from 0 in order, in one pass."""
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")) for kind, c in enumerate(("user_id", "annonce_id"))])
+    placed = numbered(ratings.select(F.inline(kinds)).distinct(), [F.col("kind"), F.col("id")], "place", "als-ids")
+    first = placed.groupBy("kind").agg(F.min("place").alias("first"))  # two rows
+    ids = written(placed.join(first, "kind").select("kind", "id", (F.col("place") - F.col("first")).alias("number")), "als-numbers")
+    if (ids.agg(F.max("number")).first()[0] or 0) >= MOST_IDS:
+        raise ValueError(f"ALS takes at most {MOST_IDS} different users and listings")
+    of = lambda kind, key, number: ids.filter(F.col("kind") == kind).select(F.col("id").alias(key), F.col("number").cast("int").alias(number))
+    return of(0, "user_id", "user_no"), of(1, "annonce_id", "listing_no")
 
 
 def fit_als(ratings: DataFrame, seed: int = 42, blocks: int | None = None, checkpoint_interval: int = 10) -> Recommender:
@@ -62,9 +66,9 @@ def fit_als(ratings: DataFrame, seed: int = 42, blocks: int | None = None, check
     """
     shared_dir(ratings.sparkSession)  # in local mode this also names a checkpoint folder
     usable = written(usable_ratings(ratings), "als-ratings")
-    users, listings = dense_ids(usable, "user_id", "user_no"), dense_ids(usable, "annonce_id", "listing_no")
-    dense = written(usable.join(users, "user_id").join(listings, "annonce_id").select("user_no", "listing_no", "interaction_score"), "als-dense")
-    blocks = blocks or blocks_for(dense.count())
+    users, listings = dense_ids(usable)
+    dense = usable.join(users, "user_id").join(listings, "annonce_id").select("user_no", "listing_no", "interaction_score")
+    blocks = blocks or blocks_for(usable.count())
     als = ALS(
         userCol="user_no", itemCol="listing_no", ratingCol="interaction_score",
         rank=ALS_RANK, maxIter=ALS_ITERATIONS, regParam=ALS_REG, coldStartStrategy="drop", seed=seed,

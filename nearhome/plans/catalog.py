@@ -113,9 +113,8 @@ def rating_rejects(spark, sf):
 
 @query
 def category_index(spark, sf):
-    listings = fixtures.listing(spark, sf)
-    indexed = [features.category_index(listings, c).select(F.lit(c).alias("column_name"), "value", F.col("idx").cast("int").alias("idx"), "n") for c in features.CATEGORIES]
-    return indexed[0].unionByName(indexed[1])
+    indexed = features.category_indices(fixtures.listing(spark, sf), features.CATEGORIES)
+    return indexed.select("column_name", "value", F.col("idx").cast("int").alias("idx"), "n")
 
 
 @query
