@@ -191,10 +191,10 @@ def cluster_neighbors_price(spark, sf):
 @query
 def heads_incremental(spark, sf):
     """The cheapest of every type, kept up to date: listings nobody interacted with are there first, the others come, and at last
-    those leave that every fifth customer purchased."""
+    those leave of which somebody bought 49 or more at once."""
     listings = fixtures.listing(spark, sf).select("id", F.col("type_bien").alias("cluster"), "prix")
     known = fixtures.interaction(spark, sf).select(F.col("annonce_id").alias("id")).distinct()
-    sold = fixtures.purchase(spark, sf).filter(F.col("user_id") % 5 == 0).select(F.col("annonce_id").alias("id")).distinct()
+    sold = fixtures.purchase(spark, sf).filter(F.col("interaction_score") >= 49).select(F.col("annonce_id").alias("id")).distinct()
     state = written(head_state.head_state(listings.join(known, "id", "left_anti"), "cluster"), "heads")
     state = written(head_state.updated(state, listings.join(known, "id", "left_semi")), "heads")
     state = written(head_state.updated(state, sold.select("id", F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("double").alias("prix"))), "heads")

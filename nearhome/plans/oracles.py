@@ -170,7 +170,7 @@ SQL: dict[str, str] = {
     "type_neighbors_price": f"SELECT id, rank, similar_id FROM ({TYPE_PAIRS})",
     "heads_incremental": f"""
     SELECT cluster, string_agg(CAST(id AS VARCHAR), ',' ORDER BY prix, id) AS head
-    FROM (SELECT type_bien AS cluster, id, prix FROM ({LISTING}) WHERE id NOT IN (SELECT annonce_id FROM ({PURCHASE}) WHERE user_id % 5 = 0)
+    FROM (SELECT type_bien AS cluster, id, prix FROM ({LISTING}) WHERE id NOT IN (SELECT annonce_id FROM ({PURCHASE}) WHERE interaction_score >= 49)
           QUALIFY row_number() OVER (PARTITION BY type_bien ORDER BY prix, id) <= 11)
     GROUP BY cluster""",
     "rating_decayed": f"""

@@ -42,7 +42,7 @@ def test_stream_to_notifications(spark, market):
     store.to_messages(results).select("value").write.text(topic)
     run = lambda: jobs.store_stream(tables, spark.readStream.text(topic), scratch_path(spark, "store-chk"), run_once=True).awaitTermination()
     run()
-    run()  # the same results once more, under the same version
+    run()  # the same results once more, from a new checkpoint
     assert jobs.pending_results(tables).count() == 6
 
     assert jobs.recommend_all(spark, tables, models, 7) == 1
@@ -55,7 +55,7 @@ def test_stream_to_notifications(spark, market):
     assert sent.groupBy("announce_id").count().filter("count > 5").count() == 0
     assert jobs.pending_results(tables).count() == 0
     assert jobs.notify(spark, tables, models, 5) == 0
-    jobs.store_results(tables, results.filter(F.col("id") == asked[0]), 7)  # as if the run had failed before it said what is done
+    jobs.store_results(tables, results.filter(F.col("id") == asked[0]), store.version_of(9, 0))  # as if the run had failed before it said what is done
     assert [r["announceId"] for r in jobs.pending_results(tables).collect()] == [asked[0]]
     assert jobs.notify(spark, tables, models, 5) == 0
     assert tables.read("to_announce_notifications").count() == n
@@ -123,7 +123,7 @@ class Told:
 def test_every_read_of_the_jobs_is_split_by_a_key(spark, market):
     tables, models = market
     told = Told(tables)
-    jobs.store_results(tables, spark.createDataFrame([(1, [3])], "id long, similar_ids array<long>"), 99)
+    jobs.store_results(tables, spark.createDataFrame([(1, [3])], "id long, similar_ids array<long>"), store.version_of(99, 0))
     jobs.prepare_similarity(spark, told, models)
     jobs.recommend_all(spark, told, models, 2, by_type=True)
     jobs.notify(spark, told, models, 2)
