@@ -37,6 +37,6 @@ def merged_decay(states: DataFrame) -> DataFrame:
 
 def decayed_scores(state: DataFrame, at: date, half_life: int = HALF_LIFE) -> DataFrame:
     """(user_id, annonce_id, decayed, interaction_score) at a day no earlier than the state's: the faded sum and the faded mean."""
-    halved = F.pow(F.lit(2.0), F.col("period") - day_of(F.lit(at)) / F.lit(half_life))
+    halved = F.pow(F.lit(2.0), (F.col("period") * half_life - day_of(F.lit(at))) / F.lit(half_life))
     sums = state.groupBy("user_id", "annonce_id").agg(F.sum(F.col("total") * halved).alias("decayed"), F.sum(F.col("weight") * halved).alias("faded"))
     return sums.select("user_id", "annonce_id", "decayed", (F.col("decayed") / F.col("faded")).alias("interaction_score"))

@@ -93,7 +93,7 @@ def rating_decayed(spark, sf):
     for state in states[1:]:
         whole = whole.unionByName(state)
     scores = decay.decayed_scores(decay.merged_decay(whole), date(2024, 3, 1))
-    return scores.select("user_id", "annonce_id", F.round("decayed", 8).alias("decayed"), F.round("interaction_score", 8).alias("interaction_score"))
+    return scores.select("user_id", "annonce_id", F.round("decayed", 10).alias("decayed"), F.round("interaction_score", 7).alias("interaction_score"))
 
 
 @query

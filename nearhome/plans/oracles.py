@@ -174,7 +174,7 @@ SQL: dict[str, str] = {
           QUALIFY row_number() OVER (PARTITION BY type_bien ORDER BY prix, id) <= 11)
     GROUP BY cluster""",
     "rating_decayed": f"""
-    SELECT user_id, annonce_id, round(sum(score * share), 8) AS decayed, round(sum(score * share) / sum(share), 8) AS interaction_score
+    SELECT user_id, annonce_id, round(sum(score * share), 10) AS decayed, round(sum(score * share) / sum(share), 7) AS interaction_score
     FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS annonce_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS score,
                  2.0::DOUBLE ** (-date_diff('day', CAST(ts AS DATE), DATE '2024-03-01') / 7.0::DOUBLE) AS share
           FROM events WHERE value IS NOT NULL AND ts IS NOT NULL)
