@@ -465,11 +465,8 @@ def stream_latest(spark, sf):
 @query
 def search_matches(spark, sf):
     """How many listings match every saved search, the nearest and the farthest of them."""
-    listings = fixtures.listing(spark, sf)
-    found = searches.matched_searches(listings, fixtures.saved_search(spark, sf))
-    return found.groupBy("search_id").agg(
-        F.count("*").alias("n_listings"), F.sum("listing_id").alias("listings"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.max("distance"), 6).alias("farthest"),
-    )
+    found = searches.search_totals(fixtures.listing(spark, sf), fixtures.saved_search(spark, sf))
+    return found.select("search_id", "n_listings", "listings", F.round("nearest", 6).alias("nearest"), F.round("farthest", 6).alias("farthest"))
 
 
 # --- users to notify ---

@@ -44,6 +44,28 @@ def test_equals_all_pairs_everywhere_on_earth(spark):
     assert sorted((r["search_id"], r["listing_id"]) for r in found.collect()) == brute(listings, asked)
 
 
+def test_totals_of_listings_and_searches_that_come_many_times(spark, monkeypatch):
+    pick = random.Random(2)
+    some = lambda values: pick.choice([None, *values])
+    listings = [(pick.choice([None, i, i]), some([10.0, 20.0]), some([48.0, 48.5]), some([2.0, 3.0]), some("AB")) for i in range(400)]
+    asked = [(pick.choice([None, i % 60, i % 60]), some([10.0, 15.0]), some([15.0, 30.0]), some([48.0]), some([2.0]), some([0.0, 80.0, 9000.0]), some("AB")) for i in range(200)]
+    right = {}
+    for s in asked:
+        for l in listings:
+            if brute([l], [s]):
+                gap = None if None in s[3:6] else distance(s[3], s[4], l[2], l[3])
+                right.setdefault(s[0], []).append((l[0], gap))
+    right = {i: (len(found), sum(j for j, _ in found if j is not None), [g for _, g in found if g is not None]) for i, found in right.items()}
+    met, pairs = [], searches.matched_searches
+    monkeypatch.setattr(searches, "matched_searches", lambda l, s, codes: met.append((l.count(), s.count())) or pairs(l, s, codes))
+    found = searches.search_totals(spark.createDataFrame(listings, LISTING), spark.createDataFrame(asked, SEARCH)).collect()
+    assert {r["search_id"]: (r["n_listings"], r["listings"]) for r in found} == {i: v[:2] for i, v in right.items()}
+    for r in found:
+        gaps = right[r["search_id"]][2]
+        assert (r["nearest"], r["farthest"]) == ((pytest.approx(min(gaps)), pytest.approx(max(gaps))) if gaps else (None, None))
+    assert met[0][0] <= 3 ** 4 and met[0][1] <= 3 ** 3 * 4  # the distinct ones only
+
+
 def test_a_search_lies_in_few_cells_and_a_hot_place_is_divided_by_price(spark):
     rows = [(i, 10.0 * i, 10.0 * i + 10, 48.85, 2.35, 5.0, None) for i in range(3000)]
     cells = searches.search_cells(spark.createDataFrame(rows, SEARCH)).cache()
