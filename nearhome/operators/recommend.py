@@ -6,7 +6,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhome.operators.inner_product import top_products
+from nearhome.operators.inner_product import top_lists, top_products
 from nearhome.operators.numbering import numbered
 from nearhome.operators.prepare import usable_ratings
 from nearhome.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REG, LISTINGS_PER_USER
@@ -97,6 +97,12 @@ def user_recommendations(recommender: Recommender, n: int = LISTINGS_PER_USER) -
     return best.select("user_id", F.col("item_id").alias("annonce_id"), F.col("score").cast("float").alias("rating"), "rank")
 
 
+def user_lists(recommender: Recommender, n: int = LISTINGS_PER_USER) -> DataFrame:
+    """(user_id, listings, ratings): what ``user_recommendations`` gives, as one row a user."""
+    lists = top_lists(*factors(recommender), n)
+    return lists.select("user_id", F.col("items").alias("listings"), F.col("scores").cast("array<float>").alias("ratings"))
+
+
 def item_scores(recommender: Recommender, items: DataFrame, n: int) -> DataFrame:
     """(annonce_id, user_id, score): the ``n`` users with the best score of each listing in ``items`` the model knows."""
     known = items.select("annonce_id").join(recommender.listings, "annonce_id").select("listing_no")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nearhome.functions.codecs import ids_to_csv, json_field
 from nearhome.functions.vectors import cosine as cosine_of
 from nearhome.functions.vectors import l2_norm
-from nearhome.operators import approx, cosine, decay, features, head_state, lifecycle, neighbors, prepare, quality, rating_store, recommend, searches, store, synth, targeting
+from nearhome.operators import approx, cosine, decay, features, head_state, inner_product, lifecycle, neighbors, prepare, quality, rating_store, recommend, searches, store, synth, targeting
 from nearhome.plans import hybrid, jobs
 from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD, LISTINGS_PER_USER
 from nearhome.session import scratch_path, ship_package, written
@@ -577,13 +577,16 @@ def _als_purchases(spark, sf):
 def als_topn_exact(spark, sf):
     """Per user: how many listings are recommended, and at how many ranks the rating is not that of the best listings by comparing all."""
     found = _als_purchases(spark, sf)
-    ours = recommend.user_recommendations(found)
-    best = found.model.recommendForAllUsers(LISTINGS_PER_USER).select("user_no", F.posexplode("recommendations").alias("pos", "r"))
-    best = best.join(found.users, "user_no").select("user_id", (F.col("pos") + 1).alias("rank"), F.col("r.rating").alias("best"))
-    off = F.abs(F.col("rating") - F.col("best")) <= 1e-5 * F.greatest(F.lit(1.0), F.abs("best"))
-    both = ours.join(best, ["user_id", "rank"], "full")
-    return both.groupBy("user_id").agg(
-        F.count("annonce_id").alias("n_recs"), F.count_distinct("annonce_id").alias("n_listings"), F.count_if(~F.coalesce(off, F.lit(False))).alias("n_off"),
+    ours = written(recommend.user_lists(found), "als-lists")
+    users, listings = recommend.factors(found)
+    floor = F.when(F.size("ratings") == LISTINGS_PER_USER, F.array_min("ratings"))
+    best = inner_product.all_scores(users.join(ours.select("user_id", floor.alias("floor")), "user_id", "left"), listings, LISTINGS_PER_USER)
+    near = lambda x: F.abs(x["ratings"] - x["best"]) <= 1e-5 * F.greatest(F.lit(1.0), F.abs(x["best"]))
+    off = F.filter(F.arrays_zip("ratings", "best"), lambda x: ~F.coalesce(near(x), F.lit(False)))
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>")).alias(c)
+    both = ours.join(best, "user_id", "full").select("user_id", none("listings", "long"), none("ratings", "float"), none("best", "double"))
+    return both.select(
+        "user_id", F.size("listings").cast("long").alias("n_recs"), F.size(F.array_distinct("listings")).cast("long").alias("n_listings"), F.size(off).cast("long").alias("n_off"),
     )
 
 

@@ -63,3 +63,39 @@ def test_empty_and_unusable(spark):
     assert [tuple(r) for r in inner_product.top_products(users, items, 3).collect()] == [(1, 1, 5, 2.0)]
     assert inner_product.top_products(users, items.limit(0), 3).count() == 0
     assert inner_product.top_products(users.limit(0), items, 3).count() == 0
+
+
+@pytest.mark.parametrize("length", [1.0, 1e20, 1e-20])
+def test_ranges_and_splits_of_any_layout(spark, monkeypatch, length):
+    """Lengths alike, so that nothing is left out, in several ranges a round and slices a range; a row travels once a range."""
+    for name, rows in (("RANGE_ROWS", 50), ("SPLIT_ROWS", 30), ("KERNEL_ROWS", 8), ("SLICE_ROWS", 16)):
+        monkeypatch.setattr(inner_product, name, rows)
+    rng = np.random.default_rng(6)
+    items = rng.normal(size=(400, 4))
+    items *= length / np.linalg.norm(items, axis=1, keepdims=True)
+    check(spark, rng.normal(size=(70, 4)), items, 6, 10)
+
+
+def test_a_split_of_users_reads_the_items_once(spark, monkeypatch):
+    """Rows that travel, where no block can be left out: before, a user travelled once a block."""
+    rng, sent = np.random.default_rng(7), []
+    items = rng.normal(size=(640, 4))
+    items /= np.linalg.norm(items, axis=1, keepdims=True)
+    meet = inner_product._met_blocks
+    monkeypatch.setattr(inner_product, "_met_blocks", lambda *args: sent.append(args[5] - args[4]) or meet(*args))
+    check(spark, rng.normal(size=(20, 4)), items, 3, 10)
+    assert sent == [63]
+
+
+def test_all_scores(spark, monkeypatch):
+    for name, rows in (("RANGE_ROWS", 50), ("SPLIT_ROWS", 20), ("KERNEL_ROWS", 8), ("SLICE_ROWS", 16)):
+        monkeypatch.setattr(inner_product, name, rows)
+    rng = np.random.default_rng(8)
+    users, items = rng.normal(size=(45, 3)), rng.normal(size=(170, 3))
+    best = -np.sort(-(users @ items.T), axis=1)[:, :5]
+    floor = [None if i % 3 == 0 else float(best[i, 4]) if i % 3 == 1 else float(best[i, 2]) for i in range(45)]
+    asked = spark.createDataFrame([(i, [float(x) for x in u], floor[i]) for i, u in enumerate(users)], "user_id long, vec array<double>, floor double")
+    found = {r["user_id"]: r["best"] for r in inner_product.all_scores(asked, table(spark, "item_id", range(170), items), 5).collect()}
+    for i in range(45):
+        want = best[i] if i % 3 < 2 else best[i][:3]
+        assert found[i] == pytest.approx(list(want)), i
