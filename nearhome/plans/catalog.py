@@ -450,11 +450,11 @@ def stream_latest(spark, sf):
         messages[1].filter(odd), messages[2].filter(odd), messages[1].unionByName(messages[2].filter(odd)),
         messages[2].filter(~odd).unionByName(messages[1]), messages[1], messages[2],
     ]
-    inbox, out = scratch_path(spark, "latest-in"), scratch_path(spark, "latest-out")
-    for number, batch in enumerate(batches):  # read one after another
-        batch.coalesce(1).write.mode("append").parquet(f"{inbox}/{number}")
-    stream = spark.readStream.schema("value string, version long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(inbox)
-    jobs.latest_stream(stream, similarity.parquet_sink(out), scratch_path(spark, "latest-checkpoint"), run_once=True).awaitTermination()
+    inbox, out, checkpoint = (scratch_path(spark, f"latest-{name}") for name in ("in", "out", "checkpoint"))
+    for number, batch in enumerate(batches):  # read one after another, each by a run of the same stream
+        batch.write.parquet(f"{inbox}/{number}")
+        stream = spark.readStream.schema("value string, version long").option("recursiveFileLookup", True).parquet(inbox)
+        jobs.latest_stream(stream, similarity.parquet_sink(out), checkpoint, run_once=True).awaitTermination()
     changes = spark.read.parquet(out)
     last = changes.groupBy("id").agg(F.max(F.struct("version", "cluster", "similars_ids")).alias("last"), F.count("*").alias("n"))
     return last.select("id", "last.cluster", F.col("last.similars_ids").alias("similar_ids"), (F.col("n") <= 2).alias("changes_only"))

@@ -204,5 +204,5 @@ def store_stream(tables, messages: DataFrame, checkpoint: str, **options) -> Str
 
 
 def latest_stream(messages: DataFrame, sink: similarity.Sink, checkpoint: str, **options) -> StreamingQuery:
-    """Hands on the result of a listing whenever it changes, for as long as the query runs; see ``latest.changed_results``."""
-    return similarity.start_batches(latest.changed_results(messages), sink, checkpoint, mode="update", **options)
+    """Hands on the result of a listing whenever it changes, for as long as the query runs; see ``latest.change_batches``."""
+    return similarity.start_batches(messages, latest.change_batches(sink, f"{checkpoint}/results"), checkpoint, **options)

@@ -158,6 +158,24 @@ def test_only_changes_of_the_latest_result_come_out(spark):
     assert found == [(0, 1, 3, "5,6"), (0, 2, 1, "9"), (1, 3, 5, ""), (2, 2, 3, "9,3"), (3, 1, 5, "1")]
 
 
+def test_a_repeated_batch_of_changes_gives_out_the_same(spark):
+    """Every batch works without a Python process a listing: it is repeated from the state that the batch before it has left."""
+    from nearhome.streaming import latest
+
+    out, root = {}, scratch_path(spark, "latest-state")
+    sink = lambda rows, number: out.setdefault(number, []).append(sorted(tuple(r) for r in rows.collect()))
+    process = latest.change_batches(sink, root)
+    message = lambda i, ids, cluster="c": json.dumps({"announceId": i, "similarIds": ids, "clusterId": cluster})
+    batch = lambda *rows: spark.createDataFrame(rows, "value string, version long")
+    first, second = batch((message(1, [5]), 1), (message(2, [6]), 1)), batch((message(1, [7]), 2), (message(2, [6], "d"), 2), (message(2, [9]), 1))
+    for number, rows in ((0, first), (0, first), (1, second), (1, second), (3, first), (4, batch())):
+        process(rows, number)
+    assert out[0] == [[(1, 1, "c", "5"), (2, 1, "c", "6")]] * 2
+    assert out[1] == [[(1, 2, "c", "7"), (2, 2, "d", "6")]] * 2
+    assert out[3] == [[]] and out[4] == [[]]
+    assert len(latest._states(spark, root)) == 2  # the last one, and that which it was made of
+
+
 def test_a_hot_listing_keeps_one_state(spark):
     rows = [(v, 1, [v]) for v in range(1, 400)] + [(v, 2 + v, [1]) for v in range(1, 800)]
     found = latest_changes(spark, [rows, rows[::-1]])
