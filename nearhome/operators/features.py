@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -17,6 +18,7 @@ from nearhome.session import written
 
 CATEGORIES = ("type_bien", "lease_duration")
 NUMBERS = ("prix", "latitude", "longitude")
+PART_ROWS = 100_000  # listings whose vectors one training task keeps
 
 
 def category_indices(listings: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -104,7 +106,8 @@ def fit_features(
     """Index, encode, assemble and normalise; with ``clusters`` also K-Means on the normalised vectors.
 
     ``order`` names the assembled columns; by default the numbers, then the categories. Only the columns that are needed are
-    read, so that long texts are not carried through the training.
+    read, so that long texts are not carried through the training. K-Means keeps the vectors of a partition in one task, and a
+    small file of listings is one partition, so the listings are spread by their number.
     """
     needed = listings.select("id", *NUMBERS, *categories)
     found = category_indices(needed, categories)
@@ -119,7 +122,8 @@ def fit_features(
     ]
     if clusters:
         stages.append(KMeans(featuresCol="norm_features", predictionCol="prediction", k=clusters, seed=seed))
-    rows = needed
+    tasks = ceil(needed.count() / PART_ROWS) if clusters else 1
+    rows = needed.repartition(tasks) if tasks > 1 else needed
     for column, (index, size) in indices.items():
         rows = with_index(rows, column, index, size)
     return FeatureModel(Pipeline(stages=stages).fit(rows), indices)

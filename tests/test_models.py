@@ -247,3 +247,14 @@ def test_nobody_is_notified_twice(spark):
     wanted = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], schema)
     sent = spark.createDataFrame([(1, 1), (1, 1), (3, 3)], schema)
     assert sorted(map(tuple, targeting.not_yet_sent(wanted, sent).collect())) == [(1, 2), (2, 1)]
+
+
+def test_training_rows_are_spread_by_their_number(spark, monkeypatch):
+    """One small file is one partition; K-Means would keep all its vectors in one task."""
+    seen, fit = [], features.Pipeline.fit
+    sizes = lambda rows: sorted(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+    monkeypatch.setattr(features, "PART_ROWS", 10)
+    monkeypatch.setattr(features.Pipeline, "fit", lambda self, rows: seen.append(sizes(rows)) or fit(self, rows))
+    rows = listings(spark).coalesce(1)
+    features.fit_features(rows)
+    assert sum(seen[0]) == rows.count() and max(seen[0]) <= 20
