@@ -21,16 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from nearhome.operators.ranking import top_per_key
 from nearhome.schemas import NEIGHBOURS
 from nearhome.session import written
 
 SIM_DIGITS = 9         # of the reported similarity
-BLOCK_ROWS = 8192      # candidates that one task holds at a time
-SPLIT_ROWS = 8192     # queries that one task holds at a time
-CELL_ROWS = 16384      # vectors around a pivot
-KERNEL_ROWS = 512      # query rows of one matrix product
+BLOCK_ROWS = 32768     # candidates that one task holds at a time
+SPLIT_ROWS = 16384     # queries that one task holds at a time
+CELL_ROWS = 32768      # vectors around a pivot
+KERNEL_ROWS = 128      # query rows of one matrix product
 SLACK = 1e-6           # covers rounding in the distance bounds
 PAIRS = 1 << 17        # pairs whose difference is taken at once
 NO_CELL = -(2 ** 63)   # of a group that is one cell
@@ -107,7 +108,7 @@ class CosineIndex:
         asked = written(_placed(written(asked, "cosine-asked"), self.pivots, self.block_rows, split_rows), "cosine-queries")
         near = written(_best(match(asked.select("*", unknown)), k), "cosine-own-cell")
         kth = near.filter(F.col("rank") == k).select("id", F.col("gap").alias("kth"))
-        visits = written(_visits(asked.join(kth, "id", "left"), self.pivots, self.block_rows, split_rows), "cosine-visits")
+        visits = _visits(asked.join(kth, "id", "left"), self.pivots, self.block_rows, split_rows)
         return _reported(_best(near.select("id", "similar_id", "gap").unionByName(match(visits)), k))
 
 
@@ -152,7 +153,7 @@ def _visits(asked: DataFrame, pivots: DataFrame, block_rows: int, split_rows: in
     homes = pivots.select("grp", "cell", F.col("vec").alias("pivot"))
     left = asked.filter(F.col("cell") != NO_CELL).join(homes, ["grp", "cell"])
     right = pivots.select(F.col("cell").alias("id"), "grp", "vec", "radius")
-    found = _meet(left, right, block_rows, split_rows, _reachable, "id long, cell long")
+    found = written(_meet(left, right, block_rows, split_rows, _reachable, "id long, cell long"), "cosine-visits")  # without the vectors
     return found.join(left.select("id", "grp", "vec", "kth"), "id").select("id", "grp", "vec", "cell", "kth")
 
 
@@ -220,7 +221,9 @@ def mean_similarity(asked: DataFrame, neighbors: DataFrame) -> DataFrame:
 
 def _usable(df: DataFrame, group: str | None) -> DataFrame:
     grp: Column = F.lit(0) if group is None else F.col(group)
-    rows = df.select(F.col("id").cast("long").alias("id"), grp.alias("grp"), F.col("vec").cast("array<double>").alias("vec"))
+    # floats travel as floats, in half the room; tasks calculate in doubles
+    vec = F.col("vec") if df.schema["vec"].dataType == ArrayType(FloatType()) else F.col("vec").cast("array<double>")
+    rows = df.select(F.col("id").cast("long").alias("id"), grp.alias("grp"), vec.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN sorts above infinity
     whole = finite & F.exists("vec", lambda x: x != 0)
     return rows.filter(F.col("grp").isNotNull() & whole)
@@ -272,7 +275,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     lengths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
     if len(lengths) > 1:
         raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:

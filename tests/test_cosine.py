@@ -241,3 +241,14 @@ def test_the_catalogue_index_is_added_to_or_made_anew(spark, monkeypatch):
     same(result(again.search(changed)), brute([v * [1, 1, -1] if i == 4 else v for i, v in enumerate(vectors)], 3))
     jobs.catalogue_index(first, changed, again, 3)
     assert len(built) == 3  # some have left
+
+
+def test_floats_travel_as_floats_and_visits_without_vectors(spark, monkeypatch):
+    rng, kept = np.random.default_rng(9), {}
+    vectors = rng.normal(size=(300, 5)).astype(np.float32)
+    write = cosine.written
+    monkeypatch.setattr(cosine, "written", lambda df, name: kept.update({name: dict(df.dtypes)}) or write(df, name))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vec array<float>")
+    found = result(cosine.cosine_top_k(rows, 5, block_rows=40, split_rows=50, cell_rows=40))
+    same(found, brute(vectors.astype(float), 5))
+    assert kept["cosine-cells"]["vec"] == "array<float>" and "vec" not in kept["cosine-visits"]
