@@ -49,7 +49,8 @@ def in_buckets(rows: DataFrame, dims: int, bits: int, tables: int, probes: int,
                         batch.column(0), batch.column(1), pa.array(np.full(len(code), table, np.int32)), pa.array(codes[:, column].astype(np.int64)),
                     ], ["id", "vec", "grp", "cell"])
 
-    return rows.select("id", "vec").mapInArrow(run, "id long, vec array<double>, grp int, cell long")
+    vec = rows.schema["vec"].dataType.simpleString()  # floats stay floats
+    return rows.select("id", "vec").mapInArrow(run, f"id long, vec {vec}, grp int, cell long")
 
 
 def approximate_top_k(

@@ -35,3 +35,16 @@ def test_a_small_catalogue_is_searched_exactly(spark):
     assert result(approx.approximate_top_k(frame(spark, vectors), 3)).keys() == brute(vectors, 3).keys()
     assert approx.approximate_top_k(frame(spark, vectors).limit(0), 3).count() == 0
     assert [approx.planes_for(n, 100) for n in (0, 99, 199, 200, 399, 400, 102_400)] == [0, 0, 0, 1, 1, 2, 10]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_of_either_kind_go_through_the_buckets(spark, kind):
+    vectors = clustered(400, 8, 5).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, f"id long, vec array<{kind}>")
+    assert dict(approx.in_buckets(df, 8, 2, 1, 1).dtypes)["vec"] == f"array<{kind}>"
+    found = approx.approximate_top_k(df, 5, bucket_rows=100)
+    unit = cosine._unit_rows(vectors.astype(float))
+    for (i, _), (j, similarity) in result(found).items():
+        assert i != j and similarity == pytest.approx(1 - np.square(unit[i] - unit[j]).sum() / 2, abs=2e-9)
+    assert approx.recall(found, cosine.cosine_top_k(df, 5)) >= 0.9
