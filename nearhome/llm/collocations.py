@@ -43,11 +43,15 @@ TOP = 2_000
 SHARE = 50  # per cent of a phrase's occurrences that a longer one must have to replace it
 PART_KEYS = 250_000  # pairs of a trie, which is what a broadcast holds,
 WORD_KEYS = 500_000  # words of one,
-PARTS = 6  # and tries that a task has in hand during a pass over the arrays
+PARTS = 4  # and tries that a task has in hand during a pass over the arrays
 LONG_WORD = 64
-SEGMENT = 1 << 22  # bytes of text that a task has in hand
+SEGMENT = 1 << 20  # bytes of text that a task has in hand
+ROW = 256  # numbers, or as many more as reach the end of a piece, that travel together; Spark bounds a batch by its rows only
+CHUNK = 1 << 18  # places that a task has in hand
 SLICE = 64  # bins that travel together; where a task has found none of them, they do not
-HELD = 1 << 21  # pairs or words a task gathers before it hands them on
+HELD = 1 << 21  # pairs a task gathers before it hands them on,
+HELD_WORDS = 1 << 19  # words,
+HANDED = 1 << 16  # and pairs it hands on at once
 
 _BREAK, _BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 _FOLD = bytes(10 if b in _BREAK else 32 if b in _BLANK else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -85,7 +89,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     size -= len(own)
                     own.update(data.translate(_FOLD).split())
                     size += len(own)
-                if size > HELD:
+                if size > HELD_WORDS:
                     yield handed(counts)
                     counts, size = defaultdict(Counter), 0
         if size:
@@ -210,7 +214,7 @@ def loaded(tries: DataFrame, at_once: int) -> Iterator[list[tuple]]:
             shared.destroy()
 
 
-# --- arrays of numbers, one a segment ---
+# --- arrays of numbers, some pieces of a text a row ---
 
 def encoded(docs: DataFrame, tries: DataFrame) -> DataFrame:
     """(ids): the arrays of word numbers, as bytes. Each part's trie passes over the texts, which go along until the last one."""
@@ -226,7 +230,7 @@ def encoded(docs: DataFrame, tries: DataFrame) -> DataFrame:
                     ids, offsets = words_to_numbers(trie, [roots[lang] for lang in langs], texts)
                     ids = ids if first else np.maximum(ids, before)
                     if last:
-                        yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
+                        yield pa.RecordBatch.from_arrays([in_rows(ids, row_ends(ids))], ["ids"])
                     else:
                         whole = pa.array(texts, pa.binary()).cast(pa.string())
                         own = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
@@ -239,7 +243,7 @@ def encoded(docs: DataFrame, tries: DataFrame) -> DataFrame:
 def _stretches(batch: pa.RecordBatch, first: bool) -> Iterator[tuple[list[str], list[bytes], np.ndarray | None]]:
     """(languages, texts, their numbers so far) in stretches of about ``SEGMENT`` bytes."""
     langs, texts, size, begin = [], [], 0, 0
-    numbers = lambda end: None if first else np.concatenate([ids for ids in arrays(batch.slice(begin, end - begin), 2)])
+    numbers = lambda end: None if first else numbers_of(batch.slice(begin, end - begin), 2)[0]
     for at, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
         for data in segments(text.as_py()) if first else [text.as_py().encode("utf-8", "surrogatepass")]:
             langs.append(lang)
@@ -252,48 +256,75 @@ def _stretches(batch: pa.RecordBatch, first: bool) -> Iterator[tuple[list[str],
         yield langs, texts, numbers(batch.num_rows)
 
 
-def arrays(batch: pa.RecordBatch, column: int = 0) -> Iterator[np.ndarray]:
-    """The arrays of a batch. A pair never reaches from one into the next, nor from one text into the next, since texts end with 0."""
-    for value in batch.column(column):
-        yield np.frombuffer(value.as_buffer(), np.int32)
+def row_ends(ids: np.ndarray) -> np.ndarray:
+    """Where the rows end that the numbers are cut into: each behind a 0, so no pair reaches from one row into the next."""
+    zeros = np.flatnonzero(ids == 0)
+    ends = np.searchsorted(zeros, np.arange(ROW - 1, len(ids), ROW))
+    return np.unique(np.append(zeros[ends[ends < len(zeros)]] + 1, len(ids))) if len(ids) else np.zeros(0, np.int64)
 
 
-def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, left, right) of all places whose number and whose next one are not 0: what Apriori leaves."""
-    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-    return at, ids[at].astype(np.int64), ids[at + 1].astype(np.int64)
+def in_rows(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The numbers as bytes, a row up to each of ``ends``."""
+    offsets = np.append(0, 4 * ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(np.int32, copy=False))])
+
+
+def numbers_of(batch: pa.RecordBatch, column: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, ends) of all rows of a batch. A row ends with 0, so a pair never reaches from one into the next."""
+    values = batch.column(column).cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64, len(values) + 1, 8 * values.offset) if len(values) else np.zeros(1, np.int64)
+    count = int(at[-1] - at[0]) // 4
+    return np.frombuffer(data, np.int32, count, int(at[0])) if count else np.zeros(0, np.int32), (at[1:] - at[0]) // 4
+
+
+def neighbours(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, left, right) of all places whose number and whose next one are not 0, which is what Apriori leaves; ``CHUNK`` places at a time."""
+    for start in range(0, len(ids) - 1, CHUNK):
+        some = ids[start : start + CHUNK + 1]
+        at = np.flatnonzero((some[:-1] > 0) & (some[1:] > 0))
+        yield start + at, some[at].astype(np.int64), some[at + 1].astype(np.int64)
 
 
 def pair_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left << 32 | right
 
 
+def gathered(held: np.ndarray, counts: np.ndarray, pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted pairs ``held`` and their counts up to ``most`` with ``pairs`` added."""
+    pairs, n = np.unique(pairs, return_counts=True)
+    at = np.searchsorted(held, pairs)
+    known = np.zeros(len(pairs), bool)
+    known[at < len(held)] = held[at[at < len(held)]] == pairs[at < len(held)]
+    counts[at[known]] = np.minimum(counts[at[known]] + n[known], most)
+    return np.insert(held, at[~known], pairs[~known]), np.insert(counts, at[~known], np.minimum(n[~known], most))
+
+
 def candidates(rows: DataFrame, min_count: int) -> DataFrame:
     """(pair): the pairs with ``min_count`` places or more. A task counts to ``min_count`` at most before it tells of a pair."""
 
+    def handed(held: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(held), HANDED):
+            some = slice(at, at + HANDED)
+            yield pa.RecordBatch.from_arrays([pa.array(held[some]), pa.array(counts[some])], ["pair", "seen"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
-            for ids in arrays(batch):
-                for at in range(0, len(ids), HELD):
-                    _, left, right = neighbours(ids[at : at + HELD + 1])
-                    pairs, n = np.unique(pair_of(left, right), return_counts=True)
-                    held, back = np.unique(np.append(held, pairs), return_inverse=True)
-                    counts = np.minimum(np.bincount(back, np.append(counts, n), len(held)).astype(np.int64), min_count)
-                    if len(held) > HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts, pa.int32())], ["pair", "seen"])
-                        held, counts = held[:0], counts[:0]
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts, pa.int32())], ["pair", "seen"])
+            for _, left, right in neighbours(numbers_of(batch)[0]):
+                held, counts = gathered(held, counts, pair_of(left, right), min_count)
+                if len(held) > HELD:
+                    yield from handed(held, counts)
+                    held, counts = held[:0], counts[:0]
+        yield from handed(held, counts)
 
     seen = rows.mapInArrow(run, "pair long, seen int").groupBy("pair").agg(F.sum("seen").alias("seen"))
     return seen.filter(F.col("seen") >= min_count).select("pair")
 
 
-def descend(trie: DoubleArray, left: np.ndarray, right: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def descend(trie: DoubleArray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which pairs end in an accepting state, its value): all states go down one level at a time."""
-    at = np.flatnonzero(pair_part(left, right, parts) == part) if parts > 1 else np.arange(len(left))
-    states = np.zeros(len(at), np.int64)
+    at, states = np.arange(len(left)), np.zeros(len(left), np.int64)
     for symbols in pair_bytes(left, right):
         known, states = trie.step(states, symbols[at])
         at = at[known]
@@ -308,11 +339,11 @@ def counted(rows: DataFrame, tries: DataFrame, parts: int) -> list[DataFrame]:
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             bins = [np.zeros(len(shared.value[1]), np.int64) for _, shared in held]
             for batch in batches:
-                for ids in arrays(batch):
-                    for at in range(0, len(ids), HELD):
-                        _, left, right = neighbours(ids[at : at + HELD + 1])
-                        for bin_, (part, shared) in zip(bins, held):
-                            bin_ += np.bincount(descend(shared.value[0], left, right, part, parts)[1], minlength=len(bin_))
+                for _, left, right in neighbours(numbers_of(batch)[0]):
+                    of = pair_part(left, right, parts)
+                    for bin_, (part, shared) in zip(bins, held):
+                        own = np.flatnonzero(of == part)
+                        bin_ += np.bincount(descend(shared.value[0], left[own], right[own])[1], minlength=len(bin_))
             for bin_, (part, _) in zip(bins, held):
                 slices = np.append(bin_, np.zeros(-len(bin_) % SLICE, np.int64)).reshape(-1, SLICE)
                 some = np.flatnonzero(slices.any(axis=1))
@@ -345,15 +376,16 @@ def rewritten(rows: DataFrame, tries: DataFrame, parts: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], held=held, first=first, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row, ids in enumerate(arrays(batch)):
-                    more = np.zeros(len(ids), np.int32) if first else np.frombuffer(batch.column(1)[row].as_buffer(), np.int32).copy()
-                    for at in range(0, len(ids), HELD):
-                        place, left, right = neighbours(ids[at : at + HELD + 1])
-                        for part, shared in held:
-                            some, value = descend(shared.value[0], left, right, part, parts)
-                            more[at + place[some]] = value
-                    columns = [pa.array([a.tobytes()], pa.binary()) for a in ((more,) if last else (ids, more))]
-                    yield pa.RecordBatch.from_arrays(columns, ["ids"] if last else ["ids", "more"])
+                ids, ends = numbers_of(batch)
+                more = np.zeros(len(ids), np.int32) if first else numbers_of(batch, 1)[0].copy()
+                for place, left, right in neighbours(ids):
+                    of = pair_part(left, right, parts)
+                    for part, shared in held:
+                        own = np.flatnonzero(of == part)
+                        some, value = descend(shared.value[0], left[own], right[own])
+                        more[place[own[some]]] = value
+                columns = [in_rows(more, ends)] if last else [batch.column(0), in_rows(more, ends)]
+                yield pa.RecordBatch.from_arrays(columns, ["ids"] if last else ["ids", "more"])
 
         rows = written_densely(rows.mapInArrow(run, "ids binary" if last else "ids binary, more binary"), "phrase-level")
     return rows

@@ -129,3 +129,34 @@ def test_double_array_finds_its_keys_and_no_others(n):
     for k in keys[:500]:
         for other in (k + b"\x00", k[:-1], k[:-1] + b"\xff"):
             assert other in known or not other or state(other) < 0 or trie.value[state(other)] < 0
+
+
+def test_numbers_travel_in_short_rows(monkeypatch):
+    """Spark bounds a batch by its rows, so none holds a whole stretch; no pair is lost or added between them."""
+    monkeypatch.setattr(collocations, "ROW", 8)
+    monkeypatch.setattr(collocations, "CHUNK", 5)
+    pick = np.random.default_rng(1)
+    ids = np.append(pick.integers(0, 4, 500), 0).astype(np.int32)
+    ids[100:160] = 7  # a piece longer than a row
+    ends = collocations.row_ends(ids)
+    assert (ids[ends - 1] == 0).all() and ends[-1] == len(ids) and len(ends) > 20
+    assert sorted(np.diff(np.append(0, ends)))[-2] < 40 and np.diff(np.append(0, ends)).max() < 100
+    rows = collocations.in_rows(ids, ends)
+    batch = collocations.pa.RecordBatch.from_arrays([rows], ["ids"])
+    back, at = collocations.numbers_of(batch.slice(3, 10))
+    assert back.tolist() == ids[ends[2] : ends[12]].tolist() and at.tolist() == (ends[3:13] - ends[2]).tolist()
+    assert [len(x) for x in collocations.numbers_of(batch.slice(0, 0))] == [0, 0]
+    found = [(int(p), int(a), int(b)) for parts in collocations.neighbours(collocations.numbers_of(batch)[0]) for p, a, b in zip(*parts)]
+    assert found == [(i, a, b) for i, (a, b) in enumerate(zip(ids.tolist(), ids[1:].tolist())) if a and b]
+
+
+def test_pairs_are_gathered_in_bounded_room():
+    """A chunk is merged into what a task holds, without sorting all of it again."""
+    pick = np.random.default_rng(2)
+    held, counts, whole = np.zeros(0, np.int64), np.zeros(0, np.int32), Counter()
+    for _ in range(30):
+        pairs = pick.integers(0, 300, pick.integers(0, 200)) ** 2
+        whole.update(pairs.tolist())
+        held, counts = collocations.gathered(held, counts, pairs, 10)
+    assert dict(zip(held.tolist(), counts.tolist())) == {p: min(n, 10) for p, n in whole.items()} and counts.dtype == np.int32
+    assert held.tolist() == sorted(whole)
