@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from nearhome.operators.numbering import numbered
-from nearhome.session import written
+from nearhome.session import shuffles_removed, written
 
 BLOCK_ROWS = 1024      # items that a user's needs are told by
 RANGE_ROWS = 1 << 20   # items that one task holds
@@ -44,6 +44,11 @@ def top_products(users: DataFrame, items: DataFrame, n: int, block_rows: int = B
 
 def top_lists(users: DataFrame, items: DataFrame, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(user_id, items, scores, scored): the best items in order, one row a user, and how many items were scored for it."""
+    with shuffles_removed(users.sparkSession):
+        return _top_lists(users, items, n, block_rows)
+
+
+def _top_lists(users: DataFrame, items: DataFrame, n: int, block_rows: int) -> DataFrame:
     asked = _usable(users, "user_id")
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda total, x: total + x.cast("double") * x))
     placed = numbered(_usable(items, "item_id").withColumn("length", length), [F.col("length").desc(), F.col("item_id")], "place", "product-items")

@@ -10,9 +10,9 @@ from nearhome.operators.inner_product import top_lists, top_products
 from nearhome.operators.numbering import numbered
 from nearhome.operators.prepare import usable_ratings
 from nearhome.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REG, LISTINGS_PER_USER
-from nearhome.session import shared_dir, written
+from nearhome.session import shared_dir, shuffles_removed, written
 
-BLOCK_RATINGS = 1_000_000
+BLOCK_RATINGS = 4_000_000
 MOST_IDS = 2**31 - 1
 
 
@@ -58,16 +58,19 @@ def dense_ids(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return of(0, "user_id", "user_no"), of(1, "annonce_id", "listing_no")
 
 
-def fit_als(ratings: DataFrame, seed: int = 42, blocks: int | None = None, checkpoint_interval: int = 10) -> Recommender:
+def fit_als(ratings: DataFrame, seed: int = 42, blocks: int | None = None, checkpoint_interval: int = 1) -> Recommender:
     """ALS on explicit ratings. Pairs with a user or listing unknown to the model are dropped when scored.
 
-    Every ``checkpoint_interval`` iterations Spark cuts the lineage of the factors in ``spark.checkpoint.dir``.
+    Every ``checkpoint_interval`` iterations Spark cuts the lineage of the factors in ``spark.checkpoint.dir`` and removes the shuffles before;
+    those of all iterations in between lie on the disks at once. The factors do not depend on it.
     Without ``blocks`` their number follows the number of ratings.
     """
     shared_dir(ratings.sparkSession)  # in local mode this also names a checkpoint folder
-    usable = written(usable_ratings(ratings), "als-ratings")
-    users, listings = dense_ids(usable)
-    dense = usable.join(users, "user_id").join(listings, "annonce_id").select("user_no", "listing_no", "interaction_score")
+    with shuffles_removed(ratings.sparkSession):
+        usable = written(usable_ratings(ratings), "als-ratings")
+        users, listings = dense_ids(usable)
+        dense = usable.join(users, "user_id").join(listings, "annonce_id").select("user_no", "listing_no", "interaction_score")
+        dense = written(dense, "als-dense")
     blocks = blocks or blocks_for(usable.count())
     als = ALS(
         userCol="user_no", itemCol="listing_no", ratingCol="interaction_score",

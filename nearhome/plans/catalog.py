@@ -14,7 +14,7 @@ from nearhome.functions.vectors import l2_norm
 from nearhome.operators import approx, cosine, decay, features, head_state, inner_product, lifecycle, neighbors, prepare, quality, rating_store, recommend, searches, store, synth, targeting
 from nearhome.plans import hybrid, jobs
 from nearhome.schemas import ALS_REG, FEATURE_COLUMNS_OLD, LISTINGS_PER_USER
-from nearhome.session import scratch_path, ship_package, written
+from nearhome.session import scratch_kept, scratch_path, scratch_scope, ship_package, shuffles_removed, written
 from nearhome.sources import fixtures, versioned
 from nearhome.sources.tables import FolderTables
 from nearhome.streaming import similarity
@@ -577,7 +577,10 @@ def _als_purchases(spark, sf):
 def als_topn_exact(spark, sf):
     """Per user: how many listings are recommended, and at how many ranks the rating is not that of the best listings by comparing all."""
     found = _als_purchases(spark, sf)
-    ours = written(recommend.user_lists(found), "als-lists")
+    with scratch_scope(spark), shuffles_removed(spark):
+        lists = recommend.user_lists(found)
+        with scratch_kept():
+            ours = written(lists, "als-lists")
     users, listings = recommend.factors(found)
     floor = F.when(F.size("ratings") == LISTINGS_PER_USER, F.array_min("ratings"))
     best = inner_product.all_scores(users.join(ours.select("user_id", floor.alias("floor")), "user_id", "left"), listings, LISTINGS_PER_USER)

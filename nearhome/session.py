@@ -83,6 +83,20 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             remove_path(spark, path)
 
 
+_REMOVES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of every table written meanwhile go as soon as it is written, not when the driver collects its garbage."""
+    before = spark.conf.get(_REMOVES_SHUFFLES, None)
+    spark.conf.set(_REMOVES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_REMOVES_SHUFFLES) if before is None else spark.conf.set(_REMOVES_SHUFFLES, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

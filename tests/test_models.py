@@ -1,3 +1,6 @@
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 from nearhome import schemas
 from nearhome.operators import features, lifecycle, recommend, targeting
 from nearhome.plans import hybrid
-from nearhome.session import scratch_path
+from nearhome.session import scratch_path, shuffles_removed, written
 
 LISTING = "id long, prix double, type_bien string, lease_duration string, latitude double, longitude double"
 
@@ -52,6 +55,44 @@ def test_the_last_half_step_is_solved(ratings, als):
         assert len(user[u]) == schemas.ALS_RANK
 
 
+def shuffles(spark):
+    """The ids of the shuffles that have files."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return set(map(int, re.findall(r"shuffle_(\d+)_", blocks)))
+
+
+def settled(spark, before, most):
+    """New shuffles with files, once they are at most ``most``; they are removed in the background."""
+    for _ in range(50):
+        if len(shuffles(spark) - before) <= most:
+            break
+        time.sleep(0.2)
+    return len(shuffles(spark) - before)
+
+
+def test_training_keeps_the_shuffles_of_few_iterations(spark, ratings, als):
+    before = shuffles(spark)
+    again = recommend.fit_als(ratings)
+    assert settled(spark, before, 10) <= 10 < schemas.ALS_ITERATIONS
+    for one, other in zip(factors(als), factors(again)):
+        assert one.keys() == other.keys() and all(np.allclose(one[k], other[k], atol=1e-4) for k in one)
+
+
+def test_factors_do_not_depend_on_the_checkpoints(ratings, als):
+    for one, other in zip(factors(als), factors(recommend.fit_als(ratings, checkpoint_interval=10))):
+        assert one.keys() == other.keys() and all(np.allclose(one[k], other[k], atol=1e-4) for k in one)
+
+
+def test_shuffles_of_written_tables_are_removed(spark):
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles(spark)
+    told = spark.conf.get(key)
+    with shuffles_removed(spark):
+        counts = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+        assert spark.conf.get(key) == "true"
+    assert settled(spark, before, 0) == 0 and spark.conf.get(key) == told
+    assert sorted(r["count"] for r in counts.collect()) == [142] + [143] * 6
+
+
 def test_ids_of_any_size(spark, ratings):
     wide = ratings.select((F.col("user_id") + 2**40).alias("user_id"), (F.col("annonce_id") - 2**50).alias("annonce_id"), "interaction_score")
     found = recommend.user_recommendations(recommend.fit_als(wide), 3).select(
